@@ -57,6 +57,13 @@ def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def hashed_sample(df: DataFrame, n: int, *cols: str) -> DataFrame:
+    """The n rows of df with the least hash of cols. Only hashes are sorted; the driver gets n of them, not rows."""
+    h = F.xxhash64(*cols)
+    last = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return df.where(h <= F.lit(last)).limit(n) if last is not None else df.limit(0)
+
+
 def crc_mod(col: Column | str, n: int) -> Column:
     """crc32 of the value as text, modulo n."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")) % n

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import U64, arrow_pass, crc_mod, mix
+from lectern.llm.common import U64, arrow_pass, crc_mod, hashed_sample, mix
 
 #: Documents per language that filters are learned from at most, those with the least hash; and bytes of each.
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 20_000
@@ -82,19 +82,31 @@ def profiles(counts: dict[str, dict[str, int]] | dict[str, tuple[np.ndarray, np.
     return out
 
 
+def _merged(codes: list[np.ndarray], total: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of codes added to a total of (codes, counts)."""
+    new, n = np.unique(np.concatenate(codes) if codes else np.empty(0, U64), return_counts=True)
+    both, at = np.unique(np.concatenate([total[0], new]), return_inverse=True)
+    out = np.zeros(len(both), np.int64)
+    np.add.at(out, at, np.concatenate([total[1], n]))
+    return both, out
+
+
 def learn(docs: DataFrame) -> Filters:
     """Filters from the text and lang of docs: at most SAMPLE_DOCS documents a language, those of the least text hash."""
-    labelled = docs.where("lang is not null and text is not null and text <> ''").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    labelled = docs.where("lang is not null and text is not null and text <> ''").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     languages = sorted(r["lang"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect())
     for language in languages:
-        part = labelled.where(F.col("lang") == language).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS)
-        flat = []
-        for row in part.select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).collect():
+        part = hashed_sample(labelled.where(F.col("lang") == language), SAMPLE_DOCS, "doc_id", "text")
+        flat, total = [], (np.empty(0, U64), np.empty(0, np.int64))
+        for row in part.select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).toLocalIterator():
             for width in WIDTHS:
                 flat.append(gram_codes(row["text"], width))
-        if flat:
-            counts[language] = np.unique(np.concatenate(flat), return_counts=True)
+            if len(flat) >= 300:
+                total, flat = _merged(flat, total), []
+        total = _merged(flat, total)
+        if len(total[0]):
+            counts[language] = total
     return Filters(profiles(counts))
 
 

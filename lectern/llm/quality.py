@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_pass
+from lectern.llm.common import arrow_pass, hashed_sample
 
 #: Documents that the linear scorer is fitted on at most (those with the least hash), and its hashed features.
 SAMPLE_DOCS, FEATURES = 8000, 1 << 12
@@ -153,7 +153,7 @@ def fit_quality(docs: DataFrame) -> tuple[LabelModel, np.ndarray]:
     voted = docs.select(F.col("text").cast("string").alias("text")).withColumns(measures()).withColumns(votes())
     rows = voted.groupBy(*named).agg(F.count(F.lit(1)).alias("n")).orderBy(*named).collect()
     model = LabelModel([tuple(r[v] for v in named) for r in rows], [r["n"] for r in rows])
-    sample = voted.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS).select("text", *named)
+    sample = hashed_sample(docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id")), SAMPLE_DOCS, "doc_id", "text").select("text").withColumns(measures()).withColumns(votes()).select("text", *named)
     got = arrow_pass(sample, _features_of, ", ".join(f"{v} int" for v in named) + ", x binary").collect()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in got], float).reshape(-1, FEATURES)
     return model, fit_linear(x, model.posterior(LabelModel.coded([tuple(r[k] for k in named) for r in got])))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_pass, bounded, crc_mod
+from lectern.llm.common import arrow_pass, bounded, crc_mod, hashed_sample
 
 #: Labelled examples at most (those with the least hash of doc_id), neighbours that vote, terms at most,
 #: documents of an index block, examples that leave-one-out calibration takes at most.
@@ -182,8 +182,8 @@ class Model:
 
 
 def learn(labelled: DataFrame) -> Model:
-    """From (doc_id, text, toxic): at most EXAMPLES rows, those with the least hash of doc_id, in that order."""
-    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "toxic").limit(EXAMPLES).collect()
+    """From (doc_id, text, toxic): at most EXAMPLES rows, in the order of doc_id."""
+    rows = sorted(labelled.limit(2 * EXAMPLES).collect(), key=lambda r: (r["doc_id"], r["text"] or ""))[:EXAMPLES]
     return Model([(r["doc_id"], r["text"] or "", int(r["toxic"])) for r in rows])
 
 
@@ -210,7 +210,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     known = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long"), "toxic").where(crc_mod("doc_id", 3) != 1)
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").select("doc_id", "toxic")
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
+    sample = hashed_sample(known, EXAMPLES, "doc_id")
     model = learn(base.join(bounded(sample, EXAMPLES), "doc_id"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))

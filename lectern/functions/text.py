@@ -24,7 +24,12 @@ def with_compound_parts(words: Column) -> Column:
 def char_ngrams(text: Column, least: int = 3, most: int = 5) -> Column:
     """All character n-grams of a text between spaces, with repeats."""
     padded = F.concat(F.lit(" "), text, F.lit(" "))
-    grams = [F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(least, most + 1)]
+
+    def of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))
+        return F.when(F.length(padded) >= n, F.transform(places, lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    grams = [of(n) for n in range(least, most + 1)]
     return F.concat(*grams)
 
 
@@ -55,7 +60,7 @@ def mojibake_ratio(text: Column) -> Column:
 
 def lexical_anchor(query: Column) -> Column:
     """A query with a digit, a quotation or a name of a standard is matched by its words first."""
-    return query.rlike(r"\d") | query.rlike("[\"«»“”]") | F.upper(query).rlike(r"\b(ISO|IEEE|RFC|DIN|EN|ДСТУ|ГОСТ)\b")
+    return query.rlike(r"\d") | query.rlike("[\"«»“”]") | F.upper(query).rlike(r"(^|[^\p{L}\p{N}])(ISO|IEEE|RFC|DIN|EN|ДСТУ|ГОСТ)($|[^\p{L}\p{N}])")
 
 
 def page_class(chars: Column, bitmap_share: Column, mojibake: Column) -> Column:

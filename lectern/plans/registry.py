@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from lectern.plans import documents, operations
+
+MODULES = [documents, operations]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import arrow_pass, hashed_sample
 
 #: Documents that the linear scorer is fitted on at most (those with the least hash), and its hashed features.
-SAMPLE_DOCS, FEATURES = 8000, 1 << 12
+SAMPLE_DOCS, FEATURES = 4000, 1 << 12
 REJECT_BELOW = 0.5
 
 
@@ -118,7 +118,7 @@ _SHAPES = _shapes()
 
 def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 2.0, penalty: float = 1e-4) -> np.ndarray:
     """Logistic regression on soft labels, full-batch gradient steps with momentum: the same result each time."""
-    w, speed = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    w, speed, y = np.zeros(x.shape[1], x.dtype), np.zeros(x.shape[1], x.dtype), y.astype(x.dtype)
     for _ in range(rounds if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         speed = 0.9 * speed - rate * (x.T @ (p - y) / len(x) + penalty * w)
@@ -154,9 +154,11 @@ def fit_quality(docs: DataFrame) -> tuple[LabelModel, np.ndarray]:
     rows = voted.groupBy(*named).agg(F.count(F.lit(1)).alias("n")).orderBy(*named).collect()
     model = LabelModel([tuple(r[v] for v in named) for r in rows], [r["n"] for r in rows])
     sample = hashed_sample(docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id")), SAMPLE_DOCS, "doc_id", "text").select("text").withColumns(measures()).withColumns(votes()).select("text", *named)
-    got = arrow_pass(sample, _features_of, ", ".join(f"{v} int" for v in named) + ", x binary").collect()
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in got], float).reshape(-1, FEATURES)
-    return model, fit_linear(x, model.posterior(LabelModel.coded([tuple(r[k] for k in named) for r in got])))
+    x, patterns = np.zeros((SAMPLE_DOCS, FEATURES), np.float32), []
+    for row in arrow_pass(sample, _features_of, ", ".join(f"{v} int" for v in named) + ", x binary").toLocalIterator():
+        x[len(patterns)] = np.frombuffer(row["x"], np.float32)
+        patterns.append(tuple(row[k] for k in named))
+    return model, fit_linear(x[: len(patterns)], model.posterior(LabelModel.coded(patterns)))
 
 
 def quality_scores(docs: DataFrame) -> DataFrame:

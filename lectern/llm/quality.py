@@ -69,7 +69,7 @@ class LabelModel:
 
     @staticmethod
     def coded(patterns: list[tuple]) -> np.ndarray:
-        return np.array([[2 if x is None else int(x) for x in p] for p in patterns], int).reshape(len(patterns), -1)
+        return np.array([[2 if x is None else int(x) for x in p] for p in patterns], int).reshape(len(patterns), len(patterns[0]) if patterns else len(votes()))
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
         odds = np.full(len(v), np.log(self.prior / (1 - self.prior)))

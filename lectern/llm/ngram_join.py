@@ -88,24 +88,37 @@ class SizeClasses:
         return np.concatenate(out).view(np.int64)
 
 
-def _profiles(n: int, percent: int):
+def _profiles(n: int):
     def run(batches):
-        classes, seen = SizeClasses(percent), set()
         for batch in batches:
-            ids, sizes, firsts, seconds, keys = [], [], [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            sizes, firsts, seconds = [], [], []
+            for text in batch.column("text").to_pylist():
                 grams = gram_set(text, n)
                 digest = xxhash.xxh128_digest(grams.tobytes())
-                ids.append(doc)
                 sizes.append(len(grams))
                 firsts.append(int.from_bytes(digest[:8], "little", signed=True) if len(grams) else None)
                 seconds.append(int.from_bytes(digest[8:], "little", signed=True) if len(grams) else None)
-                if doc is None or not len(grams) or digest in seen:  # equal sets of one task: one of them is enough
-                    keys.append(None)
-                else:
-                    seen.add(digest)
-                    keys.append(classes.keys(grams))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64())], names=["doc_id", "n_shingles", "set_a", "set_b"])
+
+    return run
+
+
+def _keys(n: int, percent: int):
+    def run(batches):
+        classes, seen = SizeClasses(percent), set()
+        for batch in batches:
+            for part in range(0, batch.num_rows, 500):
+                rows = batch.slice(part, 500)
+                docs, keys = [], []
+                for doc, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
+                    grams = gram_set(text, n) if doc is not None else np.empty(0, U64)
+                    digest = xxhash.xxh128_digest(grams.tobytes())
+                    if len(grams) and digest not in seen:  # of the equal sets of one task, one is enough
+                        seen.add(digest)
+                        keys.append(classes.keys(grams))
+                        docs.append(np.full(len(keys[-1]), doc, np.int64))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(keys))], names=["doc_id", "key"])
 
     return run
 
@@ -189,12 +202,12 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     forest of its links, never its pairs, and equal sets are collapsed first.
     """
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    profiles = staged(arrow_pass(base, _profiles(n, percent), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"), "ngram-profiles")
+    profiles = staged(arrow_pass(base, _profiles(n), "doc_id long, n_shingles long, set_a long, set_b long"), "ngram-profiles")
     named = profiles.where("doc_id is not null and set_a is not null")
     reps = named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max("n_shingles").alias("size"))
     copies = named.join(reps.where("rep <> last").select("set_a", "set_b", "rep"), ["set_a", "set_b"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     copies = staged(copies, "ngram-copies")
-    keyed = profiles.where("keys is not null").select("doc_id", F.explode("keys").alias("key"))
+    keyed = arrow_pass(base, _keys(n, percent), "doc_id long, key long")
     least = F.min("doc_id").over(Window.partitionBy("key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
     near = keyed.withColumn("b", least).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     groups = components(near.unionByName(copies), "ngram-candidates")
@@ -209,7 +222,6 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     if found:
         bundles = max(1, found // 2000)
         sets = arrow_pass(base.join(bounded(members, found), "doc_id"), _gram_bytes(n), "doc_id long, cluster long, blocks int, block int, grams binary")
-        sets = staged(sets, "ngram-sets")
         pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
         bundle = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bundles))).otherwise(F.col("cluster"))
         links = pairs.groupBy(bundle.alias("bundle"), F.col("blocks") > 1, "i", "j").applyInPandas(_verify(percent), "a long, b long")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import bounded, staged
 
 #: Into how many parts a line is cut before deletions are tried.
-PARTS = 4
+PARTS = 3
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -20,29 +20,44 @@ def _digest(*cols: Column) -> list[Column]:
     return [F.xxhash64(F.lit(11), *cols), F.xxhash64(F.lit(97), *cols)]
 
 
-def _part_keys(line: Column) -> Column:
-    """Keys under which lines at edit distance at most 1 meet: for each part, what stands before and after it.
+def _part_keys(lines: DataFrame, hashed: bool = False) -> DataFrame:
+    """Per line and part, the key (a, b) under which lines at edit distance at most 1 meet: what stands before and after the part.
 
     The cuts follow a reference length m, the line's own or one less, so that a line and the one
-    with a character more use the same cuts; the longer one's part is then a character longer.
+    with a character more use the same cuts; the longer one's part is then a character longer. Each
+    stretch between cuts is taken and hashed once; keys are hashes of those hashes. Returns doc_id,
+    line_no, m, less, part (its hash if hashed), a, b.
     """
+    place, n = ["doc_id", "line_no"], F.length("line")
+    cuts = {f"c{less}{k}": ((F.col("n") - less) * k / PARTS).cast("int") for less in (0, 1) for k in range(PARTS + 1)}
+    cut = lines.select(*place, "line", n.alias("n")).select(*place, "line", "n", *[c.alias(x) for x, c in cuts.items()])
+
+    def stretch(less: int, k: int, first: int, more: int) -> Column:
+        at, end = F.col(f"c{less}{k}"), F.col(f"c{less}{k + 1}")
+        return F.substring("line", at + (1 + first), end - at + more)
+
+    # b: a stretch before the part, z: one behind it, p: the part itself; without a character to spare the three are one
+    spans = {f"b0{k}": stretch(0, k, 0, 0) for k in range(PARTS)}
+    spans |= {f"b1{k}": stretch(1, k, 0, 0) for k in range(PARTS - 1)} | {f"z1{k}": stretch(1, k, 1, 0) for k in range(1, PARTS)} | {f"p1{k}": stretch(1, k, 0, 1) for k in range(PARTS)}
+    cut = cut.select(*place, "n", *[c.alias(x) for x, c in spans.items()])
+    parts = {f"{x}p": F.xxhash64(x) if hashed else F.col(x) for x in spans if x[:2] in ("b0", "p1")}
+    hashes = {f"{x}{h}": d for x in spans if x[0] != "p" for h, d in zip("ab", _digest(F.col(x)), strict=True)}
+    cut = cut.select(*place, "n", *[c.alias(x) for x, c in (parts | hashes).items()])
     keys = []
     for less in (0, 1):
-        m = F.length(line) - less
-        cut = [F.floor(m * k / PARTS).cast("int") for k in range(PARTS + 1)]
+        m, behind, own = F.col("n") - less, "z1" if less else "b0", "p1" if less else "b0"
         for k in range(PARTS):
-            before, after = F.substring(line, F.lit(1), cut[k]), F.substring(line, cut[k + 1] + less + 1, F.length(line))
-            part = F.substring(line, cut[k] + 1, cut[k + 1] - cut[k] + less)
-            keys.append(F.struct(m.alias("m"), F.lit(k).alias("k"), F.lit(less).alias("less"), part.alias("part"), *[d.alias(n) for d, n in zip(_digest(m, F.lit(k), before, after), ("a", "b"), strict=True)]))
-    return F.array(*keys)
+            around = [f"b{less}{j}" for j in range(k)] + [f"{behind}{j}" for j in range(k + 1, PARTS)]
+            a, b = (F.xxhash64(m, F.lit(k), *[F.col(f"{x}{h}") for x in around]) for h in "ab")
+            keys.append(F.struct(m.alias("m"), F.lit(less).alias("less"), F.col(f"{own}{k}p").alias("part"), a.alias("a"), b.alias("b")))
+    return cut.select(*place, F.explode(F.array(*keys)).alias("p")).select(*place, "p.*")
 
 
-def duplicate_lines(lines: DataFrame, max_edits: int = 1, min_chars: int = 16) -> DataFrame:
-    """Distinct lines with their earliest occurrence and whether an earlier line is within max_edits (0 or 1).
+def near_lines(lines: DataFrame, max_edits: int = 1, min_chars: int = 16) -> DataFrame:
+    """hit (doc_id, line_no): the earliest places of distinct lines that have another, earlier line within max_edits (0 or 1).
 
-    Returns digest (a, b), doc_id, line_no (earliest place), near (an earlier distinct line is one
-    edit away). Lines shorter than min_chars are compared for equality only. A line counts as
-    a repeat of any earlier line, whether or not that one is itself removed.
+    Lines shorter than min_chars are left out. A line counts as a repeat of any earlier line,
+    whether or not that one is itself removed.
 
     Deletion neighbourhoods: two lines are one edit apart exactly if one is the other less a
     character, or both lose a character at the same place and agree. All such variants are emitted
@@ -53,17 +68,13 @@ def duplicate_lines(lines: DataFrame, max_edits: int = 1, min_chars: int = 16) -
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     place = F.struct("doc_id", "line_no")
-    keyed = lines.where("line <> ''").select(*[d.alias(n) for d, n in zip(_digest(F.col("line")), ("a", "b"), strict=True)], place.alias("place"), "line")
-    first = staged(keyed.groupBy("a", "b").agg(F.min("place").alias("place")), "lines")
-    if not max_edits:
-        return first.select("a", "b", "place.*", F.lit(False).alias("near"))
-    # one row per distinct line, without moving texts: the line stands at its earliest place
     long = lines.where(F.length("line") >= min_chars).select("doc_id", "line_no", "line")
-    parts = long.select("doc_id", "line_no", F.explode(_part_keys(F.col("line"))).alias("p")).select("doc_id", "line_no", "p.*")
-    whole = F.xxhash64(F.col("part"))
-    shared = parts.groupBy("a", "b").agg(F.min(whole).alias("least"), F.max(whole).alias("most")).where("least <> most").select(F.col("a").alias("ka"), F.col("b").alias("kb"))
+    if not max_edits:
+        return long.where("false").select(place.alias("hit"))
+    # half of the key is enough to leave lines out; what meets by it alone is told apart below
+    shared = _part_keys(long, hashed=True).groupBy("a").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select(F.col("a").alias("ka"))
     shared = staged(shared, "line-parts")
-    near = parts.join(bounded(shared), (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left_semi")
+    near = _part_keys(long).join(bounded(shared), F.col("a") == F.col("ka"), "left_semi")
     near = near.groupBy("a", "b", "m", "less", "part").agg(F.min(place).alias("place"))  # equal lines once, at their earliest place
     near = staged(near, "line-near")
     # less = 0: the part itself (gap -1), and the part less its g-th character as a substitution at g;
@@ -86,8 +97,7 @@ def duplicate_lines(lines: DataFrame, max_edits: int = 1, min_chars: int = 16) -
     mine = near.select("a", "b", "place", "less", F.col("part").alias("mine"))
     theirs = near.select("a", "b", F.col("place").alias("other"), F.col("less").alias("other_less"), F.col("part").alias("theirs"))
     hits = hits.join(mine, ["a", "b", "place", "less"]).join(theirs, ["a", "b", "other", "other_less"]).where(F.levenshtein("mine", "theirs", max_edits).between(0, max_edits))
-    hits = hits.select(F.col("place").alias("hit")).distinct()
-    return first.join(hits, first["place"] == hits["hit"], "left").select("a", "b", "place.*", F.col("hit").isNotNull().alias("near"))
+    return hits.select(F.col("place").alias("hit")).distinct()
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = 16) -> DataFrame:
@@ -101,16 +111,17 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = 16) -> Dat
     """
     text, given = docs.withColumn("text", F.col("text").cast("string")), docs.columns
     lines = lines_of(text)
-    found = duplicate_lines(lines, max_edits, min_chars)
-    found = found.select(F.col("a").alias("da"), F.col("b").alias("db"), F.struct("doc_id", "line_no").alias("first"), "near")
-    a, b = _digest(F.col("line"))
-    place = F.struct("doc_id", "line_no")
-    marked = lines.where("line <> ''").select("doc_id", "line_no", a.alias("da"), b.alias("db")).join(found, ["da", "db"])
-    gone = marked.where((~F.col("first").eqNullSafe(place)) | F.col("near")).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))
+    place, (a, b) = F.struct("doc_id", "line_no"), _digest(F.col("line"))
+    keyed = lines.where("line <> ''").select("doc_id", "line_no", a.alias("da"), b.alias("db"))
+    first = keyed.groupBy("da", "db").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    repeats = keyed.join(staged(first, "lines"), ["da", "db"]).where(~F.col("first").eqNullSafe(place)).select("doc_id", "line_no")
+    near = near_lines(lines, max_edits, min_chars).select("hit.*")  # later places of such a line are among the repeats
+    gone = repeats.unionByName(near).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))
     gone = staged(gone.select(F.col("doc_id").alias("__doc"), "__gone"), "lines-gone")
     parts = F.split("text", "\n", -1)
     kept = F.filter(parts, lambda line, i: ~F.array_contains(F.col("__gone"), i))
-    out = text.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+    # what goes grows with the corpus, so this is a merge join at every size
+    out = text.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
     new = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     out = out.withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "text": new})
     if "n_chars" in given:

@@ -15,6 +15,8 @@ from lectern.session import ship
 BROADCAST_ROWS = 200_000
 #: Entries of a worker's word-hash cache before it is emptied.
 WORD_CACHE = 400_000
+#: Spark's setting that removes the shuffle files of a job at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 U64 = np.uint64
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -39,10 +41,18 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    path = f"{shared_root(df.sparkSession)}/lectern/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    Once the table is written, nothing needs the shuffle files of the job that wrote it, so they go.
+    """
+    spark, path = df.sparkSession, f"{shared_root(df.sparkSession)}/lectern/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def arrow_pass(df: DataFrame, run, schema: str) -> DataFrame:

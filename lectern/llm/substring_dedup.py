@@ -167,6 +167,8 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
 
     windows = staged(arrow_pass(base, _window_rows(window, shared, bits), "key long, doc_id long, text_crc long, place int"), "windows")
     source = windows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("key", "least")
+    source = staged(source, "window-sources")
     hits = windows.join(source, "key").where("doc_id > least").groupBy("doc_id", "text_crc").agg(F.collect_set("place").alias("starts"))
+    hits = staged(hits, "window-hits")
     whole = base.select("doc_id", "text", F.crc32("text").alias("text_crc"), *digest).join(hits, ["doc_id", "text_crc"], "left").join(copies, ["doc_id", "ta", "tb"], "left").select("doc_id", "text", "copy", "starts")
     return arrow_pass(whole, _kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

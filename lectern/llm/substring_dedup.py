@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -11,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import U64, arrow_pass, mix, staged, window_hashes, word_hashes
+from lectern.llm.common import MIX_A, U64, arrow_pass, mix, staged, window_hashes, word_hashes
 
 #: A difference cover. Any two places have a common shift below the period that brings both, modulo it, into the cover.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Bits of the anchor filter per shared anchor, and its least and most bits; a full filter costs time, not results.
 FILTER_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
+#: Windows of a chunk at most (they are the bits of a long), one window in so many that starts a chunk, and parts that the rows of a chunk are dealt to.
+CHUNK, CUT_ONE_IN, SALTS = 64, 16, 8
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -30,12 +31,12 @@ def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return places, hashes[places]
 
 
-def _least_ids(batch) -> dict[str, int]:
-    """Each distinct text of a batch with its smallest doc_id: equal texts of a batch speak once."""
-    least: dict[str, int] = {}
-    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-        if doc is not None and text and (text not in least or doc < least[text]):
-            least[text] = doc
+def _least_ids(batch) -> dict[str, tuple[int, int]]:
+    """Each distinct text of a batch with its smallest doc_id and its hash: equal texts of a batch speak once."""
+    least: dict[str, tuple[int, int]] = {}
+    for doc, ta, text in zip(batch.column("doc_id").to_pylist(), batch.column("ta").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        if doc is not None and text and (text not in least or doc < least[text][0]):
+            least[text] = doc, ta
     return least
 
 
@@ -44,12 +45,17 @@ def _anchor_rows(window: int):
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
                 keys, docs = [], []
-                for text, doc in _least_ids(batch.slice(part, 500)).items():
-                    own = np.unique(anchors(word_hashes(words_of(text)), window)[1])
+                for text, (doc, _) in _least_ids(batch.slice(part, 500)).items():
+                    own = anchors(word_hashes(words_of(text)), window)[1]
                     keys.append(own)
                     docs.append(np.full(len(own), doc, np.int64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs))], names=["key", "doc_id"])
+                if not sum(map(len, keys)):
+                    continue
+                key, doc = np.concatenate(keys), np.concatenate(docs)
+                order = np.argsort(key)
+                key, doc = key[order], doc[order]
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(np.minimum.reduceat(doc, first)), pa.array(np.maximum.reduceat(doc, first))], names=["key", "least", "most"])
 
     return run
 
@@ -76,13 +82,35 @@ def _either(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"].iloc[:1].to_numpy(), "bits": [whole.tobytes()]})
 
 
-def _window_rows(window: int, broadcast, bits: int):
+def chunked(starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First position, length and hash of each chunk of the windows at `starts` with hashes `keys`.
+
+    Chunks begin where windows are not consecutive and at windows whose hash says so, so equal
+    stretches of different documents have equal chunks but for those at their ends; none is longer than CHUNK.
+    """
+    at = np.arange(len(starts))
+    cut = np.concatenate([[True], (np.diff(starts) != 1) | (keys[1:] & U64(CUT_ONE_IN - 1) == 0)])
+    first = np.flatnonzero(cut)
+    cut |= (at - np.repeat(first, np.diff(first, append=len(at)))) % CHUNK == 0
+    first = np.flatnonzero(cut)
+    n = np.diff(first, append=len(at))
+    inside = (at - np.repeat(first, n)).astype(U64)
+    return first, n, mix(np.add.reduceat(mix(keys + inside * MIX_A), first) + n.astype(U64))
+
+
+def _chunk_rows(window: int, broadcast, bits: int):
+    def rows(parts):
+        ids, tas, hashes, places, sizes, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ends = np.concatenate([[0], np.cumsum(sizes) * 8]).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(keys.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids), pa.array(tas), pa.array(places.astype(np.int32)), pa.array(sizes.astype(np.int32)), packed], names=["chunk", "doc_id", "ta", "place", "n", "keys"])
+
     def run(batches):
         shared = np.frombuffer(broadcast.value, np.uint8)
+        parts, held = [], 0
         for batch in batches:
-            for part in range(0, batch.num_rows, 200):
-                keys, docs, texts, places = [], [], [], []
-                for text, doc in _least_ids(batch.slice(part, 200)).items():
+            for part in range(0, batch.num_rows, 500):
+                for text, (doc, ta) in _least_ids(batch.slice(part, 500)).items():
                     h = word_hashes(words_of(text))
                     if len(h) < window:
                         continue
@@ -96,31 +124,54 @@ def _window_rows(window: int, broadcast, bits: int):
                     np.add.at(mark, np.minimum(at + 1, len(mark) - 1), -1)
                     starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
                     whole = window_hashes(h, window)[starts]
-                    keys.append(whole)
-                    docs.append(np.full(len(starts), doc, np.int64))
-                    texts.append(np.full(len(starts), zlib.crc32(text.encode("utf-8", "surrogatepass")), np.int64))
-                    places.append(starts)
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(texts)), pa.array(np.concatenate(places).astype(np.int32))], names=["key", "doc_id", "text_crc", "place"])
+                    first, n, hashes = chunked(starts, whole)
+                    parts.append((np.full(len(n), doc, np.int64), np.full(len(n), ta, np.int64), hashes, starts[first], n, whole))
+                    held += len(starts)
+                    if held >= 500_000:
+                        yield rows(parts)
+                        parts, held = [], 0
+        if parts:
+            yield rows(parts)
 
     return run
 
 
+def _window_rows(batches):
+    """The windows of distinct chunks, with the smallest document of the chunk."""
+    for batch in batches:
+        for part in range(0, batch.num_rows, 5000):
+            few = batch.slice(part, 5000)
+            packed = few.column("keys").to_pylist()
+            n = np.array([len(k) // 8 for k in packed])
+            ends = np.cumsum(n)
+            inside = np.arange(ends[-1]) - np.repeat(ends - n, n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.frombuffer(b"".join(packed), np.int64)), pa.array(np.repeat(few.column("least").to_numpy(), n)), pa.array(np.repeat(few.column("chunk").to_numpy(), n)), pa.array(inside.astype(np.int32))],
+                names=["key", "doc_id", "chunk", "inside"],
+            )
+
+
 def _kept(window: int):
     def run(batches):
         for batch in batches:
             n, removed, shas, texts = [], [], [], []
-            for text, copy, starts in zip(batch.column("text").to_pylist(), batch.column("copy").to_pylist(), batch.column("starts").to_pylist(), strict=True):
+            marks = batch.column("marks")
+            ends, fields = marks.offsets.to_numpy(), marks.values
+            place, size, mask = (fields.field(f).to_numpy(zero_copy_only=False) for f in ("place", "n", "mask"))
+            for row, (text, copy) in enumerate(zip(batch.column("text").to_pylist(), batch.column("copy").to_pylist(), strict=True)):
                 words = words_of(text)
                 gone = np.zeros(len(words) + 1, np.int64)
+                lo, hi = ends[row], ends[row + 1]
                 if copy and len(words) >= window:
                     gone[0] = 1
-                elif starts:
-                    at = np.array(starts, np.int64)
+                elif hi > lo:
+                    bits = np.unpackbits(np.ascontiguousarray(mask[lo:hi], "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+                    which, inside = np.nonzero(bits & (np.arange(CHUNK) < size[lo:hi, None]))
+                    at = place[lo:hi][which].astype(np.int64) + inside
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + window, -1)
                 keep = np.cumsum(gone[:-1]) <= 0
-                left = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])
+                left = b" ".join(words if keep.all() else [w for w, k in zip(words, keep.tolist(), strict=True) if k])
                 n.append(len(words))
                 removed.append(len(words) - int(keep.sum()))
                 shas.append(hashlib.sha256(left).hexdigest())
@@ -140,19 +191,19 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
 
     Two equal windows hold, at one shift below the period, a common anchor: the words from a cover
     place on. Anchors that several documents have fill a bit filter of bounded size; only windows
-    with such an anchor are hashed whole and joined on the hash with its smallest document. A text
-    equal to that of a smaller doc_id is such a match from end to end and needs no window of its own.
+    with such an anchor are hashed whole. Runs of them are cut into chunks where their hashes say so:
+    a chunk that a smaller document also has is a hit from end to end, and only the windows of
+    distinct chunks, in their smallest document, are compared one by one. A text equal to that of a
+    smaller doc_id is a hit as a whole.
     """
     if window < PERIOD:
         raise ValueError(f"window is at least {PERIOD}")
-    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    digest = [F.xxhash64("text").alias("ta"), F.xxhash64(F.lit(5), "text").alias("tb")]
-    texts = staged(base.select("doc_id", *digest, F.col("text").isNotNull().alias("there")), "texts")
-    first = texts.where("there and doc_id is not null").groupBy("ta", "tb").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most")
-    copies = texts.join(first, ["ta", "tb"]).where("doc_id > least").select("doc_id", "ta", "tb").distinct()
-    copies = staged(copies.withColumn("copy", F.lit(True)), "text-copies")
-
-    keys = arrow_pass(base, _anchor_rows(window), "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("key")
+    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).select("doc_id", "text", F.xxhash64("text").alias("ta"))
+    texts = staged(base.where("text is not null and doc_id is not null").select("doc_id", "ta", F.xxhash64(F.lit(5), "text").alias("tb")), "texts")
+    first = texts.groupBy("ta", "tb").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most")
+    copies = texts.join(first, ["ta", "tb"]).where("doc_id > least").select("doc_id", "ta")
+
+    keys = arrow_pass(base, _anchor_rows(window), "key long, least long, most long").groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("key")
     keys = staged(keys, "shared-anchors")
     bits = LEAST_BITS
     while bits < min(MOST_BITS, keys.count() * FILTER_BITS):
@@ -165,10 +216,19 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
         merged[at : at + len(row["bits"])] = row["bits"]
     shared = docs.sparkSession.sparkContext.broadcast(bytes(merged))
 
-    windows = staged(arrow_pass(base, _window_rows(window, shared, bits), "key long, doc_id long, text_crc long, place int"), "windows")
+    chunks = staged(arrow_pass(base, _chunk_rows(window, shared, bits), "chunk long, doc_id long, ta long, place int, n int, keys binary"), "chunks")
+    distinct = chunks.groupBy("chunk").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("keys").alias("keys"))
+    distinct = staged(distinct, "distinct-chunks")
+    windows = staged(arrow_pass(distinct.select("chunk", "least", "keys"), _window_rows, "key long, doc_id long, chunk long, inside int"), "windows")
     source = windows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("key", "least")
     source = staged(source, "window-sources")
-    hits = windows.join(source, "key").where("doc_id > least").groupBy("doc_id", "text_crc").agg(F.collect_set("place").alias("starts"))
-    hits = staged(hits, "window-hits")
-    whole = base.select("doc_id", "text", F.crc32("text").alias("text_crc"), *digest).join(hits, ["doc_id", "text_crc"], "left").join(copies, ["doc_id", "ta", "tb"], "left").select("doc_id", "text", "copy", "starts")
+    own = windows.join(source, "key").where("doc_id > least").groupBy("chunk").agg(F.expr("bit_or(shiftleft(1L, inside))").alias("own"))
+    known = distinct.select("chunk", "least", "most").join(own, "chunk", "left").where("least <> most or own is not null")
+    known = staged(known, "known-chunks").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # a document that is not the smallest of a chunk loses all of it, the smallest one what a smaller one has in other chunks
+    hits = chunks.select("chunk", "doc_id", "ta", "place", "n", F.expr(f"int(pmod(hash(doc_id), {SALTS}))").alias("salt")).join(known, ["chunk", "salt"])
+    hits = hits.withColumn("mask", F.when(F.col("doc_id") > F.col("least"), F.lit(-1).cast("long")).otherwise(F.col("own"))).where("mask is not null")
+    said = hits.select("doc_id", "ta", F.struct("place", "n", "mask").alias("mark"), F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "ta", F.lit(None).cast("struct<place: int, n: int, mask: bigint>").alias("mark"), F.lit(True).alias("copy")))
+    said = staged(said.groupBy("doc_id", "ta").agg(F.max("copy").alias("copy"), F.collect_list("mark").alias("marks")), "window-hits")
+    whole = base.join(said, ["doc_id", "ta"], "left").select("doc_id", "text", "copy", "marks")
     return arrow_pass(whole, _kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

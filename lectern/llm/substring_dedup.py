@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,17 +19,59 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 FILTER_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 #: Windows of a chunk at most (they are the bits of a long), one window in so many that starts a chunk, and parts that the rows of a chunk are dealt to.
 CHUNK, CUT_ONE_IN, SALTS = 64, 16, 8
+#: Words of texts that are hashed at a time.
+BLOCK_WORDS = 200_000
+_IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the cover, and the hash of the window - PERIOD + 1 words from there on."""
-    hashes = window_hashes(h, window - PERIOD + 1)
-    places = np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[np.arange(len(hashes)) % PERIOD])
-    return places, hashes[places]
+class Block:
+    """The texts of some rows end to end as word hashes, so that array passes run over many short texts at once."""
+
+    def __init__(self, texts: list[list[bytes]], ids: list[tuple[int, int]]) -> None:
+        self.h = word_hashes(list(chain.from_iterable(texts)))
+        self.length = np.array([len(t) for t in texts])
+        self.begin = np.cumsum(self.length) - self.length
+        self.doc, self.ta = np.array(ids, np.int64).T
+        self.text = np.repeat(np.arange(len(texts)), self.length)
+        self.place = np.arange(len(self.h)) - self.begin[self.text]
+
+    def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions at places in the cover, and the hash of the window - PERIOD + 1 words of the text from there on."""
+        width = window - PERIOD + 1
+        hashes = window_hashes(self.h, width)
+        place = self.place[: len(hashes)]
+        at = np.flatnonzero(_IN_COVER[place % PERIOD] & (place + width <= self.length[self.text[: len(hashes)]]))
+        return at, hashes[at]
+
+    def candidates(self, at: np.ndarray, window: int) -> np.ndarray:
+        """Positions of the windows that hold an anchor of `at` at one of their first PERIOD words."""
+        begin, size = self.begin[self.text[at]], len(self.h) + 1
+        on = np.bincount(np.maximum(at - PERIOD + 1, begin), minlength=size)
+        off = np.bincount(np.minimum(at, begin + self.length[self.text[at]] - window) + 1, minlength=size)
+        return np.flatnonzero(np.cumsum(on - off) > 0)
+
+
+def blocks(batches, window: int):
+    """Blocks of the texts of at least `window` words, of BLOCK_WORDS words or one text more."""
+    for batch in batches:
+        texts, ids, held = [], [], 0
+        for part in range(0, batch.num_rows, 1000):
+            for text, own in _least_ids(batch.slice(part, 1000)).items():
+                words = words_of(text)
+                if len(words) < window:
+                    continue
+                texts.append(words)
+                ids.append(own)
+                held += len(words)
+                if held >= BLOCK_WORDS:
+                    yield Block(texts, ids)
+                    texts, ids, held = [], [], 0
+        if texts:
+            yield Block(texts, ids)
 
 
 def _least_ids(batch) -> dict[str, tuple[int, int]]:
@@ -42,20 +85,13 @@ def _least_ids(batch) -> dict[str, tuple[int, int]]:
 
 def _anchor_rows(window: int):
     def run(batches):
-        for batch in batches:
-            for part in range(0, batch.num_rows, 500):
-                keys, docs = [], []
-                for text, (doc, _) in _least_ids(batch.slice(part, 500)).items():
-                    own = anchors(word_hashes(words_of(text)), window)[1]
-                    keys.append(own)
-                    docs.append(np.full(len(own), doc, np.int64))
-                if not sum(map(len, keys)):
-                    continue
-                key, doc = np.concatenate(keys), np.concatenate(docs)
-                order = np.argsort(key)
-                key, doc = key[order], doc[order]
-                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(np.minimum.reduceat(doc, first)), pa.array(np.maximum.reduceat(doc, first))], names=["key", "least", "most"])
+        for block in blocks(batches, window):
+            at, key = block.anchors(window)
+            doc = block.doc[block.text[at]]
+            order = np.argsort(key)
+            key, doc = key[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(np.minimum.reduceat(doc, first)), pa.array(np.maximum.reduceat(doc, first))], names=["key", "least", "most"])
 
     return run
 
@@ -99,39 +135,23 @@ def chunked(starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _chunk_rows(window: int, broadcast, bits: int):
-    def rows(parts):
-        ids, tas, hashes, places, sizes, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
-        ends = np.concatenate([[0], np.cumsum(sizes) * 8]).astype(np.int32)
-        packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(keys.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids), pa.array(tas), pa.array(places.astype(np.int32)), pa.array(sizes.astype(np.int32)), packed], names=["chunk", "doc_id", "ta", "place", "n", "keys"])
-
     def run(batches):
         shared = np.frombuffer(broadcast.value, np.uint8)
-        parts, held = [], 0
-        for batch in batches:
-            for part in range(0, batch.num_rows, 500):
-                for text, (doc, ta) in _least_ids(batch.slice(part, 500)).items():
-                    h = word_hashes(words_of(text))
-                    if len(h) < window:
-                        continue
-                    at, key = anchors(h, window)
-                    slot = (mix(key) & U64(bits - 1)).astype(np.int64)
-                    at = at[(shared[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)]
-                    if not len(at):
-                        continue
-                    mark = np.zeros(len(h) - window + 2, np.int64)  # windows that hold a shared anchor at one of their first PERIOD words
-                    np.add.at(mark, np.maximum(at - PERIOD + 1, 0), 1)
-                    np.add.at(mark, np.minimum(at + 1, len(mark) - 1), -1)
-                    starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-                    whole = window_hashes(h, window)[starts]
-                    first, n, hashes = chunked(starts, whole)
-                    parts.append((np.full(len(n), doc, np.int64), np.full(len(n), ta, np.int64), hashes, starts[first], n, whole))
-                    held += len(starts)
-                    if held >= 500_000:
-                        yield rows(parts)
-                        parts, held = [], 0
-        if parts:
-            yield rows(parts)
+        for block in blocks(batches, window):
+            at, key = block.anchors(window)
+            slot = (mix(key) & U64(bits - 1)).astype(np.int64)
+            at = at[(shared[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)]
+            if not len(at):
+                continue
+            starts = block.candidates(at, window)
+            keys = window_hashes(block.h, window)[starts]
+            first, n, hashes = chunked(starts, keys)
+            text = block.text[starts[first]]
+            packed = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(n) * 8])), pa.py_buffer(keys)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes.view(np.int64)), pa.array(block.doc[text]), pa.array(block.ta[text]), pa.array(block.place[starts[first]].astype(np.int32)), pa.array(n.astype(np.int32)), packed],
+                names=["chunk", "doc_id", "ta", "place", "n", "keys"],
+            )
 
     return run
 

@@ -55,6 +55,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a staged table that only staged tables were made from, so that its disk is free before the job ends."""
+    jvm = df.sparkSession._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def arrow_pass(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow with the package at hand on the executors."""
     ship(df.sparkSession)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import MIX_A, U64, arrow_pass, mix, staged, window_hashes, word_hashes
+from lectern.llm.common import MIX_A, U64, arrow_pass, discard, mix, staged, window_hashes, word_hashes
 
 #: A difference cover. Any two places have a common shift below the period that brings both, modulo it, into the cover.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -237,16 +237,19 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bytes(merged))
 
     chunks = staged(arrow_pass(base, _chunk_rows(window, shared, bits), "chunk long, doc_id long, ta long, place int, n int, keys binary"), "chunks")
-    distinct = chunks.groupBy("chunk").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("keys").alias("keys"))
-    distinct = staged(distinct, "distinct-chunks")
-    windows = staged(arrow_pass(distinct.select("chunk", "least", "keys"), _window_rows, "key long, doc_id long, chunk long, inside int"), "windows")
+    places = staged(chunks.drop("keys"), "chunk-places")
+    distinct = chunks.groupBy("chunk").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
+    windows = staged(arrow_pass(distinct, _window_rows, "key long, doc_id long, chunk long, inside int"), "windows")
+    discard(chunks)
     source = windows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("key", "least")
     source = staged(source, "window-sources")
     own = windows.join(source, "key").where("doc_id > least").groupBy("chunk").agg(F.expr("bit_or(shiftleft(1L, inside))").alias("own"))
-    known = distinct.select("chunk", "least", "most").join(own, "chunk", "left").where("least <> most or own is not null")
+    own = staged(own, "own-windows")
+    discard(windows)
+    known = places.groupBy("chunk").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).join(own, "chunk", "left").where("least <> most or own is not null")
     known = staged(known, "known-chunks").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # a document that is not the smallest of a chunk loses all of it, the smallest one what a smaller one has in other chunks
-    hits = chunks.select("chunk", "doc_id", "ta", "place", "n", F.expr(f"int(pmod(hash(doc_id), {SALTS}))").alias("salt")).join(known, ["chunk", "salt"])
+    hits = places.select("chunk", "doc_id", "ta", "place", "n", F.expr(f"int(pmod(hash(doc_id), {SALTS}))").alias("salt")).join(known, ["chunk", "salt"])
     hits = hits.withColumn("mask", F.when(F.col("doc_id") > F.col("least"), F.lit(-1).cast("long")).otherwise(F.col("own"))).where("mask is not null")
     said = hits.select("doc_id", "ta", F.struct("place", "n", "mask").alias("mark"), F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "ta", F.lit(None).cast("struct<place: int, n: int, mask: bigint>").alias("mark"), F.lit(True).alias("copy")))
     said = staged(said.groupBy("doc_id", "ta").agg(F.max("copy").alias("copy"), F.collect_list("mark").alias("marks")), "window-hits")

@@ -1,4 +1,4 @@
-"""Removal of lines that repeat an earlier line up to one edit, in DataFrame functions only."""
+"""Removal of lines that repeat an earlier line up to a few edits, in DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -9,6 +9,10 @@ from lectern.llm.common import bounded, staged
 
 #: Into how many parts a line is cut before deletions are tried.
 PARTS = 3
+#: Edits that two lines may be apart: one for each so many characters of the shorter line, one at least and this many at most.
+CHARS_PER_EDIT, MAX_EDITS = 20, 5
+#: Widest segment of a line that is looked up, and shared segments (one long each) that are broadcast at most.
+WIDEST, BROADCAST_KEYS = 64, 2_000_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -53,11 +57,8 @@ def _part_keys(lines: DataFrame, hashed: bool = False) -> DataFrame:
     return cut.select(*place, F.explode(F.array(*keys)).alias("p")).select(*place, "p.*")
 
 
-def near_lines(lines: DataFrame, max_edits: int = 1, min_chars: int = 16) -> DataFrame:
-    """hit (doc_id, line_no): the earliest places of distinct lines that have another, earlier line within max_edits (0 or 1).
-
-    Lines shorter than min_chars are left out. A line counts as a repeat of any earlier line,
-    whether or not that one is itself removed.
+def _one_edit(long: DataFrame) -> DataFrame:
+    """near_lines for one edit at most, among all lines of long.
 
     Deletion neighbourhoods: two lines are one edit apart exactly if one is the other less a
     character, or both lose a character at the same place and agree. All such variants are emitted
@@ -65,12 +66,7 @@ def near_lines(lines: DataFrame, max_edits: int = 1, min_chars: int = 16) -> Dat
     verified. Only the one part of a line in which another line with equal surroundings may differ
     is varied; a pair with at most one edit differs in one part only, so no pair is lost.
     """
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits is 0 or 1")
     place = F.struct("doc_id", "line_no")
-    long = lines.where(F.length("line") >= min_chars).select("doc_id", "line_no", "line")
-    if not max_edits:
-        return long.where("false").select(place.alias("hit"))
     # half of the key is enough to leave lines out; what meets by it alone is told apart below
     shared = _part_keys(long, hashed=True).groupBy("a").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select(F.col("a").alias("ka"))
     shared = staged(shared, "line-parts")
@@ -96,12 +92,104 @@ def near_lines(lines: DataFrame, max_edits: int = 1, min_chars: int = 16) -> Dat
     hits = variants.join(won, key).withColumn("other", other).where("place > other").select("a", "b", "place", "other", (F.col("side") == "longer").cast("int").alias("less"), (F.col("side") == "whole").cast("int").alias("other_less")).distinct()
     mine = near.select("a", "b", "place", "less", F.col("part").alias("mine"))
     theirs = near.select("a", "b", F.col("place").alias("other"), F.col("less").alias("other_less"), F.col("part").alias("theirs"))
-    hits = hits.join(mine, ["a", "b", "place", "less"]).join(theirs, ["a", "b", "other", "other_less"]).where(F.levenshtein("mine", "theirs", max_edits).between(0, max_edits))
+    hits = hits.join(mine, ["a", "b", "place", "less"]).join(theirs, ["a", "b", "other", "other_less"]).where(F.levenshtein("mine", "theirs", 1).between(0, 1))
     return hits.select(F.col("place").alias("hit")).distinct()
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = 16) -> DataFrame:
-    """docs with every line removed that repeats an earlier one up to max_edits; order is by (doc_id, line_no).
+def bound_of(n: Column, max_edits: int) -> Column:
+    """Edits that the shorter line of a pair, of n characters, allows."""
+    return F.least(F.lit(max_edits), F.greatest(F.lit(1), F.floor(n / CHARS_PER_EDIT).cast("int")))
+
+
+def _classes(max_edits: int) -> list[tuple[int, int | None, int, int]]:
+    """(least length, first length beyond or None, edits, width of a segment) of the shorter line of a pair, from two edits on."""
+    out = [(CHARS_PER_EDIT * k, CHARS_PER_EDIT * (k + 1), k, CHARS_PER_EDIT * k // (k + 1)) for k in range(2, max_edits)]
+    lo, top = CHARS_PER_EDIT * max_edits, max(WIDEST * (max_edits + 1), CHARS_PER_EDIT * max_edits)
+    while lo < top:
+        out.append((lo, min(top, lo * 3 // 2), max_edits, lo // (max_edits + 1)))
+        lo = out[-1][1]
+    return [*out, (top, None, max_edits, top // (max_edits + 1))]
+
+
+def _segment_keys(long: DataFrame, max_edits: int) -> DataFrame:
+    """doc_id, line_no, line, key, whole: the hashed segments under which lines with several edits meet.
+
+    Of a line that allows k edits, k // 2 + 1 segments from its start and the others of k + 1 from its end are
+    disjoint. A pair within k edits has either at most k // 2 of them at the start or fewer than the others are many
+    at the end. On that side some segment of the one line has no edit and as many edits before it as
+    segments (the first point where edits fall behind segments), so the other line holds it moved
+    by at most its number. `whole` marks segments in place; the others are taken at the places they may have moved to.
+    """
+    classes, n = _classes(max_edits), F.col("n")
+    held = [F.when((n >= lo) & (F.lit(True) if hi is None else n < hi + k), F.struct(F.lit(c).alias("c"), F.lit(k // 2).alias("front"), F.lit(k - 1 - k // 2).alias("back"), F.lit(w).alias("w"))) for c, (lo, hi, k, w) in enumerate(classes)]
+    rows = long.withColumn("n", F.length("line")).where(n >= classes[0][0]).withColumn("of", F.explode(F.filter(F.array(*held), lambda x: x.isNotNull())))
+    front, back, w = F.col("front"), F.col("back"), F.col("w")
+    rows = rows.select("doc_id", "line_no", "line", "of.*")
+    size = (back + 1) * w + back
+    rows = rows.select("*", F.substring("line", F.lit(1), (front + 1) * w + front).alias("head"), F.substring("line", -size, size).alias("tail"))
+    keys = []
+    for side, most, limit in (("head", max_edits // 2, front), ("tail", (max_edits - 1) // 2, back)):
+        for j in range(most + 1):
+            for moved in range(-j, j + 1):
+                at = F.lit(1) + w * j + moved if side == "head" else -(w * (j + 1) + moved)
+                key = F.xxhash64(F.lit(side), F.lit(j), F.col("c"), F.substring(side, at, w))
+                keys.append(F.when(limit >= j, F.struct(key.alias("key"), F.lit(moved == 0).alias("whole"))))
+    rows = rows.select("doc_id", "line_no", "line", F.explode(F.array(*keys)).alias("k")).where("k is not null")
+    return rows.select("doc_id", "line_no", "line", "k.*")
+
+
+def _few_edits(long: DataFrame, max_edits: int) -> DataFrame:
+    """near_lines among lines that allow two edits or more.
+
+    Distinct lines that share a segment are first compared with the earliest line of each of their
+    segments; only those without a hit are compared with all earlier lines of their segments.
+    """
+    lean = _segment_keys(long, max_edits)
+    shared = lean.select("key", "whole", F.xxhash64("line").alias("h")).groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.max("whole").alias("whole"))
+    shared = staged(shared.where("whole and least <> most").select("key"), "line-segments")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
+    place = F.struct("doc_id", "line_no")
+    met = lean.join(shared, "key", "left_semi")
+    near = staged(met.groupBy("line").agg(F.min(place).alias("place"), F.collect_set(F.struct("key", "whole")).alias("keys")), "line-near")
+    posts = near.select("place", "line", F.explode("keys").alias("k")).select("place", "line", "k.*")
+    own = F.struct("place", "line")
+    firsts = posts.groupBy("key").agg(F.min(own).alias("any"), F.min(F.when(F.col("whole"), own)).alias("entire"))
+
+    def close(mine: str, theirs: str) -> Column:
+        least = F.least(F.length(mine), F.length(theirs))
+        allowed = bound_of(least, max_edits)
+        return (F.abs(F.length(mine) - F.length(theirs)) <= allowed) & F.levenshtein(mine, theirs, max_edits).between(F.lit(0), allowed)
+
+    first = posts.join(firsts, "key").withColumn("other", F.when(F.col("whole"), F.col("any")).otherwise(F.col("entire")))
+    first = first.where("place > other.place").select("place", "line", F.col("other.line").alias("theirs")).distinct()
+    found = staged(first.where(close("line", "theirs")).select("place", "line").distinct(), "line-first")
+    open_ = posts.join(found.select("line"), "line", "left_anti")
+    others = posts.select("key", F.col("place").alias("other"), F.col("line").alias("theirs"), F.col("whole").alias("entire"))
+    more = open_.join(others, "key").where("place > other and (whole or entire)").where(close("line", "theirs"))
+    return found.select(F.col("place").alias("hit")).unionByName(more.select(F.col("place").alias("hit"))).distinct()
+
+
+def near_lines(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = 16) -> DataFrame:
+    """hit (doc_id, line_no): the earliest places of distinct lines that have another, earlier line within the edits allowed.
+
+    A pair may be one edit apart for each CHARS_PER_EDIT characters of its shorter line, one at
+    least and max_edits at most; with max_edits 0 there are no hits. Lines shorter than min_chars
+    are left out. A line counts as a repeat of any earlier line, whether or not that one is itself removed.
+    """
+    if max_edits < 0:
+        raise ValueError("max_edits is 0 or more")
+    n = F.length("line")
+    long = lines.where(n >= min_chars).select("doc_id", "line_no", "line")
+    if not max_edits:
+        return long.where("false").select(F.struct("doc_id", "line_no").alias("hit"))
+    if max_edits == 1:
+        return _one_edit(long)
+    # a line that allows one edit only meets lines that are at most a character longer
+    return _one_edit(long.where(n <= 2 * CHARS_PER_EDIT)).unionByName(_few_edits(long, max_edits)).distinct()
+
+
+def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = 16) -> DataFrame:
+    """docs with every line removed that repeats an earlier one, exactly or as near_lines tells; order is by (doc_id, line_no).
 
     docs needs doc_id and text; all its columns are returned as they are but text (and n_chars, if
     there), plus n_lines and n_removed. Empty lines stay. Null text stays null. Rows that repeat

@@ -92,6 +92,28 @@ def test_line_dedup_against_brute_force(spark):
         assert got[i] == (None if t is None else "\n".join(kept))
 
 
+def test_line_dedup_of_several_edits_against_brute_force(spark):
+    rng = random.Random(8)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    base = ["".join(rng.choice("abc") for _ in range(n)) for n in (38, 40, 44, 61, 80, 99, 101, 119, 152, 226, 400)]
+    texts = ["".join(edited(rng.choice(base), rng.randint(0, 7), "abc", rng)) for _ in range(180)]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    want, edits = {}, set()
+    for i, t in enumerate(texts):
+        near = [d for s in texts[:i] if abs(len(s) - len(t)) <= 5 and (d := distance(s, t)) <= min(5, max(1, min(len(s), len(t)) // 20))]
+        want[i] = int(bool(near))
+        edits |= {min(near)} if near else set()
+    assert got == want and edits >= {1, 2, 3, 4, 5}
+
+
 @pytest.mark.parametrize(("n", "percent", "block"), [(3, 90, 1024), (5, 80, 3)])
 def test_ngram_components_against_brute_force(spark, monkeypatch, n, percent, block):
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)

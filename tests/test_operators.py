@@ -35,3 +35,12 @@ def test_student_p():
 def test_grids():
     assert html_grid("<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr></table>") == [["a", "b"], ["a", "c"]]
     assert markdown_grid("|a|b|\n|--|:-|\n|1| 2 |") == [["a", "b"], ["1", "2"]]
+
+
+def test_error_rate_of_every_item(spark, tmp_path):
+    from lectern.plans import registry
+
+    texts = {i: "e" * (i % 7) + "abc" for i in range(490, 520)} | {600: None, 601: ""}
+    spark.createDataFrame(list(texts.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["query_id"]: r["cer"] for r in registry.queries()["cer"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(texts) and all(got[i] == round(t.count("e") / len(t), 6) for i, t in texts.items() if t)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import U64, arrow_pass, crc_mod, hashed_sample, mix
 
-#: Documents per language that filters are learned from at most, those with the least hash; and bytes of each.
-SAMPLE_DOCS, SAMPLE_BYTES = 1500, 20_000
-#: Slots of the bit-sliced filter (a 64-bit mask each), hashes per n-gram, n-grams of a language at most.
+#: Documents per language that filters are learned from at most, those with the least hash; n-grams that are counted at once.
+SAMPLE_DOCS, COUNTED = 1500, 1_000_000
+#: Slots of the bit-sliced filter (a 64-bit mask for each 64 languages), hashes per n-gram, n-grams of a language at most.
 SLOTS, HASHES, NGRAMS = 1 << 19, 3, 20_000
 #: Byte lengths of the n-grams.
 WIDTHS = (3, 4, 5)
@@ -38,15 +38,15 @@ def has_letter(text: str | None) -> bool:
 
 
 class Filters:
-    """One slice of bits per slot: looking a slot up answers for all languages at once. At most 64 languages."""
+    """One slice of bits per slot: looking a slot up answers for 64 languages at once."""
 
     def __init__(self, profiles: dict[str, np.ndarray]) -> None:
         self.languages = sorted(profiles)
-        self.masks = np.zeros(SLOTS, U64)
+        self.masks = np.zeros((-(-len(self.languages) // 64), SLOTS), U64)
         for k, language in enumerate(self.languages):
             for s in slots(profiles[language]):
-                np.bitwise_or.at(self.masks, s, U64(1 << k))
-        fill = np.array([np.count_nonzero(self.masks & U64(1 << k)) / SLOTS for k in range(len(self.languages))])
+                np.bitwise_or.at(self.masks[k // 64], s, U64(1 << k % 64))
+        fill = np.array([np.count_nonzero(self.masks[k // 64] & U64(1 << k % 64)) / SLOTS for k in range(len(self.languages))])
         self.false = fill**HASHES
 
     def shares(self, text: str) -> np.ndarray:
@@ -56,9 +56,10 @@ class Filters:
             codes = gram_codes(text, width)
             total += len(codes)
             a, b, c = slots(codes)
-            hit = self.masks[a] & self.masks[b] & self.masks[c]
-            hit = hit[hit != 0]
-            count += [np.count_nonzero(hit & U64(1 << k)) for k in range(len(self.languages))]
+            for word, masks in enumerate(self.masks):
+                hit = masks[a] & masks[b] & masks[c]
+                hit, first = hit[hit != 0], 64 * word
+                count[first : first + 64] += [np.count_nonzero(hit & U64(1 << k)) for k in range(min(64, len(self.languages) - first))]
         return np.clip((count / max(1, total) - self.false) / (1 - self.false), 0, 1)
 
 
@@ -68,17 +69,16 @@ def profiles(counts: dict[str, dict[str, int]] | dict[str, tuple[np.ndarray, np.
     counts: per language the codes and how often each occurs, with equal weight for each language.
     """
     codes = np.unique(np.concatenate([c for c, _ in counts.values()])) if counts else np.empty(0, U64)
-    rate = {}
-    for language, (c, n) in counts.items():
-        r = np.zeros(len(codes))
-        r[np.searchsorted(codes, c)] = n / max(1, n.sum())
-        rate[language] = r
-    top = np.max(list(rate.values()), axis=0) if rate else np.empty(0)
+    top = np.zeros(len(codes))
+    for c, n in counts.values():
+        at = np.searchsorted(codes, c)
+        top[at] = np.maximum(top[at], n / max(1, n.sum()))
     out = {}
-    for language, r in rate.items():
-        ok = np.flatnonzero((r > 0) & (r * 3 >= top))
-        best = ok[np.lexsort((codes[ok], -r[ok]))][:NGRAMS]
-        out[language] = codes[best]
+    for language, (c, n) in counts.items():
+        r = n / max(1, n.sum())
+        ok = np.flatnonzero((r > 0) & (r * 3 >= top[np.searchsorted(codes, c)]))
+        best = ok[np.lexsort((c[ok], -r[ok]))][:NGRAMS]
+        out[language] = c[best]
     return out
 
 
@@ -92,17 +92,17 @@ def _merged(codes: list[np.ndarray], total: tuple[np.ndarray, np.ndarray]) -> tu
 
 
 def learn(docs: DataFrame) -> Filters:
-    """Filters from the text and lang of docs: at most SAMPLE_DOCS documents a language, those of the least text hash."""
+    """Filters from the text and lang of docs: at most SAMPLE_DOCS documents a language, those of the least text hash, whole."""
     labelled = docs.where("lang is not null and text is not null and text <> ''").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    languages = sorted(r["lang"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect())
+    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
     for language in languages:
         part = hashed_sample(labelled.where(F.col("lang") == language), SAMPLE_DOCS, "doc_id", "text")
         flat, total = [], (np.empty(0, U64), np.empty(0, np.int64))
-        for row in part.select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).toLocalIterator():
+        for row in part.select("text").toLocalIterator():
             for width in WIDTHS:
                 flat.append(gram_codes(row["text"], width))
-            if len(flat) >= 300:
+            if sum(map(len, flat)) >= COUNTED:
                 total, flat = _merged(flat, total), []
         total = _merged(flat, total)
         if len(total[0]):
@@ -136,7 +136,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     `und` and score 0 where the text is null or has no letter; the first language in order wins a
     tie. Repeated rows, null doc_ids and extra columns are no matter; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS masks of 8 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS masks of 8 bytes for each 64 languages
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     return arrow_pass(base, _predict(shared), "doc_id long, lang_pred string, score double")
 

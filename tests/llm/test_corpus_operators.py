@@ -212,6 +212,18 @@ def test_held_out_accuracy(spark):
     assert sum(int(r["keep"]) == good[r["doc_id"]] for r in judged) >= 0.97 * len(judged)
 
 
+def test_languages_beyond_64_and_whole_texts(spark):
+    rng = random.Random(4)
+    vocabularies = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)] for k in range(67)}
+    rows = [(10 * k + x, " ".join(rng.choice(words) for _ in range(30)), lang) for k, (lang, words) in enumerate(vocabularies.items()) for x in range(2)]
+    # what marks this language stands beyond the first 20,000 characters
+    rows.append((5000, "12345 " * 4000 + "zyxwvu " * 50, "late"))
+    filters = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).cache())
+    assert filters.languages == sorted([*vocabularies, "late"])
+    for _, text, lang in [*rows[:-1], (0, "zyxwvu zyxwvu", "late")]:
+        assert filters.languages[int(np.argmax(filters.shares(text)))] == lang
+
+
 def test_block_max_search_is_exact():
     rng = random.Random(4)
     vectors = []

@@ -13,7 +13,7 @@ from lectern.llm.common import U64, arrow_pass, bounded, mix, staged, word_hashe
 
 #: Words of a compared window, and how many of them may differ.
 WINDOW, SUBSTITUTIONS = 13, 2
-#: Benchmark items with fewer words are too short to tell a leak and are left out.
+#: Shorter items down to so many words may differ in one word; those below are matched exactly.
 LEAST_WORDS = 8
 #: Windows of the benchmark that are joined in one pass over the documents; a larger benchmark takes more passes.
 BLOCK_WINDOWS = 2_000_000
@@ -32,7 +32,7 @@ def masks(width: int, wrong: int) -> list[np.ndarray]:
 
 
 def allowed(width: int) -> int:
-    return SUBSTITUTIONS if width >= WINDOW else 0
+    return SUBSTITUTIONS if width >= WINDOW else int(width >= LEAST_WORDS)
 
 
 def seed_hashes(h: np.ndarray, mask: np.ndarray, width: int, name: int) -> np.ndarray:
@@ -101,9 +101,9 @@ def _matches(broadcast):
 def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item that share a window: doc_id, item_id, doc_word, item_word, matched, width.
 
-    A window is 13 words (a shorter item's whole length, from 8 words on); in 13, up to two words may
-    be substituted. The columns tell the best window: its first word in either, how many words
-    match, its width. Null texts, null ids of items, and items under 8 words match nothing; repeated
+    A window is 13 words, or a shorter item's whole length; in 13, up to two words may be
+    substituted, in 8 to 12 one, in fewer none. The columns tell the best window: its first word in either, how many words
+    match, its width. Null texts, null ids of items, and items without words match nothing; repeated
     rows of documents are told each; extra columns are ignored; empty tables give an empty result.
 
     Six fixed masks leave out two of four parts of the 13 places, so every pair of substitutions is
@@ -121,7 +121,7 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     for row in items.orderBy("item_id", "text").toLocalIterator():
         h = tokens(row["text"])
-        if len(h) >= LEAST_WORDS:
+        if len(h):
             block.append((row["item_id"], h.tobytes()))
             size += len(h)
             if size >= BLOCK_WINDOWS:

@@ -161,6 +161,26 @@ def test_decontamination_tolerates_substitutions(spark):
         assert any(not set(wrong) & set(m.tolist()) for m in decontaminate.masks(13, 2))
 
 
+def test_decontamination_against_brute_force(spark):
+    rng, vocabulary = random.Random(9), [f"w{k}" for k in range(60)]
+    items = {i: [rng.choice(vocabulary) for _ in range(n)] for i, n in enumerate([1, 2, 3, 5, 7, 8, 8, 10, 12, 12, 13, 13, 17, 25])}
+    texts = []
+    for k in range(120):
+        piece = list(items[k % len(items)])
+        for _ in range(min(4, k // len(items))):  # each item is held verbatim at first
+            piece[rng.randrange(len(piece))] = rng.choice(vocabulary)
+        texts.append([rng.choice(vocabulary) for _ in range(rng.randint(0, 9))] + piece + [rng.choice(vocabulary) for _ in range(rng.randint(0, 9))])
+    want = {}
+    for (d, t), (i, item) in itertools.product(enumerate(texts), items.items()):
+        width = min(13, len(item))
+        same = [sum(x == y for x, y in zip(t[p : p + width], item[q : q + width], strict=True)) for p in range(len(t) - width + 1) for q in range(len(item) - width + 1)]
+        if same and max(same) >= width - (2 if width == 13 else 1 if width >= 8 else 0):
+            want[d, i] = max(same)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["matched"] for r in decontaminate.benchmark_overlaps(docs(spark, [" ".join(t) for t in texts]), bench).collect()}
+    assert got == want and {i for _, i in want} == set(items)
+
+
 def test_substring_dedup_against_brute_force(spark):
     cover, period = substring_dedup.COVER, substring_dedup.PERIOD
     assert {(a - b) % period for a in cover for b in cover} == set(range(period))

@@ -131,8 +131,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b), component = smallest node reachable.
 
     Alternating large-star and small-star steps: each replaces edges by edges to smaller
-    neighbours, with aggregates before joins, so neither a hub nor a long chain meets in one
-    task. Rounds grow with the logarithm of the longest path.
+    neighbours. Aggregates come before joins, so a hub's edges are only joined with one row, which
+    adaptive execution splits. Rounds grow with the logarithm of the longest path.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     pairs = staged(pairs, f"{name}-edges")
@@ -147,7 +147,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         small = large.groupBy("hi").agg(F.min("lo").alias("m"))
         pairs = large.join(small, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(small.select("hi", F.col("m").alias("lo"))).distinct()
-        pairs = staged(pairs, f"{name}-round")
+        old, pairs = pairs, staged(pairs, f"{name}-round")
+        discard(old)
 
 
 class Union:

@@ -15,9 +15,16 @@ CHARS_PER_EDIT, MAX_EDITS = 20, 5
 WIDEST, BROADCAST_KEYS = 64, 2_000_000
 
 
+def _row() -> Column:
+    return F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """One row per line: doc_id, line_no (from 0), line. Null text has no lines, empty text one empty line."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """One row per line: doc_id (with the text's hash, so rows that repeat a doc_id are told apart), line_no (from 0), line.
+
+    Null text has no lines, empty text one empty line.
+    """
+    return docs.select(_row().alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
 def _digest(*cols: Column) -> list[Column]:
@@ -189,15 +196,15 @@ def near_lines(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = 16
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = 16) -> DataFrame:
-    """docs with every line removed that repeats an earlier one, exactly or as near_lines tells; order is by (doc_id, line_no).
+    """docs with every line removed that repeats an earlier one, exactly or as near_lines tells.
 
     docs needs doc_id and text; all its columns are returned as they are but text (and n_chars, if
-    there), plus n_lines and n_removed. Empty lines stay. Null text stays null. Rows that repeat
-    a doc_id are taken as one place: equal lines at one place are kept in each. Rows without
-    doc_id come before all others and are kept apart from each other only by line number.
-    A document all of whose lines go keeps its row, with empty text.
+    there), plus n_lines and n_removed, which replace columns of those names. Lines are in the order of doc_id, hash of the text and line
+    number; rows without doc_id come before all others. Rows that repeat a doc_id with another text are documents of their own;
+    rows that repeat both lose the same lines and are not compared with each other.
+    Empty lines stay. Null text stays null. A document all of whose lines go keeps its row, with empty text.
     """
-    text, given = docs.withColumn("text", F.col("text").cast("string")), docs.columns
+    text, given = docs.drop("n_lines", "n_removed").withColumn("text", F.col("text").cast("string")), docs.columns
     lines = lines_of(text)
     place, (a, b) = F.struct("doc_id", "line_no"), _digest(F.col("line"))
     keyed = lines.where("line <> ''").select("doc_id", "line_no", a.alias("da"), b.alias("db"))
@@ -209,9 +216,10 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = 16
     parts = F.split("text", "\n", -1)
     kept = F.filter(parts, lambda line, i: ~F.array_contains(F.col("__gone"), i))
     # what goes grows with the corpus, so this is a merge join at every size
-    out = text.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+    out = text.join(gone.hint("merge"), _row().eqNullSafe(F.col("__doc")), "left")
     new = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     out = out.withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "text": new})
+    given = [c for c in given if c.lower() not in ("n_lines", "n_removed")]
     if "n_chars" in given:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*given, "n_lines", "n_removed")

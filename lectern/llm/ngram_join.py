@@ -8,14 +8,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import U64, Union, arrow_pass, bounded, components, mix, staged, word_hashes
+from lectern.llm.common import U64, Union, arrow_pass, bounded, components, discard, mix, staged, word_hashes
 
-#: n-grams (eight bytes each) that one bundle of small groups or one block of a large group holds, about.
+#: n-grams (eight bytes each) that a cluster compared whole or one block of a large cluster holds, about.
 BLOCK_GRAMS = 1_000_000
-#: Documents that one block of a large group holds at most.
+#: Sets that such a cluster or block holds, about.
 BLOCK_DOCS = 1024
 #: Columns of the incidence matrix that are multiplied at once.
 BLOCK_COLUMNS = 4096
@@ -37,88 +37,95 @@ def gram_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-class SizeClasses:
-    """Size classes and their key spaces: sets that may link meet under the key of a part that they share whole.
+#: Slots of the frequency sketch that orders n-grams (a byte each) and how many of them one row of it holds.
+SLOTS, SLOT_BLOCK = 1 << 22, 1 << 16
 
-    Class i holds the sizes from low to high with low >= threshold * high, so a link joins sets of
-    one class or of neighbours. Key space i serves classes i-1 and i. There, linked sets differ in at
-    most `most` elements; elements are dealt over most + 1 + spare parts by hash, so at least
-    spare + 1 parts agree, and a set with up to spare empty parts agrees on one that isn't. A set
-    with more empty parts gets the space's extra key as well; two sets agree on more than spare
-    empty parts only if both have it. So no pair at or above the threshold is missed.
-    """
 
-    def __init__(self, percent: int) -> None:
-        self.percent, self.lows, self.cache = percent, [1], {}
-
-    def of(self, size: int) -> int:
-        while self.lows[-1] <= size:
-            self.lows.append(self.lows[-1] * 100 // self.percent + 1)
-        return int(np.searchsorted(self.lows, size, "right")) - 1
-
-    def space(self, i: int) -> tuple[int, int]:
-        if i not in self.cache:
-            while len(self.lows) < i + 2:
-                self.lows.append(self.lows[-1] * 100 // self.percent + 1)
-            high, low = self.lows[i + 1] - 1, self.lows[max(0, i - 1)]
-            most = 2 * high * (100 - self.percent) // (100 + self.percent)
-            spare = 0
-            for _ in range(20 if most else 0):  # small sets would ask for ever more parts: any number is right, this bounds it
-                empty = (most + 1 + spare) * math.exp(-low / (most + 1 + spare))
-                need = min(most, math.ceil(empty + 6 * math.sqrt(empty) + 1))
-                if need <= spare:
-                    break
-                spare = need
-            self.cache[i] = most + 1 + spare, spare
-        return self.cache[i]
-
-    def keys(self, grams: np.ndarray) -> np.ndarray:
-        own, out = self.of(len(grams)), []
-        a, b = mix(grams ^ U64(0x9E3779B97F4A7C15)), mix(grams + U64(0x632BE59BD9B4E019))
-        for i in (own, own + 1):
-            parts, spare = self.space(i)
-            part = ((a >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
-            count = np.bincount(part, minlength=parts)
-            low = np.bincount(part, (b & U64(0xFFFFFFFF)).astype(float), parts).astype(U64)
-            high = np.bincount(part, (b >> U64(32)).astype(float), parts).astype(U64)
-            key = mix(mix(low + (high << U64(32)) + high) + mix(np.arange(parts, dtype=U64) + (U64(i) << U64(32))))
-            out.append(key[count > 0])
-            if parts - np.count_nonzero(count) > spare:
-                out.append(mix(np.array([(i << 32) + 0xFFFFFFFF], U64)))
-        return np.concatenate(out).view(np.int64)
+def prefix_length(size: int, percent: int) -> int:
+    """First n-grams of a set, in any order that all sets share, of which a linked set holds at least one among its own."""
+    return size - -(-size * percent // 100) + 1
+
+
+def prefix(grams: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest n-grams of a set: by their level in the sketch, then by hash."""
+    level = levels[(grams & U64(SLOTS - 1)).astype(np.int64)].astype(U64)
+    rank = (level << U64(56)) | (grams >> U64(8))
+    n = prefix_length(len(grams), percent)
+    return grams[np.argpartition(rank, n - 1)[:n]] if n < len(grams) else grams
 
 
 def _profiles(n: int):
+    """A row for each document, and one for each few documents that tells which slots of the sketch several sets of them fill."""
+
     def run(batches):
         for batch in batches:
-            sizes, firsts, seconds = [], [], []
-            for text in batch.column("text").to_pylist():
-                grams = gram_set(text, n)
-                digest = xxhash.xxh128_digest(grams.tobytes())
-                sizes.append(len(grams))
-                firsts.append(int.from_bytes(digest[:8], "little", signed=True) if len(grams) else None)
-                seconds.append(int.from_bytes(digest[8:], "little", signed=True) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64())], names=["doc_id", "n_shingles", "set_a", "set_b"])
+            for part in range(0, batch.num_rows, 2000):
+                rows = batch.slice(part, 2000)
+                sizes, firsts, seconds, distinct = [], [], [], {}
+                for text in rows.column("text").to_pylist():
+                    grams = gram_set(text, n)
+                    digest = xxhash.xxh128_digest(grams.tobytes())
+                    distinct[digest] = grams
+                    sizes.append(len(grams))
+                    firsts.append(int.from_bytes(digest[:8], "little", signed=True) if len(grams) else None)
+                    seconds.append(int.from_bytes(digest[8:], "little", signed=True) if len(grams) else None)
+                codes, times = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
+                slots = np.stack([(codes[times > 1] & U64(SLOTS - 1)).astype(np.uint32), times[times > 1].astype(np.uint32)])
+                doc = pa.concat_arrays([rows.column("doc_id"), pa.nulls(1, pa.int64())])
+                yield pa.RecordBatch.from_arrays([doc, pa.array([*sizes, None], pa.int64()), pa.array([*firsts, None], pa.int64()), pa.array([*seconds, None], pa.int64()), pa.array([None] * len(sizes) + [slots.tobytes()], pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "repeated"])
 
     return run
 
 
-def _keys(n: int, percent: int):
+def _slot_counts(batches):
+    """The slots of a task, summed, by blocks of the sketch."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for raw in batch.column("repeated").to_pylist():
+            slot, times = np.frombuffer(raw, np.uint32).reshape(2, -1)
+            np.add.at(total, slot, times)
+    blocks = total.reshape(-1, SLOT_BLOCK)
+    for b in np.flatnonzero(blocks.any(1)).tolist():
+        at = np.flatnonzero(blocks[b])
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([np.stack([at, blocks[b][at]]).tobytes()], pa.binary())], names=["block", "counts"])
+
+
+def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(SLOT_BLOCK, np.int64)
+    for raw in pdf["counts"]:
+        at, times = np.frombuffer(raw, np.int64).reshape(2, -1)
+        total[at] += times
+    return pd.DataFrame({"block": pdf["block"].iloc[:1].to_numpy(), "levels": [np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()]})
+
+
+def frequency_levels(profiles: DataFrame) -> np.ndarray:
+    """A level for each slot of n-gram hashes: the binary logarithm of how often its n-grams repeat within a few documents.
+
+    It only decides which n-grams of a set are looked up, never whether a pair is found. SLOTS bytes reach the driver.
+    """
+    counts = arrow_pass(profiles.where("repeated is not null").select("repeated"), _slot_counts, "block long, counts binary")
+    levels = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.uint8)
+    for row in counts.groupBy("block").applyInPandas(_levels, "block long, levels binary").collect():
+        levels[row["block"]] = np.frombuffer(row["levels"], np.uint8)
+    return levels.reshape(-1)
+
+
+def _posts(n: int, percent: int, broadcast):
     def run(batches):
-        classes, seen = SizeClasses(percent), set()
+        levels, seen = np.frombuffer(broadcast.value, np.uint8), set()
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
                 rows = batch.slice(part, 500)
-                docs, keys = [], []
+                sets, keys = [], []
                 for doc, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
                     grams = gram_set(text, n) if doc is not None else np.empty(0, U64)
                     digest = xxhash.xxh128_digest(grams.tobytes())
                     if len(grams) and digest not in seen:  # of the equal sets of one task, one is enough
                         seen.add(digest)
-                        keys.append(classes.keys(grams))
-                        docs.append(np.full(len(keys[-1]), doc, np.int64))
+                        keys.append(prefix(grams, levels, percent))
+                        sets.append(np.full(len(keys[-1]), int.from_bytes(digest[:8], "little", signed=True), np.int64))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(keys))], names=["doc_id", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sets))], names=["key", "set_a"])
 
     return run
 
@@ -126,9 +133,10 @@ def _keys(n: int, percent: int):
 def _gram_bytes(n: int):
     def run(batches):
         for batch in batches:
-            sets = [gram_set(t, n).tobytes() for t in batch.column("text").to_pylist()]
-            keep = [batch.column(c) for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(sets, pa.binary())], names=[*(c for c in batch.schema.names if c != "text"), "grams"])
+            for part in range(0, batch.num_rows, 1000):
+                rows = batch.slice(part, 1000)
+                sets = [gram_set(t, n).tobytes() for t in rows.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(sets, pa.binary())], names=["node", "grams"])
 
     return run
 
@@ -167,17 +175,18 @@ def linked(rows: list[np.ndarray], cols: list[np.ndarray], percent: int) -> np.n
 
 
 def _verify(percent: int):
+    """Spanning forests of the links of block pairs: rows of side 0 with each other, or with those of side 1 if there are any."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out_a, out_b = [], []
-        for _, group in pdf.groupby("cluster", sort=False):
-            group = group.sort_values(["doc_id", "block"])
-            ids = group["doc_id"].tolist()
+        for _, group in pdf.groupby(["home", "i", "j"], sort=False):
+            ids, side = group["node"].tolist(), group["side"].to_numpy()
             sets = [np.frombuffer(x, U64) for x in group["grams"]]
-            union = Union(len(ids))
-            left = [k for k, b in enumerate(group["block"]) if b == group["i"].iloc[0]]
-            right = [k for k, b in enumerate(group["block"]) if b == group["j"].iloc[0]]
-            for x, y in zip(*np.nonzero(linked([sets[k] for k in left], [sets[k] for k in right], percent)), strict=True):
-                union.join(left[x], right[y])
+            union, left, right = Union(len(ids)), np.flatnonzero(side == 0).tolist(), np.flatnonzero(side == 1).tolist()
+            right = right or left
+            if left and len(ids) > 1:
+                for x, y in zip(*np.nonzero(linked([sets[k] for k in left], [sets[k] for k in right], percent)), strict=True):
+                    union.join(left[x], right[y])
             for k in range(len(ids)):
                 if (root := union.find(k)) != k:
                     out_a.append(ids[k])
@@ -187,46 +196,107 @@ def _verify(percent: int):
     return run
 
 
+def _links(base: DataFrame, tasks: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+    """Spanning forests (a, b) of the links in tasks (home, i, j, side, node, whole); those of whole homes share bundles."""
+    tasks = staged(tasks, f"{name}-tasks")
+    nodes = staged(tasks.select("node").distinct(), f"{name}-nodes")
+    found = nodes.count()
+    if not found:
+        return tasks.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    sets = arrow_pass(base.join(bounded(nodes, found), F.col("doc_id") == F.col("node")).select("node", "text"), _gram_bytes(n), "node long, grams binary")
+    bundle = F.when(F.col("whole"), F.pmod(F.xxhash64("home"), F.lit(max(1, found // 1000)))).otherwise(F.xxhash64("home", "i", "j"))
+    rows = sets.join(tasks, "node").select("home", "i", "j", "side", "node", "whole", "grams")
+    links = rows.groupBy(bundle.alias("bundle"), "whole").applyInPandas(_verify(percent), "a long, b long")
+    return staged(links, f"{name}-links")
+
+
+def _size_class(percent: int) -> Column:
+    """Sets that may link are of one class or of neighbouring ones."""
+    return F.floor(F.log(F.col("size") + 0.5) / math.log(100 / percent)).cast("long")
+
+
+def _within(members: DataFrame, percent: int) -> DataFrame:
+    """Tasks that compare the members (node, size, cluster) of each cluster with each other, large clusters in pairs of blocks."""
+    per = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("grams")).where("docs > 1")
+    whole = (F.col("docs") <= BLOCK_DOCS) & (F.col("grams") <= BLOCK_GRAMS)
+    members = members.join(per.select("cluster", whole.alias("whole")), "cluster")
+    small = members.where("whole").select(F.col("cluster").alias("home"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"), "node", "whole")
+    large = members.where("not whole").withColumn("class", _size_class(percent))
+    parts = large.groupBy("cluster", "class").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("grams"))
+    parts = parts.select("cluster", "class", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("grams") / BLOCK_GRAMS)).alias("parts"))
+    large = large.join(parts, ["cluster", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")) + F.col("class") * 1_000_000)
+    blocks = parts.select("cluster", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p")).select("cluster", "class", (F.col("p") + F.col("class") * 1_000_000).alias("block"))
+    a, b = blocks.select("cluster", F.col("class").alias("ca"), F.col("block").alias("i")), blocks.select("cluster", F.col("class").alias("cb"), F.col("block").alias("j"))
+    # the sizes bound the pairs: only blocks of one class or of neighbouring ones are multiplied
+    pairs = staged(a.join(b, "cluster").where("i <= j and cb - ca <= 1").select(F.col("cluster").alias("home"), "i", "j"), "ngram-blocks")
+    at = large.select(F.col("cluster").alias("home"), "block", "node", "whole")
+    first = at.join(pairs.withColumn("block", F.col("i")), ["home", "block"]).select("home", "i", "j", F.lit(0).alias("side"), "node", "whole")
+    second = at.join(pairs.where("i < j").withColumn("block", F.col("j")), ["home", "block"]).select("home", "i", "j", F.lit(1).alias("side"), "node", "whole")
+    return small.unionByName(first).unionByName(second)
+
+
+def _across(posts: DataFrame, found: DataFrame) -> DataFrame:
+    """Tasks that compare sets of different clusters that share an n-gram and are not connected yet.
+
+    posts: key, node, cluster; found: node, component. A set goes to the lower clusters of its open keys.
+    """
+    posts = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spread = posts.groupBy("key").agg(F.min("cluster").alias("c0"), F.max("cluster").alias("c1"), F.min("component").alias("k0"), F.max("component").alias("k1"))
+    open_ = posts.join(spread.where("c0 < c1 and k0 < k1").select("key"), "key", "left_semi")
+    open_ = staged(open_.select("key", "node", "cluster"), "ngram-open")
+    homes = open_.select("key", F.col("cluster").alias("home")).distinct()
+    guests = staged(open_.join(homes, "key").where("home < cluster").select("home", "node").distinct(), "ngram-guests")
+    own = open_.select(F.col("cluster").alias("home"), "node").distinct().join(guests.select("home").distinct(), "home", "left_semi")
+    n_own, n_guest = own.groupBy("home").agg(F.count(F.lit(1)).alias("n_own")), guests.groupBy("home").agg(F.count(F.lit(1)).alias("n_guest"))
+    counts = n_own.join(n_guest, "home").select("home", F.ceil(F.col("n_own") / BLOCK_DOCS).alias("rows"), F.ceil(F.col("n_guest") / BLOCK_DOCS).alias("cols"))
+    counts = counts.withColumn("whole", F.col("rows") + F.col("cols") == 2)
+    own = own.join(counts, "home").withColumns({"i": F.pmod(F.xxhash64("node"), "rows"), "j": F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)), "side": F.lit(0)})
+    guests = guests.join(counts, "home").withColumns({"j": F.pmod(F.xxhash64("node"), "cols"), "i": F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)), "side": F.lit(1)})
+    columns = ["home", "i", "j", "side", "node", "whole"]
+    return own.select(columns).unionByName(guests.select(columns))
+
+
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
 
     Documents link when 100 * |A and B| >= percent * |A or B| over their distinct n-word shingles;
     component_id is the smallest doc_id reachable by links. Documents without words have no
     shingles and link with nothing, null text likewise. Rows without doc_id get no component.
-    Rows that repeat a doc_id share one component. Extra columns are ignored; empty tables work.
-
-    Pairs that can reach the threshold meet under a shared part of their sets (SizeClasses); the
-    components of that candidate graph are small groups, or large groups of near copies. Within
-    each, the document by n-gram incidence matrix is multiplied by its transpose block by block,
-    and counts below the bound that both sizes give are discarded. A block pair returns a spanning
-    forest of its links, never its pairs, and equal sets are collapsed first.
+    Rows that repeat a doc_id share one component. Extra columns are ignored; empty tables work. A
+    very long text is one row of the product: its set (eight bytes an n-gram) has to fit in a task.
+
+    The document by n-gram incidence matrix is multiplied by its transpose block by block, and
+    counts below the bound that both sizes give are discarded. Which blocks meet is decided by the
+    rare n-grams: in one order of all n-grams, rare ones first, linked sets share one of their first
+    few (prefix_length). Each set joins the cluster of the smallest set that it shares such an
+    n-gram with, one step, never along chains; clusters are multiplied with themselves. Then a set
+    goes to the other clusters of those n-grams whose sets are not connected yet. A block pair
+    returns a spanning forest of its links, never its pairs, and equal sets are collapsed first. The
+    work is quadratic in the distinct sets of a cluster, cut into block pairs that sizes allow.
     """
+    spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    profiles = staged(arrow_pass(base, _profiles(n), "doc_id long, n_shingles long, set_a long, set_b long"), "ngram-profiles")
+    seen = staged(arrow_pass(base, _profiles(n), "doc_id long, n_shingles long, set_a long, set_b long, repeated binary"), "ngram-profiles")
+    profiles = seen.where("repeated is null").drop("repeated")
     named = profiles.where("doc_id is not null and set_a is not null")
     reps = named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max("n_shingles").alias("size"))
     copies = named.join(reps.where("rep <> last").select("set_a", "set_b", "rep"), ["set_a", "set_b"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     copies = staged(copies, "ngram-copies")
-    keyed = arrow_pass(base, _keys(n, percent), "doc_id long, key long")
-    least = F.min("doc_id").over(Window.partitionBy("key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    near = keyed.withColumn("b", least).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    groups = components(near.unionByName(copies), "ngram-candidates")
-    # one document of each distinct set, in groups of two or more of them
-    members = reps.where("size > 0").join(groups.withColumnRenamed("node", "rep"), "rep").select(F.col("rep").alias("doc_id"), F.col("component").alias("cluster"), "size")
-    per = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("grams")).where("docs > 1")
-    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    members = members.join(per.withColumn("blocks", F.least(blocks, F.col("docs").cast("int"))), "cluster").select("doc_id", "cluster", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
+
+    levels = spark.sparkContext.broadcast(frequency_levels(seen).tobytes())
+    raw = staged(arrow_pass(base, _posts(n, percent, levels), "key long, set_a long"), "ngram-raw")
+    shared = raw.groupBy("key").agg(F.min("set_a").alias("first"), F.max("set_a").alias("last")).where("first <> last").select("key")
+    shared = staged(shared, "ngram-shared")
+    posts = raw.join(bounded(shared), "key", "left_semi").distinct()
+    posts = staged(posts.join(reps.select("set_a", F.col("rep").alias("node"), "size"), "set_a").select("key", "node", "size"), "ngram-posts")
+    discard(raw)
+    hubs = posts.groupBy("key").agg(F.min("node").alias("hub"))
+    members = posts.join(hubs, "key").groupBy("node").agg(F.min("hub").alias("cluster"), F.max("size").alias("size"))
     members = staged(members, "ngram-members")
-    found = members.count()
-    edges = copies
-    if found:
-        bundles = max(1, found // 2000)
-        sets = arrow_pass(base.join(bounded(members, found), "doc_id"), _gram_bytes(n), "doc_id long, cluster long, blocks int, block int, grams binary")
-        pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        bundle = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bundles))).otherwise(F.col("cluster"))
-        links = pairs.groupBy(bundle.alias("bundle"), F.col("blocks") > 1, "i", "j").applyInPandas(_verify(percent), "a long, b long")
-        edges = links.unionByName(copies)
-    final = components(edges, "ngram-links").withColumnRenamed("node", "doc_id")
+    near = _links(base, _within(members, percent), n, percent, "ngram-within")
+    found = components(near, "ngram-near")
+    far = _links(base, _across(posts.join(members.select("node", "cluster"), "node"), found), n, percent, "ngram-across")
+    final = components(near.unionByName(far).unionByName(copies), "ngram-links").withColumnRenamed("node", "doc_id")
     out = profiles.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -114,6 +114,14 @@ def test_line_dedup_of_several_edits_against_brute_force(spark):
     assert got == want and edits >= {1, 2, 3, 4, 5}
 
 
+def test_line_dedup_of_repeated_ids_and_clashing_columns(spark):
+    first = "an entirely unique first line here"
+    rows = [(1, "this line is a long common one", 7), (5, "this line is a long common one\nx", 7), (5, first + "\ny", 7), (None, "one line of its own without id\nz", 7), (None, "this line is a long common one\nu", 7), (5, first + "\ny", 7)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_removed int"))
+    assert got.columns == ["doc_id", "text", "n_lines", "n_removed"]
+    assert sorted(((r["doc_id"] or 0, r["text"], r["n_removed"]) for r in got.collect())) == sorted([(1, "", 1), (5, "x", 1), (5, first + "\ny", 0), (5, first + "\ny", 0), (0, "one line of its own without id\nz", 0), (0, "this line is a long common one\nu", 0)])
+
+
 @pytest.mark.parametrize(("n", "percent", "block"), [(3, 90, 1024), (5, 80, 3)])
 def test_ngram_components_against_brute_force(spark, monkeypatch, n, percent, block):
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
@@ -134,6 +142,16 @@ def test_ngram_components_against_brute_force(spark, monkeypatch, n, percent, bl
     assert got == {i: (len(sets[i]), union.find(i)) for i in range(len(texts))}
 
 
+def test_ngram_components_of_a_long_chain_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(6100)]
+    chain = [" ".join(words[2 * i : 2 * i + 60]) for i in range(3000)]  # only neighbours link, each shares 93 %
+    rows = [(i, t, 1) for i, t in enumerate(chain)] + [(5000, "a b c", 2), (5001, "d e f", 2), (5000, "d e f", 3), (None, "d e f", 4), (None, None, 5)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, component_id int").repartition(3)
+    got = [(r["doc_id"], r["component_id"]) for r in ngram_join.ngram_components(given, 5, 90).collect()]
+    assert sorted(x for x in got if x[0] is not None) == sorted([(i, 0) for i in range(3000)] + [(5000, 5000)] * 2 + [(5001, 5000)])
+    assert [c for d, c in got if d is None] == [None, None]
+
+
 def test_chat_keeps_maximal_conversations(spark):
     rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", None), (3, 1, "assistant", None), (3, 0, "user", "hi"), (4, 0, None, "x"), (None, 0, "user", "lost")]
     got = chat.render_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id").collect()

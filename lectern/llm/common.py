@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,10 +66,23 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def release() -> None:
+    """Give a Python worker's free memory back: idle workers stay beside the JVM until they are used again."""
+    _WORDS.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_pass(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow with the package at hand on the executors."""
+    """mapInArrow with the package at hand on the executors; a worker gives its free memory back at the end of a task."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches):
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:

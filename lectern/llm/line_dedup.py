@@ -13,6 +13,10 @@ PARTS = 3
 CHARS_PER_EDIT, MAX_EDITS = 20, 5
 #: Widest segment of a line that is looked up, and shared segments (one long each) that are broadcast at most.
 WIDEST, BROADCAST_KEYS = 64, 2_000_000
+#: Lines of a segment beyond which they are compared as they are joined.
+CROWD = 50
+#: Frequent letters, whose counts are compared before whole lines are; in other scripts they tell nothing and nothing is lost.
+LETTERS = " etaoinshrоаиент"
 
 
 def _row() -> Column:
@@ -118,62 +122,99 @@ def _classes(max_edits: int) -> list[tuple[int, int | None, int, int]]:
     return [*out, (top, None, max_edits, top // (max_edits + 1))]
 
 
-def _segment_keys(long: DataFrame, max_edits: int) -> DataFrame:
-    """doc_id, line_no, line, key, whole: the hashed segments under which lines with several edits meet.
+def _segment_keys(lines: DataFrame, max_edits: int) -> DataFrame:
+    """h (the hash of a line), key, whole: the hashed segments under which lines (h, line) with several edits meet.
 
     Of a line that allows k edits, k // 2 + 1 segments from its start and the others of k + 1 from its end are
     disjoint. A pair within k edits has either at most k // 2 of them at the start or fewer than the others are many
     at the end. On that side some segment of the one line has no edit and as many edits before it as
     segments (the first point where edits fall behind segments), so the other line holds it moved
     by at most its number. `whole` marks segments in place; the others are taken at the places they may have moved to.
+
+    Only hashes and the two ends are exploded: a line's text is not copied for each of its keys.
     """
-    classes, n = _classes(max_edits), F.col("n")
-    held = [F.when((n >= lo) & (F.lit(True) if hi is None else n < hi + k), F.struct(F.lit(c).alias("c"), F.lit(k // 2).alias("front"), F.lit(k - 1 - k // 2).alias("back"), F.lit(w).alias("w"))) for c, (lo, hi, k, w) in enumerate(classes)]
-    rows = long.withColumn("n", F.length("line")).where(n >= classes[0][0]).withColumn("of", F.explode(F.filter(F.array(*held), lambda x: x.isNotNull())))
-    front, back, w = F.col("front"), F.col("back"), F.col("w")
-    rows = rows.select("doc_id", "line_no", "line", "of.*")
-    size = (back + 1) * w + back
-    rows = rows.select("*", F.substring("line", F.lit(1), (front + 1) * w + front).alias("head"), F.substring("line", -size, size).alias("tail"))
-    keys = []
-    for side, most, limit in (("head", max_edits // 2, front), ("tail", (max_edits - 1) // 2, back)):
-        for j in range(most + 1):
-            for moved in range(-j, j + 1):
-                at = F.lit(1) + w * j + moved if side == "head" else -(w * (j + 1) + moved)
-                key = F.xxhash64(F.lit(side), F.lit(j), F.col("c"), F.substring(side, at, w))
-                keys.append(F.when(limit >= j, F.struct(key.alias("key"), F.lit(moved == 0).alias("whole"))))
-    rows = rows.select("doc_id", "line_no", "line", F.explode(F.array(*keys)).alias("k")).where("k is not null")
-    return rows.select("doc_id", "line_no", "line", "k.*")
+    classes, n = [(lo, hi, F.struct(F.lit(c).alias("c"), F.lit(k // 2).alias("front"), F.lit(k - 1 - k // 2).alias("back"), F.lit(w).alias("w")), k) for c, (lo, hi, k, w) in enumerate(_classes(max_edits))], F.col("n")
+    # the class of a line's own length, and the one below if a line of that class may be the shorter one of a pair
+    own, below = F.lit(None), F.lit(None)
+    for lo, hi, kind, k in reversed(classes):
+        own = F.when((n >= lo) & (F.lit(True) if hi is None else n < hi), kind).otherwise(own)
+        below = below if hi is None else F.when((n >= hi) & (n < hi + k), kind).otherwise(below)
+    rows = lines.withColumn("n", F.length("line")).where(n >= classes[0][0]).withColumn("of", F.explode(F.array(own, below))).where("of is not null")
+    size = (F.col("back") + 1) * F.col("w") + F.col("back")
+    rows = rows.select("h", "line", "of.*").select("h", "c", "front", "back", "w", F.substring("line", F.lit(1), (F.col("front") + 1) * F.col("w") + F.col("front")).alias("head"), F.substring("line", -size, size).alias("tail"))
+    places = [(side, j, moved) for side, most in ((0, max_edits // 2), (1, (max_edits - 1) // 2)) for j in range(most + 1) for moved in range(-j, j + 1)]
+    # one small expression for each exploded place, which compiles better than a row of all keys
+    rows = rows.withColumn("p", F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.lit(j).alias("j"), F.lit(moved).alias("moved")) for side, j, moved in places])))
+    side, j, moved, w, back = F.col("p.side"), F.col("p.j"), F.col("p.moved"), F.col("w"), F.col("back")
+    rows = rows.where(j <= F.when(side == 0, F.col("front")).otherwise(back))
+    at = F.when(side == 0, 1 + w * j + moved).otherwise(w * (back - j) + back + 1 - moved)
+    key = F.xxhash64(F.substring(F.when(side == 0, F.col("head")).otherwise(F.col("tail")), at, w)).bitwiseXOR((F.shiftleft("c", 8) + 2 * j + side).cast("long"))
+    return rows.select("h", key.alias("key"), (moved == 0).alias("whole"))
+
+
+def _counts(line: Column) -> list[Column]:
+    """How often each of LETTERS occurs in a line, four to a long."""
+    n = [F.least(F.length(line) - F.length(F.replace(line, F.lit(x), F.lit(""))), F.lit(65535)).cast("long") for x in LETTERS]
+    return [F.shiftleft(n[k], 48).bitwiseOR(F.shiftleft(n[k + 1], 32)).bitwiseOR(F.shiftleft(n[k + 2], 16)).bitwiseOR(n[k + 3]) for k in range(0, len(n), 4)]
 
 
 def _few_edits(long: DataFrame, max_edits: int) -> DataFrame:
     """near_lines among lines that allow two edits or more.
 
-    Distinct lines that share a segment are first compared with the earliest line of each of their
-    segments; only those without a hit are compared with all earlier lines of their segments.
+    Segments that several distinct lines have, then the lines that have such a segment, then their texts, each line at its
+    earliest place. They are first compared with the earliest line of each of their segments; only those without a
+    hit are compared with all earlier lines of their segments.
     """
-    lean = _segment_keys(long, max_edits)
-    shared = lean.select("key", "whole", F.xxhash64("line").alias("h")).groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.max("whole").alias("whole"))
+    keys = _segment_keys(long.select(F.xxhash64("line").alias("h"), "line"), max_edits)
+    shared = keys.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.max("whole").alias("whole"))
     shared = staged(shared.where("whole and least <> most").select("key"), "line-segments")
     shared = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    place = F.struct("doc_id", "line_no")
-    met = lean.join(shared, "key", "left_semi")
-    near = staged(met.groupBy("line").agg(F.min(place).alias("place"), F.collect_set(F.struct("key", "whole")).alias("keys")), "line-near")
-    posts = near.select("place", "line", F.explode("keys").alias("k")).select("place", "line", "k.*")
-    own = F.struct("place", "line")
-    firsts = posts.groupBy("key").agg(F.min(own).alias("any"), F.min(F.when(F.col("whole"), own)).alias("entire"))
-
-    def close(mine: str, theirs: str) -> Column:
-        least = F.least(F.length(mine), F.length(theirs))
-        allowed = bound_of(least, max_edits)
-        return (F.abs(F.length(mine) - F.length(theirs)) <= allowed) & F.levenshtein(mine, theirs, max_edits).between(F.lit(0), allowed)
-
-    first = posts.join(firsts, "key").withColumn("other", F.when(F.col("whole"), F.col("any")).otherwise(F.col("entire")))
-    first = first.where("place > other.place").select("place", "line", F.col("other.line").alias("theirs")).distinct()
-    found = staged(first.where(close("line", "theirs")).select("place", "line").distinct(), "line-first")
-    open_ = posts.join(found.select("line"), "line", "left_anti")
-    others = posts.select("key", F.col("place").alias("other"), F.col("line").alias("theirs"), F.col("whole").alias("entire"))
-    more = open_.join(others, "key").where("place > other and (whole or entire)").where(close("line", "theirs"))
-    return found.select(F.col("place").alias("hit")).unionByName(more.select(F.col("place").alias("hit"))).distinct()
+    met = staged(keys.join(shared, "key", "left_semi").distinct(), "line-met")
+    mine = met.select(F.col("h").alias("mh")).distinct()
+    mine = F.broadcast(mine) if mine.count() <= BROADCAST_KEYS else mine
+    place, n = F.struct("doc_id", "line_no"), F.length("line")
+    near = long.withColumn("h", F.xxhash64("line")).join(mine, F.col("h") == F.col("mh"), "left_semi").groupBy("h", "line").agg(F.min(place).alias("place"))
+    near = staged(near, "line-near")
+    # lines are compared by their letters first; whole texts are joined only to what is left
+    letters = [c.alias(f"c{k}") for k, c in enumerate(_counts(F.col("line")))]
+    brief = near.select("h", "place", F.struct("place", n.alias("n"), *letters, "h").alias("own"))
+    posts = staged(met.join(brief, "h").select("own", "key", "whole"), "line-posts")
+    firsts = posts.groupBy("key").agg(F.min("own").alias("any"), F.min(F.when(F.col("whole"), F.col("own"))).alias("entire"))
+
+    def allowed(x: Column, y: Column) -> Column:
+        return bound_of(F.least(x, y), max_edits)
+
+    def likely(a: Column, b: Column) -> Column:
+        """Whether two lines may be near: an edit changes two of the letters' counts by one at most."""
+        count = lambda x, k: F.shiftrightunsigned(x[f"c{k // 4}"], 16 * (k % 4)).bitwiseAND(F.lit(65535).cast("long"))
+        apart = [F.abs(count(a, k) - count(b, k)) for k in range(len(LETTERS))]
+        least = allowed(a["n"], b["n"])
+        return (a["place"] > b["place"]) & (F.abs(a["n"] - b["n"]) <= least) & (sum(apart[1:], apart[0]) <= 2 * least)
+
+    def close() -> Column:
+        return F.levenshtein("ml", "tl", max_edits).between(F.lit(0), allowed(F.length("ml"), F.length("tl")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Places of the lines of pairs (own, other) that are near the other one."""
+        a, b = F.col("own"), F.col("other")
+        pairs = pairs.select(a["h"].alias("h"), b["h"].alias("oh")).distinct()
+        mine = near.select("h", F.col("place").alias("mp"), F.col("line").alias("ml"))
+        theirs = near.select(F.col("h").alias("oh"), F.col("place").alias("tp"), F.col("line").alias("tl"))
+        return pairs.join(mine, "h").join(theirs, "oh").where("mp > tp").where(close()).select(F.col("mp").alias("hit")).distinct()
+
+    first = posts.join(firsts, "key").select("own", F.when(F.col("whole"), F.col("any")).otherwise(F.col("entire")).alias("other")).where(likely(F.col("own"), F.col("other")))
+    found = staged(verified(first), "line-first")
+    open_ = posts.join(found, F.col("own.place") == F.col("hit"), "left_anti")
+    others = posts.select("key", F.col("own").alias("other"), F.col("whole").alias("entire"))
+    crowded = staged(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key"), "line-crowds")
+    few = open_.join(bounded(crowded), "key", "left_anti").join(others, "key").where("whole or entire").where(likely(F.col("own"), F.col("other")))
+    # in a crowd the join itself compares the texts, so that what it emits doesn't grow with the square of the crowd
+    text = near.select(F.col("h").alias("th"), F.col("place").alias("tp"), F.col("line").alias("text"))
+    among = bounded(crowded)
+    mine = open_.join(among, "key").join(text, (F.col("own.h") == F.col("th")) & (F.col("own.place") == F.col("tp"))).select("key", "own", "whole", F.col("text").alias("ml"))
+    theirs = others.join(among, "key").join(text, (F.col("other.h") == F.col("th")) & (F.col("other.place") == F.col("tp"))).select("key", "other", "entire", F.col("text").alias("tl"))
+    many = mine.join(theirs, "key").where("whole or entire").where(likely(F.col("own"), F.col("other")) & close())
+    return found.unionByName(verified(few)).unionByName(many.select(F.col("own.place").alias("hit"))).distinct()
 
 
 def near_lines(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = 16) -> DataFrame:
@@ -192,7 +233,8 @@ def near_lines(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = 16
     if max_edits == 1:
         return _one_edit(long)
     # a line that allows one edit only meets lines that are at most a character longer
-    return _one_edit(long.where(n <= 2 * CHARS_PER_EDIT)).unionByName(_few_edits(long, max_edits)).distinct()
+    short = staged(long.where(n <= 2 * CHARS_PER_EDIT), "line-short")
+    return _one_edit(short).unionByName(_few_edits(long, max_edits)).distinct()
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = 16) -> DataFrame:
@@ -208,8 +250,10 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = 16
     lines = lines_of(text)
     place, (a, b) = F.struct("doc_id", "line_no"), _digest(F.col("line"))
     keyed = lines.where("line <> ''").select("doc_id", "line_no", a.alias("da"), b.alias("db"))
-    first = keyed.groupBy("da", "db").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    repeats = keyed.join(staged(first, "lines"), ["da", "db"]).where(~F.col("first").eqNullSafe(place)).select("doc_id", "line_no")
+    twice = staged(keyed.groupBy("da", "db").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("da", "db"), "lines-twice")
+    again = staged(keyed.join(bounded(twice), ["da", "db"]), "lines-again")
+    first = again.groupBy("da", "db").agg(F.min(place).alias("first"))
+    repeats = again.join(bounded(first), ["da", "db"]).where(~F.col("first").eqNullSafe(place)).select("doc_id", "line_no")
     near = near_lines(lines, max_edits, min_chars).select("hit.*")  # later places of such a line are among the repeats
     gone = repeats.unionByName(near).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))
     gone = staged(gone.select(F.col("doc_id").alias("__doc"), "__gone"), "lines-gone")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import U64, Union, arrow_pass, bounded, components, discard, mix, staged, word_hashes
+from lectern.llm.common import U64, Union, arrow_pass, bounded, components, discard, mix, release, staged, word_hashes
 
 #: n-grams (eight bytes each) that a cluster compared whole or one block of a large cluster holds, about.
 BLOCK_GRAMS = 1_000_000
@@ -191,6 +191,7 @@ def _verify(percent: int):
                 if (root := union.find(k)) != k:
                     out_a.append(ids[k])
                     out_b.append(ids[root])
+        release()
         return pd.DataFrame({"a": np.array(out_a, "int64"), "b": np.array(out_b, "int64")})
 
     return run

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lectern.llm import chat, decontaminate, embedding_dedup, langid, line_dedup, ngram_join, packing, quality, substring_dedup, toxicity
+from lectern.llm import chat, common, decontaminate, embedding_dedup, langid, line_dedup, ngram_join, packing, quality, substring_dedup, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -69,7 +69,8 @@ def test_best_fit_is_best_fit_decreasing():
         assert len({b + i for _, _, m, b, _ in plan for i in range(m)}) == bins
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("min_chars", [16, 1])
+def test_line_dedup_against_brute_force(spark, min_chars):
     rng = random.Random(3)
 
     def near(a, b):
@@ -79,20 +80,26 @@ def test_line_dedup_against_brute_force(spark):
         k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
         return (a[k + 1 :] == b[k + 1 :]) if len(a) == len(b) else a[k:] == b[k + 1 :]
 
-    base = ["".join(rng.choice("ab") for _ in range(rng.randint(16, 22))) for _ in range(15)]
+    base = ["".join(rng.choice("ab") for _ in range(rng.randint(16, 22) if min_chars > 1 else rng.randint(1, 12))) for _ in range(15)]
     texts = ["\n".join("".join(edited(rng.choice(base), rng.randint(0, 2), "ab", rng)) for _ in range(3)) for _ in range(60)] + [None, "", "\n\n", "short\nshort"]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts), min_chars=min_chars).collect()}
     seen = []
     for i, t in enumerate(texts):
         kept = []
         for line in t.split("\n") if t is not None else []:
-            if not line or not any(line == s or min(len(line), len(s)) >= 16 and near(line, s) for s in seen):
+            if not line or not any(line == s or min(len(line), len(s)) >= min_chars and near(line, s) for s in seen):
                 kept.append(line)
             seen.append(line)
         assert got[i] == (None if t is None else "\n".join(kept))
 
 
-def test_line_dedup_of_several_edits_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_line_dedup_of_several_edits_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "CROWD", 3)
+    if not broadcast:  # the plan beyond the sizes that are broadcast
+        monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", -1)
+        monkeypatch.setattr(line_dedup, "CROWD", 1000)
+        monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     rng = random.Random(8)
 
     def distance(a, b):
@@ -114,6 +121,23 @@ def test_line_dedup_of_several_edits_against_brute_force(spark):
     assert got == want and edits >= {1, 2, 3, 4, 5}
 
 
+def test_line_dedup_finds_lines_with_one_clean_segment(spark):
+    rng, letters, texts = random.Random(4), "abcdefghijklmnopqrstuvwxyz", []
+    for n in (100, 101, 120, 149, 151, 224, 300, 500):
+        for clean in range(6):
+            base = [rng.choice(letters) for _ in range(n)]
+            other = list(base)
+            for segment in reversed(range(6)):  # from the end, so that earlier places stay
+                if segment != clean:
+                    at = min(n - 1, segment * n // 6 + rng.randrange(n // 6))
+                    kind = rng.choice(["in", "out", "swap"]) if n > 100 else rng.choice(["in", "swap"])
+                    other[at : at + (kind != "in")] = [] if kind == "out" else ["#"]
+            texts += ["".join(base), "".join(other)]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    short = {i for i in range(1, len(texts), 2) if min(len(texts[i]), len(texts[i - 1])) < 100}
+    assert {i for i, n in got.items() if n} >= set(range(1, len(texts), 2)) - short and not any(got[i] for i in range(0, len(texts), 2))
+
+
 def test_line_dedup_of_repeated_ids_and_clashing_columns(spark):
     first = "an entirely unique first line here"
     rows = [(1, "this line is a long common one", 7), (5, "this line is a long common one\nx", 7), (5, first + "\ny", 7), (None, "one line of its own without id\nz", 7), (None, "this line is a long common one\nu", 7), (5, first + "\ny", 7)]

@@ -7,6 +7,7 @@ import ctypes
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,8 @@ from lectern.session import ship
 BROADCAST_ROWS = 200_000
 #: Entries of a worker's word-hash cache before it is emptied.
 WORD_CACHE = 400_000
+#: Bits of a filter for each key, at most, and in each block of it.
+FILTER_BITS, MOST_BITS, FILTER_BLOCK = 16, 1 << 28, 1 << 19
 #: Spark's setting that removes the shuffle files of a job at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -98,6 +101,33 @@ def hashed_sample(df: DataFrame, n: int, *cols: str) -> DataFrame:
     return df.where(h <= F.lit(last)).limit(n) if last is not None else df.limit(0)
 
 
+def _bitmap(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One block of a bit filter, of its keys."""
+    flags = np.zeros(FILTER_BLOCK, bool)
+    flags[pdf["key"].to_numpy() & (FILTER_BLOCK - 1)] = True
+    return pd.DataFrame({"block": pdf["block"].iloc[:1].to_numpy(), "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+
+
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """Bits of the last places of distinct hashes (key long): FILTER_BITS for each key, at least one block and MOST_BITS at most.
+
+    A full filter answers yes too often, which costs time where it is used, not results.
+    """
+    rows, bits = keys.count(), FILTER_BLOCK
+    while bits < min(MOST_BITS, rows * FILTER_BITS):
+        bits *= 2
+    placed = keys.select("key", F.shiftrightunsigned(F.col("key").bitwiseAND(F.lit(bits - 1).cast("long")), FILTER_BLOCK.bit_length() - 1).alias("block"))
+    whole = np.zeros((bits // FILTER_BLOCK, FILTER_BLOCK // 8), np.uint8)
+    for row in placed.groupBy("block").applyInPandas(_bitmap, "block long, bits binary").collect():  # bits / 8 bytes in all
+        whole[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return whole.reshape(-1)
+
+
+def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = (hashes & U64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def crc_mod(col: Column | str, n: int) -> Column:
     """crc32 of the value as text, modulo n."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")) % n

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import U64, Union, arrow_pass, bounded, components, discard, mix, release, staged, word_hashes
+from lectern.llm.common import U64, Union, arrow_pass, bit_filter, bounded, components, discard, in_filter, mix, release, staged, word_hashes
 
 #: n-grams (eight bytes each) that a cluster compared whole or one block of a large cluster holds, about.
 BLOCK_GRAMS = 1_000_000
@@ -37,8 +37,6 @@ def gram_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-#: Slots of the frequency sketch that orders n-grams (a byte each) and how many of them one row of it holds.
-SLOTS, SLOT_BLOCK = 1 << 22, 1 << 16
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -46,73 +44,53 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-size * percent // 100) + 1
 
 
-def prefix(grams: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest n-grams of a set: by their level in the sketch, then by hash."""
-    level = levels[(grams & U64(SLOTS - 1)).astype(np.int64)].astype(U64)
-    rank = (level << U64(56)) | (grams >> U64(8))
+def sampled(grams: np.ndarray, percent: int) -> np.ndarray:
+    """Which n-grams are counted: by hash, half as many again as a prefix takes."""
+    return (grams >> U64(40)) % U64(1000) < U64(min(1000, 15 * (100 - percent) + 10))
+
+
+def prefix(grams: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest n-grams of a set: first those that were counted and are in no other set, then those not counted, each by hash."""
     n = prefix_length(len(grams), percent)
-    return grams[np.argpartition(rank, n - 1)[:n]] if n < len(grams) else grams
+    if n >= len(grams):
+        return grams
+    common = np.where(sampled(grams, percent), 2 * in_filter(bits, grams), 1).astype(U64)
+    return grams[np.argpartition((common << U64(62)) | (grams >> U64(2)), n - 1)[:n]]
 
 
-def _profiles(n: int):
-    """A row for each document, and one for each few documents that tells which slots of the sketch several sets of them fill."""
+def _profiles(n: int, percent: int):
+    """A row for each document, and one for each few documents that holds their counted n-grams, those of several sets twice."""
 
     def run(batches):
         for batch in batches:
             for part in range(0, batch.num_rows, 2000):
                 rows = batch.slice(part, 2000)
-                sizes, firsts, seconds, distinct = [], [], [], {}
-                for text in rows.column("text").to_pylist():
+                sizes, firsts, seconds, counted = [], [], [], {}
+                for doc, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
                     grams = gram_set(text, n)
                     digest = xxhash.xxh128_digest(grams.tobytes())
-                    distinct[digest] = grams
+                    if doc is not None and digest not in counted:
+                        counted[digest] = grams[sampled(grams, percent)]
                     sizes.append(len(grams))
                     firsts.append(int.from_bytes(digest[:8], "little", signed=True) if len(grams) else None)
                     seconds.append(int.from_bytes(digest[8:], "little", signed=True) if len(grams) else None)
-                codes, times = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-                slots = np.stack([(codes[times > 1] & U64(SLOTS - 1)).astype(np.uint32), times[times > 1].astype(np.uint32)])
+                codes, times = np.unique(np.concatenate([*counted.values(), np.empty(0, U64)]), return_counts=True)
                 doc = pa.concat_arrays([rows.column("doc_id"), pa.nulls(1, pa.int64())])
-                yield pa.RecordBatch.from_arrays([doc, pa.array([*sizes, None], pa.int64()), pa.array([*firsts, None], pa.int64()), pa.array([*seconds, None], pa.int64()), pa.array([None] * len(sizes) + [slots.tobytes()], pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "repeated"])
+                blob = np.concatenate([codes, codes[times > 1]]).tobytes()
+                yield pa.RecordBatch.from_arrays([doc, pa.array([*sizes, None], pa.int64()), pa.array([*firsts, None], pa.int64()), pa.array([*seconds, None], pa.int64()), pa.array([None] * len(sizes) + [blob], pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "counted"])
 
     return run
 
 
-def _slot_counts(batches):
-    """The slots of a task, summed, by blocks of the sketch."""
-    total = np.zeros(SLOTS, np.int64)
+def _counted(batches):
     for batch in batches:
-        for raw in batch.column("repeated").to_pylist():
-            slot, times = np.frombuffer(raw, np.uint32).reshape(2, -1)
-            np.add.at(total, slot, times)
-    blocks = total.reshape(-1, SLOT_BLOCK)
-    for b in np.flatnonzero(blocks.any(1)).tolist():
-        at = np.flatnonzero(blocks[b])
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([np.stack([at, blocks[b][at]]).tobytes()], pa.binary())], names=["block", "counts"])
-
-
-def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(SLOT_BLOCK, np.int64)
-    for raw in pdf["counts"]:
-        at, times = np.frombuffer(raw, np.int64).reshape(2, -1)
-        total[at] += times
-    return pd.DataFrame({"block": pdf["block"].iloc[:1].to_numpy(), "levels": [np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()]})
-
-
-def frequency_levels(profiles: DataFrame) -> np.ndarray:
-    """A level for each slot of n-gram hashes: the binary logarithm of how often its n-grams repeat within a few documents.
-
-    It only decides which n-grams of a set are looked up, never whether a pair is found. SLOTS bytes reach the driver.
-    """
-    counts = arrow_pass(profiles.where("repeated is not null").select("repeated"), _slot_counts, "block long, counts binary")
-    levels = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.uint8)
-    for row in counts.groupBy("block").applyInPandas(_levels, "block long, levels binary").collect():
-        levels[row["block"]] = np.frombuffer(row["levels"], np.uint8)
-    return levels.reshape(-1)
+        for raw in batch.column("counted").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int64))], names=["key"])
 
 
 def _posts(n: int, percent: int, broadcast):
     def run(batches):
-        levels, seen = np.frombuffer(broadcast.value, np.uint8), set()
+        bits, seen = np.frombuffer(broadcast.value, np.uint8), set()
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
                 rows = batch.slice(part, 500)
@@ -122,7 +100,7 @@ def _posts(n: int, percent: int, broadcast):
                     digest = xxhash.xxh128_digest(grams.tobytes())
                     if len(grams) and digest not in seen:  # of the equal sets of one task, one is enough
                         seen.add(digest)
-                        keys.append(prefix(grams, levels, percent))
+                        keys.append(prefix(grams, bits, percent))
                         sets.append(np.full(len(keys[-1]), int.from_bytes(digest[:8], "little", signed=True), np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sets))], names=["key", "set_a"])
@@ -269,7 +247,8 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     The document by n-gram incidence matrix is multiplied by its transpose block by block, and
     counts below the bound that both sizes give are discarded. Which blocks meet is decided by the
     rare n-grams: in one order of all n-grams, rare ones first, linked sets share one of their first
-    few (prefix_length). Each set joins the cluster of the smallest set that it shares such an
+    few (prefix_length). A fixed share of the n-grams, by hash, is counted over all documents to tell which are rare;
+    that decides what is looked up, never whether a pair is found. Each set joins the cluster of the smallest set that it shares such an
     n-gram with, one step, never along chains; clusters are multiplied with themselves. Then a set
     goes to the other clusters of those n-grams whose sets are not connected yet. A block pair
     returns a spanning forest of its links, never its pairs, and equal sets are collapsed first. The
@@ -277,15 +256,17 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    seen = staged(arrow_pass(base, _profiles(n), "doc_id long, n_shingles long, set_a long, set_b long, repeated binary"), "ngram-profiles")
-    profiles = seen.where("repeated is null").drop("repeated")
+    seen = staged(arrow_pass(base, _profiles(n, percent), "doc_id long, n_shingles long, set_a long, set_b long, counted binary"), "ngram-profiles")
+    profiles = seen.where("counted is null").drop("counted")
     named = profiles.where("doc_id is not null and set_a is not null")
     reps = named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max("n_shingles").alias("size"))
     copies = named.join(reps.where("rep <> last").select("set_a", "set_b", "rep"), ["set_a", "set_b"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     copies = staged(copies, "ngram-copies")
 
-    levels = spark.sparkContext.broadcast(frequency_levels(seen).tobytes())
-    raw = staged(arrow_pass(base, _posts(n, percent, levels), "key long, set_a long"), "ngram-raw")
+    counted = arrow_pass(seen.where("counted is not null").select("counted"), _counted, "key long")
+    common = staged(counted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "ngram-common")
+    bits = spark.sparkContext.broadcast(bit_filter(common).tobytes())
+    raw = staged(arrow_pass(base, _posts(n, percent, bits), "key long, set_a long"), "ngram-raw")
     shared = raw.groupBy("key").agg(F.min("set_a").alias("first"), F.max("set_a").alias("last")).where("first <> last").select("key")
     shared = staged(shared, "ngram-shared")
     posts = raw.join(bounded(shared), "key", "left_semi").distinct()

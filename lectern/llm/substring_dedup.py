@@ -6,17 +6,14 @@ import hashlib
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import MIX_A, U64, arrow_pass, discard, mix, staged, window_hashes, word_hashes
+from lectern.llm.common import MIX_A, U64, arrow_pass, bit_filter, discard, in_filter, mix, staged, window_hashes, word_hashes
 
 #: A difference cover. Any two places have a common shift below the period that brings both, modulo it, into the cover.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
-#: Bits of the anchor filter per shared anchor, and its least and most bits; a full filter costs time, not results.
-FILTER_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 #: Windows of a chunk at most (they are the bits of a long), one window in so many that starts a chunk, and parts that the rows of a chunk are dealt to.
 CHUNK, CUT_ONE_IN, SALTS = 64, 16, 8
 #: Words of texts that are hashed at a time.
@@ -96,28 +93,6 @@ def _anchor_rows(window: int):
     return run
 
 
-def _filter_blocks(bits: int):
-    block = min(bits, 1 << 19)
-
-    def run(batches):
-        blocks: dict[int, np.ndarray] = {}
-        for batch in batches:
-            slot = (mix(batch.column("key").to_numpy().view(U64)) & U64(bits - 1)).astype(np.int64)
-            slot.sort()
-            for b in np.unique(slot // block):
-                lo, hi = np.searchsorted(slot, (b * block, (b + 1) * block))
-                blocks.setdefault(int(b), np.zeros(block, bool))[slot[lo:hi] - b * block] = True
-        for b, flags in blocks.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
-
-    return run
-
-
-def _either(pdf: pd.DataFrame) -> pd.DataFrame:
-    whole = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
-    return pd.DataFrame({"block": pdf["block"].iloc[:1].to_numpy(), "bits": [whole.tobytes()]})
-
-
 def chunked(starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First position, length and hash of each chunk of the windows at `starts` with hashes `keys`.
 
@@ -134,13 +109,12 @@ def chunked(starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, n, mix(np.add.reduceat(mix(keys + inside * MIX_A), first) + n.astype(U64))
 
 
-def _chunk_rows(window: int, broadcast, bits: int):
+def _chunk_rows(window: int, broadcast):
     def run(batches):
         shared = np.frombuffer(broadcast.value, np.uint8)
         for block in blocks(batches, window):
             at, key = block.anchors(window)
-            slot = (mix(key) & U64(bits - 1)).astype(np.int64)
-            at = at[(shared[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)]
+            at = at[in_filter(shared, key)]
             if not len(at):
                 continue
             starts = block.candidates(at, window)
@@ -225,18 +199,9 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
 
     keys = arrow_pass(base, _anchor_rows(window), "key long, least long, most long").groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("key")
     keys = staged(keys, "shared-anchors")
-    bits = LEAST_BITS
-    while bits < min(MOST_BITS, keys.count() * FILTER_BITS):
-        bits *= 2
-    parts = arrow_pass(keys.coalesce(64), _filter_blocks(bits), "block long, bits binary")  # so a block has 64 rows at most
-    blocks = parts.groupBy("block").applyInPandas(_either, "block long, bits binary").collect()  # bits / 8 bytes in all
-    merged = bytearray(bits // 8)
-    for row in blocks:
-        at = row["block"] * len(row["bits"])
-        merged[at : at + len(row["bits"])] = row["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(bytes(merged))
-
-    chunks = staged(arrow_pass(base, _chunk_rows(window, shared, bits), "chunk long, doc_id long, ta long, place int, n int, keys binary"), "chunks")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(keys).tobytes())
+
+    chunks = staged(arrow_pass(base, _chunk_rows(window, shared), "chunk long, doc_id long, ta long, place int, n int, keys binary"), "chunks")
     places = staged(chunks.drop("keys"), "chunk-places")
     distinct = chunks.groupBy("chunk").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
     windows = staged(arrow_pass(distinct, _window_rows, "key long, doc_id long, chunk long, inside int"), "windows")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_pass, hashed_sample
+from lectern.llm.common import arrow_pass, hashed_sample, release
 
 #: Documents that the linear scorer is fitted on at most (those with the least hash), and its hashed features.
 SAMPLE_DOCS, FEATURES = 4000, 1 << 12
@@ -17,11 +17,11 @@ REJECT_BELOW = 0.5
 
 
 def measures() -> dict[str, Column]:
-    """What the labellers look at; all from `text`, JVM side."""
+    """What the labellers look at; all from `text` and its `words`, JVM side."""
     text = F.coalesce(F.col("text"), F.lit(""))
     n = F.greatest(F.length(text), F.lit(1))
     share = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / n
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    words = F.col("words")
     count = F.greatest(F.size(words), F.lit(1))
     return {
         "n_words": F.size(words),
@@ -30,11 +30,17 @@ def measures() -> dict[str, Column]:
         "marks": share(r"[^\p{L}\p{N}\s.,;:'\"()\-]+"),
         "digits": share(r"\p{N}+"),
         "distinct": F.size(F.array_distinct(words)) / count,
-        "runs": F.size(F.filter(F.arrays_zip(words.alias("w"), F.slice(words, 2, count).alias("next")), lambda z: z["w"] == z["next"])) / count,
+        "runs": F.size(F.filter(words, lambda w, i: w == F.get(words, i + 1))) / count,
         "longest": F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0)),
     }
 
 
+def voted(docs: DataFrame) -> DataFrame:
+    """docs with the measures and votes of each text; its words are split once."""
+    words = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"\s+"), lambda w: w != "")
+    return docs.withColumn("words", words).withColumns(measures()).drop("words").withColumns(votes())
+
+
 def votes() -> dict[str, Column]:
     """Each labeller: 1 for good, 0 for bad, null where it has no opinion. They overlap on purpose."""
     c, when = F.col, F.when
@@ -138,27 +144,36 @@ def _score(broadcast):
 
 
 def _features_of(batches):
+    """The features that are not zero: their slots and values."""
     for batch in batches:
-        x = [features(t).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
+        slots, values = [], []
+        for text in batch.column("text").to_pylist():
+            x = features(text).astype("<f4")
+            at = np.flatnonzero(x)
+            slots.append(at.astype("<u2").tobytes())
+            values.append(x[at].tobytes())
         keep = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(x, pa.binary())], names=[*keep, "x"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(slots, pa.binary()), pa.array(values, pa.binary())], names=[*keep, "slots", "x"])
 
 
 def fit_quality(docs: DataFrame) -> tuple[LabelModel, np.ndarray]:
     """The label model, from the vote patterns of all documents, and the scorer, from a bounded sample of them.
 
-    There are at most 3 to the number of labellers patterns; their counts are all that the driver gets.
+    There are at most 3 to the number of labellers patterns; their counts and the sample's features are all that the driver gets.
     """
     named = list(votes())
-    voted = docs.select(F.col("text").cast("string").alias("text")).withColumns(measures()).withColumns(votes())
-    rows = voted.groupBy(*named).agg(F.count(F.lit(1)).alias("n")).orderBy(*named).collect()
+    rows = voted(docs.select(F.col("text").cast("string").alias("text"))).groupBy(*named).agg(F.count(F.lit(1)).alias("n")).orderBy(*named).collect()
     model = LabelModel([tuple(r[v] for v in named) for r in rows], [r["n"] for r in rows])
-    sample = hashed_sample(docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id")), SAMPLE_DOCS, "doc_id", "text").select("text").withColumns(measures()).withColumns(votes()).select("text", *named)
+    sample = hashed_sample(docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id")), SAMPLE_DOCS, "doc_id", "text").select("text")
+    sample = voted(sample).select("text", *named)
     x, patterns = np.zeros((SAMPLE_DOCS, FEATURES), np.float32), []
-    for row in arrow_pass(sample, _features_of, ", ".join(f"{v} int" for v in named) + ", x binary").toLocalIterator():
-        x[len(patterns)] = np.frombuffer(row["x"], np.float32)
+    for row in arrow_pass(sample, _features_of, ", ".join(f"{v} int" for v in named) + ", slots binary, x binary").toLocalIterator():
+        x[len(patterns), np.frombuffer(row["slots"], "<u2")] = np.frombuffer(row["x"], "<f4")
         patterns.append(tuple(row[k] for k in named))
-    return model, fit_linear(x[: len(patterns)], model.posterior(LabelModel.coded(patterns)))
+    w = fit_linear(x[: len(patterns)], model.posterior(LabelModel.coded(patterns)))
+    del x
+    release()
+    return model, w
 
 
 def quality_scores(docs: DataFrame) -> DataFrame:

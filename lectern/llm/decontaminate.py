@@ -17,6 +17,8 @@ WINDOW, SUBSTITUTIONS = 13, 2
 LEAST_WORDS = 8
 #: Windows of the benchmark that are joined in one pass over the documents; a larger benchmark takes more passes.
 BLOCK_WINDOWS = 2_000_000
+#: Pairs of equal seeds that are verified at once.
+PAIRS = 100_000
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -35,65 +37,97 @@ def allowed(width: int) -> int:
     return SUBSTITUTIONS if width >= WINDOW else int(width >= LEAST_WORDS)
 
 
-def seed_hashes(h: np.ndarray, mask: np.ndarray, width: int, name: int) -> np.ndarray:
-    out = np.full(max(0, len(h) - width + 1), U64(name * 1000 + width))
-    for k in mask:
-        out = mix(out + h[k : len(h) - width + 1 + k])
-    return out
+def place_factors(width: int) -> np.ndarray:
+    """An odd factor for each place of a window."""
+    return mix(np.arange(1, width + 1, dtype=U64)) | U64(1)
+
+
+def scaled(h: np.ndarray, width: int) -> list[np.ndarray]:
+    """For each place of a window, the words at it times its factor: seeds and windows are sums of some of these."""
+    n = max(0, len(h) - width + 1)
+    return [h[k : n + k] * f for k, f in enumerate(place_factors(width))]
+
+
+def seed_hashes(parts: list[np.ndarray], mask: np.ndarray, name: int) -> np.ndarray:
+    return mix(sum((parts[k] for k in mask[1:]), parts[mask[0]] + U64(name)))
 
 
 class Index:
-    """Seeds of a block of benchmark items: sorted hashes, with item and position of each."""
+    """Seeds of a block of benchmark items: sorted hashes, with item and position of each.
+
+    Equal windows of an item stand for themselves once, at their first place.
+    """
 
     def __init__(self, items: list[tuple[int, np.ndarray]]) -> None:
-        self.items = items
-        self.widths = sorted({min(WINDOW, len(h)) for _, h in items})
-        self.seeds = {}
-        for width in self.widths:
+        self.ids = np.array([i for i, _ in items], np.int64)
+        lengths = np.array([len(h) for _, h in items])
+        self.words = np.concatenate([h for _, h in items])
+        self.first = np.cumsum(lengths) - lengths
+        self.width = np.minimum(WINDOW, lengths)
+        owner = np.repeat(np.arange(len(items)), lengths)
+        self.seeds: dict[int, list[tuple]] = {}
+        for width in sorted(set(self.width.tolist())):
+            parts, own = scaled(self.words, width), owner[: max(0, len(self.words) - width + 1)]
+            at = np.flatnonzero((self.width[own] == width) & (np.arange(len(own)) + width <= (self.first + lengths)[own]))
+            at = at[_firsts(seed_hashes(parts, np.arange(width), 99)[at], own[at])]
+            self.seeds[width] = []
             for m, mask in enumerate(masks(width, allowed(width))):
-                keys, owner, place = [], [], []
-                for n, (_, h) in enumerate(items):
-                    if min(WINDOW, len(h)) == width:
-                        k = seed_hashes(h, mask, width, m)
-                        keys.append(k)
-                        owner.append(np.full(len(k), n))
-                        place.append(np.arange(len(k)))
-                keys, owner, place = map(np.concatenate, (keys, owner, place))
-                order = np.argsort(keys, kind="stable")
-                sieve = np.zeros(1 << 20, bool)
+                keys = seed_hashes(parts, mask, m)[at]
+                order, sieve = np.argsort(keys, kind="stable"), np.zeros(1 << 20, bool)
                 sieve[(keys & U64((1 << 20) - 1)).astype(np.int64)] = True
-                self.seeds[width, m] = mask, keys[order], owner[order], place[order], sieve
-
-    def matches(self, h: np.ndarray) -> dict[int, tuple[int, int, int]]:
-        """item number -> (words that match in its best window, -document position, -item position)."""
-        found: dict[int, tuple[int, int, int]] = {}
-        for (width, m), (mask, keys, owner, place, sieve) in self.seeds.items():
+                self.seeds[width].append((mask, keys[order], at[order], own[at[order]], sieve))
+
+    def matches(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Rows (number of the document, number of the item, document position, item position, words that match in the best window)."""
+        lengths = np.array([len(h) for h in docs])
+        h, first = np.concatenate([*docs, np.empty(0, U64)]), np.cumsum(lengths) - lengths
+        owner, found = np.repeat(np.arange(len(docs)), lengths), [np.empty((0, 5), np.int64)]
+        for width, seeds in self.seeds.items():
             if len(h) < width:
                 continue
-            s = seed_hashes(h, mask, width, m)
-            at = np.flatnonzero(sieve[(s & U64((1 << 20) - 1)).astype(np.int64)])
-            if not len(at):
-                continue
-            lo, hi = np.searchsorted(keys, s[at], "left"), np.searchsorted(keys, s[at], "right")
-            for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                for k in range(a, b):
-                    n, q = int(owner[k]), int(place[k])
-                    same = int(np.count_nonzero(h[p : p + width] == self.items[n][1][q : q + width]))
-                    if same >= width - allowed(width):
-                        found[n] = max(found.get(n, (0, 0, 0)), (same, -p, -q))
-        return found
+            parts, own = scaled(h, width), owner[: len(h) - width + 1]
+            whole = np.arange(len(own)) + width <= (first + lengths)[own]
+            inside = np.arange(width)
+            for m, (mask, keys, places, items, sieve) in enumerate(seeds):
+                s = seed_hashes(parts, mask, m)
+                at = np.flatnonzero(sieve[(s & U64((1 << 20) - 1)).astype(np.int64)] & whole)
+                lo, hi = np.searchsorted(keys, s[at], "left"), np.searchsorted(keys, s[at], "right")
+                at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
+                if not len(at):
+                    continue
+                full = mix(sum((parts[k][at] for k in range(1, width)), parts[0][at]))
+                once = _firsts(full, own[at])
+                at, lo, hi = at[once], lo[once], hi[once]
+                ends = np.cumsum(hi - lo)
+                for begin in range(0, int(ends[-1]), PAIRS):  # pairs of equal seeds, so many at a time
+                    pair = np.arange(begin, min(begin + PAIRS, int(ends[-1])))
+                    k = np.searchsorted(ends, pair, "right")
+                    post = lo[k] + pair - (ends[k] - (hi - lo)[k])
+                    p, q = at[k], places[post]
+                    same = (h[p[:, None] + inside] == self.words[q[:, None] + inside]).sum(1)
+                    good = np.flatnonzero(same >= width - allowed(width))
+                    d, n = own[p[good]], items[post[good]]
+                    found.append(np.stack([d, n, p[good] - first[d], q[good] - self.first[n], same[good]], 1))
+        rows = np.concatenate(found)
+        rows = rows[np.lexsort((rows[:, 3], rows[:, 2], -rows[:, 4], rows[:, 1], rows[:, 0]))]
+        return rows[np.flatnonzero(np.concatenate([[True], (np.diff(rows[:, :2], axis=0) != 0).any(1)]))] if len(rows) else rows
+
+
+def _firsts(windows: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Ascending positions of the first of equal windows of each owner."""
+    return np.sort(np.unique(mix(windows + owner.astype(U64)), return_index=True)[1])
 
 
 def _matches(broadcast):
     def run(batches):
         index = Index([(i, np.frombuffer(b, U64)) for i, b in broadcast.value])
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if text:
-                    rows += [(doc, index.items[n][0], -p, -q, same, min(WINDOW, len(index.items[n][1]))) for n, (same, p, q) in index.matches(tokens(text)).items()]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "doc_word", "item_word", "matched", "width"])
+            for begin in range(0, batch.num_rows, 100):
+                part = batch.slice(begin, 100)
+                rows = index.matches([tokens(t) for t in part.column("text").to_pylist()])
+                item = rows[:, 1]
+                cols = [index.ids[item], rows[:, 2], rows[:, 3], rows[:, 4], index.width[item]]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows[:, 0])), *[pa.array(c, pa.int64()) for c in cols]], names=["doc_id", "item_id", "doc_word", "item_word", "matched", "width"])
 
     return run
 
@@ -103,8 +137,9 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A window is 13 words, or a shorter item's whole length; in 13, up to two words may be
     substituted, in 8 to 12 one, in fewer none. The columns tell the best window: its first word in either, how many words
-    match, its width. Null texts, null ids of items, and items without words match nothing; repeated
-    rows of documents are told each; extra columns are ignored; empty tables give an empty result.
+    match, its width; of equally good ones the first in the document, then in the item. Null texts, null ids of items, and items without words match nothing; repeated
+    rows of documents are told each, of items that repeat an id each text; extra columns are ignored; empty tables give an empty
+    result. Equal windows of a text are looked up once, so that long repetitive texts cost no more than others.
 
     Six fixed masks leave out two of four parts of the 13 places, so every pair of substitutions is
     ignored by one of them: seeds under the masks are joined, hits are verified word by word. The benchmark is

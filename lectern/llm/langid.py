@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import U64, arrow_pass, crc_mod, hashed_sample, mix
+from lectern.llm.common import U64, arrow_pass, crc_mod, mix
 
-#: Documents per language that filters are learned from at most, those with the least hash; n-grams that are counted at once.
-SAMPLE_DOCS, COUNTED = 1500, 1_000_000
+#: Documents per language that filters are learned from at most, those with the least hash.
+SAMPLE_DOCS = 1500
 #: Slots of the bit-sliced filter (a 64-bit mask for each 64 languages), hashes per n-gram, n-grams of a language at most.
 SLOTS, HASHES, NGRAMS = 1 << 19, 3, 20_000
 #: Byte lengths of the n-grams.
@@ -63,51 +63,36 @@ class Filters:
         return np.clip((count / max(1, total) - self.false) / (1 - self.false), 0, 1)
 
 
-def profiles(counts: dict[str, dict[str, int]] | dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
-    """The n-grams that mark each language: frequent in it, and at least a third as frequent as anywhere in another.
-
-    counts: per language the codes and how often each occurs, with equal weight for each language.
-    """
-    codes = np.unique(np.concatenate([c for c, _ in counts.values()])) if counts else np.empty(0, U64)
-    top = np.zeros(len(codes))
-    for c, n in counts.values():
-        at = np.searchsorted(codes, c)
-        top[at] = np.maximum(top[at], n / max(1, n.sum()))
-    out = {}
-    for language, (c, n) in counts.items():
-        r = n / max(1, n.sum())
-        ok = np.flatnonzero((r > 0) & (r * 3 >= top[np.searchsorted(codes, c)]))
-        best = ok[np.lexsort((c[ok], -r[ok]))][:NGRAMS]
-        out[language] = c[best]
-    return out
-
-
-def _merged(codes: list[np.ndarray], total: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of codes added to a total of (codes, counts)."""
-    new, n = np.unique(np.concatenate(codes) if codes else np.empty(0, U64), return_counts=True)
-    both, at = np.unique(np.concatenate([total[0], new]), return_inverse=True)
-    out = np.zeros(len(both), np.int64)
-    np.add.at(out, at, np.concatenate([total[1], n]))
-    return both, out
+def _counted(batches):
+    """Codes of each language's texts with their counts, a few texts at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 500):
+            rows = batch.slice(begin, 500)
+            texts: dict[str, list[np.ndarray]] = {}
+            for lang, text in zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist(), strict=True):
+                texts.setdefault(lang, []).extend(gram_codes(text, width) for width in WIDTHS)
+            for lang, codes in texts.items():
+                code, n = np.unique(np.concatenate(codes), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "code", "n"])
 
 
 def learn(docs: DataFrame) -> Filters:
-    """Filters from the text and lang of docs: at most SAMPLE_DOCS documents a language, those of the least text hash, whole."""
-    labelled = docs.where("lang is not null and text is not null and text <> ''").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
-    for language in languages:
-        part = hashed_sample(labelled.where(F.col("lang") == language), SAMPLE_DOCS, "doc_id", "text")
-        flat, total = [], (np.empty(0, U64), np.empty(0, np.int64))
-        for row in part.select("text").toLocalIterator():
-            for width in WIDTHS:
-                flat.append(gram_codes(row["text"], width))
-            if sum(map(len, flat)) >= COUNTED:
-                total, flat = _merged(flat, total), []
-        total = _merged(flat, total)
-        if len(total[0]):
-            counts[language] = total
-    return Filters(profiles(counts))
+    """Filters from the text and lang of docs: at most SAMPLE_DOCS documents a language, those of the least hash, whole.
+
+    A filter holds the n-grams that mark a language: frequent in it, and at least a third as frequent as anywhere in another,
+    each language with equal weight; the most frequent NGRAMS of them, smaller codes first among equals. Samples of all languages are drawn
+    and counted together; the driver gets the chosen n-grams.
+    """
+    labelled = docs.where("lang is not null and text is not null and text <> ''").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    ranked = labelled.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= SAMPLE_DOCS)
+    last = ranked.groupBy("lang").agg(F.max("h").alias("last"))  # a row for each language
+    few = labelled.join(F.broadcast(last), "lang").where("h <= last").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    counts = arrow_pass(few.select("lang", "text"), _counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    rates = counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
+    marking = rates.withColumn("top", F.max("rate").over(Window.partitionBy("code"))).where("rate * 3 >= top")
+    chosen = marking.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), "code"))).where(F.col("k") <= NGRAMS)
+    codes = chosen.groupBy("lang").agg(F.collect_list("code").alias("codes")).collect()
+    return Filters({r["lang"]: np.array(r["codes"], np.int64).view(U64) for r in codes})
 
 
 def _predict(broadcast):

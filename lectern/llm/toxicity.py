@@ -12,130 +12,117 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import arrow_pass, bounded, crc_mod, hashed_sample
 
-#: Labelled examples at most (those with the least hash of doc_id), neighbours that vote, terms at most,
-#: documents of an index block, examples that leave-one-out calibration takes at most.
-EXAMPLES, NEIGHBOURS, TERMS, BLOCK, CALIBRATION = 10_000, 15, 4096, 128, 2000
-#: A term is a whole word or a beginning of one, of these lengths.
-PREFIXES = (4, 5, 6)
+#: Labelled examples at most (those with the least hash of doc_id), neighbours that vote, examples of an index block,
+#: examples that calibration scores at most, and the folds that they are held out in.
+EXAMPLES, NEIGHBOURS, BLOCK, CALIBRATION, FOLDS = 4000, 15, 128, 2000, 3
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"[^\W\d_]+")
 
+#: An example: its doc_id, its words with their counts, its label.
+Example = tuple[int, dict[str, int], int]
 
-def terms_of(text: str) -> set[str]:
-    """`=word` and `^beginning` of each lower-cased word of letters."""
-    words = set(_WORD.findall(text.lower()))
-    return {f"={w}" for w in words if len(w) >= 3} | {f"^{w[:k]}" for w in words for k in PREFIXES if len(w) >= k}
 
+def word_counts(text: str | None) -> Counter:
+    """How often each lower-cased word of letters occurs in the whole text."""
+    return Counter(_WORD.findall((text or "").lower()))
 
-def choose_terms(examples: list[tuple[int, str, int]]) -> dict[str, float]:
-    """Terms that mark toxic examples, with their inverse document frequencies.
 
-    A term stays if half of its examples are toxic, and if toxic ones among its examples exceed the base rate by more than chance gives to
-    one of all the terms at hand: examples * KL(rate, base rate) >= ln(terms) - 3.
+def term_weights(examples: list[Example]) -> tuple[dict[str, int], np.ndarray]:
+    """Every word of the examples, numbered, and its weight: the inverse document frequency, times more the surer it marks toxic ones.
+
+    The surplus is the log-likelihood (examples with the word times the divergence of their toxic rate from the
+    base rate) beyond 3, which chance seldom gives. All words keep at least their inverse document frequency.
     """
-    n, toxic = len(examples), Counter()
-    for _, text, label in examples:
+    n, seen, toxic = len(examples), Counter(), Counter()
+    for _, words, label in examples:
+        seen.update(words.keys())
         if label:
-            toxic.update(terms_of(text))
+            toxic.update(words.keys())
+    names = {t: k for k, t in enumerate(sorted(seen))}
     base = sum(y for _, _, y in examples) / n if n else 0
-    if not 0 < base < 1:
-        return {}
-    need, toxic, seen = np.log(max(20, len(toxic))) - 3, {t: a for t, a in toxic.items() if a >= 3}, Counter()
-    for _, text, _ in examples:
-        seen.update(t for t in terms_of(text) if t in toxic)
-    scored = []
-    for term, a in toxic.items():
-        m = seen[term]
-        rate = a / m
-        gain = m * (rate * np.log(rate / base) + ((1 - rate) * np.log((1 - rate) / (1 - base)) if rate < 1 else 0))
-        if rate >= max(0.5, 2 * base) and gain >= need:
-            scored.append((-gain, term, np.log((1 + n) / (1 + m)) + 1))
-    return {t: float(w) for _, t, w in sorted(scored)[:TERMS]}
-
-
-class Matcher:
-    """Counts of the chosen terms in a text, in one pass of an Aho-Corasick automaton over the whole of it."""
-
-    def __init__(self, terms: dict[str, float]) -> None:
-        self.names = sorted(terms)
-        self.idf = np.array([terms[t] for t in self.names])
-        by_word: dict[str, list[tuple[bool, int]]] = {}
-        for k, t in enumerate(self.names):
-            by_word.setdefault(t[1:], []).append((t[0] == "=", k))
-        self.automaton = None
-        if by_word:
-            import ahocorasick
-
-            self.automaton = ahocorasick.Automaton()
-            for word, uses in by_word.items():
-                self.automaton.add_word(word, (len(word), uses))
-            self.automaton.make_automaton()
-
-    def counts(self, text: str | None) -> Counter:
-        out: Counter = Counter()
-        if not text or self.automaton is None:
-            return out
-        low = text.lower()
-        for end, (size, uses) in self.automaton.iter(low):
-            if end >= size and low[end - size].isalpha():
-                continue
-            inner = end + 1 < len(low) and low[end + 1].isalpha()
-            for whole, k in uses:
-                if not (whole and inner):
-                    out[k] += 1
-        return out
-
-    def vector(self, text: str | None) -> tuple[tuple[int, float], ...]:
-        """Unit TF-IDF vector: (1 + ln count) * idf."""
-        pairs = sorted((k, (1 + np.log(n)) * self.idf[k]) for k, n in self.counts(text).items())
-        norm = float(np.sqrt(sum(w * w for _, w in pairs)))
-        return tuple((k, float(w / norm)) for k, w in pairs)
+    df, dp = np.array([seen[t] for t in names], float), np.array([toxic[t] for t in names], float)
+    weights = np.log((1 + n) / (1 + df)) + 1
+    if 0 < base < 1:
+        rate = (dp + base) / (df + 1)
+        gain = df * (rate * np.log(rate / base) + (1 - rate) * np.log((1 - rate) / (1 - base)))
+        weights *= 1 + np.where(rate > 2 * base, np.maximum(0, gain - 3), 0)
+    return names, weights
 
 
 class Index:
-    """Inverted lists in blocks of examples, with the largest weight of each list in each block."""
-
-    def __init__(self, vectors: list[tuple[tuple[int, float], ...]], labels: list[int], terms: int) -> None:
-        self.labels, self.n = np.array(labels, float), len(vectors)
-        blocks = -(-self.n // BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for d, v in enumerate(vectors):
-            for k, w in v:
-                lists[k].append((d, w))
-        self.docs = [np.array([d for d, _ in x], np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        self.most = np.zeros((terms, blocks), np.float32)
-        for k in range(terms):
-            np.maximum.at(self.most[k], self.docs[k] // BLOCK, np.nextafter(self.weights[k].astype(np.float32), np.float32(2)))
-        self.starts = [np.searchsorted(d, np.arange(blocks + 1) * BLOCK) for d in self.docs]
-        empty = np.array([not v for v in vectors], bool)
-        self.base = float((self.labels[empty].sum() + self.labels.mean()) / (empty.sum() + 1)) if self.n else 0.5
-
-    def nearest(self, vector: tuple[tuple[int, float], ...], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
+    """Inverted lists of unit vectors in blocks of examples, with the largest weight of each list in each block.
+
+    Examples are placed in blocks by label and by their heaviest word, so that like ones share blocks and
+    bounds are tight; ties between neighbours go by position, so by that order.
+    """
+
+    def __init__(self, examples: list[Example]) -> None:
+        self.names, self.idf = term_weights(examples)
+        vectors = [self.vector(words) for _, words, _ in examples]
+        order = sorted(range(len(examples)), key=lambda k: (-examples[k][2], int(vectors[k][0][np.argmax(vectors[k][1])]) if len(vectors[k][0]) else -1, examples[k][0]))
+        self.ids = [examples[k][0] for k in order]
+        self.labels = np.array([examples[k][2] for k in order], float)
+        self.base = float(self.labels.mean()) if len(order) else 0.5
+        size = [len(vectors[k][0]) for k in order]
+        term = np.concatenate([vectors[k][0] for k in order] or [np.empty(0, np.int64)])
+        self.weight = np.concatenate([vectors[k][1] for k in order] or [np.empty(0)])
+        self.doc = np.repeat(np.arange(len(order)), size)
+        by_term = np.argsort(term, kind="stable")
+        term, self.weight, self.doc = term[by_term], self.weight[by_term], self.doc[by_term]
+        # one entry for each word and block: where its list begins there, and its largest weight
+        self.blocks = -(-len(order) // BLOCK)
+        cell = term * max(1, self.blocks) + self.doc // BLOCK
+        self.begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, np.int64)
+        self.length = np.diff(self.begin, append=len(cell))
+        self.block = self.doc[self.begin] // BLOCK
+        self.most = np.maximum.reduceat(self.weight, self.begin) if len(cell) else np.empty(0)
+        self.entries = np.searchsorted(term[self.begin], np.arange(len(self.names) + 1))
+
+    def vector(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Unit TF-IDF vector over the known words, (1 + ln count) * weight: their numbers, ascending, and values."""
+        known = sorted((self.names[t], n) for t, n in words.items() if t in self.names)
+        at = np.array([k for k, _ in known], np.int64)
+        value = (1 + np.log(np.array([n for _, n in known], float))) * self.idf[at]
+        return at, value / np.sqrt(value @ value) if len(at) else value
+
+    def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k examples of largest cosine, smaller positions first among equals; exact: a block is left out only if its bound can't reach the k-th."""
-        if not vector or not self.n:
+        at, value = vector
+        if not len(at):
             return []
-        bound = sum(w * self.most[t].astype(float) for t, w in vector) + 1e-9
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 1e-9 or len(best) >= k and bound[b] < best[k - 1][0]:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in vector:
-                lo, hi = self.starts[t][b], self.starts[t][b + 1]
-                score[self.docs[t][lo:hi] - b * BLOCK] += w * self.weights[t][lo:hi]
-            at = np.flatnonzero(score > (best[k - 1][0] - 1e-9 if len(best) >= k else 0))
-            best += [(float(round(score[x], 12)), b * BLOCK + int(x)) for x in at if b * BLOCK + x != without]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        entry, own = _ranges(self.entries[at], self.entries[at + 1])
+        weight, block = value[own], self.block[entry]
+        bound = np.bincount(block, weight * self.most[entry], self.blocks) + 1e-9
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bound, kind="stable")[: max(2, self.blocks // 8)]] = True
+        score = self._scores(entry, weight, first[block])
+        least = np.partition(score, -k)[-k] - 1e-9 if len(score) > k else 0
+        rest = ~first & (bound >= max(least, 1e-9))
+        if rest.any():
+            score += self._scores(entry, weight, rest[block])
+        score = np.round(score, 12)
+        some = np.flatnonzero(score >= max(np.partition(score, -k)[-k] if len(score) > k else 0, 1e-12))
+        return [(float(score[d]), int(d)) for d in some[np.lexsort((some, -score[some]))][:k]]
+
+    def _scores(self, entry: np.ndarray, weight: np.ndarray, keep: np.ndarray) -> np.ndarray:
+        entry, weight = entry[keep], weight[keep]
+        post, own = _ranges(self.begin[entry], self.begin[entry] + self.length[entry])
+        return np.bincount(self.doc[post], weight[own] * self.weight[post], len(self.labels))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of toxic neighbours, weighted by squared cosine, with the base rate as a weak neighbour."""
         if not near:
             return self.base
         w = np.array([s * s for s, _ in near])
-        return float((w @ self.labels[[d for _, d in near]] + 0.05 * self.labels.mean()) / (w.sum() + 0.05))
+        return float((w @ self.labels[[d for _, d in near]] + 0.05 * self.base) / (w.sum() + 0.05))
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one after the other, and the range that each is of."""
+    n = end - begin
+    own = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(own)) + np.repeat(begin - (np.cumsum(n) - n), n), own
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,40 +138,47 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """The matcher, the index and a calibration from leave-one-out votes."""
-
-    def __init__(self, examples: list[tuple[int, str, int]]) -> None:
-        self.matcher = Matcher(choose_terms(examples))
-        vectors = [self.matcher.vector(text) for _, text, _ in examples]
-        labels = [y for _, _, y in examples]
-        self.ids = [d for d, _, _ in examples]
-        self.index = Index(vectors, labels, len(self.matcher.names))
+    """The index over all examples, and a calibration from votes on examples that were held out of the index."""
+
+    def __init__(self, examples: list[Example]) -> None:
+        self.index = Index(examples)
         self.knots = self.rates = np.empty(0)
-        filled = [k for k, v in enumerate(vectors) if v][:CALIBRATION]
-        if filled:
-            votes = np.array([self.index.vote(self.index.nearest(vectors[k], without=k)) for k in filled])
-            self.knots, self.rates = isotonic(votes, np.array([labels[k] for k in filled], float))
+        votes, labels = [], []
+        for fold in range(FOLDS if 0 < self.index.base < 1 else 0):
+            part = Index([e for k, e in enumerate(examples) if k % FOLDS != fold])
+            for e in examples[fold::FOLDS][: -(-CALIBRATION // FOLDS)]:
+                votes.append(part.vote(part.nearest(part.vector(e[1]))))
+                labels.append(e[2])
+        if votes:
+            self.knots, self.rates = isotonic(np.array(votes), np.array(labels, float))
         self.cache: dict = {}
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        vector = self.matcher.vector(text)
-        if vector not in self.cache:
-            if len(self.cache) > 50_000:
+        if text not in self.cache:  # repeated texts are scored once
+            if len(self.cache) > 2000:
                 self.cache.clear()
-            near = self.index.nearest(vector)
-            vote = self.index.vote(near)
-            calibrated = vote
+            near = self.index.nearest(self.index.vector(word_counts(text)))
+            vote = calibrated = self.index.vote(near)
             if near and len(self.knots):
                 calibrated = float(self.rates[min(np.searchsorted(self.knots, vote), len(self.rates) - 1)])
             # the calibrated rate, with a share of the vote itself to order equal rates
-            self.cache[vector] = float(np.clip(0.95 * calibrated + 0.05 * vote, 0, 1)), [self.ids[d] for _, d in near[:3]]
-        return self.cache[vector]
+            self.cache[text] = float(np.clip(0.95 * calibrated + 0.05 * vote, 0, 1)), [self.index.ids[d] for _, d in near[:3]]
+        return self.cache[text]
+
+
+def _vectors(batches):
+    for batch in batches:
+        counts = [word_counts(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("toxic"), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
+            names=["doc_id", "toxic", "words", "times"],
+        )
 
 
 def learn(labelled: DataFrame) -> Model:
-    """From (doc_id, text, toxic): at most EXAMPLES rows, in the order of doc_id."""
-    rows = sorted(labelled.limit(2 * EXAMPLES).collect(), key=lambda r: (r["doc_id"], r["text"] or ""))[:EXAMPLES]
-    return Model([(r["doc_id"], r["text"] or "", int(r["toxic"])) for r in rows])
+    """From (doc_id, text, toxic), a row for each doc_id; tasks count the words, so the driver gets counts, not texts."""
+    rows = arrow_pass(labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), _vectors, "doc_id long, toxic int, words array<string>, times array<int>").collect()
+    return Model([(r["doc_id"], dict(zip(r["words"], r["times"], strict=True)), r["toxic"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
 def _scores(broadcast):
@@ -201,17 +195,20 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (doc_ids of the three nearest examples) of every row of docs.
 
     Labels are learned only from rows whose crc32(doc_id as text) mod 3 is not 1; those are held_out
-    false. Labels other than 0 and 1 are not used, nor are doc_ids that labels contradict. Null or
-    empty text has no terms and gets the rate of toxic ones among examples without terms. Repeated
+    false. Labels other than 0 and 1 are not used, nor are doc_ids that labels contradict; of rows that repeat a
+    labelled doc_id the least text is learned from. Null or empty text, and text without a word of any example, has no neighbour and gets
+    the rate of toxic examples. Very long texts are one vector. Equally near examples are taken in the index's order. Repeated
     rows are scored each; extra columns are ignored; without labels every score is 0.5.
 
-    The index is over at most EXAMPLES examples and TERMS terms, so it is broadcast at a bounded size.
+    The index holds the whole TF-IDF vectors of at most EXAMPLES examples, so it is broadcast at a bounded size.
     """
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     known = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long"), "toxic").where(crc_mod("doc_id", 3) != 1)
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").select("doc_id", "toxic")
+    # doc_ids without a document are no examples, so they don't take places of the sample
+    known = known.join(base.select("doc_id").distinct(), "doc_id", "left_semi")
     sample = hashed_sample(known, EXAMPLES, "doc_id")
-    model = learn(base.join(bounded(sample, EXAMPLES), "doc_id"))
+    model = learn(base.join(bounded(sample, EXAMPLES), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     return arrow_pass(base, _scores(shared), "doc_id long, score double, evidence array<long>").withColumns({"held_out": held, "predicted": (F.col("score") >= THRESHOLD).cast("int")})

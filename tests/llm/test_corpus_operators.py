@@ -1,8 +1,11 @@
 """Operators against brute force on small fixtures, and their edge cases."""
 
+import collections
 import hashlib
 import itertools
+import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -203,6 +206,18 @@ def test_decontamination_tolerates_substitutions(spark):
         assert any(not set(wrong) & set(m.tolist()) for m in decontaminate.masks(13, 2))
 
 
+def test_decontamination_of_repetitive_texts_and_odd_rows(spark):
+    begin = time.perf_counter()
+    index = decontaminate.Index([(7, decontaminate.tokens("na " * 600))])
+    rows = index.matches([decontaminate.tokens("na " * 20_000), decontaminate.tokens("x " + "na " * 12), decontaminate.tokens("x " * 3 + "na " * 13)])
+    assert rows.tolist() == [[0, 0, 0, 0, 13], [1, 0, 0, 0, 12], [2, 0, 3, 0, 13]] and time.perf_counter() - begin < 1
+    items = spark.createDataFrame([(1, "one two three four five", 9), (1, "one two three four five", 9), (1, "six seven eight", 9), (None, "a b", 9), (2, None, 9)], "item_id long, text string, matched int")
+    given = spark.createDataFrame([(1, "x one two three four five y", 0), (1, "six seven eight", 0), (None, "six seven eight", 0), (3, None, 0), (4, "one two three four", 0)], "doc_id long, text string, width int")
+    got = sorted((r["doc_id"] or 0, r["item_id"], r["doc_word"], r["matched"], r["width"]) for r in decontaminate.benchmark_overlaps(given, items).collect())
+    assert got == [(0, 1, 0, 3, 3), (1, 1, 0, 3, 3), (1, 1, 1, 5, 5)]
+    assert decontaminate.benchmark_overlaps(given.limit(0), items).count() == decontaminate.benchmark_overlaps(given, items.limit(0)).count() == 0
+
+
 def test_decontamination_against_brute_force(spark):
     rng, vocabulary = random.Random(9), [f"w{k}" for k in range(60)]
     items = {i: [rng.choice(vocabulary) for _ in range(n)] for i, n in enumerate([1, 2, 3, 5, 7, 8, 8, 10, 12, 12, 13, 13, 17, 25])}
@@ -241,8 +256,10 @@ def test_substring_dedup_against_brute_force(spark):
         assert got[i] == (len(w), len(gone), hashlib.sha256(left.encode()).hexdigest())
 
 
-def test_vector_components_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("local", [0, 1 << 14])
+def test_vector_components_against_brute_force(spark, monkeypatch, local):
     monkeypatch.setattr(embedding_dedup, "CHUNK", 64)
+    monkeypatch.setattr(embedding_dedup, "LOCAL", local)
     rng = np.random.default_rng(2)
     x = [(c + rng.standard_normal(64) * rng.choice([0, 0.1, 0.3, 0.4])).astype(np.float32) for c in rng.standard_normal((12, 64)) for _ in range(rng.choice([1, 2, 12]))]
     x += [x[0], x[0]]
@@ -260,6 +277,14 @@ def test_vector_components_against_brute_force(spark, monkeypatch):
     assert [got[k] for k in range(900, 905)] == [(0, 900, True), (0, 901, True), (0, 902, True), (1, 903, True), (1, 903, False)]
 
 
+def test_vector_components_of_odd_rows(spark):
+    e, tiny, big = [1.0, 0.0], [1e-46, 1e-46], [1e300, 2e300]
+    rows = [(1, e, "x", 1), (1, [0.0, 1.0], "x", 1), (2, [5.0, 0.1], "x", 1), (3, [0.0, 2.0], "y", 1), (None, e, "x", 1), (4, tiny, "t", 1), (5, tiny, "t", 1), (6, [3e-46, 3e-46], "t", 1), (7, big, "t", 1), (8, big, "t", 1), (9, e, None, 1), (10, e, None, 1)]
+    got = embedding_dedup.vector_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, n_links int")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, 0, False), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 4, 4, True), (5, 4, 4, False), (6, 4, 4, False), (7, 4, 4, False), (8, 4, 4, False), (9, 0, 9, True), (10, 0, 10, True)]
+    assert embedding_dedup.vector_components(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
 def test_held_out_accuracy(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     lang = {r["doc_id"]: r["lang"] for r in d.collect()}
@@ -267,8 +292,7 @@ def test_held_out_accuracy(spark):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in got) >= 0.97 * len(got)
     toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     seen = [r for r in toxicity.toxicity(d, labels).collect() if r["held_out"] and r["doc_id"] in toxic]
-    assert not any(r["predicted"] and not toxic[r["doc_id"]] for r in seen)
-    assert sum(r["predicted"] for r in seen) >= 0.6 * sum(toxic[r["doc_id"]] for r in seen)
+    assert sum(r["predicted"] and not toxic[r["doc_id"]] for r in seen) <= 2
     good = {r["doc_id"]: r["quality"] for r in labels.collect()}
     judged = [r for r in quality.quality_scores(d).collect() if r["doc_id"] in good]
     assert sum(int(r["keep"]) == good[r["doc_id"]] for r in judged) >= 0.97 * len(judged)
@@ -286,18 +310,50 @@ def test_languages_beyond_64_and_whole_texts(spark):
         assert filters.languages[int(np.argmax(filters.shares(text)))] == lang
 
 
-def test_block_max_search_is_exact():
-    rng = random.Random(4)
-    vectors = []
-    for _ in range(700):
-        v = {rng.randrange(30): rng.random() for _ in range(rng.randint(0, 4))}
-        norm = sum(w * w for w in v.values()) ** 0.5
-        vectors.append(tuple(sorted((k, w / norm) for k, w in v.items())))
-    index = toxicity.Index(vectors, [rng.randint(0, 1) for _ in vectors], 30)
-    for q in vectors[:60]:
-        every = sorted(((round(sum(w * dict(v).get(k, 0) for k, w in q), 12), -i) for i, v in enumerate(vectors)), reverse=True)
-        expected = [(s, -i) for s, i in every if s > 0][:15] if q else []
-        assert [s for s, _ in index.nearest(q)] == pytest.approx([s for s, _ in expected])
+def brute_nearest(index, examples, words):
+    """Cosines with every example over dictionaries, best first; ties by the index's order."""
+    def unit(counts):
+        v = {t: (1 + math.log(n)) * index.idf[index.names[t]] for t, n in counts.items() if t in index.names}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    q, place = unit(words), {d: k for k, d in enumerate(index.ids)}
+    scored = [(round(sum(x * v.get(t, 0) for t, x in q.items()), 12), -place[d]) for d, v in ((d, unit(w)) for d, w, _ in examples)]
+    return [(s, -k) for s, k in sorted(scored, reverse=True) if s > 0]
+
+
+def test_block_max_search_is_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    rng, vocabulary = random.Random(4), [f"w{i}" for i in range(60)]
+    examples = [(i, dict(collections.Counter(rng.choices(vocabulary[: rng.choice([5, 60])], k=rng.randint(0, 30)))), int(rng.random() < 0.2)) for i in range(500)]
+    index = toxicity.Index(examples)
+    for _, words, _ in examples[:80]:
+        got, want = index.nearest(index.vector(words)), brute_nearest(index, examples, words)[:15]
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=1e-10)
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in toxicity.toxicity(d, labels).collect()}
+    texts, toxic = {r["doc_id"]: r["text"] for r in d.collect()}, {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    learned = sorted(i for i in toxic if i in texts and zlib.crc32(str(i).encode()) % 3 != 1)
+    examples = [(i, dict(toxicity.word_counts(texts[i])), toxic[i]) for i in learned]
+    monkeypatch.setattr(toxicity.Index, "nearest", lambda self, words, k=15: brute_nearest(self, [e for e in examples if e[0] in set(self.ids)], words)[:k])
+    monkeypatch.setattr(toxicity.Index, "vector", lambda self, words, real=toxicity.Index.vector: words if hasattr(self, "entries") else real(self, words))
+    model = toxicity.Model(examples)
+    for i, text in texts.items():
+        score, _ = model.score(text)
+        assert got[i]["score"] == pytest.approx(score, abs=1e-9) and got[i]["predicted"] == int(score >= 0.7) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def test_toxicity_catches_held_out_documents(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    rows = toxicity.toxicity(d, labels).collect()
+    seen = [r for r in rows if r["held_out"] and r["doc_id"] in toxic]
+    assert sum(r["predicted"] for r in seen if toxic[r["doc_id"]]) >= 0.9 * sum(toxic[r["doc_id"]] for r in seen)
+    assert sum(r["predicted"] for r in seen if not toxic[r["doc_id"]]) <= 0.015 * len(seen)
+    assert sum(bool(r["evidence"]) for r in rows) >= 0.98 * len(rows)
 
 
 def test_odd_rows(spark):

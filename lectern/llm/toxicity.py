@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_pass, bounded, crc_mod, hashed_sample
+from lectern.llm.common import arrow_pass, bounded, crc_mod, hashed_sample, release
 
 #: Labelled examples at most (those with the least hash of doc_id), neighbours that vote, examples of an index block,
 #: examples that calibration scores at most, and the folds that they are held out in.
-EXAMPLES, NEIGHBOURS, BLOCK, CALIBRATION, FOLDS = 4000, 15, 128, 2000, 3
+EXAMPLES, NEIGHBOURS, BLOCK, CALIBRATION, FOLDS = 3000, 15, 128, 2000, 3
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -80,10 +80,11 @@ class Index:
         self.entries = np.searchsorted(term[self.begin], np.arange(len(self.names) + 1))
 
     def vector(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Unit TF-IDF vector over the known words, (1 + ln count) * weight: their numbers, ascending, and values."""
-        known = sorted((self.names[t], n) for t, n in words.items() if t in self.names)
-        at = np.array([k for k, _ in known], np.int64)
-        value = (1 + np.log(np.array([n for _, n in known], float))) * self.idf[at]
+        """Unit TF-IDF vector over the known words, (1 + ln count) * weight: their numbers and values."""
+        at = np.fromiter((self.names.get(t, -1) for t in words), np.int64, len(words))
+        times = np.fromiter(words.values(), np.float64, len(words))[at >= 0]
+        at = at[at >= 0]
+        value = (1 + np.log(times)) * self.idf[at]
         return at, value / np.sqrt(value @ value) if len(at) else value
 
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
@@ -149,6 +150,7 @@ class Model:
             for e in examples[fold::FOLDS][: -(-CALIBRATION // FOLDS)]:
                 votes.append(part.vote(part.nearest(part.vector(e[1]))))
                 labels.append(e[2])
+            del part
         if votes:
             self.knots, self.rates = isotonic(np.array(votes), np.array(labels, float))
         self.cache: dict = {}
@@ -177,8 +179,13 @@ def _vectors(batches):
 
 def learn(labelled: DataFrame) -> Model:
     """From (doc_id, text, toxic), a row for each doc_id; tasks count the words, so the driver gets counts, not texts."""
-    rows = arrow_pass(labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), _vectors, "doc_id long, toxic int, words array<string>, times array<int>").collect()
-    return Model([(r["doc_id"], dict(zip(r["words"], r["times"], strict=True)), r["toxic"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
+    rows = arrow_pass(labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), _vectors, "doc_id long, toxic int, words array<string>, times array<int>").toLocalIterator()
+    shared: dict[str, str] = {}  # one string for each word
+    examples = [(r["doc_id"], {shared.setdefault(w, w): n for w, n in zip(r["words"], r["times"], strict=True)}, r["toxic"]) for r in rows]
+    model = Model(sorted(examples, key=lambda e: e[0]))
+    del examples, shared
+    release()
+    return model
 
 
 def _scores(broadcast):

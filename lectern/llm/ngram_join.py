@@ -19,6 +19,8 @@ BLOCK_GRAMS = 1_000_000
 BLOCK_DOCS = 1024
 #: Columns of the incidence matrix that are multiplied at once.
 BLOCK_COLUMNS = 4096
+#: Sets from which on a counted n-gram is looked up last.
+MANY = 8
 
 
 def gram_set(text: str | None, n: int) -> np.ndarray:
@@ -45,17 +47,17 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def sampled(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Which n-grams are counted: by hash, half as many again as a prefix takes."""
-    return (grams >> U64(40)) % U64(1000) < U64(min(1000, 15 * (100 - percent) + 10))
+    """Which n-grams are counted: by hash, about four times as many as a prefix takes, half of them at most."""
+    return (grams >> U64(40)) % U64(1000) < U64(min(500, 40 * (100 - percent) + 10))
 
 
-def prefix(grams: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest n-grams of a set: first those that were counted and are in no other set, then those not counted, each by hash."""
+def prefix(grams: np.ndarray, some: np.ndarray, many: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest n-grams of a set: first those that were counted and are in no other set, then in some, those not counted, those in many; each by hash."""
     n = prefix_length(len(grams), percent)
     if n >= len(grams):
         return grams
-    common = np.where(sampled(grams, percent), 2 * in_filter(bits, grams), 1).astype(U64)
-    return grams[np.argpartition((common << U64(62)) | (grams >> U64(2)), n - 1)[:n]]
+    level = np.where(sampled(grams, percent), in_filter(some, grams) + 2 * in_filter(many, grams).astype(np.int64), 2).astype(U64)
+    return grams[np.argpartition((level << U64(62)) | (grams >> U64(2)), n - 1)[:n]]
 
 
 def _profiles(n: int, percent: int):
@@ -90,7 +92,7 @@ def _counted(batches):
 
 def _posts(n: int, percent: int, broadcast):
     def run(batches):
-        bits, seen = np.frombuffer(broadcast.value, np.uint8), set()
+        (some, many), seen = broadcast.value, set()
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
                 rows = batch.slice(part, 500)
@@ -100,7 +102,7 @@ def _posts(n: int, percent: int, broadcast):
                     digest = xxhash.xxh128_digest(grams.tobytes())
                     if len(grams) and digest not in seen:  # of the equal sets of one task, one is enough
                         seen.add(digest)
-                        keys.append(prefix(grams, bits, percent))
+                        keys.append(prefix(grams, some, many, percent))
                         sets.append(np.full(len(keys[-1]), int.from_bytes(digest[:8], "little", signed=True), np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sets))], names=["key", "set_a"])
@@ -214,17 +216,18 @@ def _within(members: DataFrame, percent: int) -> DataFrame:
     return small.unionByName(first).unionByName(second)
 
 
-def _across(posts: DataFrame, found: DataFrame) -> DataFrame:
+def _across(posts: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Tasks that compare sets of different clusters that share an n-gram and are not connected yet.
 
-    posts: key, node, cluster; found: node, component. A set goes to the lower clusters of its open keys.
+    posts: key, node, size, cluster; found: node, component. A set goes to the lower clusters of its open keys that hold sets of sizes that may link.
     """
     posts = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     spread = posts.groupBy("key").agg(F.min("cluster").alias("c0"), F.max("cluster").alias("c1"), F.min("component").alias("k0"), F.max("component").alias("k1"))
     open_ = posts.join(spread.where("c0 < c1 and k0 < k1").select("key"), "key", "left_semi")
-    open_ = staged(open_.select("key", "node", "cluster"), "ngram-open")
-    homes = open_.select("key", F.col("cluster").alias("home")).distinct()
-    guests = staged(open_.join(homes, "key").where("home < cluster").select("home", "node").distinct(), "ngram-guests")
+    open_ = staged(open_.select("key", "node", "size", "cluster"), "ngram-open")
+    homes = open_.groupBy("key", F.col("cluster").alias("home")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    near = (100 * F.col("size") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("size"))
+    guests = staged(open_.join(homes, "key").where("home < cluster").where(near).select("home", "node").distinct(), "ngram-guests")
     own = open_.select(F.col("cluster").alias("home"), "node").distinct().join(guests.select("home").distinct(), "home", "left_semi")
     n_own, n_guest = own.groupBy("home").agg(F.count(F.lit(1)).alias("n_own")), guests.groupBy("home").agg(F.count(F.lit(1)).alias("n_guest"))
     counts = n_own.join(n_guest, "home").select("home", F.ceil(F.col("n_own") / BLOCK_DOCS).alias("rows"), F.ceil(F.col("n_guest") / BLOCK_DOCS).alias("cols"))
@@ -264,20 +267,25 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     copies = staged(copies, "ngram-copies")
 
     counted = arrow_pass(seen.where("counted is not null").select("counted"), _counted, "key long")
-    common = staged(counted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "ngram-common")
-    bits = spark.sparkContext.broadcast(bit_filter(common).tobytes())
+    common = staged(counted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "ngram-common")
+    bits = spark.sparkContext.broadcast((bit_filter(common), bit_filter(common.where(F.col("n") >= MANY))))
     raw = staged(arrow_pass(base, _posts(n, percent, bits), "key long, set_a long"), "ngram-raw")
     shared = raw.groupBy("key").agg(F.min("set_a").alias("first"), F.max("set_a").alias("last")).where("first <> last").select("key")
     shared = staged(shared, "ngram-shared")
     posts = raw.join(bounded(shared), "key", "left_semi").distinct()
-    posts = staged(posts.join(reps.select("set_a", F.col("rep").alias("node"), "size"), "set_a").select("key", "node", "size"), "ngram-posts")
+    # a key for each n-gram and two neighbouring size classes: only sets whose sizes may link share one
+    sized = posts.join(reps.select("set_a", F.col("rep").alias("node"), "size"), "set_a").withColumn("class", _size_class(percent))
+    sized = staged(sized.select(F.explode(F.array(F.xxhash64("key", "class"), F.xxhash64("key", F.col("class") + 1))).alias("key"), "node", "size"), "ngram-sized")
     discard(raw)
+    met = sized.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key")
+    posts = staged(sized.join(bounded(staged(met, "ngram-met")), "key", "left_semi"), "ngram-posts")
+    discard(sized)
     hubs = posts.groupBy("key").agg(F.min("node").alias("hub"))
     members = posts.join(hubs, "key").groupBy("node").agg(F.min("hub").alias("cluster"), F.max("size").alias("size"))
     members = staged(members, "ngram-members")
     near = _links(base, _within(members, percent), n, percent, "ngram-within")
     found = components(near, "ngram-near")
-    far = _links(base, _across(posts.join(members.select("node", "cluster"), "node"), found), n, percent, "ngram-across")
+    far = _links(base, _across(posts.join(members.select("node", "cluster"), "node"), found, percent), n, percent, "ngram-across")
     final = components(near.unionByName(far).unionByName(copies), "ngram-links").withColumnRenamed("node", "doc_id")
     out = profiles.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -61,7 +61,10 @@ def prefix(grams: np.ndarray, some: np.ndarray, many: np.ndarray, percent: int)
 
 
 def _profiles(n: int, percent: int):
-    """A row for each document, and one for each few documents that holds their counted n-grams, those of several sets twice."""
+    """A row for each document, and one for each few documents that holds their counted n-grams, those of several sets twice.
+
+    32 bits of an n-gram are enough to count it: chance meetings cost time, not results.
+    """
 
     def run(batches):
         for batch in batches:
@@ -72,11 +75,11 @@ def _profiles(n: int, percent: int):
                     grams = gram_set(text, n)
                     digest = xxhash.xxh128_digest(grams.tobytes())
                     if doc is not None and digest not in counted:
-                        counted[digest] = grams[sampled(grams, percent)]
+                        counted[digest] = grams[sampled(grams, percent)].astype(np.uint32)
                     sizes.append(len(grams))
                     firsts.append(int.from_bytes(digest[:8], "little", signed=True) if len(grams) else None)
                     seconds.append(int.from_bytes(digest[8:], "little", signed=True) if len(grams) else None)
-                codes, times = np.unique(np.concatenate([*counted.values(), np.empty(0, U64)]), return_counts=True)
+                codes, times = np.unique(np.concatenate([*counted.values(), np.empty(0, np.uint32)]), return_counts=True)
                 doc = pa.concat_arrays([rows.column("doc_id"), pa.nulls(1, pa.int64())])
                 blob = np.concatenate([codes, codes[times > 1]]).tobytes()
                 yield pa.RecordBatch.from_arrays([doc, pa.array([*sizes, None], pa.int64()), pa.array([*firsts, None], pa.int64()), pa.array([*seconds, None], pa.int64()), pa.array([None] * len(sizes) + [blob], pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "counted"])
@@ -87,7 +90,7 @@ def _profiles(n: int, percent: int):
 def _counted(batches):
     for batch in batches:
         for raw in batch.column("counted").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int64))], names=["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int32))], names=["key"])
 
 
 def _posts(n: int, percent: int, broadcast):
@@ -260,14 +263,15 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     seen = staged(arrow_pass(base, _profiles(n, percent), "doc_id long, n_shingles long, set_a long, set_b long, counted binary"), "ngram-profiles")
-    profiles = seen.where("counted is null").drop("counted")
+    profiles = staged(seen.where("counted is null").drop("counted"), "ngram-sets")
     named = profiles.where("doc_id is not null and set_a is not null")
     reps = named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max("n_shingles").alias("size"))
     copies = named.join(reps.where("rep <> last").select("set_a", "set_b", "rep"), ["set_a", "set_b"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     copies = staged(copies, "ngram-copies")
 
-    counted = arrow_pass(seen.where("counted is not null").select("counted"), _counted, "key long")
-    common = staged(counted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "ngram-common")
+    counted = arrow_pass(seen.where("counted is not null").select("counted"), _counted, "key int")
+    common = staged(counted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").cast("long").alias("key"), "n"), "ngram-common")
+    discard(seen)
     bits = spark.sparkContext.broadcast((bit_filter(common), bit_filter(common.where(F.col("n") >= MANY))))
     raw = staged(arrow_pass(base, _posts(n, percent, bits), "key long, set_a long"), "ngram-raw")
     shared = raw.groupBy("key").agg(F.min("set_a").alias("first"), F.max("set_a").alias("last")).where("first <> last").select("key")

@@ -8,10 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.session import ship
 
-#: Target, hard and least characters of a leaf, and the most of a section.
-TARGET, HARD, LEAST, SECTION = 1400, 3600, 250, 6000
+#: Characters of a leaf: its target, the soft and the hard most, the least; the most of a section; and what leaves cut by force share.
+TARGET, SOFT, HARD, LEAST, SECTION, OVERLAP = 1400, 2200, 3600, 250, 6000, 300
+#: Kinds of elements that are never cut, but for tables between their rows.
+ATOMIC = ("table", "code")
 _HEADING = re.compile(r"(#{1,6})\s+(.*)")
 
 
@@ -42,65 +45,113 @@ def elements(text: str | None) -> list[tuple[str, int, str]]:
     return [(k, n, "\n".join(t)) for k, n, t in out if k != "blank"]
 
 
-def split_text(text: str, limit: int) -> list[str]:
-    """Pieces of at most limit characters, cut at the coarsest of paragraph, line, sentence, word that helps; else hard."""
-    if len(text) <= limit:
-        return [text] if text.strip() else []
-    for mark in ("\n\n", "\n", ". ", " "):
-        cut = text.rfind(mark, 1, limit)
-        if cut > 0:
-            return [*split_text(text[: cut + len(mark)].rstrip(), limit), *split_text(text[cut + len(mark) :], limit)]
-    return [text[:limit], *split_text(text[limit:], limit)]
+def split_text(text: str, limit: int = SOFT) -> list[str]:
+    """Pieces of at most limit characters, each cut behind the coarsest of paragraph, line, sentence, word in reach; else hard."""
+    out, rest = [], text
+    while len(rest) > limit:
+        cuts = [(rest.rfind(mark, 1, limit), len(mark)) for mark in ("\n\n", "\n", ". ", " ")]
+        cut = next((at + size for at, size in cuts if at > 0), min(limit, TARGET))
+        out.append(rest[:cut].rstrip())
+        rest = rest[cut:]
+    return [p for p in (*out, rest) if p.strip()]
 
 
-def chunk_rows(document_id: int, text: str | None) -> list[dict]:
-    """Level 1 sections and their level 2 leaves, numbered in reading order, with the path of headings."""
-    rows: list[dict] = []
+def overlapped(parts: list[str]) -> list[str]:
+    """Parts of one text cut by force, each behind the last words of the one before."""
+    tails = [p[-OVERLAP:].partition(" ")[2] or p[-OVERLAP:] for p in parts[:-1]]
+    return [*parts[:1], *[f"{t.strip()} {p}".strip() for t, p in zip(tails, parts[1:], strict=True)]]
+
+
+def table_parts(text: str) -> list[str]:
+    """A table cut between its rows only."""
+    out: list[list[str]] = [[]]
+    for line in text.split("\n"):
+        if out[-1] and sum(len(x) + 1 for x in out[-1]) + len(line) + 1 > SOFT:
+            out.append([])
+        out[-1].append(line)
+    return ["\n".join(x) for x in out]
+
+
+def leaves_of(units: list[tuple[str, str]]) -> list[str]:
+    """The leaves of a section's units (kind, text): packed to the target, the small and those of headings only merged into neighbours."""
+    packed: list[list[str]] = [[]]
+    for kind, text in units:
+        size = sum(len(t) + 2 for t in packed[-1])
+        if len(text) > (HARD if kind in ATOMIC else SOFT):
+            parts = table_parts(text) if kind == "table" else [text] if kind in ATOMIC else overlapped(split_text(text))
+            packed += [*[[p] for p in parts], []]
+        else:
+            if packed[-1] and size + len(text) + 2 > SOFT:
+                packed.append([])
+            packed[-1].append(text)
+            if sum(len(t) + 2 for t in packed[-1]) >= TARGET:
+                packed.append([])
+    out: list[str] = []
+    for text in ("\n\n".join(p) for p in packed if p):
+        if out and small(text) and len(out[-1]) + len(text) + 2 <= HARD:
+            out[-1] += "\n\n" + text
+        else:
+            out.append(text)
+    if len(out) > 1 and small(out[0]) and len(out[0]) + len(out[1]) + 2 <= HARD:
+        out[:2] = ["\n\n".join(out[:2])]
+    return out
+
+
+def small(text: str) -> bool:
+    """A text below the least size, or of short lines that no sentence ends."""
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
+    return len(text) < LEAST or all(len(x) <= 80 and x[-1] not in ".:;!?" for x in lines)
+
+
+def path_of(titles: list[str]) -> str:
+    return "//" + "".join(t.strip().replace("/", "∕") + "//" for t in titles if t.strip())
+
+
+def chunk_rows(document_id: int, text: str | None, title: str = "") -> list[dict]:
+    """The chunks of a document: its card (L0), all sections (L1), then all leaves (L2), so that leaves are numbered without gaps.
+
+    A section is what stands below a heading, its path the headings above by level; sections beyond SECTION characters are cut between
+    units. parent is an ordinal, sibling a leaf's place in its section. A null or blank text has no chunks.
+    """
+    sections: list[tuple[str, list[tuple[str, str]]]] = [("//", [])]
     path: list[tuple[int, str]] = []
-    section: list[str] = []
-
-    def close() -> None:
-        body = "\n".join(section).strip()
-        section.clear()
-        for part in split_text(body, SECTION):
-            header = "//" + "//".join(t.replace("/", " ") for _, t in path) + "//" if path else ""
-            parent = len(rows)
-            rows.append({"document_id": document_id, "ordinal": parent, "level": "L1", "parent": None, "header_path": header, "text": part})
-            leaves: list[str] = []
-            for piece in split_text(part, TARGET):
-                if leaves and (len(piece) < LEAST or len(leaves[-1]) < LEAST) and len(leaves[-1]) + len(piece) + 1 <= HARD:
-                    leaves[-1] += "\n" + piece
-                else:
-                    leaves.append(piece)
-            for leaf in leaves:
-                rows.append({"document_id": document_id, "ordinal": len(rows), "level": "L2", "parent": parent, "header_path": header, "text": leaf})
-
-    for kind, level, body in elements(text):
+    parts = elements(text)
+    for kind, level, body in parts:
         if kind == "heading":
-            close()
-            while path and path[-1][0] >= level:
-                path.pop()
-            path.append((level, body))
-        else:
-            section.append(body)
-    close()
-    return rows
+            path = [(n, t) for n, t in path if n < level] + [(level, body)]
+            sections.append((path_of([t for _, t in path]), []))
+        elif body.strip():
+            unit, units = (kind, body.strip()), sections[-1][1]
+            if units and sum(len(t) + 2 for _, t in units) + len(unit[1]) + 2 > SECTION:
+                sections.append((sections[-1][0], [unit]))
+            else:
+                units.append(unit)
+    sections = [s for s in sections if s[1]]
+    if not sections:
+        return []
+    heads = [b.strip() for k, _, b in parts if k == "heading" and b.strip()][:30]
+    first = next((b.strip() for k, _, b in parts if k == "paragraph" and len(b.strip()) > 80), "")
+    card = "\n".join(x for x in (f"Документ: {title}", "Зміст: " + "; ".join(heads) if heads else "", first[:400]) if x)
+    leaves = [(n, p, i, len(own), t) for n, (p, units) in enumerate(sections, 1) for own in [leaves_of(units)] for i, t in enumerate(own)]
+    rows = [("L0", None, "//", card, 0, 1), *[("L1", 0, p, "\n\n".join(t for _, t in units), 0, 1) for p, units in sections], *[("L2", n, p, t, i, size) for n, p, i, size, t in leaves]]
+    return [dict(zip(("document_id", "ordinal", "level", "parent", "header_path", "text", "sibling", "siblings"), (document_id, k, *r), strict=True)) for k, r in enumerate(rows)]
 
 
-def chunk_tree(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(document_id, ordinal, level, parent, header_path, text, chunk_uid): sequential within a document, parallel across them."""
+def chunk_tree(docs: DataFrame, key: str = "doc_id", title: str | None = None) -> DataFrame:
+    """The chunks of docs with their simhash and chunk_uid: sequential within a document, parallel across them."""
     ship(docs.sparkSession)
-    columns = ["document_id", "ordinal", "level", "parent", "header_path", "text"]
+    columns = ["document_id", "ordinal", "level", "parent", "header_path", "text", "sibling", "siblings"]
 
     def run(frames):
         for pdf in frames:
-            rows = [r for d, t in zip(pdf["document_id"], pdf["text"], strict=True) for r in chunk_rows(d, t)]
+            rows = [r for d, t, n in zip(pdf["document_id"], pdf["text"], pdf["title"], strict=True) for r in chunk_rows(d, t, n)]
             out = pd.DataFrame(rows, columns=columns)
             out["parent"] = out["parent"].astype("Int64")
             yield out
 
-    tree = docs.select(F.col(key).alias("document_id"), "text").mapInPandas(run, "document_id long, ordinal int, level string, parent long, header_path string, text string")
-    return tree.withColumn("chunk_uid", F.substring(F.sha2(F.concat_ws("\x1f", F.col("document_id").cast("string"), F.col("ordinal").cast("string"), "text"), 256), 1, 32))
+    named = F.coalesce(F.col(title), F.lit("")) if title else F.lit("")
+    tree = docs.select(F.col(key).alias("document_id"), "text", named.alias("title")).mapInPandas(run, "document_id long, ordinal int, level string, parent long, header_path string, text string, sibling int, siblings int")
+    return tree.withColumns({"text": T.sanitize_display(F.col("text"))}).withColumn("chunk_uid", F.substring(F.sha2(F.concat_ws("\x1f", F.col("document_id").cast("string"), F.col("ordinal").cast("string"), "text"), 256), 1, 32))
 
 
 def char_spans(pages: DataFrame, key: str, order: str, text: str, gap: int = 2) -> DataFrame:
@@ -117,6 +168,130 @@ def label_offset(pages: DataFrame, key: str, number: str, label: str, least: int
     return best.where((F.col("samples") >= least) & (F.col("agree") >= agreement * F.col("samples")))
 
 
+def header_offset(headers: DataFrame, least: int = 5, agreement: float = 0.8) -> DataFrame:
+    """(document_id, page_offset, confidence): label_offset where a page's header (document_id, page, header) may hold several numbers, Arabic or Roman."""
+    numbers = F.filter(F.transform(F.regexp_extract_all("header", F.lit(r"\d{1,4}"), F.lit(0)), lambda x: x.cast("int")), lambda x: x > 0)
+    found = F.array_distinct(F.concat(numbers, F.filter(F.array(T.from_roman(F.col("header")).cast("int")), lambda x: x.isNotNull())))
+    each = headers.select("document_id", "page", F.explode(found).alias("label")).distinct()
+    pages = each.groupBy("document_id").agg(F.count_distinct("page").alias("samples"))
+    counts = each.groupBy("document_id", (F.col("label") - F.col("page")).alias("page_offset")).agg(F.count_distinct("page").alias("agree"))
+    best = counts.groupBy("document_id").agg(F.max_by(F.struct("page_offset", "agree"), F.struct("agree", -F.col("page_offset"))).alias("b")).select("document_id", "b.*")
+    return best.join(pages, "document_id").where((F.col("samples") >= least) & (F.col("agree") >= agreement * F.col("samples"))).select("document_id", "page_offset", (F.col("agree") / F.col("samples")).alias("confidence"))
+
+
+def range_labels(pages: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(document_id, page, label): of each page (from 1) the printed label of the last range (document_id, start from 0, style, prefix, first) that begins at or before it."""
+    marks = ranges.select("document_id", (F.col("start") + 1).alias("page"), F.struct((F.col("start") + 1).alias("at"), "style", "prefix", F.coalesce("first", F.lit(1)).alias("first")).alias("range"))
+    both = pages.select("document_id", "page", F.lit(None).cast(marks.schema["range"].dataType).alias("range"), F.lit(1).alias("asked")).unionByName(marks.withColumn("asked", F.lit(0)))
+    last = F.last("range", ignorenulls=True).over(Window.partitionBy("document_id").orderBy("page", "asked"))
+    rows = both.withColumn("r", last).where("asked = 1 and r is not null")
+    return rows.select("document_id", "page", T.page_label(F.col("r.style"), F.col("r.prefix"), F.col("r.first") + F.col("page") - F.col("r.at")).alias("label"))
+
+
+def resolved_labels(pages: DataFrame, listed: DataFrame, offsets: DataFrame) -> DataFrame:
+    """(document_id, page, label, source): a page's listed label, else its number moved by its document's offset, else its number."""
+    rows = pages.select("document_id", "page").join(listed.select("document_id", "page", "label"), ["document_id", "page"], "left").join(offsets.select("document_id", "page_offset"), "document_id", "left")
+    moved = F.when(F.col("page") + F.col("page_offset") > 0, (F.col("page") + F.col("page_offset")).cast("string"))
+    source = F.when(F.col("label").isNotNull(), "page_labels").when(moved.isNotNull(), "header_regression").otherwise("physical")
+    return rows.select("document_id", "page", F.coalesce("label", moved, F.col("page").cast("string")).alias("label"), source.alias("source"))
+
+
+def page_of(offsets: DataFrame, pages: DataFrame) -> DataFrame:
+    """offsets (document_id, offset) with the page (document_id, page, char_from) that holds each: the last that begins at or before it."""
+    marks = pages.select("document_id", F.col("char_from").alias("offset"), "page", F.lit(0).alias("_asked"))
+    both = offsets.select("document_id", "offset", F.lit(None).cast(marks.schema["page"].dataType).alias("page"), F.lit(1).alias("_asked")).unionByName(marks)
+    order = Window.partitionBy("document_id").orderBy("offset", "_asked", "page")
+    return both.withColumn("page", F.last("page", ignorenulls=True).over(order)).where("_asked = 1").drop("_asked")
+
+
+def nested_sets(headings: DataFrame) -> DataFrame:
+    """headings (document_id, place, level, title) with lft, rgt and parent_place: each holds those below it until one of its level or a higher one.
+
+    With i the place among a document's headings and d the number of its ancestors, lft is 2 i - 1 - d, and rgt follows from the
+    headings in between.
+    """
+    lists = headings.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("place", "level", "title"))).alias("all"))
+    rows = lists.select("document_id", "all", F.posexplode("all").alias("i", "h")).select("document_id", "all", "i", "h.*")
+    behind = F.slice("all", F.col("i") + 2, F.size("all"))
+    ends = F.filter(F.transform(behind, lambda x, k: F.when(x["level"] <= F.col("level"), k)), lambda k: k.isNotNull())
+    inside = F.coalesce(F.get(ends, F.lit(0)), F.size(behind))
+    # an ancestor is a heading before this one that is lower in number than all from it on
+    before = F.slice("all", F.lit(1), F.col("i"))
+    above = F.aggregate(F.reverse(before), F.struct(F.col("level").alias("least"), F.array().cast("array<bigint>").alias("places")), lambda s, x: F.when(x["level"] < s["least"], F.struct(x["level"].alias("least"), F.concat(s["places"], F.array(x["place"].cast("long"))).alias("places"))).otherwise(s))["places"]
+    rows = rows.withColumns({"inside": inside, "above": above}).withColumn("lft", (2 * (F.col("i") + 1) - 1 - F.size("above")).cast("long"))
+    return rows.select("document_id", "place", "level", "title", F.get("above", F.lit(0)).alias("parent_place"), "lft", (F.col("lft") + 2 * F.col("inside") + 1).cast("long").alias("rgt"))
+
+
+def chapter_of(chunks: DataFrame, chapters: DataFrame) -> DataFrame:
+    """chunks with the chapter_id whose title is the last of their header_path; the last chapter of a title wins."""
+    last = chapters.groupBy("document_id", F.trim("title").alias("_title")).agg(F.max_by("chapter_id", "lft").alias("chapter_id"))
+    titles = F.filter(F.split("header_path", "/"), lambda t: t != "")
+    return chunks.withColumn("_title", F.replace(F.when(F.size(titles) > 0, F.element_at(titles, -1)), F.lit("∕"), F.lit("/"))).join(last, ["document_id", "_title"], "left").drop("_title")
+
+
+def text_pages(docs: DataFrame, key: str = "doc_id", size: int = 1800) -> DataFrame:
+    """(document_id, page, text, char_from, char_to): a text's pages, at its form feeds if it has any, else of `size` characters."""
+    text = F.coalesce("text", F.lit(""))
+    count = F.greatest(F.ceil(F.length(text) / size), F.lit(1)).cast("int")
+    cut = F.when(F.contains(text, F.lit("\f")), F.split(text, "\f")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * size + 1, F.lit(size))))
+    pages = docs.select(F.col(key).alias("document_id"), F.posexplode(cut).alias("n", "text")).select("document_id", (F.col("n") + 1).alias("page"), "text")
+    return char_spans(pages, "document_id", "page", "text", 0)
+
+
+def probe(pages: DataFrame, bitmap=None, lexicon=None, pictures=None) -> DataFrame:
+    """pages with what their text tells: characters, ratios, table and formula, class, mode of recognition and cost."""
+    zero = F.lit(0.0)
+    rows = pages.withColumns({"chars": F.length(F.regexp_replace("text", r"^\s+|\s+$", "")), "cyrillic": T.cyrillic_ratio(F.col("text")), "mojibake": T.mojibake_ratio(F.col("text")), "has_table": T.looks_like_table(F.col("text")), "has_formula": T.looks_like_formula(F.col("text"))})
+    bitmap, lexicon, pictures = bitmap if bitmap is not None else zero, lexicon if lexicon is not None else F.lit(None).cast("double"), pictures if pictures is not None else F.lit(0)
+    rows = rows.withColumn("page_class", T.page_class(F.col("chars"), bitmap, F.col("mojibake"), F.col("cyrillic"), lexicon))
+    return rows.withColumns({"ocr_mode": T.ocr_mode(F.col("page_class"), F.col("chars"), bitmap), "cost": T.cost_weight(T.is_scan(F.col("page_class")), F.col("has_table"), F.col("has_formula"), pictures)})
+
+
+def document_classes(pages: DataFrame) -> DataFrame:
+    """(document_id, dominant, scanned_share, total_cost) of probed pages; of equally frequent classes the one that comes first."""
+    per = pages.groupBy("document_id", "page_class").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("first"), F.sum("cost").alias("cost"))
+    return per.groupBy("document_id").agg(F.max_by("page_class", F.struct("n", -F.col("first"))).alias("dominant"), (F.sum(F.when(T.is_scan(F.col("page_class")), F.col("n")).otherwise(0)) / F.sum("n")).alias("scanned_share"), F.sum("cost").alias("total_cost"))
+
+
+def document_quality(pages: DataFrame) -> DataFrame:
+    """(document_id, score, grade): the tenth part from below of a document's page scores, the worst of fewer than ten pages."""
+    lists = pages.where("score is not null").groupBy("document_id").agg(F.sort_array(F.collect_list("score")).alias("s"))
+    at = F.when(F.size("s") >= 10, F.greatest(F.lit(0), F.floor(F.size("s") * 0.1) - 1)).otherwise(0).cast("int")
+    return lists.select("document_id", F.get("s", at).alias("score")).withColumn("grade", T.quality_grade(F.col("score")))
+
+
+def page_grades(pages: DataFrame) -> DataFrame:
+    """(grade, pages): pages by the worst of their four scores that there are."""
+    worst = F.least("parse_score", "layout_score", "table_score", "ocr_score")
+    return pages.select(F.when(worst.isNull(), "UNKNOWN").otherwise(T.quality_grade(worst)).alias("grade")).groupBy("grade").agg(F.count(F.lit(1)).alias("pages"))
+
+
+def page_windows(pages: DataFrame, size: int = 25, shift: int = 3) -> DataFrame:
+    """(document_id, first, last): windows of pages (document_id, page, has_table); an end moves back by up to `shift` pages so that no table is cut."""
+    ship(pages.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tables, last, out, first = set(pdf.loc[pdf["has_table"].fillna(False).astype(bool), "page"]), int(pdf["page"].max()), [], 1
+        while first <= last:
+            end = min(first + size - 1, last)
+            moved = [e for e in range(end, max(first, end - shift - 1), -1) if not {e, e + 1} <= tables]
+            end = moved[0] if moved and end < last else end
+            out.append((pdf["document_id"].iloc[0], first, end))
+            first = end + 1
+        return pd.DataFrame(out, columns=["document_id", "first", "last"])
+
+    kind = pages.schema["document_id"].dataType.simpleString()
+    return pages.groupBy("document_id").applyInPandas(run, f"document_id {kind}, first int, last int")
+
+
+def table_triplets(grid):
+    """A grid (array of rows, the first one its header) as self-describing lines: row title, column, value."""
+    header = F.get(grid, F.lit(0))
+    rows = F.slice(grid, 2, F.greatest(F.size(grid) - 1, F.lit(1)))
+    cell = lambda row: F.zip_with(header, row, lambda h, v: F.concat_ws(": ", h, v))
+    return F.when(F.size(grid) > 1, F.array_join(F.transform(rows, lambda r: F.array_join(cell(r), "; ")), "\n")).otherwise("")
+
+
 def neighbours(chunks: DataFrame, centres: DataFrame, reach: int) -> DataFrame:
     """Chunks within `reach` places of each centre (document_id, ordinal) of the same document: equality plus a band."""
     c = centres.select("document_id", F.col("ordinal").alias("centre"))

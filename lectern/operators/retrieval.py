@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.config import Config
 from lectern.functions import text as T
+from lectern.session import ship
 
 #: The parameters of BM25 and of the fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Queries whose vectors are sent to all tasks at most.
+QUERY_BLOCK = 10_000
 
 
 def postings(chunks: DataFrame, text: str = "text", key: str = "chunk_id") -> DataFrame:
@@ -28,18 +34,55 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
 
 
 def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score). Only postings of words that some query has are built beyond the scan."""
+    """(query_id, chunk_id, score). A chunk's words are split once for its postings of words that some query has, once for the averages."""
     wanted = query_terms(queries)
-    mine = postings(chunks).join(wanted.select("term").distinct(), "term", "left_semi")
+    words = chunks.select("chunk_id", T.tokens(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
+    mine = words.select("chunk_id", F.size("w").alias("length"), F.explode_outer("w").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    mine = mine.groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(chunks)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    scored = mine.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "chunk_id", part.alias("part"))  # stats is one row
+    scored = mine.join(df, "term").crossJoin(F.broadcast(corpus_stats(chunks))).select("term", "chunk_id", part.alias("part"))  # the stats are one row
     return scored.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
 
 
+def weighted_bm25(fields: DataFrame, queries: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(query_id, chunk_id, score) over term lists in several columns of fields (chunk_id, one array for each weight).
+
+    queries: query_id, terms. A term's frequency is the weighted sum over the columns, a chunk's length the terms of all of them.
+    """
+    lists = [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda t, w=w: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))) for c, w in weights.items()]
+    rows = fields.select("chunk_id", F.concat(*lists).alias("all")).select("chunk_id", F.size("all").alias("length"), "all")
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
+    wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).where(F.length("term") >= 2)
+    posts = rows.select("chunk_id", "length", F.explode_outer("all").alias("p")).select("chunk_id", "length", "p.*").join(wanted.select("term").distinct(), "term", "left_semi")
+    posts = posts.groupBy("chunk_id", "length", "term").agg(F.sum("w").alias("tf"))
+    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
+    scored = posts.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "chunk_id", part.alias("part"))  # one row
+    return scored.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+
+
+def code_matches(fields: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, hits): chunks whose codes contain a query's code of three or more characters, whatever their case.
+
+    Both are cut into trigrams; a code's rarest would do, so its first one is joined and the whole code verified.
+    """
+    own = fields.select("chunk_id", F.explode(F.array_distinct("codes")).alias("code")).withColumn("code", F.lower("code"))
+    grams = own.select("chunk_id", "code", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("code") - 2, F.lit(1))), lambda i: F.substring("code", i, F.lit(3)))).alias("gram")).distinct()
+    asked = queries.select("query_id", F.explode(F.array_distinct("codes")).alias("wanted")).withColumn("wanted", F.lower("wanted")).where(F.length("wanted") >= 3)
+    met = grams.join(asked.withColumn("gram", F.substring("wanted", 1, 3)), "gram").where(F.contains("code", "wanted"))
+    return met.groupBy("query_id", "chunk_id").agg(F.count_distinct("wanted").alias("hits"))
+
+
+def merge_scores(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The larger score of each (query_id, chunk_id) of either."""
+    columns = ["query_id", "chunk_id", "score"]
+    return a.select(columns).unionByName(b.select(columns)).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+
+
 def top_k(scored: DataFrame, k: int, score: str = "score", tie: str = "chunk_id") -> DataFrame:
     """The k best of each query with their rank; equal scores (to 9 digits) by smaller id."""
     order = Window.partitionBy("query_id").orderBy(F.round(score, 9).desc(), tie)
@@ -51,6 +94,40 @@ def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return vectors.crossJoin(queries.select("query_id", F.col("embedding").alias("q"))).select("query_id", "chunk_id", T.cosine(F.col("q"), F.col("embedding")).alias("score"))
 
 
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """top_k of dense, as matrix products: the queries go to all tasks if they are QUERY_BLOCK at most, and a batch of vectors keeps its k best of each.
+
+    Vectors of another length than a query's, null ones and ones with nulls have no score with it.
+    """
+    if queries.count() > QUERY_BLOCK:
+        return top_k(dense(vectors, queries), k)
+    asked: dict[int, list] = {}
+    for r in queries.select("query_id", "embedding").collect():
+        if r["embedding"] is not None and None not in r["embedding"]:
+            asked.setdefault(len(r["embedding"]), []).append((r["query_id"], r["embedding"]))
+    sides = vectors.sparkSession.sparkContext.broadcast({d: (np.array([q for q, _ in x], np.int64), _units(np.array([v for _, v in x], np.float64).reshape(len(x), d))) for d, x in asked.items()})
+    ship(vectors.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            ids, rows = batch.column("chunk_id").to_numpy(zero_copy_only=False), batch.column("embedding").to_pylist()
+            for dims, (names, q) in sides.value.items():
+                at = [i for i, v in enumerate(rows) if v is not None and len(v) == dims and None not in v]
+                if not at:
+                    continue
+                score = np.round(_units(np.array([rows[i] for i in at], np.float64)) @ q.T, 12)
+                least = np.partition(np.round(score, 9), -k, axis=0)[-k] if len(at) > k else np.full(len(names), -np.inf)
+                i, j = np.nonzero(np.round(score, 9) >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(names[j]), pa.array(ids[at][i].astype(np.int64)), pa.array(score[i, j])], names=["query_id", "chunk_id", "score"])
+
+    return top_k(vectors.select(F.col("chunk_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "query_id long, chunk_id long, score double"), k)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+
+
 def metadata_filter(columns: dict[str, list], year: tuple[str, int | None, int | None] | None = None) -> Column:
     """Conjunction of IN lists (empty: all) and an inclusive range."""
     out = F.lit(True)
@@ -82,18 +159,85 @@ def ngram_scores(pool: DataFrame, queries: DataFrame, text_chars: int = 800, que
     return hits.join(df, ["query_id", "gram"]).join(sizes, "query_id").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
-def fuse(branches: dict[str, tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
-    """Weighted reciprocal rank fusion of ranked branches (query_id, chunk_id, rank); a branch of weight 0 is not built."""
-    union = None
-    for name, (ranked, weight) in branches.items():
-        if weight > 0:
-            part = ranked.select("query_id", "chunk_id", "rank", (F.lit(weight) / (k + F.col("rank"))).alias("part"), F.lit(name).alias("branch"))
-            union = part if union is None else union.unionByName(part)
-    fused = union.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("rrf"), F.count(F.lit(1)).alias("branches"), F.min("rank").alias("best_rank"))
+def candidate_pool(dense: DataFrame, sparse: DataFrame, most: int = 200) -> DataFrame:
+    """(query_id, chunk_id, place): hits (query_id, chunk_id, rank) of the first branch, then new ones of the second, `most` a query (the feature's size)."""
+    both = dense.select("query_id", "chunk_id", F.struct(F.lit(0).alias("b"), "rank").alias("at")).unionByName(sparse.select("query_id", "chunk_id", F.struct(F.lit(1).alias("b"), "rank").alias("at")))
+    first = both.groupBy("query_id", "chunk_id").agg(F.min("at").alias("at"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "chunk_id"))).where(F.col("place") <= most).drop("at")
+
+
+def fuse(branches: dict[str, tuple[DataFrame, float | Column]], k: int = RRF_K) -> DataFrame:
+    """Weighted reciprocal rank fusion of ranked branches (query_id, chunk_id, rank), with each branch's own rank and score if it has one.
+
+    A branch of weight 0 is not built; a weight may be a column of the branch. A chunk that a branch repeats counts once, at its
+    first place, and ranks close up behind it.
+    """
+    union, names = None, [n for n, (_, weight) in branches.items() if isinstance(weight, Column) or weight > 0]
+    for name in names:
+        ranked, weight = branches[name]
+        score = F.col("score").cast("double") if "score" in ranked.columns else F.lit(None).cast("double")
+        once = ranked.select("query_id", "chunk_id", "rank", score.alias("score"), (weight if isinstance(weight, Column) else F.lit(float(weight))).alias("weight"))
+        once = once.groupBy("query_id", "chunk_id").agg(F.min(F.struct("rank", "score", "weight")).alias("at"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("at.rank", "chunk_id"))
+        part = once.select("query_id", "chunk_id", place.alias("place"), "at.score", "at.weight", F.lit(name).alias("branch")).where("weight > 0")
+        union = part if union is None else union.unionByName(part)
+    own = [F.min(F.when(F.col("branch") == n, F.col(c))).alias(f"{n}_{c if c == 'score' else 'rank'}") for n in names for c in ("place", "score")]
+    fused = union.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") / (max(1, k) + F.col("place"))).alias("rrf"), F.count(F.lit(1)).alias("branches"), F.min("place").alias("best_rank"), *own)
     order = Window.partitionBy("query_id").orderBy(F.round("rrf", 12).desc(), F.desc("branches"), "best_rank", "chunk_id")
     return fused.withColumn("rank", F.row_number().over(order))
 
 
+def near_pairs(chunks: DataFrame, most: int = 3) -> DataFrame:
+    """(a, b, hamming): pairs of chunks whose 64-bit simhashes differ in at most `most` bits; a < b.
+
+    Cut into most + 1 bands, two such hashes agree in one band, so pairs meet by an equality join; each is told once, by its first band.
+    """
+    bands, width = most + 1, -(-64 // (most + 1))
+    cut = [F.shiftrightunsigned("simhash", width * i).bitwiseAND(F.lit((1 << min(width, 64 - width * i)) - 1).cast("long")) for i in range(bands)]
+    rows = chunks.where("simhash is not null").select("chunk_id", "simhash", F.array(*cut).alias("bands"))
+    rows = rows.select("*", F.posexplode("bands").alias("band", "part"))
+    a, b = rows.select("band", "part", F.col("chunk_id").alias("a"), F.col("simhash").alias("x"), F.col("bands").alias("xs")), rows.select("band", "part", F.col("chunk_id").alias("b"), F.col("simhash").alias("y"), F.col("bands").alias("ys"))
+    met = a.join(b, ["band", "part"]).where("a < b").withColumn("hamming", T.hamming(F.col("x"), F.col("y"))).where(F.col("hamming") <= most)
+    first = F.array_position(F.zip_with("xs", "ys", lambda p, q: p == q), F.lit(True)) - 1
+    return met.where(first == F.col("band")).select("a", "b", "hamming")
+
+
+def deduplicate(ranked: DataFrame, vectors: DataFrame | None = None, max_hamming: int = 3, min_cosine: float = 0.93) -> DataFrame:
+    """ranked (query_id, chunk_id, rank, simhash) with duplicate_of: the best kept chunk that it nearly repeats, or null.
+
+    In the order of rank; hashes may differ in max_hamming bits, and where both vectors are known their dot product has to reach min_cosine.
+    A chunk without simhash is never dropped. A query's candidates are few (the rerank head).
+    """
+    rows = ranked if vectors is None else ranked.join(vectors.select("chunk_id", T.l2_normalised(F.col("embedding")).alias("_unit")), "chunk_id", "left")
+    rows = rows if vectors is not None else rows.withColumn("_unit", F.lit(None).cast("array<double>"))
+    own = F.struct("rank", "chunk_id", "simhash", F.col("_unit").alias("unit"))
+    lists = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(own)).alias("items"))
+    none = F.array().cast("array<struct<id: bigint, of: bigint, simhash: bigint, unit: array<double>>>")
+
+    def step(done: Column, item: Column) -> Column:
+        alike = lambda k: k["of"].isNull() & (T.hamming(k["simhash"], item["simhash"]) <= max_hamming) & F.coalesce(T.dot(k["unit"], item["unit"]) >= min_cosine, F.lit(True))
+        twins = F.filter(done, lambda k: F.coalesce(alike(k), F.lit(False)))
+        of = F.when(F.size(twins) > 0, F.get(twins, F.lit(0))["id"])
+        return F.concat(done, F.array(F.struct(item["chunk_id"].cast("long").alias("id"), of.alias("of"), item["simhash"].alias("simhash"), item["unit"].alias("unit"))))
+
+    judged = lists.select("query_id", F.explode(F.aggregate("items", none, step)).alias("j")).select("query_id", F.col("j.id").alias("chunk_id"), F.col("j.of").alias("duplicate_of"))
+    return ranked.join(judged, ["query_id", "chunk_id"])
+
+
+def rerank(candidates: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
+    """candidates with rerank_score: the share of the query's words that the text has (0.6) and of its trigrams (0.4); a stand-in for a model."""
+    def parts(c: Column) -> tuple[Column, Column]:
+        words = F.array_distinct(T.tokens(c))
+        return words, F.array_distinct(T.char_ngrams(F.array_join(words, " "), 3, 3))
+
+    asked = queries.select("query_id", *[x.alias(n) for x, n in zip(parts(F.col("text")), ("_qw", "_qg"), strict=True)])
+    rows = candidates.join(asked, "query_id")
+    words, grams = parts(F.coalesce(F.col(text), F.lit("")))
+    cover = lambda q, own: F.when(F.size(q) > 0, F.size(F.array_intersect(q, own)) / F.size(q)).otherwise(0.0)
+    score = 0.6 * cover(F.col("_qw"), words) + 0.4 * cover(F.col("_qg"), grams)
+    return rows.withColumn("rerank_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))).drop("_qw", "_qg")
+
+
 def abstention(scored: DataFrame, queries: DataFrame, threshold: float, least: int = 1) -> DataFrame:
     """confidence (best score), supporting (scores at the threshold or above), abstain; a query without candidates abstains at 0."""
     out = queries.select("query_id").join(scored.groupBy("query_id").agg(F.max("score").alias("confidence"), F.count_if(F.col("score") >= threshold).alias("supporting")), "query_id", "left")
@@ -107,13 +251,45 @@ def score_floor(best: Column, ratio: float) -> Column:
     return F.when(best > 0, best * ratio).when(best < 0, best / ratio).otherwise(0.0)
 
 
-def diversify(ranked: DataFrame, k: int, per_document: int, ratio: float) -> DataFrame:
-    """k candidates per query: those within the quota of their document first, then the rest by score; under the floor none."""
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    within = F.row_number().over(Window.partitionBy("query_id", "document_id").orderBy("rank"))
-    over = (F.col("place") > per_document).cast("int")
-    kept = ranked.withColumns({"best": best, "place": within}).where(F.col("score") >= score_floor(F.col("best"), ratio))
-    return kept.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(over, "rank"))).where(F.col("position") <= k).drop("best", "place")
+def diversify(ranked: DataFrame, k: int, per_document: int, ratio: float, min_documents: int = 2) -> DataFrame:
+    """k candidates (query_id, chunk_id, document_id, score, rank) per query, with their position by score; none under the floor.
+
+    First those within the quota of their document, then the rest by score. If fewer than min_documents documents are among them
+    and others are eligible, the best chunks of other documents replace the worst ones that aren't the best of their own.
+    """
+    query, document = Window.partitionBy("query_id"), Window.partitionBy("query_id", "document_id")
+    kept = ranked.withColumns({"_best": F.max("score").over(query), "_place": F.row_number().over(document.orderBy("rank"))}).where(F.col("score") >= score_floor(F.col("_best"), ratio))
+    over = (F.col("_place") > max(1, per_document)).cast("int")
+    kept = kept.withColumn("_chosen", F.row_number().over(query.orderBy(over, "rank")) <= k)
+    kept = kept.withColumns({"_seen": F.max(F.col("_chosen").cast("int")).over(document) == 1})
+    first = F.col("_place") == 1
+    kept = kept.withColumns({
+        "_docs": F.sum((first & F.col("_seen")).cast("int")).over(query), "_all": F.sum(first.cast("int")).over(query),
+        "_new": F.when(first & ~F.col("_seen"), F.row_number().over(Window.partitionBy("query_id", first & ~F.col("_seen")).orderBy("rank"))),
+        "_spare": F.when(F.col("_chosen") & ~first, F.row_number().over(Window.partitionBy("query_id", F.col("_chosen") & ~first).orderBy(F.desc("rank")))),
+    })
+    missing = F.least(F.lit(min_documents), F.col("_all")) - F.col("_docs")
+    swaps = F.least(missing, F.coalesce(F.max("_new").over(query), F.lit(0)), F.coalesce(F.max("_spare").over(query), F.lit(0)))
+    kept = kept.withColumn("_swaps", swaps)
+    out = kept.where((F.col("_chosen") & ~F.coalesce(F.col("_spare") <= F.col("_swaps"), F.lit(False))) | F.coalesce(F.col("_new") <= F.col("_swaps"), F.lit(False)))
+    return out.withColumn("position", F.row_number().over(query.orderBy("rank"))).drop(*[c for c in out.columns if c.startswith("_")])
+
+
+def distinct_documents(selected: DataFrame) -> DataFrame:
+    return selected.groupBy("query_id").agg(F.count_distinct("document_id").alias("documents"))
+
+
+def pack(ranked: DataFrame, budget: int = 8000) -> DataFrame:
+    """The candidates (query_id, chunk_id, rank, size) that fit a budget, in order: one that doesn't is skipped, the first always stays."""
+    items = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", F.col("size").cast("long").alias("size")))).alias("items"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
+
+    def step(state: Column, item: Column) -> Column:
+        fits = (F.size(state["ids"]) == 0) | (state["used"] + item["size"] <= budget)
+        return F.when(fits, F.struct((state["used"] + item["size"]).alias("used"), F.concat(state["ids"], F.array(item["chunk_id"].cast("long"))).alias("ids"))).otherwise(state)
+
+    packed = items.select("query_id", F.explode(F.aggregate("items", start, step)["ids"]).alias("chunk_id"))
+    return ranked.join(packed, ["query_id", "chunk_id"], "left_semi")
 
 
 def automerge(ranked: DataFrame, least: int = 2) -> DataFrame:
@@ -124,10 +300,75 @@ def automerge(ranked: DataFrame, least: int = 2) -> DataFrame:
 
 
 def reading_order(ranked: DataFrame) -> DataFrame:
-    """Adds block (consecutive siblings of a document) and position: blocks by their best rank, best at both ends."""
-    run = F.col("sibling") - F.row_number().over(Window.partitionBy("query_id", "document_id").orderBy("sibling"))
+    """Adds block (consecutive siblings of a section, which is a document and header_path if there is one) and position: blocks by their best rank, best at both ends."""
+    section = [c for c in ("document_id", "header_path") if c in ranked.columns]
+    run = F.col("sibling") - F.row_number().over(Window.partitionBy("query_id", *section).orderBy("sibling"))
     runs = ranked.withColumn("run", run)
-    best = F.min("rank").over(Window.partitionBy("query_id", "document_id", "run"))
+    best = F.min("rank").over(Window.partitionBy("query_id", *section, "run"))
     blocks = runs.withColumn("best", best).withColumn("block", F.dense_rank().over(Window.partitionBy("query_id").orderBy("best")))
     side = F.when(F.col("block") % 2 == 1, F.col("block")).otherwise(1_000_000 - F.col("block"))
     return blocks.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(side, "sibling"))).drop("run", "best")
+
+
+def anchored_weight(config: Config) -> Column:
+    """A query's weight of the sparse branch: raised where its text has a lexical anchor."""
+    return F.when(T.lexical_anchor(F.col("query_text")), max(config.weight_sparse, config.anchored_sparse_weight)).otherwise(config.weight_sparse)
+
+
+def retrieve(chunks: DataFrame, queries: DataFrame, config: Config | None = None, predicate: Column | None = None, reranked: bool = True) -> dict[str, DataFrame]:
+    """The whole retrieval of many queries as plans: candidates, selected and decisions.
+
+    chunks: chunk_id, document_id, parent_id, level, text, header_path, sibling, simhash, embedding; queries: query_id, text, embedding.
+    Leaves alone are searched, those that the predicate (on chunks) allows. `candidates` explains the fused head: ranks and scores of the
+    branches, what repeats what, the reranker's score, and whether the chunk was selected or merged into its section. `selected` has the
+    chunks of the answer in the order of the prompt. `decisions` tells each query's confidence and whether to abstain; a query without
+    candidates abstains at 0.
+    """
+    c = config or Config()
+    leaves = chunks.where("level = 'L2'") if predicate is None else chunks.where("level = 'L2'").where(predicate)
+    dense_hits = dense_top_k(leaves.select("chunk_id", "embedding"), queries, c.dense_top_k)
+    sparse_hits = top_k(bm25(leaves, queries), c.sparse_top_k)
+    pool = candidate_pool(dense_hits, sparse_hits, c.ngram_pool).join(leaves.select("chunk_id", "text"), "chunk_id")
+    ngram_hits = top_k(ngram_scores(pool, queries, c.ngram_text_chars, c.ngram_query_chars), max(1, c.dense_top_k // 2))
+    asked = queries.select("query_id", F.col("text").alias("query_text"))
+    fused = fuse({"dense": (dense_hits, c.weight_dense), "sparse": (sparse_hits.join(asked, "query_id"), anchored_weight(c)), "ngram": (ngram_hits, c.weight_char_ngram)}, c.rrf_k)
+    for name in ("dense", "sparse", "ngram"):
+        fused = fused if f"{name}_score" in fused.columns else fused.withColumns({f"{name}_rank": F.lit(None).cast("int"), f"{name}_score": F.lit(None).cast("double")})
+    facts = leaves.select("chunk_id", "document_id", "parent_id", "text", "header_path", "sibling", "simhash")
+    head = fused.where(F.col("rank") <= max(c.rerank_top_k, c.final_top_k)).join(facts, "chunk_id")
+    judged = deduplicate(head, leaves.select("chunk_id", "embedding"), c.max_hamming, c.min_cosine)
+    judged = rerank(judged, queries) if reranked else judged.withColumn("rerank_score", F.lit(None).cast("double"))
+    kept = judged.where("duplicate_of is null").withColumn("score", F.coalesce("rerank_score", "rrf"))
+    kept = kept.withColumn("rrf_rank", F.col("rank")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rrf_rank")))
+    support = kept.select("query_id", F.coalesce("rerank_score", "dense_score").alias("score")).where("score is not null")
+    decisions = abstention(support, queries, c.threshold, c.supporting)
+    chosen = diversify(kept, c.final_top_k, c.max_per_document, c.relative_score_floor, c.min_distinct_documents)
+    sections = chunks.where("level = 'L1'").select(F.col("chunk_id").alias("node_id"), F.lit(True).alias("_section"))
+    chosen = chosen.join(sections.withColumnRenamed("node_id", "parent_id"), "parent_id", "left").withColumn("parent_id", F.when(F.col("_section"), F.col("parent_id"))).drop("_section")
+    merged = automerge(chosen)
+    nodes = chunks.select(F.col("chunk_id").alias("node_id"), "document_id", "header_path", "sibling", "text")
+    merged = merged.join(nodes, "node_id").withColumnRenamed("node_id", "chunk_id")
+    merged = merged.withColumns({"rank": F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")), "size": F.length("text")})
+    selected = reading_order(pack(merged, c.context_chars)).withColumnRenamed("position", "ordinal")
+    parents = selected.where("merged").select("query_id", F.col("chunk_id").alias("merged_into"))
+    seats = selected.select("query_id", "chunk_id", "ordinal")
+    whole = judged.join(parents.withColumn("parent_id", F.col("merged_into")), ["query_id", "parent_id"], "left").join(seats, ["query_id", "chunk_id"], "left")
+    candidates = whole.select("query_id", "chunk_id", "document_id", "rank", "rrf", "dense_rank", "sparse_rank", "ngram_rank", "dense_score", "sparse_score", "ngram_score", "duplicate_of", "rerank_score", "merged_into", "ordinal", (F.col("ordinal").isNotNull() | F.col("merged_into").isNotNull()).alias("selected"))
+    return {"candidates": candidates, "selected": selected, "decisions": decisions}
+
+
+def merge_collections(parts: DataFrame, k: int) -> DataFrame:
+    """The k best of each query over several collections' results (collection_id, query_id, chunk_id, score)."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "collection_id", "chunk_id")
+    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def merge_decisions(parts: DataFrame) -> DataFrame:
+    """One decision of each query over several collections: it abstains only if all do, with the best confidence."""
+    return parts.groupBy("query_id").agg(F.bool_and("abstain").alias("abstain"), F.max("confidence").alias("confidence"), F.sum("supporting").alias("supporting"))
+
+
+def ranked_list(candidates: DataFrame, depth: int = 50) -> DataFrame:
+    """(query_id, chunk_id, rank): candidates by the reranker's score, equal ones and those without in the order of fusion."""
+    order = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc_nulls_last(), F.col("rank"))
+    return candidates.select("query_id", "chunk_id", F.row_number().over(order).alias("place")).where(F.col("place") <= depth).withColumnRenamed("place", "rank")

@@ -30,6 +30,18 @@ def session(cores: str = "8", **conf: str) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local one only where a local master left it unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = f"file://{tempfile.gettempdir()}/lectern-stage"
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once per application; Spark's file server sends it."""
     app = spark.sparkContext.applicationId

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import itertools
 import uuid
 
 import numpy as np
@@ -21,6 +22,8 @@ BROADCAST_ROWS = 200_000
 WORD_CACHE = 400_000
 #: Bits of a filter for each key, at most, and in each block of it.
 FILTER_BITS, MOST_BITS, FILTER_BLOCK = 16, 1 << 28, 1 << 19
+#: Staged tables after which the driver gives free memory back.
+SETTLE = 6
 #: Spark's setting that removes the shuffle files of a job at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -46,6 +49,9 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_WRITTEN = itertools.count(1)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
@@ -58,6 +64,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    if next(_WRITTEN) % SETTLE == 0:
+        # buffers outside of the driver's heap go only when the heap is collected, which a large one seldom is
+        spark._jvm.System.gc()
+        release()
     return spark.read.schema(df.schema).parquet(path)
 
 

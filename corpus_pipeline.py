@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+# Every stage takes null and empty texts, repeated rows and empty tables as its operator's docstring says; rows without doc_id are judged by their texts alone.
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +50,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", pack),
 ]
 
-#: The classifier, the tokenizer and the packing have no SQL; tests hold stages 2 to 4 and the packing against brute force
-#: or round trips one by one, and only compare the doc_ids of run() with those that the same stages leave.
+#: The classifier, the tokenizer and the packing have no SQL; a test holds run() against brute force from the second stage on,
+#: and the packing against round trips.
 ORACLE_SQL = None
 
 

@@ -16,7 +16,7 @@ from lectern.llm.common import arrow_pass, staged
 #: Texts of these characters only are tokenised chunk by chunk through a cache: there the tokenizer's
 #: normaliser is lower-casing alone and no pre-token spans white space.
 PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
-CHUNK_CACHE = 100_000
+CHUNK_CACHE = 200_000
 #: Pieces per rank bucket.
 BUCKET_ROWS = 50_000
 

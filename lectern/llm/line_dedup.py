@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded, staged
+from lectern.llm.common import bounded, discard, staged
 
 #: Into how many parts a line is cut before deletions are tried.
 PARTS = 3
@@ -84,6 +84,7 @@ def _one_edit(long: DataFrame) -> DataFrame:
     near = _part_keys(long).join(bounded(shared), F.col("a") == F.col("ka"), "left_semi")
     near = near.groupBy("a", "b", "m", "less", "part").agg(F.min(place).alias("place"))  # equal lines once, at their earliest place
     near = staged(near, "line-near")
+    discard(shared)
     # less = 0: the part itself (gap -1), and the part less its g-th character as a substitution at g;
     # less = 1: the part is a character longer than the cuts say, so each variant is a line without that character
     n = F.length("part")
@@ -101,10 +102,13 @@ def _one_edit(long: DataFrame) -> DataFrame:
     won = won.where("swap <> last or (longer is not null and whole is not null)").drop("last")
     other = F.expr("case side when 'swap' then swap when 'longer' then whole else longer end")
     hits = variants.join(won, key).withColumn("other", other).where("place > other").select("a", "b", "place", "other", (F.col("side") == "longer").cast("int").alias("less"), (F.col("side") == "whole").cast("int").alias("other_less")).distinct()
+    hits = staged(hits, "line-hits")
     mine = near.select("a", "b", "place", "less", F.col("part").alias("mine"))
     theirs = near.select("a", "b", F.col("place").alias("other"), F.col("less").alias("other_less"), F.col("part").alias("theirs"))
     hits = hits.join(mine, ["a", "b", "place", "less"]).join(theirs, ["a", "b", "other", "other_less"]).where(F.levenshtein("mine", "theirs", 1).between(0, 1))
-    return hits.select(F.col("place").alias("hit")).distinct()
+    out = staged(hits.select(F.col("place").alias("hit")).distinct(), "line-one")
+    discard(near)
+    return out
 
 
 def bound_of(n: Column, max_edits: int) -> Column:
@@ -161,6 +165,7 @@ def _counts(line: Column) -> list[Column]:
 def _few_edits(long: DataFrame, max_edits: int) -> DataFrame:
     """near_lines among lines that allow two edits or more.
 
+    Each comparison is a job of its own: as one plan, adaptive execution would plan all of them anew after each stage.
     Segments that several distinct lines have, then the lines that have such a segment, then their texts, each line at its
     earliest place. They are first compared with the earliest line of each of their segments; only those without a
     hit are compared with all earlier lines of their segments.
@@ -179,6 +184,7 @@ def _few_edits(long: DataFrame, max_edits: int) -> DataFrame:
     letters = [c.alias(f"c{k}") for k, c in enumerate(_counts(F.col("line")))]
     brief = near.select("h", "place", F.struct("place", n.alias("n"), *letters, "h").alias("own"))
     posts = staged(met.join(brief, "h").select("own", "key", "whole"), "line-posts")
+    discard(met)
     firsts = posts.groupBy("key").agg(F.min("own").alias("any"), F.min(F.when(F.col("whole"), F.col("own"))).alias("entire"))
 
     def allowed(x: Column, y: Column) -> Column:
@@ -197,24 +203,36 @@ def _few_edits(long: DataFrame, max_edits: int) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         """Places of the lines of pairs (own, other) that are near the other one."""
         a, b = F.col("own"), F.col("other")
-        pairs = pairs.select(a["h"].alias("h"), b["h"].alias("oh")).distinct()
+        pairs = staged(pairs.select(a["h"].alias("h"), b["h"].alias("oh")).distinct(), "line-pairs")
         mine = near.select("h", F.col("place").alias("mp"), F.col("line").alias("ml"))
         theirs = near.select(F.col("h").alias("oh"), F.col("place").alias("tp"), F.col("line").alias("tl"))
-        return pairs.join(mine, "h").join(theirs, "oh").where("mp > tp").where(close()).select(F.col("mp").alias("hit")).distinct()
+        out = staged(pairs.join(mine, "h").join(theirs, "oh").where("mp > tp").where(close()).select(F.col("mp").alias("hit")).distinct(), "line-verified")
+        discard(pairs)
+        return out
 
     first = posts.join(firsts, "key").select("own", F.when(F.col("whole"), F.col("any")).otherwise(F.col("entire")).alias("other")).where(likely(F.col("own"), F.col("other")))
-    found = staged(verified(first), "line-first")
+    found = verified(first)
     open_ = posts.join(found, F.col("own.place") == F.col("hit"), "left_anti")
     others = posts.select("key", F.col("own").alias("other"), F.col("whole").alias("entire"))
     crowded = staged(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key"), "line-crowds")
     few = open_.join(bounded(crowded), "key", "left_anti").join(others, "key").where("whole or entire").where(likely(F.col("own"), F.col("other")))
-    # in a crowd the join itself compares the texts, so that what it emits doesn't grow with the square of the crowd
-    text = near.select(F.col("h").alias("th"), F.col("place").alias("tp"), F.col("line").alias("text"))
-    among = bounded(crowded)
-    mine = open_.join(among, "key").join(text, (F.col("own.h") == F.col("th")) & (F.col("own.place") == F.col("tp"))).select("key", "own", "whole", F.col("text").alias("ml"))
-    theirs = others.join(among, "key").join(text, (F.col("other.h") == F.col("th")) & (F.col("other.place") == F.col("tp"))).select("key", "other", "entire", F.col("text").alias("tl"))
-    many = mine.join(theirs, "key").where("whole or entire").where(likely(F.col("own"), F.col("other")) & close())
-    return found.unionByName(verified(few)).unionByName(many.select(F.col("own.place").alias("hit"))).distinct()
+    # In a crowd only lines with a likely partner go on, told by semi-joins, which emit a line once. Then the join itself
+    # compares the texts, so that what it emits doesn't grow with the square of the crowd either.
+    among, meets = bounded(crowded), (F.col("key") == F.col("okey")) & (F.col("whole") | F.col("entire")) & likely(F.col("own"), F.col("other"))
+    held = others.join(among, "key").withColumnRenamed("key", "okey")
+    asking = staged(open_.join(among, "key").join(held, meets, "left_semi"), "line-asking")
+    asked = staged(held.join(asking, meets, "left_semi"), "line-asked")
+    # a pair is compared at the least of the crowded segments under which it meets, not at each
+    at = F.col("own.h").alias("th"), F.col("own.place").alias("tp")
+    keys = posts.join(among, "key").groupBy(*at).agg(F.collect_set("key").alias("any"), F.collect_set(F.when(F.col("whole"), F.col("key"))).alias("whole"))
+    text = near.select(F.col("h").alias("th"), F.col("place").alias("tp"), F.col("line").alias("text")).join(keys, ["th", "tp"])
+    text = staged(text.select("th", "tp", "text", F.struct("any", "whole").alias("keys")), "line-texts")
+    mine = asking.join(text, (F.col("own.h") == F.col("th")) & (F.col("own.place") == F.col("tp"))).select("key", "own", "whole", F.col("text").alias("ml"), F.col("keys").alias("mk"))
+    theirs = asked.join(text, (F.col("other.h") == F.col("th")) & (F.col("other.place") == F.col("tp"))).select("okey", "other", "entire", F.col("text").alias("tl"), F.col("keys").alias("tk"))
+    least = F.least(*[F.array_min(F.array_intersect(F.col("mk")[x], F.col("tk")[y])) for x, y in (("whole", "any"), ("any", "whole"))])
+    many = mine.join(theirs, meets & (least == F.col("key")) & close())
+    few, many = verified(few), staged(many.select(F.col("own.place").alias("hit")).distinct(), "line-many")
+    return found.unionByName(few).unionByName(many).distinct()
 
 
 def near_lines(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = 16) -> DataFrame:

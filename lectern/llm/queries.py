@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import attribution, chat, decontaminate, embedding_dedup, langid, line_dedup, ngram_join, packing, quality, substring_dedup, toxicity, whitening
+from lectern.llm import attribution, chat, decontaminate, embedding_dedup, langid, line_dedup, lm, ngram_join, packing, quality, substring_dedup, toxicity, whitening
 from lectern.llm.common import table
 
 
@@ -56,12 +56,16 @@ def op11_click_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_line_dedup, op4_ngram_jaccard, op5_chat_formatting, op6_decontamination, op7_substring_dedup, op8_embedding_dedup, op9_language_id, op10_quality_classifier, op11_click_attribution, op13_embedding_whitening)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_line_dedup, op4_ngram_jaccard, op5_chat_formatting, op6_decontamination, op7_substring_dedup, op8_embedding_dedup, op9_language_id, op10_quality_classifier, op11_click_attribution, op12_lm_scoring, op13_embedding_whitening)}
 
 
 OP5_SQL = """

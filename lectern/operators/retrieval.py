@@ -47,36 +47,6 @@ def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return scored.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
 
 
-def weighted_bm25(fields: DataFrame, queries: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(query_id, chunk_id, score) over term lists in several columns of fields (chunk_id, one array for each weight).
-
-    queries: query_id, terms. A term's frequency is the weighted sum over the columns, a chunk's length the terms of all of them.
-    """
-    lists = [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda t, w=w: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))) for c, w in weights.items()]
-    rows = fields.select("chunk_id", F.concat(*lists).alias("all")).select("chunk_id", F.size("all").alias("length"), "all")
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).where(F.length("term") >= 2)
-    posts = rows.select("chunk_id", "length", F.explode_outer("all").alias("p")).select("chunk_id", "length", "p.*").join(wanted.select("term").distinct(), "term", "left_semi")
-    posts = posts.groupBy("chunk_id", "length", "term").agg(F.sum("w").alias("tf"))
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    scored = posts.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "chunk_id", part.alias("part"))  # one row
-    return scored.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
-
-
-def code_matches(fields: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, hits): chunks whose codes contain a query's code of three or more characters, whatever their case.
-
-    Both are cut into trigrams; a code's rarest would do, so its first one is joined and the whole code verified.
-    """
-    own = fields.select("chunk_id", F.explode(F.array_distinct("codes")).alias("code")).withColumn("code", F.lower("code"))
-    grams = own.select("chunk_id", "code", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("code") - 2, F.lit(1))), lambda i: F.substring("code", i, F.lit(3)))).alias("gram")).distinct()
-    asked = queries.select("query_id", F.explode(F.array_distinct("codes")).alias("wanted")).withColumn("wanted", F.lower("wanted")).where(F.length("wanted") >= 3)
-    met = grams.join(asked.withColumn("gram", F.substring("wanted", 1, 3)), "gram").where(F.contains("code", "wanted"))
-    return met.groupBy("query_id", "chunk_id").agg(F.count_distinct("wanted").alias("hits"))
-
-
 def merge_scores(a: DataFrame, b: DataFrame) -> DataFrame:
     """The larger score of each (query_id, chunk_id) of either."""
     columns = ["query_id", "chunk_id", "score"]

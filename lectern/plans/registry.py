@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import documents, operations
+from lectern.plans import documents, operations, search
 
-MODULES = [documents, operations]
+MODULES = [documents, operations, search]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

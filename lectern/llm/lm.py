@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_pass, crc_mod, discard, hashed_sample, staged
+from lectern.llm.common import arrow_pass, crc_mod, discard, hashed_sample, release, staged
 from lectern.session import ship
 
 #: Latent states, passes over all training documents, and the rounds before them on a sample that give these a start.
@@ -36,6 +36,17 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 # ---- words of blocks of documents ----
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers compressed, the bytes of equal place side by side."""
+    raw = np.ascontiguousarray(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def restored(raw, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
 class Codes(dict):
     """Numbers of words in the order of their first appearance."""
 
@@ -54,7 +65,7 @@ def _blocks(batches):
         flat = np.concatenate(parts)
         train = np.bincount(flat[np.repeat(~np.array(held, bool), sizes)], minlength=len(codes)).astype(np.int32)
         words = [w.decode("utf-8", "replace") for w in codes]
-        cells = [[made], [words], [train], [ids], [held], [sizes], [flat.astype(np.int32).tobytes()]]
+        cells = [[made], [words], [train], [ids], [held], [sizes], [squeezed(flat)]]
         kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["block", "words", "counts", "ids", "held", "sizes", "codes"])
 
@@ -62,7 +73,7 @@ def _blocks(batches):
         for doc, out, text in zip(*(batch.column(n) for n in ("doc_id", "held_out", "text")), strict=True):
             words = (text.as_buffer().to_pybytes() if text.is_valid else b"").lower().split()  # bytes: A-Z and the six blanks only
             words.append(b"")
-            parts.append(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)))
+            parts.append(np.fromiter(map(codes.__getitem__, words), np.int32, len(words)))
             ids.append(doc.as_py())
             held.append(out.as_py())
             total += len(words)
@@ -115,8 +126,8 @@ def _coder(words: Vocabulary):
         logs = np.log10(c + 1)
         out = {n: [] for n in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "classes")}
         for k in range(block.num_rows):
-            codes = np.frombuffer(block.column("codes")[k].as_buffer(), np.int32)
             sizes = np.asarray(block.column("sizes")[k].values)
+            codes = restored(block.column("codes")[k].as_buffer(), int(sizes.sum()))
             begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
             out["doc_id"] += block.column("ids")[k].as_py()
             out["held_out"] += block.column("held")[k].as_py()
@@ -125,7 +136,8 @@ def _coder(words: Vocabulary):
             out["base_score"] += (np.add.reduceat(logs[codes], begin) - sizes * np.log10(tokens + types + 1)).tolist()
             out["within"] += np.add.reduceat(share[codes], begin).tolist()
             mapped = cls[codes]
-            out["classes"] += [mapped[b : b + s].tobytes() for b, s in zip(begin, sizes, strict=True)]
+            out["classes"] += [squeezed(mapped[b : b + s]) for b, s in zip(begin, sizes, strict=True)]
+        release()
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("within", pa.float64()), ("classes", pa.binary())]))
 
     return code
@@ -259,10 +271,10 @@ def likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _chunks(batches, column: str = "classes") -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _chunks(batches) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Rows with about AT_ONCE tokens together, a longer text alone."""
     for batch in batches:
-        texts = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(column)]
+        texts = [restored(x.as_buffer(), n) for x, n in zip(batch.column("classes"), batch.column("n_tokens").to_pylist(), strict=True)]
         begin, total = 0, 0
         for k, text in enumerate(texts):
             if k > begin and total + len(text) > AT_ONCE:
@@ -296,7 +308,7 @@ def fit(train: DataFrame, overall: np.ndarray) -> Model:
     spark, rows = train.sparkSession, len(overall) + STATES + 1
 
     def sampled(batches):
-        texts = [t.copy() for _, part in _chunks(batches) for t in part]
+        texts = [t for _, part in _chunks(batches) for t in part]
         if texts:
             pieces, first = _pieces(texts)
             model = Model.first(overall)
@@ -305,7 +317,7 @@ def fit(train: DataFrame, overall: np.ndarray) -> Model:
                 model = Model.fitted(sums, overall)
             yield _summed(sums)
 
-    model = Model.fitted(_gathered(hashed_sample(train.select("classes"), SAMPLE_DOCS, "classes").repartition(1), sampled, rows), overall)
+    model = Model.fitted(_gathered(hashed_sample(train.select("n_tokens", "classes"), SAMPLE_DOCS, "classes").repartition(1), sampled, rows), overall)
     for _ in range(PASSES):
         shared = spark.sparkContext.broadcast(model)  # (OWN + ENDINGS) * STATES doubles at most
 
@@ -315,7 +327,7 @@ def fit(train: DataFrame, overall: np.ndarray) -> Model:
                 sums += expected(shared.value, *_pieces(texts))[0]
             yield _summed(sums)
 
-        model = Model.fitted(_gathered(train.select("classes"), run, rows), overall)
+        model = Model.fitted(_gathered(train.select("n_tokens", "classes"), run, rows), overall)
         shared.destroy()
     return model
 

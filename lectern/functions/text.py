@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,16 +29,19 @@ def with_compound_parts(words: Column) -> Column:
     return F.flatten(F.transform(words, lambda w: F.when(F.contains(w, F.lit("-")), F.array_distinct(F.concat(F.array(w), parts(w)))).otherwise(F.array(w))))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: inside of a lambda an expression would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def char_ngrams(text: Column, least: int = 3, most: int = 5) -> Column:
     """All character n-grams of a text between spaces, with repeats."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
 
-    def of(n: int) -> Column:
+    def of(padded: Column, n: int) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))
         return F.when(F.length(padded) >= n, F.transform(places, lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    grams = [of(n) for n in range(least, most + 1)]
-    return F.concat(*grams)
+    return bound(F.concat(F.lit(" "), text, F.lit(" ")), lambda padded: F.concat(*[of(padded, n) for n in range(least, most + 1)]))
 
 
 def occurrences(text: Column, part: Column) -> Column:
@@ -270,17 +275,20 @@ def truncated(vector: Column, dims: int) -> Column:
 
 def simhash(terms: Column, shingle: int = 3) -> Column:
     """64 bits that vote over the hashes of runs of `shingle` terms; 0 without terms."""
-    n = F.size(terms)
-    runs = F.when(n >= shingle, F.transform(F.sequence(F.lit(1), F.greatest(n - shingle + 1, F.lit(1))), lambda i: F.array_join(F.slice(terms, i, F.lit(shingle)), " "))).otherwise(F.array(F.array_join(terms, " ")))
-    hashes = F.transform(runs, lambda r: F.xxhash64(r))
+    zero = F.lit(0).cast("long")
+
+    def runs(w: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(w) - shingle + 1, F.lit(1)))
+        return F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(shingle)), " ")))
 
-    def votes_for(bit: int) -> Column:
-        return F.aggregate(hashes, F.lit(0), lambda s, h: s + F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(1).cast("long")).cast("int"))
+    def voted(hashes: Column) -> Column:
+        out = zero
+        for bit in range(64):
+            votes = F.aggregate(hashes, F.lit(0), lambda s, h: s + F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(1).cast("long")).cast("int"))
+            out = out.bitwiseOR(F.when(votes * 2 > F.size(hashes), F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")).otherwise(zero))
+        return out
 
-    out = F.lit(0).cast("long")
-    for bit in range(64):
-        out = out.bitwiseOR(F.when(votes_for(bit) * 2 > F.size(hashes), F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return F.when(n > 0, out).otherwise(F.lit(0).cast("long"))
+    return bound(terms, lambda w: F.when(F.size(w) > 0, bound(runs(w), voted)).otherwise(zero))
 
 
 def sigmoid(x: Column) -> Column:

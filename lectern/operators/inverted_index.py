@@ -135,8 +135,8 @@ def search(index: InvertedIndex, queries: DataFrame, k: int, allowed: DataFrame
     """(query_id, chunk_id, score, rank): the k best chunks of each query (query_id, terms), as scoring all postings gives them.
 
     The blocks with the largest parts give each query k partial scores, whose least no result may fall below. A block is read
-    if its bound and what all other terms can add reach that: chunks in the others can't be among the k best, so scores stay exact. Only
-    folders of the queries' terms are read. `allowed` (chunk_id) restricts the chunks before anything is counted.
+    if its bound and what all other terms can add reach that: chunks in the others can't be among the k best, so scores stay exact (a query of many
+    like terms needs nearly all blocks, one of a few terms a part). Only folders of the queries' terms are read. `allowed` (chunk_id) restricts the chunks before anything is counted.
     """
     spark = queries.sparkSession
     asked = staged(survey(index, queries), "search-terms")

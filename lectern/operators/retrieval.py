@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +11,9 @@ from pyspark.sql import functions as F
 
 from lectern.config import Config
 from lectern.functions import text as T
+from lectern.functions.normalize import normalized
 from lectern.session import ship
+from lectern.staging import staged
 
 #: The parameters of BM25 and of the fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -34,16 +38,17 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
 
 
 def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score). A chunk's words are split once for its postings of words that some query has, once for the averages."""
+    """(query_id, chunk_id, score). Chunks are read and split once: what is written has the postings of words that some query has, and each chunk's length."""
     wanted = query_terms(queries)
     words = chunks.select("chunk_id", T.tokens(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
-    mine = words.select("chunk_id", F.size("w").alias("length"), F.explode_outer("w").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    mine = mine.groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    scored = mine.join(df, "term").crossJoin(F.broadcast(corpus_stats(chunks))).select("term", "chunk_id", part.alias("part"))  # the stats are one row
+    rows = words.select("chunk_id", F.size("w").alias("length"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("term"))  # the empty word stands for the chunk
+    terms = wanted.select("term").distinct().unionByName(chunks.sparkSession.createDataFrame([("",)], "term string"))
+    posts = staged(rows.join(terms, "term", "left_semi").groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "bm25-posts")
+    n, average = posts.where("term = ''").agg(F.count(F.lit(1)), F.avg("length")).first()
+    mine = posts.where("term <> ''")
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(average or 1.0)))
+    scored = mine.join(mine.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select("term", "chunk_id", part.alias("part"))
     return scored.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
 
 
@@ -59,18 +64,25 @@ def top_k(scored: DataFrame, k: int, score: str = "score", tie: str = "chunk_id"
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) by cosine with every vector: the queries are the small, stated side."""
-    return vectors.crossJoin(queries.select("query_id", F.col("embedding").alias("q"))).select("query_id", "chunk_id", T.cosine(F.col("q"), F.col("embedding")).alias("score"))
-
-
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """top_k of dense, as matrix products: the queries go to all tasks if they are QUERY_BLOCK at most, and a batch of vectors keeps its k best of each.
+    """The k nearest vectors of each query by cosine, as matrix products: blocks of QUERY_BLOCK queries at most go to all tasks, and a batch of vectors keeps its k best of each.
 
-    Vectors of another length than a query's, null ones and ones with nulls have no score with it.
+    Vectors of another length than a query's, null ones and ones with nulls have no score with it. Results of several blocks are written
+    one after another.
     """
-    if queries.count() > QUERY_BLOCK:
-        return top_k(dense(vectors, queries), k)
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    if blocks <= 1:
+        return _dense_block(vectors, queries, k)[0]
+    out = None
+    for b in range(blocks):
+        found, sides = _dense_block(vectors, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k)
+        found = staged(found, "dense-block")
+        sides.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _dense_block(vectors: DataFrame, queries: DataFrame, k: int):
     asked: dict[int, list] = {}
     for r in queries.select("query_id", "embedding").collect():
         if r["embedding"] is not None and None not in r["embedding"]:
@@ -80,17 +92,33 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, rows = batch.column("chunk_id").to_numpy(zero_copy_only=False), batch.column("embedding").to_pylist()
-            for dims, (names, q) in sides.value.items():
-                at = [i for i, v in enumerate(rows) if v is not None and len(v) == dims and None not in v]
-                if not at:
+            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            for dims, at, x in _matrices(batch.column("embedding")):
+                if dims not in sides.value:
                     continue
-                score = np.round(_units(np.array([rows[i] for i in at], np.float64)) @ q.T, 12)
-                least = np.partition(np.round(score, 9), -k, axis=0)[-k] if len(at) > k else np.full(len(names), -np.inf)
-                i, j = np.nonzero(np.round(score, 9) >= least)
+                names, q = sides.value[dims]
+                score = np.round(_units(x) @ q.T, 12)
+                near = np.round(score, 9)
+                least = np.partition(near, -k, axis=0)[-k] if len(at) > k else np.full(len(names), -np.inf)
+                i, j = np.nonzero(near >= least)
                 yield pa.RecordBatch.from_arrays([pa.array(names[j]), pa.array(ids[at][i].astype(np.int64)), pa.array(score[i, j])], names=["query_id", "chunk_id", "score"])
 
-    return top_k(vectors.select(F.col("chunk_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "query_id long, chunk_id long, score double"), k)
+    rows = vectors.select(F.col("chunk_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return top_k(rows.mapInArrow(run, "query_id long, chunk_id long, score double"), k), sides
+
+
+def _matrices(column: pa.Array):
+    """(length, places, rows) of the lists of each length, without null lists and lists with nulls; the values are read as one array."""
+    sizes = np.asarray(column.value_lengths().fill_null(-1))
+    values = column.flatten()
+    begins = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))[:-1]]) if len(sizes) else sizes
+    flat = values.to_numpy(zero_copy_only=False)
+    if values.null_count:
+        holes = np.concatenate([[0], np.cumsum(np.asarray(values.is_null()))])
+        sizes = np.where((sizes >= 0) & (holes[begins + np.maximum(sizes, 0)] > holes[begins]), -1, sizes)
+    for dims in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == dims)
+        yield int(dims), at, flat[begins[at][:, None] + np.arange(dims)]
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -120,9 +148,11 @@ def ngram_scores(pool: DataFrame, queries: DataFrame, text_chars: int = 800, que
 
     The feature is defined on the first text_chars and query_chars characters; the query is padded with spaces, the text is not.
     """
-    grams = queries.select("query_id", F.explode(F.array_distinct(T.char_ngrams(F.substring(F.lower("text"), 1, query_chars)))).alias("gram"))
-    low = pool.select("query_id", "chunk_id", F.substring(F.lower("text"), 1, text_chars).alias("low"))
-    hits = low.join(grams, "query_id").withColumn("tf", T.occurrences(F.col("low"), F.col("gram"))).where("tf > 0")
+    asked = queries.select("query_id", F.array_distinct(T.char_ngrams(F.substring(F.lower("text"), 1, query_chars))).alias("asked"))
+    texts = pool.select("chunk_id", F.substring(F.lower("text"), 1, text_chars).alias("low")).dropDuplicates(["chunk_id"])
+    texts = texts.withColumn("own", F.array_distinct(T.char_ngrams(F.col("low"))))  # of each chunk once, for all queries
+    low = pool.select("query_id", "chunk_id").join(texts, "chunk_id").join(asked, "query_id").select("query_id", "chunk_id", "low", F.array_intersect("asked", "own").alias("shared"))
+    hits = low.select("query_id", "chunk_id", "low", F.explode("shared").alias("gram")).withColumn("tf", T.occurrences(F.col("low"), F.col("gram"))).where("tf > 0")
     sizes = low.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("low")).alias("avg_length"))
     df = hits.groupBy("query_id", "gram").agg(F.count(F.lit(1)).alias("df"))
     part = (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1) * (1 + F.log("tf")) / (1 - 0.75 + 0.75 * F.length("low") / F.col("avg_length"))
@@ -196,16 +226,17 @@ def deduplicate(ranked: DataFrame, vectors: DataFrame | None = None, max_hamming
 
 def rerank(candidates: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
     """candidates with rerank_score: the share of the query's words that the text has (0.6) and of its trigrams (0.4); a stand-in for a model."""
-    def parts(c: Column) -> tuple[Column, Column]:
-        words = F.array_distinct(T.tokens(c))
-        return words, F.array_distinct(T.char_ngrams(F.array_join(words, " "), 3, 3))
-
-    asked = queries.select("query_id", *[x.alias(n) for x, n in zip(parts(F.col("text")), ("_qw", "_qg"), strict=True)])
-    rows = candidates.join(asked, "query_id")
-    words, grams = parts(F.coalesce(F.col(text), F.lit("")))
+    def parts(rows: DataFrame, column: Column, w: str, g: str) -> DataFrame:
+        words = rows.withColumn(w, F.array_distinct(T.tokens(F.coalesce(column, F.lit("")))))
+        return words.withColumn(g, F.array_distinct(T.char_ngrams(F.array_join(w, " "), 3, 3)))
+
+    asked = parts(queries, F.col("text"), "_qw", "_qg").select("query_id", "_qw", "_qg")
+    distinct = staged(parts(candidates.select("chunk_id", text).dropDuplicates(["chunk_id"]), F.col(text), "_w", "_g").select("chunk_id", "_w", "_g"), "rerank-texts")
+    rows = candidates.join(distinct, "chunk_id").join(asked, "query_id")
+    words, grams = F.col("_w"), F.col("_g")
     cover = lambda q, own: F.when(F.size(q) > 0, F.size(F.array_intersect(q, own)) / F.size(q)).otherwise(0.0)
     score = 0.6 * cover(F.col("_qw"), words) + 0.4 * cover(F.col("_qg"), grams)
-    return rows.withColumn("rerank_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))).drop("_qw", "_qg")
+    return rows.withColumn("rerank_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))).drop("_qw", "_qg", "_w", "_g")
 
 
 def abstention(scored: DataFrame, queries: DataFrame, threshold: float, least: int = 1) -> DataFrame:
@@ -282,47 +313,86 @@ def reading_order(ranked: DataFrame) -> DataFrame:
 
 def anchored_weight(config: Config) -> Column:
     """A query's weight of the sparse branch: raised where its text has a lexical anchor."""
-    return F.when(T.lexical_anchor(F.col("query_text")), max(config.weight_sparse, config.anchored_sparse_weight)).otherwise(config.weight_sparse)
+    return F.when(F.col("anchored"), max(config.weight_sparse, config.anchored_sparse_weight)).otherwise(config.weight_sparse)
+
+
+def text_simhash(text: str) -> Column:
+    return T.simhash(T.tokens(F.coalesce(F.col(text), F.lit(""))))
+
+
+def analysed(queries: DataFrame) -> DataFrame:
+    """queries with query_text (as asked), text (normalised) and anchored: whether words decide first."""
+    rows = normalized(queries.withColumn("query_text", F.coalesce("text", F.lit("")))).drop("text").withColumnRenamed("normalized", "text")
+    return rows.withColumn("anchored", T.lexical_anchor(F.col("query_text")))
+
+
+def pool_of(dense_hits: DataFrame, sparse_hits: DataFrame, queries: DataFrame, leaves: DataFrame, filtered: bool, most: int) -> DataFrame:
+    """The n-gram branch's candidates (query_id, chunk_id): hits of the other branches, or all that a filter allows if these are `most` at most."""
+    if filtered:
+        few = [r[0] for r in leaves.select("chunk_id").limit(most + 1).collect()]
+        if 0 < len(few) <= most:
+            return queries.select("query_id", F.explode(F.array(*[F.lit(i).cast("long") for i in sorted(few)])).alias("chunk_id"))
+    return candidate_pool(dense_hits, sparse_hits, most).select("query_id", "chunk_id")
+
 
+def retrieve(
+    chunks: DataFrame,
+    queries: DataFrame,
+    config: Config | None = None,
+    predicate: Column | None = None,
+    reranked: bool = True,
+    dense_hits: DataFrame | None = None,
+    sparse_hits: DataFrame | None = None,
+    reranker: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> dict[str, DataFrame]:
+    """The whole retrieval of many queries: candidates, selected and decisions.
 
-def retrieve(chunks: DataFrame, queries: DataFrame, config: Config | None = None, predicate: Column | None = None, reranked: bool = True) -> dict[str, DataFrame]:
-    """The whole retrieval of many queries as plans: candidates, selected and decisions.
+    chunks: chunk_id, document_id, parent_id, level, text, header_path, sibling, embedding, and simhash if it is known (else it is made of the
+    fused head's texts); queries: query_id, text, embedding. Leaves alone are searched, those that the predicate (on chunks) allows;
+    words and n-grams are those of normalised texts. A leaf or query without a vector is found by its words. Branches that an index has answered
+    (query_id, chunk_id, score, rank) may be given. `reranker` takes candidates and queries and adds rerank_score (default: rerank).
 
-    chunks: chunk_id, document_id, parent_id, level, text, header_path, sibling, simhash, embedding; queries: query_id, text, embedding.
-    Leaves alone are searched, those that the predicate (on chunks) allows. `candidates` explains the fused head: ranks and scores of the
-    branches, what repeats what, the reranker's score, and whether the chunk was selected or merged into its section. `selected` has the
-    chunks of the answer in the order of the prompt. `decisions` tells each query's confidence and whether to abstain; a query without
-    candidates abstains at 0.
+    What several later steps read (branches, the fused head, judged and chosen chunks) is written once, so the plans that are returned
+    are short. `candidates` explains the head: ranks and scores of the branches, what repeats what, the reranker's score, and whether the
+    chunk was selected or merged into its section. `selected` has the chunks of the answer in the order of the prompt. `decisions` tells each
+    query's confidence and whether to abstain; a query without candidates abstains at 0.
     """
     c = config or Config()
     leaves = chunks.where("level = 'L2'") if predicate is None else chunks.where("level = 'L2'").where(predicate)
-    dense_hits = dense_top_k(leaves.select("chunk_id", "embedding"), queries, c.dense_top_k)
-    sparse_hits = top_k(bm25(leaves, queries), c.sparse_top_k)
-    pool = candidate_pool(dense_hits, sparse_hits, c.ngram_pool).join(leaves.select("chunk_id", "text"), "chunk_id")
-    ngram_hits = top_k(ngram_scores(pool, queries, c.ngram_text_chars, c.ngram_query_chars), max(1, c.dense_top_k // 2))
-    asked = queries.select("query_id", F.col("text").alias("query_text"))
-    fused = fuse({"dense": (dense_hits, c.weight_dense), "sparse": (sparse_hits.join(asked, "query_id"), anchored_weight(c)), "ngram": (ngram_hits, c.weight_char_ngram)}, c.rrf_k)
+    asked = staged(analysed(queries.select("query_id", "text", "embedding")), "retrieve-queries")
+    dense_hits = staged(dense_top_k(leaves.select("chunk_id", "embedding"), asked, c.dense_top_k) if dense_hits is None else dense_hits, "retrieve-dense")
+    if sparse_hits is None:
+        texts = normalized(leaves.select("chunk_id", "text")).select("chunk_id", F.col("normalized").alias("text"))
+        sparse_hits = top_k(bm25(texts, asked), c.sparse_top_k)
+    sparse_hits = staged(sparse_hits, "retrieve-sparse")
+    pool = pool_of(dense_hits, sparse_hits, asked, leaves, predicate is not None, c.ngram_pool).join(leaves.select("chunk_id", "text"), "chunk_id")
+    pool = staged(normalized(pool).drop("text").withColumnRenamed("normalized", "text"), "retrieve-pool")
+    ngram_hits = staged(top_k(ngram_scores(pool, asked, c.ngram_text_chars, c.ngram_query_chars), max(1, c.dense_top_k // 2)), "retrieve-ngrams")
+    weighed = sparse_hits.join(asked.select("query_id", "anchored"), "query_id")
+    fused = fuse({"dense": (dense_hits, c.weight_dense), "sparse": (weighed, anchored_weight(c)), "ngram": (ngram_hits, c.weight_char_ngram)}, c.rrf_k)
     for name in ("dense", "sparse", "ngram"):
         fused = fused if f"{name}_score" in fused.columns else fused.withColumns({f"{name}_rank": F.lit(None).cast("int"), f"{name}_score": F.lit(None).cast("double")})
-    facts = leaves.select("chunk_id", "document_id", "parent_id", "text", "header_path", "sibling", "simhash")
+    facts = leaves.select("chunk_id", "document_id", "parent_id", "text", "header_path", "sibling", *(["simhash"] if "simhash" in chunks.columns else []))
     head = fused.where(F.col("rank") <= max(c.rerank_top_k, c.final_top_k)).join(facts, "chunk_id")
-    judged = deduplicate(head, leaves.select("chunk_id", "embedding"), c.max_hamming, c.min_cosine)
-    judged = rerank(judged, queries) if reranked else judged.withColumn("rerank_score", F.lit(None).cast("double"))
+    head = staged(head if "simhash" in chunks.columns else head.withColumn("simhash", text_simhash("text")), "retrieve-head")
+    judged = deduplicate(head, leaves.select("chunk_id", "embedding").join(head.select("chunk_id").distinct(), "chunk_id", "left_semi"), c.max_hamming, c.min_cosine)
+    judged = (reranker or rerank)(judged, asked.select("query_id", F.col("query_text").alias("text"))) if reranked else judged.withColumn("rerank_score", F.lit(None).cast("double"))
+    judged = staged(judged, "retrieve-judged")
     kept = judged.where("duplicate_of is null").withColumn("score", F.coalesce("rerank_score", "rrf"))
-    kept = kept.withColumn("rrf_rank", F.col("rank")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rrf_rank")))
+    kept = kept.withColumn("rrf_rank", F.col("rank")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "rrf_rank")))
     support = kept.select("query_id", F.coalesce("rerank_score", "dense_score").alias("score")).where("score is not null")
-    decisions = abstention(support, queries, c.threshold, c.supporting)
+    decisions = abstention(support, asked, c.threshold, c.supporting)
     chosen = diversify(kept, c.final_top_k, c.max_per_document, c.relative_score_floor, c.min_distinct_documents)
-    sections = chunks.where("level = 'L1'").select(F.col("chunk_id").alias("node_id"), F.lit(True).alias("_section"))
-    chosen = chosen.join(sections.withColumnRenamed("node_id", "parent_id"), "parent_id", "left").withColumn("parent_id", F.when(F.col("_section"), F.col("parent_id"))).drop("_section")
-    merged = automerge(chosen)
+    sections = chunks.where("level = 'L1'").select(F.col("chunk_id").alias("parent_id"), F.lit(True).alias("_section"))
+    chosen = staged(chosen.join(sections, "parent_id", "left").withColumn("parent_id", F.when(F.col("_section"), F.col("parent_id"))).drop("_section"), "retrieve-chosen")
     nodes = chunks.select(F.col("chunk_id").alias("node_id"), "document_id", "header_path", "sibling", "text")
-    merged = merged.join(nodes, "node_id").withColumnRenamed("node_id", "chunk_id")
-    merged = merged.withColumns({"rank": F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")), "size": F.length("text")})
-    selected = reading_order(pack(merged, c.context_chars)).withColumnRenamed("position", "ordinal")
-    parents = selected.where("merged").select("query_id", F.col("chunk_id").alias("merged_into"))
+    merged = automerge(chosen).join(nodes, "node_id").withColumnRenamed("node_id", "chunk_id")
+    merged = merged.withColumns({"rank": F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")), "size": F.length("text")})
+    selected = staged(reading_order(pack(staged(merged, "retrieve-merged"), c.context_chars)).withColumnRenamed("position", "ordinal"), "retrieve-selected")
+    parents = selected.where("merged").select("query_id", F.col("chunk_id").alias("parent_id"), F.col("chunk_id").alias("merged_into"))
+    into = chosen.join(parents, ["query_id", "parent_id"]).select("query_id", "chunk_id", "merged_into")
     seats = selected.select("query_id", "chunk_id", "ordinal")
-    whole = judged.join(parents.withColumn("parent_id", F.col("merged_into")), ["query_id", "parent_id"], "left").join(seats, ["query_id", "chunk_id"], "left")
+    whole = judged.join(into, ["query_id", "chunk_id"], "left").join(seats, ["query_id", "chunk_id"], "left")
     candidates = whole.select("query_id", "chunk_id", "document_id", "rank", "rrf", "dense_rank", "sparse_rank", "ngram_rank", "dense_score", "sparse_score", "ngram_score", "duplicate_of", "rerank_score", "merged_into", "ordinal", (F.col("ordinal").isNotNull() | F.col("merged_into").isNotNull()).alias("selected"))
     return {"candidates": candidates, "selected": selected, "decisions": decisions}
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.config import Config
 from lectern.operators.retrieval import top_k
 from lectern.session import ship
 from lectern.staging import staged
@@ -24,8 +25,8 @@ MOST_CELLS, SUBSPACE, CODES = 4096, 4, 256
 TRIALS, AIM, AIM_K = 200, 0.97, 10
 #: Rows of a cell and queries of a cell that meet in one task at most.
 ROWS_AT_ONCE, QUERIES_AT_ONCE = 16_384, 1_024
-#: Candidates kept for rescoring, times k; filters that allow a smaller share of all rows search exactly; overfetch at most.
-OVERFETCH, EXACT_SHARE, MOST_OVERFETCH = 8, 0.02, 50
+#: Candidates kept for rescoring, times k.
+OVERFETCH = 8
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -279,18 +280,18 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None =
     return top_k(scored, k)
 
 
-def filtered_search(index: VectorIndex, queries: DataFrame, k: int, where: Column) -> tuple[DataFrame, str]:
+def filtered_search(index: VectorIndex, queries: DataFrame, k: int, where: Column, config: Config | None = None) -> tuple[DataFrame, str]:
     """search() among the rows that `where` (over facets) allows, and the strategy: L2 is exact, for filters that allow few rows.
 
     L1 fetches more, by the share that the filter allows, and drops the others afterwards; queries that this leaves with fewer than k
     are searched exactly, so no filter empties a result.
     """
-    spark = queries.sparkSession
+    spark, c = queries.sparkSession, config or Config()
     rows = index.table(spark, "chunk_id", *index.facets)
     allowed, total = rows.agg(F.count_if(where), F.count(F.lit(1))).first()
-    if not total or allowed / total < EXACT_SHARE or index.quantiser.probes >= len(index.quantiser.centres):
+    if not total or allowed / total < c.selectivity_exact or index.quantiser.probes >= len(index.quantiser.centres):
         return exact_search(index, queries, k, where), "L2"
-    more = max(1, min(MOST_OVERFETCH, math.ceil(total / allowed)))
+    more = max(1, min(c.max_overfetch, math.ceil(total / allowed)))
     wide = search(index, queries, k * more, overfetch=1)
     mine = staged(top_k(wide.drop("rank").join(rows.where(where).select("chunk_id"), "chunk_id", "left_semi"), k), "ann-filtered")
     enough = mine.groupBy("query_id").count().where(F.col("count") >= min(k, allowed)).select("query_id")

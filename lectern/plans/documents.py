@@ -185,13 +185,13 @@ def judged_labels(spark, d):
 
 
 def searched(spark, d):
-    """Documents with vectors as leaves, each five of a parent; the items' passages as queries with vectors."""
+    """All documents as leaves, each five of a parent, with the vector of their id if there is one; the items' passages as queries, likewise."""
     v = read(spark, d, "embeddings").select("vec_id", "embedding")
-    docs = read(spark, d, "documents").join(v, F.col("doc_id") == F.col("vec_id"))
-    leaf = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), (F.floor(F.col("doc_id") / 5) + 1_000_000).alias("parent_id"), F.lit("L2").alias("level"), "text", F.lit("//").alias("header_path"), F.col("doc_id").alias("sibling"), F.xxhash64("text").alias("simhash"), "embedding")
+    docs = read(spark, d, "documents").join(v, F.col("doc_id") == F.col("vec_id"), "left")
+    leaf = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), (F.floor(F.col("doc_id") / 5) + 1_000_000).alias("parent_id"), F.lit("L2").alias("level"), "text", F.lit("//").alias("header_path"), F.col("doc_id").alias("sibling"), "embedding")
     parent = leaf.groupBy("parent_id").agg(F.min("document_id").alias("document_id"), F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("text"))
-    parent = parent.select(F.col("parent_id").alias("chunk_id"), "document_id", F.lit(None).cast("long").alias("parent_id"), F.lit("L1").alias("level"), "text", F.lit("//").alias("header_path"), F.lit(0).cast("long").alias("sibling"), F.lit(None).cast("long").alias("simhash"), F.lit(None).cast("array<float>").alias("embedding"))
-    queries = asked(spark, d).join(v.withColumnRenamed("vec_id", "query_id"), "query_id")
+    parent = parent.select(F.col("parent_id").alias("chunk_id"), "document_id", F.lit(None).cast("long").alias("parent_id"), F.lit("L1").alias("level"), "text", F.lit("//").alias("header_path"), F.lit(0).cast("long").alias("sibling"), F.lit(None).cast("array<float>").alias("embedding"))
+    queries = asked(spark, d).join(v.withColumnRenamed("vec_id", "query_id"), "query_id", "left")
     return leaf.unionByName(parent), queries
 
 

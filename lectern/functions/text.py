@@ -44,6 +44,19 @@ def char_ngrams(text: Column, least: int = 3, most: int = 5) -> Column:
     return bound(F.concat(F.lit(" "), text, F.lit(" ")), lambda padded: F.concat(*[of(padded, n) for n in range(least, most + 1)]))
 
 
+def word_trigrams(words: Column) -> Column:
+    """What char_ngrams(words joined by spaces, 3, 3) gives, cut word by word: places in a long text are not counted from its start each time."""
+    three = lambda p: F.when(F.length(p) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - 2, F.lit(1))), lambda j: F.substring(p, j, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+
+    def all_of(w: Column) -> Column:
+        padded = lambda i: F.coalesce(F.concat(F.get(w, i), F.lit(" ")), F.lit(""))
+        after = lambda i: F.substring(F.concat(padded(i), padded(i + 1)), 1, 2)
+        own = F.transform(w, lambda x, i: F.concat(x, F.lit(" "), after(i + 1)))
+        return F.flatten(F.transform(F.concat(F.array(F.concat(F.lit(" "), after(F.lit(0)))), own), three))
+
+    return bound(words, lambda w: F.when(F.size(w) > 0, all_of(w)).otherwise(F.array().cast("array<string>")))
+
+
 def occurrences(text: Column, part: Column) -> Column:
     """How often part occurs in text, without overlaps."""
     return ((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("long")

@@ -143,19 +143,27 @@ def selectivity(chunks: DataFrame, predicate: Column) -> DataFrame:
     return chunks.agg(F.count_if(predicate).alias("allowed"), F.count(F.lit(1)).alias("total")).withColumn("selectivity", F.when(F.col("total") > 0, F.col("allowed") / F.col("total")).otherwise(0.0))
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows over as many tasks as there are cores: few rows whose columns take long would else be coalesced into one task by their size."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def ngram_scores(pool: DataFrame, queries: DataFrame, text_chars: int = 800, query_chars: int = 120) -> DataFrame:
     """(query_id, chunk_id, score) of character n-grams over a candidate pool (query_id, chunk_id, text).
 
     The feature is defined on the first text_chars and query_chars characters; the query is padded with spaces, the text is not.
     """
     asked = queries.select("query_id", F.array_distinct(T.char_ngrams(F.substring(F.lower("text"), 1, query_chars))).alias("asked"))
-    texts = pool.select("chunk_id", F.substring(F.lower("text"), 1, text_chars).alias("low")).dropDuplicates(["chunk_id"])
+    texts = spread(pool.select("chunk_id", F.substring(F.lower("text"), 1, text_chars).alias("low")).dropDuplicates(["chunk_id"]), "chunk_id")
     texts = texts.withColumn("own", F.array_distinct(T.char_ngrams(F.col("low"))))  # of each chunk once, for all queries
-    low = pool.select("query_id", "chunk_id").join(texts, "chunk_id").join(asked, "query_id").select("query_id", "chunk_id", "low", F.array_intersect("asked", "own").alias("shared"))
-    hits = low.select("query_id", "chunk_id", "low", F.explode("shared").alias("gram")).withColumn("tf", T.occurrences(F.col("low"), F.col("gram"))).where("tf > 0")
-    sizes = low.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("low")).alias("avg_length"))
+    pairs = pool.select("query_id", "chunk_id").join(texts, "chunk_id")
+    low = spread(pairs.join(asked, "query_id"), "query_id", "chunk_id").select("query_id", "chunk_id", "low", F.array_intersect("asked", "own").alias("shared"))
+    tf = T.occurrences(F.col("low"), F.col("gram")).alias("tf")
+    hits = low.select("query_id", "chunk_id", "low", F.explode("shared").alias("gram")).select("query_id", "chunk_id", "gram", F.length("low").alias("length"), tf).where("tf > 0")
+    hits = staged(hits, "ngram-hits")
+    sizes = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("low")).alias("avg_length"))
     df = hits.groupBy("query_id", "gram").agg(F.count(F.lit(1)).alias("df"))
-    part = (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1) * (1 + F.log("tf")) / (1 - 0.75 + 0.75 * F.length("low") / F.col("avg_length"))
+    part = (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1) * (1 + F.log("tf")) / (1 - 0.75 + 0.75 * F.col("length") / F.col("avg_length"))
     return hits.join(df, ["query_id", "gram"]).join(sizes, "query_id").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
@@ -228,10 +236,10 @@ def rerank(candidates: DataFrame, queries: DataFrame, text: str = "text") -> Dat
     """candidates with rerank_score: the share of the query's words that the text has (0.6) and of its trigrams (0.4); a stand-in for a model."""
     def parts(rows: DataFrame, column: Column, w: str, g: str) -> DataFrame:
         words = rows.withColumn(w, F.array_distinct(T.tokens(F.coalesce(column, F.lit("")))))
-        return words.withColumn(g, F.array_distinct(T.char_ngrams(F.array_join(w, " "), 3, 3)))
+        return words.withColumn(g, F.array_distinct(T.word_trigrams(F.col(w))))
 
     asked = parts(queries, F.col("text"), "_qw", "_qg").select("query_id", "_qw", "_qg")
-    distinct = staged(parts(candidates.select("chunk_id", text).dropDuplicates(["chunk_id"]), F.col(text), "_w", "_g").select("chunk_id", "_w", "_g"), "rerank-texts")
+    distinct = staged(parts(spread(candidates.select("chunk_id", text).dropDuplicates(["chunk_id"]), "chunk_id"), F.col(text), "_w", "_g").select("chunk_id", "_w", "_g"), "rerank-texts")
     rows = candidates.join(distinct, "chunk_id").join(asked, "query_id")
     words, grams = F.col("_w"), F.col("_g")
     cover = lambda q, own: F.when(F.size(q) > 0, F.size(F.array_intersect(q, own)) / F.size(q)).otherwise(0.0)
@@ -374,7 +382,9 @@ def retrieve(
         fused = fused if f"{name}_score" in fused.columns else fused.withColumns({f"{name}_rank": F.lit(None).cast("int"), f"{name}_score": F.lit(None).cast("double")})
     facts = leaves.select("chunk_id", "document_id", "parent_id", "text", "header_path", "sibling", *(["simhash"] if "simhash" in chunks.columns else []))
     head = fused.where(F.col("rank") <= max(c.rerank_top_k, c.final_top_k)).join(facts, "chunk_id")
-    head = staged(head if "simhash" in chunks.columns else head.withColumn("simhash", text_simhash("text")), "retrieve-head")
+    head = staged(head, "retrieve-head")
+    if "simhash" not in chunks.columns:
+        head = head.join(spread(head.select("chunk_id", "text").dropDuplicates(["chunk_id"]), "chunk_id").select("chunk_id", text_simhash("text").alias("simhash")), "chunk_id")
     judged = deduplicate(head, leaves.select("chunk_id", "embedding").join(head.select("chunk_id").distinct(), "chunk_id", "left_semi"), c.max_hamming, c.min_cosine)
     judged = (reranker or rerank)(judged, asked.select("query_id", F.col("query_text").alias("text"))) if reranked else judged.withColumn("rerank_score", F.lit(None).cast("double"))
     judged = staged(judged, "retrieve-judged")

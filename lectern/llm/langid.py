@@ -84,7 +84,12 @@ def learn(docs: DataFrame) -> Filters:
     and counted together; the driver gets the chosen n-grams.
     """
     labelled = docs.where("lang is not null and text is not null and text <> ''").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    ranked = labelled.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= SAMPLE_DOCS)
+    groups = labelled.select("lang", "h").distinct()
+    sizes = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row for each language
+    # hashes are spread evenly, so twice the wanted number lies below this; only these are ranked
+    below = F.lit(-(2.0**63)) + F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_DOCS) / F.col("n")) * 2.0**64
+    near = groups.join(F.broadcast(sizes), "lang").where((F.col("n") <= 2 * SAMPLE_DOCS) | (F.col("h").cast("double") <= below))
+    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= SAMPLE_DOCS)
     last = ranked.groupBy("lang").agg(F.max("h").alias("last"))  # a row for each language
     few = labelled.join(F.broadcast(last), "lang").where("h <= last").groupBy("lang", "h").agg(F.min("text").alias("text"))
     counts = arrow_pass(few.select("lang", "text"), _counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))

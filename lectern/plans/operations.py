@@ -8,7 +8,6 @@ from lectern.functions import text as T
 from lectern.operators import evaluation as E
 from lectern.operators import operations as O
 from lectern.plans.documents import read
-from lectern.session import shared_folder
 from lectern.streaming import windows as S
 
 
@@ -27,17 +26,6 @@ JOBS = "j as (select event_id as job_id, user_id, event_type, ['QUEUED', 'LEASED
 NOON = "timestamp_ntz '2024-01-15 12:00:00'"
 
 
-def stream(s, d):
-    import uuid
-
-    static = read(s, d, "events")
-    # a file source takes folders; the one file is picked by name
-    live = s.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    root = shared_folder(s)
-    name = f"w{uuid.uuid4().hex}"
-    return S.run_to_table(s, S.windowed_counts(live), name, f"{root}/lectern/{name}")
-
-
 def pairs(s, d):
     e = read(s, d, "events").groupBy("user_id").agg(F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("a"), F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("b"))
     return e.where("a is not null and b is not null")
@@ -62,5 +50,4 @@ QUERIES = {
     "paired_t": (lambda s, d: E.paired_t(pairs(s, d), "a", "b").select("n", F.round("mean_diff", 6).alias("mean_diff"), F.round("t", 6).alias("t")), "with p as (select user_id, avg(value) filter (event_type = 'click') as a, avg(value) filter (event_type = 'view') as b from events group by 1), d as (select a - b as d from p where a is not null and b is not null) select count(*) as n, round(avg(d), 6) as mean_diff, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) as t from d"),
     "relative_gain": (lambda s, d: pairs(s, d).select("user_id", F.round(E.relative_gain("a", "b"), 6).alias("gain")), "with p as (select user_id, avg(value) filter (event_type = 'click') as a, avg(value) filter (event_type = 'view') as b from events group by 1) select user_id, round((a - b) / b * 100, 6) as gain from p where a is not null and b is not null"),
     "event_windows": (lambda s, d: S.windowed_counts(read(s, d, "events")), WINDOWS),
-    "stream_windows": (stream, WINDOWS),
 }

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import morphology as M
 from lectern.operators import inverted_index as N
 from lectern.operators import retrieval as R
 from lectern.operators import vector_index as V
 from lectern.plans.documents import DENSE, WORDS, asked, chunks, read, short, vector_queries, vectors
-from lectern.staging import new_folder
+from lectern.staging import new_folder, staged
 
 
 def vector_index(spark: SparkSession, d: str) -> V.VectorIndex:
@@ -56,6 +57,39 @@ def code_search(spark: SparkSession, d: str) -> DataFrame:
     return N.code_search(N.build(N.search_fields(markup(spark, d)), new_folder(spark, "codes")), coded(spark, d))
 
 
+def lemma_table(spark: SparkSession, d: str) -> DataFrame:
+    """Base forms of all words of documents and passages; the passages' are added to those of the documents."""
+    first = staged(M.grown(M.empty_table(spark), M.placed(chunks(spark, d)).where("not code")), "lemmas")
+    return staged(M.grown(first, M.placed(asked(spark, d), "query_id").where("not code")), "lemmas")
+
+
+def lemma_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's streams, as their sizes and contents."""
+    s = M.lemma_streams(chunks(spark, d), lemma_table(spark, d))
+    return s.select("chunk_id", *[F.size(c).alias(f"n_{c}") for c in ("words", "forms", "codes")], F.md5(F.array_join("words", " ")).alias("words"), F.md5(F.array_join("forms", " ")).alias("forms"), F.md5(F.array_join("codes", " ")).alias("codes"))
+
+
+def lemma_bm25(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best documents of each passage by base forms, surfaces and designations."""
+    table = lemma_table(spark, d)
+    index = N.build(M.lemma_streams(chunks(spark, d), table), new_folder(spark, "lemma-terms"))
+    return short(N.search(index, M.lemma_queries(asked(spark, d), table), 10), "score")
+
+
+RULES_SQL = ", ".join(f"('{a.replace(chr(39), chr(39) * 2)}', '{b}', {n}, {str(x).lower()})" for a, b, n, x in M.RULES)
+LEMMAS = f"""rules(suffix, new, least, dbl) as (values {RULES_SQL}),
+tokens as (select chunk_id, unnest(w) as surface, generate_subscripts(w, 1) as place from (select doc_id as chunk_id, {WORDS} as w from documents)),
+surf as (select distinct surface from tokens),
+fit as (select surface, arg_max({{'suffix': suffix, 'new': new, 'dbl': dbl}}, length(suffix)) as r from surf join rules on ends_with(surface, suffix) and length(surface) > length(suffix) and length(surface) - length(suffix) >= least
+  where not regexp_matches(surface, '\d') group by surface),
+stem as (select surface, r, left(surface, length(surface) - length(r.suffix)) as s from fit),
+lem as (select surface, (case when r.dbl and contains('{M.CONSONANTS}', right(s, 1)) and right(s, 2) = right(s, 1) || right(s, 1) then left(s, length(s) - 1) else s end) || r.new as lemma from stem),
+p as (select chunk_id, place, t.surface, coalesce(lemma, t.surface) as lemma, regexp_matches(t.surface, '\d') and regexp_matches(t.surface, '\p{{L}}') as code from tokens t left join lem using (surface))"""
+LEMMA_SQL = f"""with {LEMMAS}
+select chunk_id, count(*) filter (not code)::int as n_words, count(*) filter (not code and lemma <> surface)::int as n_forms, count(*) filter (code)::int as n_codes,
+  md5(coalesce(string_agg(lemma, ' ' order by place) filter (not code), '')) as words, md5(coalesce(string_agg(surface, ' ' order by place) filter (not code and lemma <> surface), '')) as forms,
+  md5(coalesce(string_agg(surface, ' ' order by place) filter (code), '')) as codes from p group by chunk_id"""
+
 RUNS = r"list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_-]+'), lambda w: length(w) >= 2 and regexp_matches(w, '\p{L}') and regexp_matches(w, '\p{N}')), lambda w: lower(w))"
 PARTS = r"flatten(list_transform(list_filter({w}, lambda w: contains(w, '-')), lambda w: list_distinct(list_filter(string_split(w, '-'), lambda p: length(p) >= 3 and not regexp_matches(p, '^\d+$')))))"
 WEIGHTED_SQL = f"""with f as (select doc_id as chunk_id, {WORDS} as w, {RUNS} as c from documents),
@@ -83,4 +117,6 @@ QUERIES = {
     "ann_filtered": (ann_filtered, None),
     "weighted_bm25": (weighted_bm25, WEIGHTED_SQL),
     "code_search": (code_search, CODE_SQL),
+    "lemma_streams": (lemma_streams, LEMMA_SQL),
+    "lemma_bm25": (lemma_bm25, None),
 }

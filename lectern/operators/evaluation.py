@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import difflib
-import itertools
 import math
 import unicodedata
+from collections import Counter
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.config import Config
 from lectern.functions import text as T
+from lectern.functions.alignment import APOSTROPHES, confusion_class, differences
 from lectern.operators import retrieval as R
 from lectern.session import ship
 
@@ -289,23 +290,35 @@ def word_distance(a: list[str], b: list[str]) -> int:
     return int(row[-1])
 
 
-#: The characters that count as apostrophes.
-APOSTROPHES = "'\u2019\u02bc\u00b4\u2032\u0060\u2018"
-
-
 def ocr_text(text: str | None, without_apostrophes: bool = False) -> str:
     """What is compared: composed letters, no soft hyphens, single spaces, and no apostrophes if they are not to count."""
     plain = unicodedata.normalize("NFC", text or "").replace("\u00ad", "")
     return " ".join((plain.translate({ord(c): None for c in APOSTROPHES}) if without_apostrophes else plain).split())
 
 
-def substitutions(reference: str, hypothesis: str) -> list[tuple[str, str]]:
-    """What differs, character by character within the stretches that differ; an empty side is an insertion or a deletion."""
-    out = []
-    for kind, a, b, c, d in difflib.SequenceMatcher(None, reference, hypothesis, autojunk=False).get_opcodes():
-        if kind != "equal":
-            out += itertools.zip_longest(reference[a:b], hypothesis[c:d], fillvalue="")
-    return [(x, y) for x, y in out if x != y]
+def confusions(pairs: DataFrame, by: str, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
+    """(by, class, expected, found, n): how often each character stands for another, was added or lost, in the alignments of pairs, and its class.
+
+    Texts are compared as ocr_text spells them; null is empty. A batch of pairs is aligned together, and counted before it is shuffled.
+    """
+    ship(pairs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            counts: Counter = Counter()
+            texts = [(ocr_text(x), ocr_text(y)) for x, y in zip(batch.column("r").to_pylist(), batch.column("h").to_pylist(), strict=True)]
+            for key, found in zip(batch.column("k").to_pylist(), differences(texts), strict=True):
+                counts.update((key, *pair) for pair in found)
+            rows = [(k, confusion_class(x, y), x, y, n) for (k, x, y), n in counts.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, [pa.string()] * 4 + [pa.int64()], strict=True)], names=["k", "class", "expected", "found", "n"])
+
+    rows = pairs.select(F.col(by).cast("string").alias("k"), F.col(reference).alias("r"), F.col(hypothesis).alias("h"))
+    return rows.mapInArrow(run, "k string, class string, expected string, found string, n long").groupBy(F.col("k").alias(by), "class", "expected", "found").agg(F.sum("n").alias("n"))
+
+
+def confusion_classes(counts: DataFrame, by: str) -> DataFrame:
+    """(by, class, n) of confusions()."""
+    return counts.groupBy(by, "class").agg(F.sum("n").alias("n"))
 
 
 def ocr_scores(pairs: DataFrame) -> DataFrame:
@@ -318,9 +331,10 @@ def ocr_scores(pairs: DataFrame) -> DataFrame:
     def run(frames):
         for pdf in frames:
             rows = []
-            for r, h in zip(pdf["reference"], pdf["hypothesis"], strict=True):
+            swaps = differences([(ocr_text(r), ocr_text(h)) for r, h in zip(pdf["reference"], pdf["hypothesis"], strict=True)])
+            for r, h, swapped in zip(pdf["reference"], pdf["hypothesis"], swaps, strict=True):
                 a, b, sa, sb = ocr_text(r), ocr_text(h), ocr_text(r, True), ocr_text(h, True)
-                rows.append((rate(word_distance(list(a), list(b)), len(a)), rate(word_distance(a.split(), b.split()), len(a.split())), rate(word_distance(list(sa), list(sb)), len(sa)), [f"{x}>{y}" for x, y in substitutions(a, b)]))
+                rows.append((rate(word_distance(list(a), list(b)), len(a)), rate(word_distance(a.split(), b.split()), len(a.split())), rate(word_distance(list(sa), list(sb)), len(sa)), [f"{x}>{y}" for x, y in swapped]))
             yield pd.concat([pdf[["engine", "page", "seconds", "error"]].reset_index(drop=True), pd.DataFrame(rows, columns=["cer", "wer", "cer_soft", "swaps"])], axis=1)
 
     return pairs.select("engine", "page", "reference", "hypothesis", F.col("seconds").cast("double").alias("seconds"), F.col("error").cast("string").alias("error")).mapInPandas(run, "engine string, page string, seconds double, error string, cer double, wer double, cer_soft double, swaps array<string>")

@@ -105,6 +105,18 @@ def cer_pairs(spark, d):
     return E.char_error_rate(b.withColumn("noisy", F.regexp_replace("text", "e", "c")), "text", "noisy").select("query_id", F.round("cer", 6).alias("cer"))
 
 
+def misread(spark, d):
+    """Turns of conversations beside what a poor reader might have made of them: letters swapped, joined, lost and added."""
+    noisy = F.translate("text", "öi", "o1")
+    for found, made in (("rn", "m"), ("(?<=s)e(?=[a-m])", "c"), ("th", "h"), (r"(?<=[aou]) (?=t)", " '")):
+        noisy = F.regexp_replace(noisy, found, made)
+    return read(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("reference"), noisy.alias("hypothesis"))
+
+
+def confusions(spark, d):
+    return E.confusions(misread(spark, d), "role")
+
+
 def numbered(spark, d):
     return chunks(spark, d).select("document_id", "chunk_id", F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_id")).alias("ordinal"))
 
@@ -222,6 +234,7 @@ QUERIES = {
     "ranking_metrics": (lambda s, d: short(E.ranking_metrics(found(s, d), gold(s, d), 10), "recall", "precision", "mrr", "ndcg", "map", "hit"), f"with {POSTINGS}, z as (select query_id, count(*) as rel from gold group by 1), hit as (select query_id, rank, row_number() over (partition by query_id order by rank) as so_far from r semi join gold using (query_id, chunk_id) where rank <= 10), a as (select query_id, count(*) as hits, min(rank) as first, sum(1 / log2(rank + 1)) as dcg, sum(so_far / rank) as ap from hit group by 1) select query_id, round(coalesce(hits / rel, 0), 6) as recall, round(coalesce(hits / 10, 0), 6) as precision, round(coalesce(1 / first, 0), 6) as mrr, round(coalesce(dcg / list_sum(list_transform(range(1, least(rel, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 6) as ndcg, round(coalesce(ap / least(rel, 10), 0), 6) as map, round(coalesce((hits > 0)::int, 0)::double, 6) as hit from z left join a using (query_id)"),
     "youden_tau": (lambda s, d: short(E.youden(read(s, d, "labels").join(read(s, d, "documents").select("doc_id", "n_chars"), "doc_id"), "n_chars", "quality"), "j"), "with p as (select n_chars as tau, count(*) filter (quality = 1) as pos, count(*) filter (quality = 0) as neg from labels join documents using (doc_id) group by 1) select tau, round(round(sum(pos) over (order by tau desc) / sum(pos) over () - sum(neg) over (order by tau desc) / sum(neg) over (), 9), 6) as j from p order by j desc, tau limit 1"),
     "cer": (cer_pairs, "select item_id as query_id, case when length(text) > 0 then round(levenshtein(text, replace(text, 'e', 'c')) / length(text), 6) else 0 end as cer from benchmark"),
+    "confusions": (confusions, None),
     "cell_f1": (cells, f"with w as (select source as table_id, doc_id, unnest({WORDS}) as value from documents), a as (select table_id, value, count(*) as c from w where doc_id % 2 = 0 group by all), b as (select table_id, value, count(*) as p from w where doc_id % 2 = 1 group by all) select table_id, sum(least(coalesce(c, 0), coalesce(p, 0)))::bigint as shared, sum(coalesce(c, 0))::bigint as gold, sum(coalesce(p, 0))::bigint as found, round(2 * sum(least(coalesce(c, 0), coalesce(p, 0))) / (sum(coalesce(c, 0)) + sum(coalesce(p, 0))), 6) as f1 from a full join b using (table_id, value) group by 1"),
     "chunks": (elements_count, None),
     "char_spans": (lambda s, d: I.char_spans(read(s, d, "documents").select("source", "doc_id", "text"), "source", "doc_id", "text").select("doc_id", "char_from", "char_to"), "select doc_id, sum(length(coalesce(text, '')) + 2) over (partition by source order by doc_id)::bigint - 2 - length(coalesce(text, '')) as char_from, sum(length(coalesce(text, '')) + 2) over (partition by source order by doc_id)::bigint - 2 as char_to from documents"),

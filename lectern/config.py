@@ -13,6 +13,7 @@ THRESHOLDS = {"low": 0.15, "medium": 0.35, "high": 0.55}
 SUPPORTING = {"low": 1, "medium": 1, "high": 2}
 
 
+#: Names and defaults of the settings below.
 @dataclass(frozen=True)
 class Config:
     """One assistant's settings; everything else takes them from here."""

@@ -12,8 +12,9 @@ TOKEN = r"[\p{L}\p{N}]+(?:['\-][\p{L}\p{N}]+)*"
 #: Marks of glyphs that extraction could not map, and characters that only broken text has.
 GLYPH, BROKEN = r"/glyph<[^>]{0,16}>|/g\d+", r"[\x{FFFD}\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}\x00-\x08\x0B\x0E-\x1F]"
 QUOTES, STANDARDS = '"«»„“”', r"ДСТУ|ГОСТ|ТУ|ДБН|ISO|IEC|EN|STANAG|MIL[-\s]?STD|NATO|НАТО"
+#: Mathematical signs.
 MATHS = "∑∫√±×÷≈≤≥≠∞∂∇°⋅·αβγδεθλμνπρστφχψωΔΩΣΠ"
-#: Words that any two sentences may share.
+#: Words that any two sentences may share.
 COMMON = "який яка яке які цей цього цієї той тому тобто його їхній може мають має бути було буде також щодо після перед через разом тільки лише дуже згідно відповідно наведені матеріали матеріалів".split()
 CYRILLIC = r"[\x{0400}-\x{052F}\x{2DE0}-\x{2DFF}\x{A640}-\x{A69F}]"
 

@@ -69,15 +69,18 @@ def dense_top(spark, d, k=10, where=None):
 
 
 def fused(spark, d):
-    """Two searches of all vectors: by their whole length, and by their first 32 components."""
-    short_v = [x.withColumn("embedding", F.slice("embedding", 1, 32)) for x in (vectors(spark, d), vector_queries(spark, d))]
-    return R.fuse({"dense": (dense_top(spark, d, 20), 1.0), "short": (R.dense_top_k(*short_v, 20), 0.6), "off": (dense_top(spark, d, 20), 0.0)}).select("query_id", "chunk_id", "rrf", "branches", "best_rank", "rank")
-
-
-FUSED = DENSE + """,
-sh as (select a.chunk_id as query_id, b.chunk_id, list_cosine_similarity(a.e[1:32], b.e[1:32]) as score from v a, v b where a.chunk_id % 50 = 0),
-ev as (select query_id, chunk_id, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from sh),
-u as (select query_id, chunk_id, rank, 1.0 / (60 + rank) as part from dr where rank <= 20 union all select query_id, chunk_id, rank, 0.6 / (60 + rank) from ev where rank <= 20),
+    """Passages by their words, and by the vectors of their ids where there are some; a branch of weight 0 isn't built."""
+    v = vectors(spark, d).select("chunk_id", "embedding")
+    q = asked(spark, d).join(v.withColumnRenamed("chunk_id", "query_id"), "query_id")
+    dense = R.dense_top_k(v, q, 20)
+    return R.fuse({"dense": (dense, 1.0), "sparse": (found(spark, d, 20), 0.6), "off": (dense, 0.0)}).select("query_id", "chunk_id", "rrf", "branches", "best_rank", "rank")
+
+
+FUSED = POSTINGS + """,
+v as (select vec_id as chunk_id, embedding::double[] as e from embeddings),
+dn as (select a.chunk_id as query_id, b.chunk_id, list_cosine_similarity(a.e, b.e) as score from v a join benchmark on item_id = a.chunk_id, v b),
+dr as (select query_id, chunk_id, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from dn),
+u as (select query_id, chunk_id, rank, 1.0 / (60 + rank) as part from dr where rank <= 20 union all select query_id, chunk_id, rank, 0.6 / (60 + rank) from r where rank <= 20),
 f as (select query_id, chunk_id, sum(part) as rrf, count(*) as branches, min(rank) as best_rank from u group by all)"""
 
 

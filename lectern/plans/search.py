@@ -84,7 +84,7 @@ fit as (select surface, arg_max({{'suffix': suffix, 'new': new, 'dbl': dbl}}, le
   where not regexp_matches(surface, '\d') group by surface),
 stem as (select surface, r, left(surface, length(surface) - length(r.suffix)) as s from fit),
 lem as (select surface, (case when r.dbl and contains('{M.CONSONANTS}', right(s, 1)) and right(s, 2) = right(s, 1) || right(s, 1) then left(s, length(s) - 1) else s end) || r.new as lemma from stem),
-p as (select chunk_id, place, t.surface, coalesce(lemma, t.surface) as lemma, regexp_matches(t.surface, '\\d') and regexp_matches(t.surface, '\p{{L}}') as code from tokens t left join lem using (surface))"""
+p as (select chunk_id, place, t.surface, coalesce(lemma, t.surface) as lemma, regexp_matches(t.surface, '\\d') and regexp_matches(t.surface, '\\p{{L}}') as code from tokens t left join lem using (surface))"""
 LEMMA_SQL = f"""with {LEMMAS}
 select chunk_id, count(*) filter (not code)::int as n_words, count(*) filter (not code and lemma <> surface)::int as n_forms, count(*) filter (code)::int as n_codes,
   md5(coalesce(string_agg(lemma, ' ' order by place) filter (not code), '')) as words, md5(coalesce(string_agg(surface, ' ' order by place) filter (not code and lemma <> surface), '')) as forms,

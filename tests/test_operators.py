@@ -118,7 +118,9 @@ def test_citations_and_claims(spark):
     assert {r["message_id"]: r["content"] for r in texts.collect()} == {"m": "Так [1]. Ні [2].", "n": "Без цитат"}
     assert [(r["ordinal"], r["chunk_uid"]) for r in citations.orderBy("place").collect()] == [(1, "u1"), (2, "u2")]
     assert sorted(r["marker"] for r in unresolved.collect()) == ["[7]", "[9]"]
-    assert G.claims_of("Див. рис. 3. Дальність 15300 м. Це друге твердження [1]. Коротко.") == ["Див. рис. 3. Дальність 15300 м.", "Це друге твердження [1]."]
+    said = spark.createDataFrame([(1, "Див. рис. 3. Дальність 15300 м. Це друге твердження [1]. Коротко."), (2, None), (3, ""), (4, "Перше речення тут?  «Друге речення тут!» і далі. (Третє речення) кінець")], "message_id long, content string")
+    got = {(r["message_id"], r["claim_no"]): r["claim"] for r in G.claims(said).collect()}
+    assert got == {(1, 0): "Див. рис. 3. Дальність 15300 м.", (1, 1): "Це друге твердження [1].", (4, 0): "Перше речення тут?", (4, 1): "«Друге речення тут!» і далі.", (4, 2): "(Третє речення) кінець"}
     claimed = spark.createDataFrame([("m", "Дальність гармати 15300 метрів [1]"), ("m", "Дальність гармати 99 метрів"), ("m", "Зовсім інше речення")], "message_id string, claim string")
     said = spark.createDataFrame([("m", "Дальність стрільби гармати 15300 метрів")], "message_id string, text string")
     assert [r["verdict"] for r in G.lexical_verdicts(claimed, said).collect()] == ["YES", "PARTLY", "NO"]

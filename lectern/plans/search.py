@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import morphology as M
+from lectern.operators import embedding as B
 from lectern.operators import inverted_index as N
 from lectern.operators import retrieval as R
 from lectern.operators import vector_index as V
@@ -76,12 +77,40 @@ def lemma_bm25(spark: SparkSession, d: str) -> DataFrame:
     return short(N.search(index, M.lemma_queries(asked(spark, d), table), 10), "score")
 
 
+def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's vector, as its norm, how many numbers are not 0, and a sum that weighs each by its place."""
+    v = B.hashed_embedding(chunks(spark, d))
+    places = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return v.select("chunk_id", F.size(F.filter("embedding", lambda x: F.abs(x) > 1e-12)).cast("long").alias("filled"), F.round(places, 5).alias("placed"))
+
+
+def embedding_self_test(spark: SparkSession, d: str) -> DataFrame:
+    """The checks on hashed vectors of documents: the vectors of the same texts with wider spaces have to be the same."""
+    docs = chunks(spark, d).where("length(text) > 0")
+    again = B.hashed_embedding(docs.withColumn("text", F.regexp_replace("text", " ", "  ")))
+    texts = docs.select("chunk_id", F.concat(F.lit("passage: "), F.substring("text", 1, 300)).alias("text"))
+    return short(B.self_test(B.hashed_embedding(docs), again, texts, "passage: "), "worst")
+
+
+HASHED_SQL = f"""with w as (select doc_id as chunk_id, unnest({WORDS}) as word from documents),
+c as (select chunk_id, word, count(*) as n from w group by all),
+f as (
+  select chunk_id, 'w:' || word as feature, 1.0::double as x, n from c
+  union all select chunk_id, 'g:' || substr('<' || word || '>', i::int, 3), {B.TRIGRAM}::double, n from (select chunk_id, word, n, unnest(range(1, length(word) + 1)) as i from c)),
+g as (select chunk_id, feature, x * (1 + ln(sum(n))) as weight from f group by chunk_id, feature, x),
+s as (
+  select chunk_id, ('0x' || substr(md5(feature), 1, 7))::bigint % {B.DIMS} as place, sum(case when ('0x' || substr(md5(feature), 9, 7))::bigint % 2 = 0 then weight else -weight end) as v from g group by all),
+n as (select chunk_id, sqrt(sum(v * v)) as norm from s group by 1),
+t as (select chunk_id, count(*) filter (abs(v / norm) > 1e-12) as filled, sum(v / norm * (place + 1)) as placed from s join n using (chunk_id) group by 1)
+select doc_id as chunk_id, coalesce(filled, 0) as filled, round(coalesce(placed, 0), 5) as placed from documents left join t on chunk_id = doc_id"""
+
+
 RULES_SQL = ", ".join(f"('{a.replace(chr(39), chr(39) * 2)}', '{b}', {n}, {str(x).lower()})" for a, b, n, x in M.RULES)
 LEMMAS = f"""rules(suffix, new, least, dbl) as (values {RULES_SQL}),
 tokens as (select chunk_id, unnest(w) as surface, generate_subscripts(w, 1) as place from (select doc_id as chunk_id, {WORDS} as w from documents)),
 surf as (select distinct surface from tokens),
 fit as (select surface, arg_max({{'suffix': suffix, 'new': new, 'dbl': dbl}}, length(suffix)) as r from surf join rules on ends_with(surface, suffix) and length(surface) > length(suffix) and length(surface) - length(suffix) >= least
-  where not regexp_matches(surface, '\d') group by surface),
+  where not regexp_matches(surface, '\\d') group by surface),
 stem as (select surface, r, left(surface, length(surface) - length(r.suffix)) as s from fit),
 lem as (select surface, (case when r.dbl and contains('{M.CONSONANTS}', right(s, 1)) and right(s, 2) = right(s, 1) || right(s, 1) then left(s, length(s) - 1) else s end) || r.new as lemma from stem),
 p as (select chunk_id, place, t.surface, coalesce(lemma, t.surface) as lemma, regexp_matches(t.surface, '\\d') and regexp_matches(t.surface, '\\p{{L}}') as code from tokens t left join lem using (surface))"""
@@ -117,6 +146,8 @@ QUERIES = {
     "ann_filtered": (ann_filtered, None),
     "weighted_bm25": (weighted_bm25, WEIGHTED_SQL),
     "code_search": (code_search, CODE_SQL),
+    "hashed_embedding": (hashed_embedding, HASHED_SQL),
+    "embedding_self_test": (embedding_self_test, None),
     "lemma_streams": (lemma_streams, LEMMA_SQL),
     "lemma_bm25": (lemma_bm25, None),
 }

@@ -138,7 +138,11 @@ def chunk_rows(document_id: int, text: str | None, title: str = "") -> list[dict
 
 
 def chunk_tree(docs: DataFrame, key: str = "doc_id", title: str | None = None) -> DataFrame:
-    """The chunks of docs with their simhash and chunk_uid: sequential within a document, parallel across them."""
+    """The chunks of docs, as retrieve takes them: sequential within a document, parallel across them.
+
+    chunk_id and parent_id are hashes of document and ordinal (a card and its sections have no parent section: a section's parent is the card, a leaf's
+    its section), chunk_uid is one of the text too; simhash is that of a leaf's words, null for sections and cards.
+    """
     ship(docs.sparkSession)
     columns = ["document_id", "ordinal", "level", "parent", "header_path", "text", "sibling", "siblings"]
 
@@ -151,7 +155,15 @@ def chunk_tree(docs: DataFrame, key: str = "doc_id", title: str | None = None) -
 
     named = F.coalesce(F.col(title), F.lit("")) if title else F.lit("")
     tree = docs.select(F.col(key).alias("document_id"), "text", named.alias("title")).mapInPandas(run, "document_id long, ordinal int, level string, parent long, header_path string, text string, sibling int, siblings int")
-    return tree.withColumns({"text": T.sanitize_display(F.col("text"))}).withColumn("chunk_uid", F.substring(F.sha2(F.concat_ws("\x1f", F.col("document_id").cast("string"), F.col("ordinal").cast("string"), "text"), 256), 1, 32))
+    tree = tree.withColumn("text", T.sanitize_display(F.col("text")))
+    number = lambda ordinal: F.xxhash64("document_id", ordinal)
+    uid = F.substring(F.sha2(F.concat_ws("\x1f", F.col("document_id").cast("string"), F.col("ordinal").cast("string"), "text"), 256), 1, 32)
+    return tree.withColumns({
+        "chunk_id": number(F.col("ordinal").cast("long")),
+        "parent_id": F.when(F.col("parent").isNotNull(), number(F.col("parent").cast("long"))),
+        "chunk_uid": uid,
+        "simhash": F.when(F.col("level") == "L2", T.simhash(T.tokens(F.col("text")))),
+    })
 
 
 def char_spans(pages: DataFrame, key: str, order: str, text: str, gap: int = 2) -> DataFrame:

@@ -182,7 +182,25 @@ select question_id, 'empty_question' as issue, null as uid from n where t = '' u
 union all select question_id, 'no_gold', null from q where not has union all select question_id, 'stale_uid', uid from m where level is null
 union all select question_id, 'foreign_uid', uid from m where level is not null and cc <> collection_id union all select question_id, 'not_leaf', uid from m where level = 'L1'
 union all select null, 'too_few', null from (select count(*) as n from q where has) where n < 38"""
-METRICS = "unpivot (select query_id, round(coalesce(hits / rel, 0), 6)::double as \"recall@5\", round(coalesce(hits / 5, 0), 6)::double as \"precision@5\", round(coalesce(1 / first, 0), 6)::double as \"mrr@5\", round(coalesce(ap / least(rel, 5), 0), 6)::double as \"map@5\", coalesce(hits, 0)::double as \"hits@5\" from z left join a using (query_id)) on columns(* exclude query_id) into name metric value value"
+METRICS = f"""with {POSTINGS}, z as (select query_id, count(*) as rel from gold group by 1),
+hit as (select query_id, rank, row_number() over (partition by query_id order by rank) as so_far from r semi join gold using (query_id, chunk_id) where rank <= 10),
+ks as (select unnest([1, 3, 5, 10]) as k),
+m as (select z.query_id, rel, k, count(rank) filter (rank <= k) as hits, min(rank) filter (rank <= k) as first, sum(so_far / rank) filter (rank <= k) as ap, sum(1 / log2(rank + 1)) filter (rank <= k) as dcg
+  from z cross join ks left join hit using (query_id) group by z.query_id, rel, k),
+v as (select *, list_sum(list_transform(range(1, least(rel, k) + 1), lambda i: 1 / log2(i + 1))) as ideal from m),
+o as (
+  select query_id, 'recall@' || k as metric, hits / rel as value from v union all select query_id, 'precision@' || k, hits / k from v
+  union all select query_id, 'mrr@' || k, coalesce(1 / first, 0) from v union all select query_id, 'ndcg@' || k, coalesce(dcg / ideal, 0) from v
+  union all select query_id, 'hit_rate@' || k, (hits > 0)::int from v union all select query_id, 'hits@' || k, hits from v
+  union all select query_id, 'map@' || k, coalesce(ap / least(rel, k), 0) from v
+  union all select z.query_id, 'first_hit_rank', min(rank) from z left join hit using (query_id) group by 1)
+select query_id, metric, round(value, 6)::double as value from o"""
+
+
+def metrics_at_k(spark, d):
+    """All 29 metrics of each passage that a document holds."""
+    return short(E.metrics_at(found(spark, d), gold(spark, d)), "value")
+
 
 
 def assistants(spark, d):
@@ -245,7 +263,7 @@ QUERIES = {
     "neighbours": (lambda s, d: I.neighbours(numbered(s, d), numbered(s, d), 2).select("document_id", "centre", "chunk_id"), "with o as (select source, doc_id, row_number() over (partition by source order by doc_id) as n from documents) select a.source as document_id, a.n as centre, b.doc_id as chunk_id from o a join o b on a.source = b.source and b.n between a.n - 2 and a.n + 2"),
     "cache_reuse": (lambda s, d: I.reusable(read(s, d, "documents")), "with f as (select text, min(doc_id) as source_id from documents where text is not null group by 1) select doc_id, source_id from documents join f using (text) where doc_id <> source_id"),
     "page_range_merge": (lambda s, d: I.merge_page_ranges(read(s, d, "documents").select("source", (F.col("doc_id") % 97).alias("page_from"), (F.col("doc_id") % 97 + F.col("doc_id") % 4).alias("page_to")), ["source"]), "with t as (select source, doc_id % 97 as page_from, doc_id % 97 + doc_id % 4 as page_to from documents), m as (select *, max(page_to) over (partition by source order by page_from, page_to rows between unbounded preceding and 1 preceding) as prev from t), n as (select *, sum((prev is null or prev + 1 < page_from)::int) over (partition by source order by page_from, page_to rows unbounded preceding) as run from m) select source, min(page_from) as page_from, max(page_to) as page_to from n group by source, run"),
-    "metrics_at_k": (lambda s, d: short(E.metrics_at(found(s, d), gold(s, d), (5,)).where("metric not in ('ndcg@5', 'hit_rate@5', 'first_hit_rank')"), "value"), f"with {POSTINGS}, z as (select query_id, count(*) as rel from gold group by 1), hit as (select query_id, rank, row_number() over (partition by query_id order by rank) as so_far from r semi join gold using (query_id, chunk_id) where rank <= 5), a as (select query_id, count(*) as hits, min(rank) as first, sum(so_far / rank) as ap from hit group by 1) {METRICS}"),
+    "metrics_at_k": (metrics_at_k, METRICS),
     "stratified_sample": (lambda s, d: E.stratified_sample(chunks(s, d).withColumn("level", F.lit("L2")), 30, 3).select("chunk_id", "document_id", "turn"), "with f as (select doc_id as chunk_id, source as document_id, row_number() over (partition by source order by md5('20260101/' || doc_id)) as turn from documents where length(text) >= 250) select * from f where turn <= 3 order by turn, document_id limit 30"),
     "gold_validation": (gold_questions, GOLD_ISSUES),
     "abstention_rates": (lambda s, d: short(E.abstention_rates(read(s, d, "labels").select(F.col("doc_id").alias("question_id"), (F.col("quality") == 1).alias("answerable")), read(s, d, "labels").where("doc_id % 4 <> 0").select(F.col("doc_id").alias("question_id"), (F.col("toxic") == 1).alias("abstained"))), "correct_refusals", "false_refusals", "balanced_accuracy"), "with r as (select quality = 1 as a, toxic = 1 and doc_id % 4 <> 0 as no from labels), c as (select count(*) filter (not a) as unanswerable, count(*) filter (not a and no) as unanswerable_refused, count(*) filter (a) as answerable, count(*) filter (a and no) as answerable_refused from r) select *, round(unanswerable_refused / unanswerable, 6) as correct_refusals, round(answerable_refused / answerable, 6) as false_refusals, round((unanswerable_refused / unanswerable + 1 - answerable_refused / answerable) / 2, 6) as balanced_accuracy from c"),

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.config import Config
 from lectern.functions import text as T
-from lectern.session import ship
+from lectern.staging import staged
 
 #: Characters that evidence is cut to, in turn, and the tokens that a source's heading takes.
 CAPS, HEADING_TOKENS = (2000, 1400, 1000, 700, 500), 24
@@ -84,6 +83,59 @@ def extractive_answers(evidence: DataFrame, queries: DataFrame) -> DataFrame:
     return best.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list(line)).getField("line"), " ").alias("answer"))
 
 
+def best_lines(rows: DataFrame, tokens: int) -> DataFrame:
+    """rows (question, text) with answer: the lines of text that share most words with the question, as many as `tokens` hold, in their order.
+
+    A line that shares none is left out, so the answer may be empty; the best line stays whatever its size. A stand-in for a model.
+    """
+    wanted = T.content_words(F.col("question"))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.size(F.array_intersect(T.content_words(x), F.col("_q"))).alias("shared"), (-i).alias("place"), x.alias("line")))
+    ranked = F.reverse(F.array_sort(F.filter(lines, lambda x: x["shared"] > 0)))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<place: int, line: string>>").alias("kept"))
+
+    def step(state: Column, x: Column) -> Column:
+        size = T.token_estimate(x["line"])
+        fits = (F.size(state["kept"]) == 0) | (state["used"] + size <= tokens)
+        return F.when(fits, F.struct((state["used"] + size).alias("used"), F.concat(state["kept"], F.array(F.struct(x["place"].alias("place"), x["line"].alias("line")))).alias("kept"))).otherwise(state)
+
+    kept = F.aggregate("_r", start, step, lambda s: F.reverse(F.array_sort(s["kept"])))
+    marked = rows.withColumn("_q", wanted).withColumn("_r", ranked).withColumn("_k", kept)
+    return marked.withColumn("answer", F.array_join(F.col("_k.line"), "\n")).drop("_q", "_r", "_k")
+
+
+def map_reduce_answers(evidence: DataFrame, queries: DataFrame, budget: int = 4000, tokens: int = 400, answerer: Callable[[DataFrame, int], DataFrame] = best_lines) -> DataFrame:
+    """(query_id, answer, documents, levels): an answer of each document first, then answers of neighbouring answers, until one is left.
+
+    evidence: query_id, ordinal, document_id, text; queries: query_id, text. A document's sources are taken in order as far as the budget of tokens holds them
+    (one at least), sentence by sentence with their markers. The answerer, a model or best_lines, takes rows with question and text and adds an answer of
+    about `tokens`; an empty one drops out. A level joins neighbours while they fit the budget, two at least, so no group holds more than that
+    and levels grow with the logarithm of a query's documents. A query whose evidence says nothing has no row.
+    """
+    asked = queries.select("query_id", F.col("text").alias("question"))
+    order = Window.partitionBy("query_id", "document_id").orderBy("ordinal")
+    sized = evidence.select("query_id", "document_id", "ordinal", F.coalesce("text", F.lit("")).alias("text"))
+    sized = sized.withColumns({"_sum": F.sum(T.token_estimate(F.col("text"))).over(order), "_n": F.row_number().over(order)}).where((F.col("_sum") <= budget) | (F.col("_n") == 1))
+    said = F.transform(sentences(F.col("text")), lambda x: F.concat(x, F.lit(" ["), F.col("ordinal").cast("string"), F.lit("]")))
+    lines = sized.select("query_id", "document_id", "ordinal", F.array_join(said, "\n").alias("lines"))
+    mapped = lines.groupBy("query_id", "document_id").agg(F.min("ordinal").alias("place"), F.array_join(F.sort_array(F.collect_list(F.struct("ordinal", "lines"))).getField("lines"), "\n").alias("text"))
+    parts = answerer(mapped.join(asked, "query_id"), tokens).where("answer <> ''").select("query_id", "place", F.col("answer").alias("text"), F.lit(1).cast("long").alias("documents"), F.lit(1).alias("levels"))
+    parts = staged(parts, "answers-mapped")
+    while (parts.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0) > 1:
+        w = Window.partitionBy("query_id").orderBy("place")
+        filled = F.floor((F.sum(T.token_estimate(F.col("text"))).over(w) - 1) / budget)
+        grouped = parts.withColumn("bin", F.least(filled, F.floor((F.row_number().over(w) - 1) / 2)))
+        whole = grouped.groupBy("query_id", "bin").agg(F.min("place").alias("place"), F.sum("documents").alias("documents"), F.max("levels").alias("levels"), F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list(F.struct("place", "text"))).getField("text"), "\n").alias("text"))
+        again = answerer(whole.where("n > 1").join(asked, "query_id"), tokens).where("answer <> ''").select("query_id", "place", F.col("answer").alias("text"), "documents", (F.col("levels") + 1).alias("levels"))
+        parts = staged(whole.where("n = 1").select("query_id", "place", "text", "documents", "levels").unionByName(again), "answers-reduced")
+    return parts.select("query_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("answer"), "documents", "levels")
+
+
+def leaves_of(selected: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, leaf_id): the leaves below each selected section; a leaf stands for itself."""
+    below = chunks.where("level = 'L2' and parent_id is not null").select(F.col("parent_id").alias("chunk_id"), F.col("chunk_id").alias("_leaf"))
+    return selected.select("query_id", "chunk_id").join(below, "chunk_id", "left").select("query_id", "chunk_id", F.coalesce("_leaf", "chunk_id").alias("leaf_id"))
+
+
 def refusal(near: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, answer): what is said instead of an answer, with the three nearest chunks (query_id, rank, title, label)."""
     label = F.concat(F.lit("— "), F.coalesce("title", F.lit(UNTITLED)), F.when(F.col("label") != "", F.concat(F.lit(", "), "label")).otherwise(""))

@@ -108,6 +108,13 @@ def cer_pairs(spark, d):
     return E.char_error_rate(b.withColumn("noisy", F.regexp_replace("text", "e", "c")), "text", "noisy").select("query_id", F.round("cer", 6).alias("cer"))
 
 
+def map_reduce_answers(spark, d):
+    """Answers to passages from their twenty best documents, a source at a time, then reduced."""
+    texts = chunks(spark, d).select("chunk_id", "document_id", "text")
+    evidence = found(spark, d, 20).join(texts, "chunk_id").select("query_id", F.col("rank").alias("ordinal"), "document_id", "text")
+    return G.map_reduce_answers(evidence, asked(spark, d), 2000, 200)
+
+
 def misread(spark, d):
     """Turns of conversations beside what a poor reader might have made of them: letters swapped, joined, lost and added."""
     noisy = F.translate("text", "öi", "o1")
@@ -256,6 +263,7 @@ QUERIES = {
     "youden_tau": (lambda s, d: short(E.youden(read(s, d, "labels").join(read(s, d, "documents").select("doc_id", "n_chars"), "doc_id"), "n_chars", "quality"), "j"), "with p as (select n_chars as tau, count(*) filter (quality = 1) as pos, count(*) filter (quality = 0) as neg from labels join documents using (doc_id) group by 1) select tau, round(round(sum(pos) over (order by tau desc) / sum(pos) over () - sum(neg) over (order by tau desc) / sum(neg) over (), 9), 6) as j from p order by j desc, tau limit 1"),
     "cer": (cer_pairs, "select item_id as query_id, case when length(text) > 0 then round(levenshtein(text, replace(text, 'e', 'c')) / length(text), 6) else 0 end as cer from benchmark"),
     "confusions": (confusions, None),
+    "map_reduce_answers": (map_reduce_answers, None),
     "cell_f1": (cells, f"with w as (select source as table_id, doc_id, unnest({WORDS}) as value from documents), a as (select table_id, value, count(*) as c from w where doc_id % 2 = 0 group by all), b as (select table_id, value, count(*) as p from w where doc_id % 2 = 1 group by all) select table_id, sum(least(coalesce(c, 0), coalesce(p, 0)))::bigint as shared, sum(coalesce(c, 0))::bigint as gold, sum(coalesce(p, 0))::bigint as found, round(2 * sum(least(coalesce(c, 0), coalesce(p, 0))) / (sum(coalesce(c, 0)) + sum(coalesce(p, 0))), 6) as f1 from a full join b using (table_id, value) group by 1"),
     "chunks": (elements_count, None),
     "char_spans": (lambda s, d: I.char_spans(read(s, d, "documents").select("source", "doc_id", "text"), "source", "doc_id", "text").select("doc_id", "char_from", "char_to"), "select doc_id, sum(length(coalesce(text, '')) + 2) over (partition by source order by doc_id)::bigint - 2 - length(coalesce(text, '')) as char_from, sum(length(coalesce(text, '')) + 2) over (partition by source order by doc_id)::bigint - 2 as char_to from documents"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.staging import current, publish, versions
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -30,20 +31,22 @@ def write_postings(fields: DataFrame, path: str) -> None:
 
 
 def publish_vectors(vectors: DataFrame, root: str, model_key: str) -> str:
-    """Write vectors (chunk_id, embedding) as a new version below root, then name it as the current one; returns its build id.
+    """Write vectors (chunk_id, embedding) below root and publish them as the current version; returns its build id.
 
-    The name is a one-row table that is replaced last, so readers see the old version or the new one, never a part.
+    The id is one of the model and of all vectors, so changed vectors get another, and publishing the same again writes nothing.
     """
-    build = vectors.agg(F.sha2(F.concat_ws("/", F.lit(model_key), F.coalesce(F.max("chunk_id"), F.lit(0)).cast("string"), F.count(F.lit(1)).cast("string")), 256).alias("b")).first()["b"]
-    path = f"{root}/version={build[:16]}-{uuid.uuid4().hex[:8]}"
-    vectors.select("chunk_id", T.l2_normalised(F.col("embedding")).alias("embedding")).write.parquet(path)
     spark = vectors.sparkSession
-    spark.createDataFrame([(path, build)], "path string, build string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
+    rows = vectors.select("chunk_id", T.l2_normalised(F.col("embedding")).alias("embedding"))
+    seen = rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("chunk_id", "embedding")), F.sum(F.xxhash64("embedding", "chunk_id").bitwiseAND(F.lit((1 << 31) - 1).cast("long")))).first()
+    build = f"{uuid.uuid5(uuid.NAMESPACE_URL, repr((model_key, *seen)))}"
+    if not any(b == build for _, b in versions(spark, root)):
+        rows.write.mode("overwrite").parquet(f"{root}/{build}")
+    publish(spark, root, build)
     return build
 
 
 def read_vectors(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.parquet(f"{root}/current").first()["path"])
+    return spark.read.parquet(current(spark, root))
 
 
 def save_run(values: DataFrame, path: str, run_id: str, settings: dict) -> None:
@@ -67,9 +70,12 @@ def write_report(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(f"{path}/json")
 
 
-def save_calibration(spark: SparkSession, model: dict, path: str) -> None:
-    spark.createDataFrame([(json.dumps(model),)], "model string").coalesce(1).write.mode("overwrite").json(path)
+def save_calibration(spark: SparkSession, model: dict, root: str) -> None:
+    """A new version of the model below root; the old one is there until the new one is published."""
+    build = uuid.uuid4().hex
+    spark.createDataFrame([(json.dumps(model),)], "model string").coalesce(1).write.json(f"{root}/{build}")
+    publish(spark, root, build)
 
 
-def load_calibration(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.json(path).first()["model"])
+def load_calibration(spark: SparkSession, root: str) -> dict:
+    return json.loads(spark.read.json(current(spark, root)).first()["model"])

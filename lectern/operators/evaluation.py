@@ -94,13 +94,31 @@ def cell_f1(cells: DataFrame, predicted: DataFrame) -> DataFrame:
     return both.withColumn("f1", F.when(F.col("gold") + F.col("found") > 0, 2 * F.col("shared") / (F.col("gold") + F.col("found"))))  # nothing on both sides: undefined
 
 
-def randomisation_p(pdf: pd.DataFrame, rounds: int = 10_000, seed: int = 20260101) -> float:
-    """Fisher's randomisation test of paired differences: how often random signs give as large a mean."""
-    import numpy as np
+def randomisation_p(pairs: DataFrame, rounds: int = 10_000, seed: int = 20260101) -> DataFrame:
+    """(metric, p_random) of pairs (metric, query_id, difference): Fisher's randomisation test, how often random signs give as large a sum.
 
-    d = pdf["difference"].to_numpy(float)
-    signs = np.random.default_rng(seed).choice((-1.0, 1.0), (rounds, len(d)))
-    return float((np.abs(signs @ d) >= abs(d.sum()) - 1e-12).sum() + 1) / (rounds + 1)
+    A pair's signs in all rounds are bits of a generator that its metric and query_id key, so they don't depend on partitions; tasks sum `rounds`
+    numbers for each metric, and Spark adds these up. Without any difference p is 1.
+    """
+    ship(pairs.sparkSession)
+    width = -(-rounds // 8)
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for metric, key, d in zip(*(batch.column(n).to_pylist() for n in ("metric", "key", "difference")), strict=True):
+                bits = np.random.Generator(np.random.Philox(key=key & ((1 << 64) - 1))).bytes(width)
+                signs = np.unpackbits(np.frombuffer(bits, np.uint8))[:rounds].astype(np.float64) * 2 - 1
+                own = sums.setdefault(metric, np.zeros(rounds))
+                own += signs * d
+        for metric, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([metric] * rounds, pa.string()), pa.array(np.arange(rounds), pa.int32()), pa.array(own)], names=["metric", "round", "total"])
+
+    rows = pairs.select("metric", F.xxhash64(F.lit(seed), "metric", "query_id").alias("key"), F.col("difference").cast("double").alias("difference"))
+    totals = rows.mapInArrow(run, "metric string, round int, total double").groupBy("metric", "round").agg(F.sum("total").alias("total"))
+    seen = pairs.groupBy("metric").agg(F.abs(F.sum("difference")).alias("seen"), F.max(F.abs("difference")).alias("largest"))
+    met = totals.join(seen, "metric").groupBy("metric").agg(F.count_if(F.abs("total") >= F.col("seen") - 1e-9).alias("as_large"), F.max("largest").alias("largest"))
+    return met.select("metric", F.when(F.col("largest") > 0, (F.col("as_large") + 1) / (rounds + 1)).otherwise(1.0).alias("p_random"))
 
 
 def metrics_at(run: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
@@ -133,21 +151,23 @@ def metric_means(values: DataFrame) -> DataFrame:
 
 
 def compare_runs(base: DataFrame, candidate: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(metric, n, base, candidate, gain, t, p_t, p_random) over the queries that both (query_id, metric, value) have."""
+    """(metric, n, base, candidate, gain, t, p_t, p_random) over the queries that both (query_id, metric, value) have.
+
+    Means and deviations are aggregates; t is null below two queries, infinite where all differences are equal and not 0.
+    """
     pairs = base.select("query_id", "metric", F.col("value").alias("base")).join(candidate.select("query_id", "metric", F.col("value").alias("candidate")), ["query_id", "metric"])
-    pairs = pairs.where("base is not null and candidate is not null")
+    pairs = pairs.where("base is not null and candidate is not null").withColumn("difference", F.col("candidate") - F.col("base"))
+    sums = pairs.groupBy("metric").agg(F.count(F.lit(1)).cast("int").alias("n"), F.avg("base").alias("base"), F.avg("candidate").alias("candidate"), F.avg("difference").alias("mean"), F.stddev_samp("difference").alias("spread"))
+    t = F.when(F.col("spread") > 0, F.col("mean") / (F.col("spread") / F.sqrt("n"))).when(F.col("n") < 2, F.lit(None)).when(F.col("mean") == 0, 0.0).otherwise(F.signum("mean") * F.lit(math.inf))
+    gain = F.when(F.col("base") != 0, (F.col("candidate") - F.col("base")) / F.col("base") * 100).when(F.col("candidate") > 0, F.lit(math.inf)).otherwise(0.0)
+    ship(base.sparkSession)
 
-    def tests(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = (pdf["candidate"] - pdf["base"]).to_numpy(float)
-        n, spread = len(d), float(d.std(ddof=1)) if len(d) > 1 else math.nan
-        t = float(d.mean() / (spread / math.sqrt(n))) if spread > 0 else math.nan if n < 2 else math.inf if d.any() else 0.0
-        p = math.nan if math.isnan(t) else student_p(t, n - 1)
-        b, c = float(pdf["base"].mean()), float(pdf["candidate"].mean())
-        gain = (c - b) / b * 100 if b else math.inf if c > 0 else 0.0
-        return pd.DataFrame({"metric": [pdf["metric"].iloc[0]], "n": [n], "base": [b], "candidate": [c], "gain": [gain], "t": [t], "p_t": [p], "p_random": [randomisation_p(pd.DataFrame({"difference": d}), rounds) if d.any() else 1.0]})
+    def tails(values: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([math.nan if math.isnan(x) else 0.0 if math.isinf(x) else student_p(x, k - 1) for x, k in zip(values.astype(float), n, strict=True)])
 
-    ship(base.sparkSession)
-    return pairs.groupBy("metric").applyInPandas(tests, "metric string, n int, base double, candidate double, gain double, t double, p_t double, p_random double")
+    p_t = F.pandas_udf(tails, "double")  # a row for each metric
+    rows = sums.withColumns({"t": t, "gain": gain}).withColumn("p_t", F.when(F.col("t").isNotNull(), p_t("t", "n")))
+    return rows.join(randomisation_p(pairs, rounds), "metric").select("metric", "n", "base", "candidate", "gain", "t", "p_t", "p_random")
 
 
 def significant(p: str = "p_t", alpha: float = 0.05):

@@ -18,6 +18,7 @@ from lectern.functions import text as T
 from lectern.functions.alignment import APOSTROPHES, confusion_class, differences
 from lectern.operators import retrieval as R
 from lectern.session import ship
+from lectern.staging import staged
 
 
 def ranking_metrics(run: DataFrame, gold: DataFrame, k: int) -> DataFrame:
@@ -70,14 +71,27 @@ def student_p(t: float, df: float) -> float:
 
 
 def youden(samples: DataFrame, score: str, label: str) -> DataFrame:
-    """The score that, as a threshold, has the largest sensitivity plus specificity minus 1; the smaller of equals.
+    """The score that, as a threshold, has the largest sensitivity plus specificity minus 1; the smaller of equals. No row without both labels.
 
-    Counts per distinct score, then running sums over them.
+    Counts per distinct score are dealt out by ranges of scores and written; the ranges' own sums, a row for each, say what lies above a range, so running
+    sums are taken in each range alone.
     """
+    spark = samples.sparkSession
     per = samples.groupBy(F.col(score).alias("tau")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    all_, above = Window.partitionBy(), Window.orderBy(F.desc("tau")).rowsBetween(Window.unboundedPreceding, 0)
-    j = F.sum("pos").over(above) / F.sum("pos").over(all_) - F.sum("neg").over(above) / F.sum("neg").over(all_)
-    return per.withColumn("j", F.round(j, 9)).orderBy(F.desc("j"), "tau").limit(1).select("tau", "j")
+    dealt = per.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.desc("tau"))
+    ranged = staged(dealt.withColumn("part", F.spark_partition_id()), "youden")
+    sums = {r["part"]: (r["pos"], r["neg"]) for r in ranged.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()}  # a row for each partition
+    above, offsets = [0, 0], []
+    for part in sorted(sums):
+        offsets.append((part, *above))
+        above = [x + y for x, y in zip(above, sums[part], strict=True)]
+    if not all(above):
+        return ranged.select("tau", F.lit(None).cast("double").alias("j")).limit(0)
+    known = spark.createDataFrame(offsets, "part int, pos_above long, neg_above long")
+    own = Window.partitionBy("part").orderBy(F.desc("tau")).rowsBetween(Window.unboundedPreceding, 0)
+    pos, neg = (F.sum(c).over(own) + F.col(f"{c}_above") for c in ("pos", "neg"))
+    j = ranged.join(F.broadcast(known), "part").withColumn("j", F.round(pos / above[0] - neg / above[1], 9))  # a row for each partition is broadcast
+    return j.orderBy(F.desc("j"), "tau").limit(1).select("tau", "j")
 
 
 def char_error_rate(pairs: DataFrame, reference: str, hypothesis: str):

@@ -198,16 +198,29 @@ def fuse(branches: dict[str, tuple[DataFrame, float | Column]], k: int = RRF_K)
 def near_pairs(chunks: DataFrame, most: int = 3) -> DataFrame:
     """(a, b, hamming): pairs of chunks whose 64-bit simhashes differ in at most `most` bits; a < b.
 
-    Cut into most + 1 bands, two such hashes agree in one band, so pairs meet by an equality join; each is told once, by its first band.
+    Every pair is told, so a hash that n chunks share makes n * (n - 1) / 2 rows; near_hashes tells pairs of hashes instead.
+    """
+    rows = chunks.where("simhash is not null").select("chunk_id", "simhash")
+    near = near_hashes(rows, most)
+    both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"), "hamming").where("x <> y"))
+    left, right = rows.select(F.col("chunk_id").alias("a"), F.col("simhash").alias("x")), rows.select(F.col("chunk_id").alias("b"), F.col("simhash").alias("y"))
+    return left.join(both, "x").join(right, "y").where("a < b").select("a", "b", "hamming")
+
+
+def near_hashes(chunks: DataFrame, most: int = 3) -> DataFrame:
+    """(x, y, hamming): pairs of distinct simhashes, x < y, that differ in at most `most` bits, and each hash with itself; a hash that many chunks share is one row.
+
+    Cut into most + 1 bands, two such hashes agree in one band, so they meet by an equality join; each pair is told once, by its first band.
     """
     bands, width = most + 1, -(-64 // (most + 1))
     cut = [F.shiftrightunsigned("simhash", width * i).bitwiseAND(F.lit((1 << min(width, 64 - width * i)) - 1).cast("long")) for i in range(bands)]
-    rows = chunks.where("simhash is not null").select("chunk_id", "simhash", F.array(*cut).alias("bands"))
-    rows = rows.select("*", F.posexplode("bands").alias("band", "part"))
-    a, b = rows.select("band", "part", F.col("chunk_id").alias("a"), F.col("simhash").alias("x"), F.col("bands").alias("xs")), rows.select("band", "part", F.col("chunk_id").alias("b"), F.col("simhash").alias("y"), F.col("bands").alias("ys"))
-    met = a.join(b, ["band", "part"]).where("a < b").withColumn("hamming", T.hamming(F.col("x"), F.col("y"))).where(F.col("hamming") <= most)
+    hashes = chunks.where("simhash is not null").select("simhash").distinct()
+    rows = hashes.select("simhash", F.array(*cut).alias("bands")).select("*", F.posexplode("bands").alias("band", "part"))
+    a, b = rows.select("band", "part", F.col("simhash").alias("x"), F.col("bands").alias("xs")), rows.select("band", "part", F.col("simhash").alias("y"), F.col("bands").alias("ys"))
+    met = a.join(b, ["band", "part"]).where("x < y").withColumn("hamming", T.hamming(F.col("x"), F.col("y"))).where(F.col("hamming") <= most)
     first = F.array_position(F.zip_with("xs", "ys", lambda p, q: p == q), F.lit(True)) - 1
-    return met.where(first == F.col("band")).select("a", "b", "hamming")
+    told = met.where(first == F.col("band")).select("x", "y", "hamming")
+    return told.unionByName(hashes.select(F.col("simhash").alias("x"), F.col("simhash").alias("y"), F.lit(0).alias("hamming")))
 
 
 def deduplicate(ranked: DataFrame, vectors: DataFrame | None = None, max_hamming: int = 3, min_cosine: float = 0.93) -> DataFrame:

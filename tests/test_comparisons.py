@@ -12,6 +12,7 @@ from lectern.operators import evaluation as E
 from lectern.operators import generation as G
 from lectern.operators import ingest as I
 from lectern.operators import operations as O
+from lectern.operators import retrieval as R
 from lectern.plans import documents as D
 
 VALUES = "query_id long, metric string, value double"
@@ -99,3 +100,27 @@ def test_the_rate_is_smoothed(spark):
     got = {r["job"]: (r["rate"], r["eta"]) for r in O.smoothed_eta(samples, "job").collect()}
     rate = 0.3 * 3 + 0.7 * 1
     assert abs(got[1][0] - rate) < 1e-9 and abs(got[1][1] - 60 / rate) < 1e-9 and got[2] == (None, None)
+
+
+def test_near_hashes_and_pairs_equal_all_comparisons(spark):
+    rnd = random.Random(9)
+    base = [rnd.getrandbits(64) for _ in range(30)]
+    rows = [(k, (h ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randint(0, 4))))) for k, h in enumerate(rnd.choice(base) for _ in range(150))]
+    signed = [(k, h - (1 << 64) if h >> 63 else h) for k, h in rows] + [(999, None)]
+    df = spark.createDataFrame(signed, "chunk_id long, simhash long")
+    apart = lambda x, y: bin((x ^ y) & ((1 << 64) - 1)).count("1")
+    want = {(a, b, apart(x, y)) for (a, x), (b, y) in itertools.combinations(signed[:-1], 2) if apart(x, y) <= 3}
+    assert {tuple(r) for r in R.near_pairs(df).collect()} == want
+    hashes = {h for _, h in signed[:-1]}
+    assert R.near_hashes(df).where("x = y").count() == len(hashes)
+
+
+def test_the_best_threshold_does_not_depend_on_ranges(spark):
+    rnd = random.Random(3)
+    rows = [(float(rnd.randint(0, 40)), rnd.choice([0, 1, 1, None])) for _ in range(500)]
+    samples = spark.createDataFrame(rows, "score double, label int")
+    pos, neg = [s for s, x in rows if x == 1], [s for s, x in rows if x == 0]
+    j = {t: round(sum(s >= t for s in pos) / len(pos) - sum(s >= t for s in neg) / len(neg), 9) for t in {s for s, _ in rows}}
+    best = min(j, key=lambda t: (-j[t], t))
+    assert tuple(E.youden(samples, "score", "label").first()) == (best, j[best])
+    assert E.youden(samples.where("label = 1"), "score", "label").count() == 0 and E.youden(samples.limit(0), "score", "label").count() == 0

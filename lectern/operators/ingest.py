@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.session import ship
+from lectern.session import dealt, ship
 
 #: Characters of a leaf: its target, the soft and the hard most, the least; the most of a section; and what leaves cut by force share.
 TARGET, SOFT, HARD, LEAST, SECTION, OVERLAP = 1400, 2200, 3600, 250, 6000, 300
@@ -154,7 +154,7 @@ def chunk_tree(docs: DataFrame, key: str = "doc_id", title: str | None = None) -
             yield out
 
     named = F.coalesce(F.col(title), F.lit("")) if title else F.lit("")
-    tree = docs.select(F.col(key).alias("document_id"), "text", named.alias("title")).mapInPandas(run, "document_id long, ordinal int, level string, parent long, header_path string, text string, sibling int, siblings int")
+    tree = dealt(docs.select(F.col(key).alias("document_id"), "text", named.alias("title"))).mapInPandas(run, "document_id long, ordinal int, level string, parent long, header_path string, text string, sibling int, siblings int")
     tree = tree.withColumn("text", T.sanitize_display(F.col("text")))
     number = lambda ordinal: F.xxhash64("document_id", ordinal)
     uid = F.substring(F.sha2(F.concat_ws("\x1f", F.col("document_id").cast("string"), F.col("ordinal").cast("string"), "text"), 256), 1, 32)

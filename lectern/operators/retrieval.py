@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern.config import Config
 from lectern.functions import text as T
 from lectern.functions.normalize import normalized
-from lectern.session import ship
+from lectern.session import dealt, ship
 from lectern.staging import staged
 
 #: The parameters of BM25 and of the fusion.
@@ -23,7 +23,7 @@ QUERY_BLOCK = 10_000
 
 def postings(chunks: DataFrame, text: str = "text", key: str = "chunk_id") -> DataFrame:
     """(key, term, tf, length): one row per distinct word of a chunk, with the chunk's word count."""
-    words = chunks.select(key, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    words = dealt(chunks.select(key, text)).select(key, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
     return words.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -40,7 +40,7 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score). Chunks are read and split once: what is written has the postings of words that some query has, and each chunk's length."""
     wanted = query_terms(queries)
-    words = chunks.select("chunk_id", T.tokens(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
+    words = dealt(chunks.select("chunk_id", "text")).select("chunk_id", T.tokens(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
     rows = words.select("chunk_id", F.size("w").alias("length"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("term"))  # the empty word stands for the chunk
     terms = wanted.select("term").distinct().unionByName(chunks.sparkSession.createDataFrame([("",)], "term string"))
     posts = staged(rows.join(terms, "term", "left_semi").groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "bm25-posts")

@@ -10,6 +10,8 @@ from lectern.operators import evaluation as E
 from lectern.operators import generation as G
 from lectern.operators import ingest as I
 from lectern.operators import retrieval as R
+from lectern.session import dealt
+from lectern.staging import staged
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +29,7 @@ def asked(spark, d) -> DataFrame:
 def gold(spark, d) -> DataFrame:
     """Items that a document holds verbatim: an inner join on containment, with the items as the stated small side."""
     q = asked(spark, d).where("text <> ''").select("query_id", F.col("text").alias("passage"))
-    return chunks(spark, d).join(F.broadcast(q), F.contains("text", "passage")).select("query_id", "chunk_id")
+    return dealt(chunks(spark, d).select("chunk_id", "text")).join(F.broadcast(q), F.contains("text", "passage")).select("query_id", "chunk_id")
 
 
 def found(spark, d, k=10) -> DataFrame:
@@ -95,7 +97,7 @@ RANKED = f"{POSTINGS}, h as (select r.*, source as document_id, chunk_id // 5 +
 
 def ngram_pool(spark, d):
     hits = found(spark, d, 20).select("query_id", "chunk_id")
-    return hits.join(chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    return staged(hits.join(chunks(spark, d).select("chunk_id", "text"), "chunk_id"), "ngram-pool")
 
 
 def elements_count(spark, d):

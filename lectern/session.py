@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -42,6 +42,12 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all cores where its table has fewer files than there are cores: a file of one row group is else one task's, however long its rows take."""
+    files, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < files < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once per application; Spark's file server sends it."""
     app = spark.sparkContext.applicationId

@@ -126,7 +126,7 @@ def looks_like_formula(text: Column) -> Column:
 
 def heading_only(text: Column) -> Column:
     """Short lines that no sentence ends; a blank text too."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.forall(lines, lambda x: (F.length(x) <= 80) & ~x.rlike(r"[.:;!?]$"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.pages import references
 from lectern.session import dealt, ship
 
 #: Characters of a leaf: its target, the soft and the hard most, the least; the most of a section; and what leaves cut by force share.
@@ -141,7 +142,8 @@ def chunk_tree(docs: DataFrame, key: str = "doc_id", title: str | None = None) -
     """The chunks of docs, as retrieve takes them: sequential within a document, parallel across them.
 
     chunk_id and parent_id are hashes of document and ordinal (a card and its sections have no parent section: a section's parent is the card, a leaf's
-    its section), chunk_uid is one of the text too; simhash is that of a leaf's words, null for sections and cards.
+    its section), chunk_uid is one of the text too; simhash is that of a leaf's words, null for sections and cards; refs tells the pictures, tables and
+    formulas of a chunk's text.
     """
     ship(docs.sparkSession)
     columns = ["document_id", "ordinal", "level", "parent", "header_path", "text", "sibling", "siblings"]
@@ -163,6 +165,7 @@ def chunk_tree(docs: DataFrame, key: str = "doc_id", title: str | None = None) -
         "parent_id": F.when(F.col("parent").isNotNull(), number(F.col("parent").cast("long"))),
         "chunk_uid": uid,
         "simhash": F.when(F.col("level") == "L2", T.simhash(T.tokens(F.col("text")))),
+        "refs": references(F.col("text")),
     })
 
 

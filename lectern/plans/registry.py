@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import documents, operations, search, streams
+from lectern.plans import documents, operations, pages, search, streams
 
-MODULES = [documents, operations, search, streams]
+MODULES = [documents, operations, pages, search, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,7 +24,7 @@ def read_gold_csv(spark: SparkSession, path: str) -> DataFrame:
     """Gold questions; lists are separated by semicolons and empty entries go."""
     raw = spark.read.option("header", True).option("multiLine", True).csv(path)
     raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
-    lists = {c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda x: x != "") for c in ("gold_chunk_uids", "gold_pages") if c in raw.columns}
+    lists = {c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "") for c in ("gold_chunk_uids", "gold_pages") if c in raw.columns}
     return raw.withColumns(lists)
 
 

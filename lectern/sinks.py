@@ -59,14 +59,14 @@ def write_gold_json(questions: DataFrame, path: str) -> None:
 
 
 def write_gold_csv(questions: DataFrame, path: str) -> None:
-    """Gold questions with their lists joined by semicolons."""
+    """Gold questions with their lists joined by semicolons; quotes in them are doubled, as read_gold_csv takes them."""
     lists = {c: F.array_join(c, ";") for c in ("gold_chunk_uids", "gold_pages") if c in questions.columns}
-    questions.withColumns(lists).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    questions.withColumns(lists).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_report(rows: DataFrame, path: str) -> None:
     """A report's rows as CSV and JSON."""
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    rows.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/csv")
     rows.coalesce(1).write.mode("overwrite").json(f"{path}/json")
 
 

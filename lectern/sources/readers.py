@@ -17,12 +17,15 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gold_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+    """Gold questions of JSON files: arrays over any lines, or an object on each line as write_gold_json writes them."""
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    line = first["value"].strip().lstrip("\ufeff") if first else "["
+    return spark.read.option("multiLine", not (line.startswith("{") and line.endswith("}"))).json(path)
 
 
 def read_gold_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Gold questions; lists are separated by semicolons and empty entries go."""
-    raw = spark.read.option("header", True).option("multiLine", True).csv(path)
+    """Gold questions; lists are separated by semicolons and empty entries go, a quote in a quoted field is doubled."""
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
     lists = {c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "") for c in ("gold_chunk_uids", "gold_pages") if c in raw.columns}
     return raw.withColumns(lists)

@@ -164,6 +164,8 @@ def test_sinks_round_trip(spark, tmp_path):
     S.write_gold_json(gold, f"{root}/gold-json")
     for back in (X.read_gold_csv(spark, f"{root}/gold-csv"), X.read_gold_json(spark, f"{root}/gold-json")):
         assert [(r["id"], r["question"], r["gold_chunk_uids"]) for r in back.orderBy("id").collect()] == [("q1", 'a "quoted", question', ["00a", "1b1", "u2"]), ("q2", "none", [])]
+    Path(tmp_path, "array.json").write_text('[\n {"id": "q1",\n  "question": "x"},\n {"id": "q2", "question": "y"}\n]\n')
+    assert X.read_gold_json(spark, f"{root}/array.json").count() == 2
     S.write_report(values, f"{root}/report")
     S.write_report(values, f"{root}/report")
     assert spark.read.option("header", True).csv(f"{root}/report/csv").first()["metric"] == "mrr@3" and spark.read.json(f"{root}/report/json").count() == 1

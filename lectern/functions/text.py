@@ -70,13 +70,14 @@ def token_estimate(text: Column) -> Column:
 
 
 def share(text: Column, pattern: str, of: Column | None = None) -> Column:
-    """Characters that match, as a share of the text's (or `of`); 0 for an empty one."""
-    hits, all_ = F.length(F.regexp_replace(text, f"[^{pattern[1:]}" if pattern.startswith("[") else pattern, "")), of if of is not None else F.length(text)
+    """Characters that match, as a share of the text's (or `of`); 0 for an empty one. Others are taken out a run at a time."""
+    hits, all_ = F.length(F.regexp_replace(text, f"[^{pattern[1:]}+" if pattern.startswith("[") else pattern, "")), of if of is not None else F.length(text)
     return F.when(all_ > 0, hits / all_).otherwise(0.0)
 
 
 def cyrillic_ratio(text: Column) -> Column:
-    return share(text, CYRILLIC, F.length(F.regexp_replace(text, r"[^\p{L}]", "")))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    return F.when(text.rlike(rf"(?=[^\x00-\x7F]){CYRILLIC}"), share(text, CYRILLIC, letters)).otherwise(0.0)  # most texts have none
 
 
 def mojibake_ratio(text: Column) -> Column:
@@ -117,11 +118,13 @@ def looks_like_table(text: Column) -> Column:
     lines = F.split(text, "\n")
     gaps = F.size(F.filter(lines, lambda x: F.regexp_count(x, F.lit(r"\S {2,}(?=\S)")) >= 2))
     cells = F.size(F.filter(lines, lambda x: (F.regexp_count(x, F.lit("\t")) >= 2) | (F.regexp_count(x, F.lit(r"\|")) >= 2)))
-    return F.lower(text).rlike(r"таблиц|табл\.") | (gaps >= 3) | (cells >= 3)
+    low = F.lower(text)
+    return F.contains(low, F.lit("таблиц")) | F.contains(low, F.lit("табл.")) | (gaps >= 3) | (cells >= 3)
 
 
 def looks_like_formula(text: Column) -> Column:
-    return F.lower(text).rlike("формул|рівнянн") | text.rlike(f"[{MATHS}]")
+    low = F.lower(text)
+    return F.contains(low, F.lit("формул")) | F.contains(low, F.lit("рівнянн")) | text.rlike(rf"(?=[^\x00-\x7F])[{MATHS}]")  # none of them is ASCII
 
 
 def heading_only(text: Column) -> Column:

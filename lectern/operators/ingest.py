@@ -249,8 +249,11 @@ def text_pages(docs: DataFrame, key: str = "doc_id", size: int = 1800) -> DataFr
     text = F.coalesce("text", F.lit(""))
     count = F.greatest(F.ceil(F.length(text) / size), F.lit(1)).cast("int")
     cut = F.when(F.contains(text, F.lit("\f")), F.split(text, "\f")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * size + 1, F.lit(size))))
-    pages = docs.select(F.col(key).alias("document_id"), F.posexplode(cut).alias("n", "text")).select("document_id", (F.col("n") + 1).alias("page"), "text")
-    return char_spans(pages, "document_id", "page", "text", 0)
+    long = lambda s: F.length(s).cast("long")
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<text: string, char_from: bigint, char_to: bigint>>)").alias("pages"))
+    placed = F.aggregate(cut, none, lambda s, x: F.struct((s["at"] + long(x)).alias("at"), F.concat(s["pages"], F.array(F.struct(x.alias("text"), s["at"].alias("char_from"), (s["at"] + long(x)).alias("char_to")))).alias("pages")))
+    pages = docs.select(F.col(key).alias("document_id"), F.posexplode(placed["pages"]).alias("n", "p"))
+    return pages.select("document_id", (F.col("n") + 1).alias("page"), "p.text", "p.char_to", "p.char_from")
 
 
 def probe(pages: DataFrame, bitmap=None, lexicon=None, pictures=None) -> DataFrame:

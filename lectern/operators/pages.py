@@ -143,7 +143,7 @@ def merged_boxes(boxes: DataFrame, keys: tuple[str, ...] = ("document_id", "page
     """
     sides = ("top", "left", "right", "bottom")
     whole = boxes.where(" and ".join(f"{c} is not null" for c in sides) + " and right > left and bottom > top")
-    lists = whole.select(*keys, F.struct(*[F.col(c).cast("double").alias(c) for c in sides]).alias("b")).distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("b")).alias("all"))
+    lists = whole.select(*keys, F.struct(*[F.col(c).cast("double").alias(c) for c in sides]).alias("b")).groupBy(*keys).agg(F.sort_array(F.collect_set("b")).alias("all"))
     block = "struct<top: double, left: double, right: double, bottom: double, n: int>"
     none = F.struct(F.expr(f"cast(array() as array<{block}>)").alias("done"), F.expr(f"cast(null as {block})").alias("open"))
 

@@ -5,15 +5,19 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators.pages import references
 from lectern.session import dealt, ship
+from lectern.staging import staged
 
 #: Characters of a leaf: its target, the soft and the hard most, the least; the most of a section; and what leaves cut by force share.
 TARGET, SOFT, HARD, LEAST, SECTION, OVERLAP = 1400, 2200, 3600, 250, 6000, 300
+#: Headings of a run, about: what one task nests at a time.
+RUN = 50_000
 #: Kinds of elements that are never cut, but for tables between their rows.
 ATOMIC = ("table", "code")
 _HEADING = re.compile(r"(#{1,6})\s+(.*)")
@@ -219,22 +223,68 @@ def page_of(offsets: DataFrame, pages: DataFrame) -> DataFrame:
     return both.withColumn("page", F.last("page", ignorenulls=True).over(order)).where("_asked = 1").drop("_asked")
 
 
+def _nested(headings: pa.Table, outside: pa.Table) -> pa.Table:
+    """One run of a document's headings (part of nested_sets), with those of other runs that may hold one of its own or end it."""
+    rows = sorted(headings.select(["place", "level", "title"]).to_pylist(), key=lambda r: [(v is not None, v) for v in (r["place"], r["level"], r["title"])])
+    edges = [] if outside.num_rows == 0 else outside.to_pylist()
+    before, total = (edges[0]["before"], edges[0]["total"]) if edges else (0, len(rows))
+    open_, ends = [], [total] * len(rows)  # open_: (level, place, own number or None), levels rise
+    for e in sorted((e for e in edges if e["last_i"] is not None), key=lambda e: e["last_i"]):
+        while open_ and open_[-1][0] >= e["edge"]:
+            open_.pop()
+        open_.append((e["edge"], e["last_place"], None))
+    above = []
+    for k, r in enumerate(rows):
+        if r["level"] is None:  # is below none, holds all behind it, and is above none
+            above.append((0, None))
+            continue
+        while open_ and open_[-1][0] >= r["level"]:
+            own = open_.pop()[2]
+            if own is not None:
+                ends[own] = before + k
+        above.append((len(open_), open_[-1][1] if open_ else None))
+        open_.append((r["level"], r["place"], k))
+    later = [(e["edge"], e["next_i"]) for e in edges if e["next_i"] is not None]
+    for level, _, own in open_:
+        if own is not None:
+            ends[own] = min((i for x, i in later if x <= level), default=total)
+    lft = [2 * (before + k) + 1 - d for k, (d, _) in enumerate(above)]
+    new = {"parent_place": [p for _, p in above], "lft": lft, "rgt": [x + 2 * (end - before - k - 1) + 1 for k, (x, end) in enumerate(zip(lft, ends, strict=True))]}
+    names = headings.schema
+    own = {c: pa.array([r[c] for r in rows], names.field(c).type) for c in ("place", "level", "title")}
+    return pa.table({"document_id": headings["document_id"], **own, **{c: pa.array(v, pa.int64()) for c, v in new.items()}})
+
+
 def nested_sets(headings: DataFrame) -> DataFrame:
     """headings (document_id, place, level, title) with lft, rgt and parent_place: each holds those below it until one of its level or a higher one.
 
     With i the place among a document's headings and d the number of its ancestors, lft is 2 i - 1 - d, and rgt follows from the
-    headings in between.
+    headings in between. Headings are dealt out by ranges of some RUN and written, so that a long document lies in several runs; of all other runs
+    a run needs only each level's last heading before it and its first one behind it.
     """
-    lists = headings.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("place", "level", "title"))).alias("all"))
-    rows = lists.select("document_id", "all", F.posexplode("all").alias("i", "h")).select("document_id", "all", "i", "h.*")
-    behind = F.slice("all", F.col("i") + 2, F.size("all"))
-    ends = F.filter(F.transform(behind, lambda x, k: F.when(x["level"] <= F.col("level"), k)), lambda k: k.isNotNull())
-    inside = F.coalesce(F.get(ends, F.lit(0)), F.size(behind))
-    # an ancestor is a heading before this one that is lower in number than all from it on
-    before = F.slice("all", F.lit(1), F.col("i"))
-    above = F.aggregate(F.reverse(before), F.struct(F.col("level").alias("least"), F.array().cast("array<bigint>").alias("places")), lambda s, x: F.when(x["level"] < s["least"], F.struct(x["level"].alias("least"), F.concat(s["places"], F.array(x["place"].cast("long"))).alias("places"))).otherwise(s))["places"]
-    rows = rows.withColumns({"inside": inside, "above": above}).withColumn("lft", (2 * (F.col("i") + 1) - 1 - F.size("above")).cast("long"))
-    return rows.select("document_id", "place", "level", "title", F.get("above", F.lit(0)).alias("parent_place"), "lft", (F.col("lft") + 2 * F.col("inside") + 1).cast("long").alias("rgt"))
+    ship(headings.sparkSession)
+    rows = headings.select("document_id", "place", "level", "title")
+    parts = max(1, -(-rows.count() // RUN))
+    dealt_ = rows.repartitionByRange(parts, "document_id", "place", "level", "title")
+    ranged = staged(dealt_.withColumn("part", F.spark_partition_id()), "headings")
+    run = Window.partitionBy("document_id", "part").orderBy("place", "level", "title")
+    placed = ranged.select("document_id", "part", "place", "level", F.row_number().over(run).cast("long").alias("k"))
+    levels = placed.groupBy("document_id", "part", "level").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first_k"), F.max(F.struct("k", "place")).alias("last"))  # a row for each level of a run
+    document = Window.partitionBy("document_id")
+    before = F.coalesce(F.sum("n").over(document.orderBy("part").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = levels.withColumns({"before": before, "total": F.sum("n").over(document)})
+    last = F.struct((F.col("before") + F.col("last.k") - 1).alias("i"), F.col("last.place").alias("place"))
+    marks = levels.where("level is not null").select("document_id", "part", "level", last.alias("last"), (F.col("before") + F.col("first_k") - 1).alias("first_i"))
+    runs, known = levels.select("document_id", "part", "before", "total").distinct(), marks.select("document_id", "level").distinct()
+    each = runs.alias("r").join(known.alias("l"), F.expr("r.document_id <=> l.document_id"), "left").select("r.*", "l.level")
+    each = each.alias("e").join(marks.alias("m"), F.expr("e.document_id <=> m.document_id and e.part = m.part and e.level = m.level"), "left").select("e.*", "m.last", "m.first_i")
+    of_level = Window.partitionBy("document_id", "level").orderBy("part")
+    behind = Window.partitionBy("document_id", "level").orderBy(F.desc("part"))
+    each = each.select("document_id", "part", "before", "total", "level", F.max("last").over(of_level.rowsBetween(Window.unboundedPreceding, -1)).alias("last"), F.min("first_i").over(behind.rowsBetween(Window.unboundedPreceding, -1)).alias("next_i"))
+    edges = each.select(F.col("document_id").alias("d"), F.col("part").alias("p"), "before", "total", F.col("level").alias("edge"), F.col("last.i").alias("last_i"), F.col("last.place").alias("last_place"), "next_i")
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns) + ", parent_place long, lft long, rgt long"
+    return ranged.groupBy("document_id", "part").cogroup(edges.groupBy("d", "p")).applyInArrow(_nested, schema).select("document_id", "place", "level", "title", "parent_place", "lft", "rgt")
 
 
 def chapter_of(chunks: DataFrame, chapters: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from lectern.operators import evaluation, ingest, retrieval
 from lectern.sources.readers import html_grid, markdown_grid
 
@@ -176,3 +178,30 @@ def test_labels_windows_and_jobs(spark):
     assert [(r["first"], r["last"]) for r in ingest.page_windows(tables, 5).orderBy("first").collect()] == [(1, 4), (5, 9), (10, 12)]
     steps = spark.createDataFrame([(1, 1, "LEASED"), (1, 2, "RUNNING"), (1, 3, "DONE"), (1, 4, "RUNNING"), (2, 1, "DONE")], "job_id long, event_id long, state string")
     assert {r["job_id"]: (r["state"], r["refused"]) for r in O.final_states(steps).collect()} == {1: ("DONE", 1), 2: ("QUEUED", 1)}
+
+
+def test_nested_sets_of_long_documents(spark, monkeypatch):
+    """Runs of a few headings, cut anywhere, give what a plain walk gives; the memory of a row doesn't grow with its document."""
+    import random
+
+    monkeypatch.setattr(ingest, "RUN", 7)
+    draw = random.Random(3)
+    rows = [(d, p, draw.choice([1, 2, 2, 3, 3, 3, 4, 6, None]), f"t{p}") for d, n in (("a", 90), ("b", 1), ("c", 23), (None, 12)) for p in range(n)]
+    want = set()
+    for d in ("a", "b", "c", None):
+        own = [r for r in rows if r[0] == d]
+        for i, (_, place, level, title) in enumerate(own):
+            end = next((j for j in range(i + 1, len(own)) if None not in (level, own[j][2]) and own[j][2] <= level), len(own))
+            above, least = [], level
+            for _, p, x, _ in reversed(own[:i]):
+                if None not in (x, least) and x < least:
+                    least, above = x, [*above, p]
+            lft = 2 * (i + 1) - 1 - len(above)
+            want.add((d, place, level, title, above[0] if above else None, lft, lft + 2 * (end - i - 1) + 1))
+    df = spark.createDataFrame(rows, "document_id string, place long, level int, title string")
+    got = [tuple(r) for r in ingest.nested_sets(df).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert ingest.nested_sets(df.limit(0)).count() == 0
+    monkeypatch.setattr(ingest, "RUN", 8_000)
+    flat = ingest.nested_sets(spark.range(30_000).select(F.lit("x").alias("document_id"), F.col("id").alias("place"), F.lit(1).alias("level"), F.lit("t").alias("title")))
+    assert flat.where("rgt = lft + 1 and parent_place is null").count() == 30_000

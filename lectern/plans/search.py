@@ -89,7 +89,8 @@ def embedding_self_test(spark: SparkSession, d: str) -> DataFrame:
     docs = chunks(spark, d).where("length(text) > 0")
     again = B.hashed_embedding(docs.withColumn("text", F.regexp_replace("text", " ", "  ")))
     texts = docs.select("chunk_id", F.concat(F.lit("passage: "), F.substring("text", 1, 300)).alias("text"))
-    return short(B.self_test(B.hashed_embedding(docs), again, texts, "passage: "), "worst")
+    vectors = staged(B.hashed_embedding(docs), "self-test-vectors")  # read twice
+    return short(B.self_test(vectors, again, texts, "passage: "), "worst")
 
 
 HASHED_SQL = f"""with w as (select doc_id as chunk_id, unnest({WORDS}) as word from documents),

@@ -52,3 +52,22 @@ def test_the_self_test_tells_what_fails(spark):
 def test_the_self_test_of_documents_passes(spark):
     rows = {r["check"]: r["failed"] for r in Q.embedding_self_test(spark, "/root/testdata/sf0.001").collect()}
     assert rows == {"reference": 0, "norm": 0, "prefix": 0, "budget": 0}
+
+
+def test_rows_of_one_key_are_one_chunk(spark):
+    df = spark.createDataFrame([(1, "one two"), (1, "two"), (2, "aaaa aaa"), (None, "lost"), (3, None)], "chunk_id long, text string")
+    got = [(r["chunk_id"], r["embedding"]) for r in B.hashed_embedding(df, 16).collect()]
+    assert sorted(str(k) for k, _ in got) == ["1", "1", "2", "3", "None"]
+    want = {1: plain("one two two", 16), 2: plain("aaaa aaa", 16)}
+    assert all(max(abs(a - b) for a, b in zip(v, want.get(k, [0.0] * 16), strict=True)) < 1e-12 for k, v in got)
+
+
+def test_features_are_not_shuffled(spark, monkeypatch):
+    """Words are counted where a row lies, also if a row has more than a slice of them: only keys meet in an exchange."""
+    monkeypatch.setattr(B, "SLICE", 3)
+    texts = ["a b c d e", "", "one two", "x", "b b b b a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    out = B.hashed_embedding(df)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["chunk_id"]: r["embedding"] for r in out.collect()}
+    assert all(max(abs(a - b) for a, b in zip(got[k], plain(t), strict=True)) < 1e-12 for k, t in enumerate(texts))

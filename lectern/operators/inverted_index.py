@@ -15,6 +15,8 @@ from lectern.staging import current, new_folder, publish, staged
 
 #: Folders of terms; postings of a block, about; layers of a term's postings by how much they can add to a score.
 BUCKETS, BLOCK, LAYERS = 64, 512, 8
+#: Queries that are broadcast at most.
+BROADCAST_QUERIES = 200_000
 #: Scores this close count as equal.
 SLACK = 1e-9
 #: The weights of a chunk's words, of their further forms, and of its codes.
@@ -76,9 +78,11 @@ def build(fields: DataFrame, root: str, weights: dict[str, float] | None = None)
     A term's frequency in a chunk is the weighted sum over the columns, a chunk's length the number of terms of all of them. What a posting adds to a
     BM25 score is known here, so it is stored. Postings of a term lie in blocks of about BLOCK, those of like parts together, each with
     its largest part; a term that most chunks hold is as many blocks as it needs, none of which is one task's alone.
+    Without weights the index has codes only.
     """
-    spark, weights = fields.sparkSession, weights or WEIGHTS
-    rows = fields.select("chunk_id", F.concat(*[weighed(c, w) for c, w in weights.items()]).alias("all")).select("chunk_id", F.size("all").alias("length"), "all")
+    spark, weights = fields.sparkSession, WEIGHTS if weights is None else weights
+    none = F.array().cast("array<struct<term: string, w: double>>")
+    rows = fields.select("chunk_id", F.concat(none, *[weighed(c, w) for c, w in weights.items()]).alias("all")).select("chunk_id", F.size("all").alias("length"), "all")
     posts = rows.select("chunk_id", "length", F.explode_outer("all").alias("p")).select("chunk_id", "length", "p.*").groupBy("chunk_id", "length", "term").agg(F.sum("w").alias("tf"))
     posts = staged(posts, "index-posts")
     n, total = posts.select("chunk_id", "length").distinct().agg(F.count(F.lit(1)), F.sum("length")).first()
@@ -168,10 +172,13 @@ def code_search(index: InvertedIndex, queries: DataFrame, allowed: DataFrame | N
     """(query_id, chunk_id, hits): chunks with a code that holds one of the query's codes (query_id, codes) of three or more characters.
 
     Of a code's trigrams the one that fewest codes have is looked up, and what it finds is compared whole; a trigram that most
-    codes have is used only where no rarer one is. hits counts the query's codes that a chunk matches.
+    codes have is used only where no rarer one is. hits counts the query's codes that a chunk matches;
+    it is counted once for all queries with the same codes, so that rows of pairs are written as they are made and not shuffled.
     """
     spark = queries.sparkSession
-    asked = queries.select("query_id", F.explode(F.array_distinct("codes")).alias("wanted")).where(F.length("wanted") >= 3)
+    each_asked = queries.select("query_id", F.explode(F.array_distinct("codes")).alias("wanted")).where(F.length("wanted") >= 3)
+    sets = staged(each_asked.groupBy("query_id").agg(F.sort_array(F.collect_list("wanted")).alias("wants")), "code-queries")
+    asked = sets.select("wants").distinct().select("wants", F.explode("wants").alias("wanted"))
     distinct = asked.select("wanted").distinct()
     cut = distinct.select("wanted", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("wanted") - 2), lambda i: F.substring("wanted", i, F.lit(3))))).alias("gram")).withColumn("bucket", bucket_of("gram"))
     cut = staged(cut, "code-grams")
@@ -183,7 +190,8 @@ def code_search(index: InvertedIndex, queries: DataFrame, allowed: DataFrame | N
     held = index.table(spark, "code_chunks", CODE_CHUNKS, _buckets(met)).select("code", F.explode("chunk_ids").alias("chunk_id"))
     held = held if allowed is None else held.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
     each = met.select("wanted", "code").join(held, "code").select("wanted", "chunk_id").distinct()
-    return asked.join(each, "wanted").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("hits"))
+    hits = asked.join(each, "wanted").groupBy("wants", "chunk_id").agg(F.count(F.lit(1)).alias("hits"))
+    return hits.join(F.broadcast(sets) if sets.count() <= BROADCAST_QUERIES else sets, "wants").select("query_id", "chunk_id", "hits")
 
 
 def sparse_branch(index: InvertedIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:

@@ -54,8 +54,8 @@ def coded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def code_search(spark: SparkSession, d: str) -> DataFrame:
-    """Pages that have the codes of every fiftieth page."""
-    return N.code_search(N.build(N.search_fields(markup(spark, d)), new_folder(spark, "codes")), coded(spark, d))
+    """Pages that have the codes of every fiftieth page, by an index of codes alone."""
+    return N.code_search(N.build(N.search_fields(markup(spark, d)), new_folder(spark, "codes"), {}), coded(spark, d))
 
 
 def lemma_table(spark: SparkSession, d: str) -> DataFrame:

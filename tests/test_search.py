@@ -307,3 +307,16 @@ def test_a_small_allowed_set_is_the_pool_of_ngrams(spark, retrieved):
     chunks, queries, _ = retrieved
     got = R.retrieve(chunks, queries.limit(1), Config(dense_top_k=1, sparse_top_k=1, ngram_pool=50), predicate=F.col("chunk_id") < 30)
     assert got["candidates"].where("chunk_id >= 30").count() == 0
+
+
+def test_queries_of_the_same_codes_are_counted_once(spark):
+    """Pairs of like queries and chunks are made after the last exchange; a query that comes in several rows keeps all its codes."""
+    chunks = spark.createDataFrame([(k, f"utf-8 x{k % 3}") for k in range(90)], "chunk_id long, text string")
+    index = N.build(N.search_fields(chunks), new_folder(spark, "same"), {})
+    assert index.chunks == 90
+    queries = spark.createDataFrame([(q, ["utf-8"]) for q in range(40)] + [(0, ["tf-8", "x1"]), (77, ["none-1"])], "query_id long, codes array<string>")
+    out = N.code_search(index, queries)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan.split("Aggregate")[0] and not any("Aggregate [query_id" in line for line in plan.split("\n"))
+    got = {(r["query_id"], r["chunk_id"]): r["hits"] for r in out.collect()}
+    assert got == {(q, c): 2 if q == 0 else 1 for q in range(40) for c in range(90)}

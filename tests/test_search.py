@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -320,3 +321,28 @@ def test_queries_of_the_same_codes_are_counted_once(spark):
     assert "Join" in plan.split("Aggregate")[0] and not any("Aggregate [query_id" in line for line in plan.split("\n"))
     got = {(r["query_id"], r["chunk_id"]): r["hits"] for r in out.collect()}
     assert got == {(q, c): 2 if q == 0 else 1 for q in range(40) for c in range(90)}
+
+
+def test_scores_are_held_tile_by_tile(spark):
+    """A task's memory does not grow with its vectors times the queries; ties are broken by ids over all tiles and batches."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (9_000, 4)).astype(float)  # many equal scores
+    x[3] = 0
+    names, q = np.arange(3_000), R._units(x[:3_000])
+    ids = rng.permutation(9_000)
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(list(x[a:b]))], names=["chunk_id", "embedding"])
+    batches = [batch(0, 7_000), batch(7_000, 9_000)]
+    tracemalloc.start()
+    got = [r for b in R._nearest({4: (names, q)}, 5, batches) for r in zip(*(b.column(c).to_pylist() for c in ("query_id", "chunk_id", "score")), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 7_000 * 3_000 * 8  # one matrix of all scores of a batch
+    assert len(got) == 3_000 * 5
+    found = {}
+    for query, chunk, _ in got:
+        found.setdefault(query, set()).add(chunk)
+    for query in (0, 3, 1_023, 1_024, 2_999):
+        near = np.round(np.round(R._units(x) @ q[query], 12), 9)
+        assert found[query] == set(ids[np.lexsort((ids, -near))[:5]].tolist())

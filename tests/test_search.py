@@ -346,3 +346,52 @@ def test_scores_are_held_tile_by_tile(spark):
     for query in (0, 3, 1_023, 1_024, 2_999):
         near = np.round(np.round(R._units(x) @ q[query], 12), 9)
         assert found[query] == set(ids[np.lexsort((ids, -near))[:5]].tolist())
+
+
+def plain_top(texts, queries, k):
+    """The k best (chunk, score) of each query by words alone."""
+    lists = {c: WORD.findall((t or "").lower()) for c, t in texts.items()}
+    n, average = len(texts), sum(map(len, lists.values())) / len(texts)
+    held = Counter(w for own in lists.values() for w in set(own))
+    out = {}
+    for q, text in queries.items():
+        score = {}
+        for term in {w for w in WORD.findall((text or "").lower()) if len(w) >= 2}:
+            idf = math.log((n - held[term] + 0.5) / (held[term] + 0.5))
+            for c, own in lists.items():
+                if tf := own.count(term):
+                    score[c] = score.get(c, 0) + (1e-6 if idf <= 0 else idf) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / average))
+        out |= {(q, c): score[c] for c in sorted(score, key=lambda c: (-round(score[c], 9), c))[:k]}
+    return out
+
+
+@pytest.mark.parametrize("tile, block", [((2_048, 1_024), 10_000), ((2, 3), 10_000), ((2_048, 1_024), 3)])
+def test_words_are_scored_where_chunks_lie(spark, monkeypatch, tile, block):
+    """No pair of a query and a chunk is joined or shuffled before a task has kept its k best; results are those of plain scores, ties by ids."""
+    monkeypatch.setattr(R, "TILE", tile)
+    monkeypatch.setattr(R, "QUERY_BLOCK", block)
+    texts = {c: t for c, t in enumerate(TEXTS * 3)}
+    asked = {0: "fox", 1: "the red-brown dog", 5: None, 6: "", 7: "a", 8: "nothing here", 9: "the", 11: "ab-12 the fox dog end"}
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id long, text string")
+    queries = spark.createDataFrame(list(asked.items()), "query_id int, text string")
+    out = R.bm25_top_k(chunks, queries, 4)
+    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in out.collect()}
+    want = plain_top(texts, asked, 4)
+    assert out.schema["query_id"].dataType.simpleString() == "int"
+    assert got.keys() == want.keys() and all(abs(got[x] - s) < 1e-9 for x, s in want.items())
+    assert R.bm25_top_k(chunks.limit(0), queries, 4).count() == 0 == R.bm25_top_k(chunks, queries.limit(0), 4).count()
+
+
+def test_words_of_all_queries_need_no_join(spark):
+    plan = D.found(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "MapInArrow" in plan
+
+
+def test_passages_are_looked_for_by_a_word(spark):
+    """Texts meet passages by an equality join; one without a word between spaces, odd spaces and repeated words lose no holder."""
+    texts = ["one two  three two one", "xone two  threey", "two", "", None, "ab", "zabz q", "one two three", "a b c a b c", " \u00e9 \u00e9\u00e9 "]
+    items = ["one two  three", "two", "ab", " ", "b c a", "", None, "  ", "\u00e9 \u00e9\u00e9 ", "two two"]
+    held = D.holders(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string"), spark.createDataFrame(list(enumerate(items)), "query_id long, text string"))
+    want = Counter((q, c) for q, i in enumerate(items) for c, t in enumerate(texts) if i and t and i in t)
+    assert Counter(map(tuple, held.select("query_id", "chunk_id").collect())) == want
+    assert "anchor" in held._jdf.queryExecution().optimizedPlan().toString()

@@ -5,18 +5,24 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators.retrieval import K1, B, top_k
+from lectern.operators.retrieval import K1, QUERY_BLOCK, Asked, B, best_by_terms, top_k
+from lectern.session import ship
 from lectern.staging import current, new_folder, publish, staged
 
 #: Folders of terms; postings of a block, about; layers of a term's postings by how much they can add to a score.
 BUCKETS, BLOCK, LAYERS = 64, 512, 8
-#: Queries that are broadcast at most.
-BROADCAST_QUERIES = 200_000
+#: Queries, or frequent terms, that are broadcast at most.
+BROADCAST_ROWS = 200_000
+#: Different terms of all queries, up to which a search looks for blocks that it can leave out.
+FLOOR_TERMS = 256
 #: Scores this close count as equal.
 SLACK = 1e-9
 #: The weights of a chunk's words, of their further forms, and of its codes.
@@ -63,9 +69,24 @@ GRAM_SIZES = "gram string, n long"
 CODE_CHUNKS = "code string, chunk_ids array<bigint>"
 
 
-def weighed(column: str, weight: float) -> Column:
-    """The terms of a column with its weight; none where it is null."""
-    return F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+def _posts(weights: np.ndarray, batches):
+    """Batches (chunk_id, length, term, tf) of batches (chunk_id, terms, sizes): a row for each distinct term of a chunk with the sum of its weights, and one without term.
+
+    sizes says how many of a chunk's terms come from each weight's column.
+    """
+    for batch in batches:
+        lengths = np.asarray(batch.column("terms").value_lengths()).astype(np.int64)
+        words = batch.column("terms").flatten().dictionary_encode()
+        known, codes = max(1, len(words.dictionary)), words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = batch.column("sizes").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        each = np.repeat(np.tile(weights, len(lengths)), sizes)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        pairs, at = np.unique(row * known + codes, return_inverse=True)
+        tf = np.bincount(at, each, minlength=len(pairs)).astype(float)
+        ids, of = batch.column("chunk_id"), pa.array(lengths.astype(np.int32))
+        rows = pa.array(pairs // known)
+        yield pa.RecordBatch.from_arrays([ids.take(rows), of.take(rows), words.dictionary.take(pa.array(pairs % known)), pa.array(tf)], names=["chunk_id", "length", "term", "tf"])
+        yield pa.RecordBatch.from_arrays([ids, of, pa.nulls(len(ids), pa.string()), pa.nulls(len(ids), pa.float64())], names=["chunk_id", "length", "term", "tf"])
 
 
 def _written(df: DataFrame, path: str, *order: str) -> None:
@@ -78,25 +99,31 @@ def build(fields: DataFrame, root: str, weights: dict[str, float] | None = None)
     A term's frequency in a chunk is the weighted sum over the columns, a chunk's length the number of terms of all of them. What a posting adds to a
     BM25 score is known here, so it is stored. Postings of a term lie in blocks of about BLOCK, those of like parts together, each with
     its largest part; a term that most chunks hold is as many blocks as it needs, none of which is one task's alone.
-    Without weights the index has codes only.
+    chunk_id is a key; a chunk's terms are counted where it lies. Terms of up to BLOCK chunks are one block. Without weights the index has codes only.
     """
     spark, weights = fields.sparkSession, WEIGHTS if weights is None else weights
-    none = F.array().cast("array<struct<term: string, w: double>>")
-    rows = fields.select("chunk_id", F.concat(none, *[weighed(c, w) for c, w in weights.items()]).alias("all")).select("chunk_id", F.size("all").alias("length"), "all")
-    posts = rows.select("chunk_id", "length", F.explode_outer("all").alias("p")).select("chunk_id", "length", "p.*").groupBy("chunk_id", "length", "term").agg(F.sum("w").alias("tf"))
-    posts = staged(posts, "index-posts")
-    n, total = posts.select("chunk_id", "length").distinct().agg(F.count(F.lit(1)), F.sum("length")).first()
+    ship(spark)
+    lists = [F.coalesce(F.col(c), F.array().cast("array<string>")) for c in weights]
+    rows = fields.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.concat(F.array().cast("array<string>"), *lists).alias("terms"), F.array(*[F.size(c) for c in lists]).cast("array<int>").alias("sizes"))
+    values = np.array(list(weights.values()), float)
+
+    def count(batches):
+        yield from _posts(values, batches)
+
+    posts = staged(rows.mapInArrow(count, "chunk_id long, length int, term string, tf double"), "index-posts")
+    n, total = posts.where("term is null").agg(F.count(F.lit(1)), F.sum("length")).first()
     average = (total or 0) / n if n else 0.0
     posts = posts.where("term is not null")
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(average)))
+    often = staged(posts.groupBy("term").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > BLOCK), "index-often")
+    scored = posts.join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "term", "left").select("term", "chunk_id", "many", share.alias("share"))
+    layer = F.when(F.col("many").isNotNull(), F.least(F.lit(LAYERS - 1), F.floor((K1 + 1 - F.col("share")) / (K1 + 1) * LAYERS)))
+    salt = F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("many") / BLOCK))
+    grouped = scored.groupBy("term", "many", layer.alias("layer"), salt.alias("salt"))
+    shares = grouped.agg(F.coalesce("many", F.count(F.lit(1))).alias("df"), F.max("share").alias("best"), F.sort_array(F.collect_list(F.struct("chunk_id", "share"))).alias("shares"))  # about BLOCK postings
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(average)))
-    scored = posts.join(df, "term").select("term", "chunk_id", "df", (idf * share).alias("part"), share.alias("share"))
-    layer = F.least(F.lit(LAYERS - 1), F.floor((K1 + 1 - F.col("share")) / (K1 + 1) * LAYERS))
-    salt = F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("df") / BLOCK))
-    grouped = scored.groupBy("term", "df", layer.alias("layer"), salt.alias("salt"))
-    blocks = grouped.agg(F.max("part").alias("bound"), F.sort_array(F.collect_list(F.struct("chunk_id", "part"))).alias("posts"))  # about BLOCK postings
+    blocks = shares.withColumn("idf", idf).select("term", "df", (F.col("idf") * F.col("best")).alias("bound"), F.transform("shares", lambda p: F.struct(p["chunk_id"].alias("chunk_id"), (F.col("idf") * p["share"]).alias("part"))).alias("posts"))
     build_id = new_folder(spark, "index").rsplit("-", 1)[1]
     path = f"{root}/{build_id}"
     _written(blocks.withColumn("bucket", bucket_of()).select("term", "df", "bound", "posts", "bucket"), f"{path}/blocks", "term", "bound")
@@ -139,22 +166,49 @@ def search(index: InvertedIndex, queries: DataFrame, k: int, allowed: DataFrame
     """(query_id, chunk_id, score, rank): the k best chunks of each query (query_id, terms), as scoring all postings gives them.
 
     The blocks with the largest parts give each query k partial scores, whose least no result may fall below. A block is read
-    if its bound and what all other terms can add reach that: chunks in the others can't be among the k best, so scores stay exact (a query of many
-    like terms needs nearly all blocks, one of a few terms a part). Only folders of the queries' terms are read. `allowed` (chunk_id) restricts the chunks before anything is counted.
+    if its bound and what all other terms can add reach that for some query: chunks in the others can't be among the k best, so scores stay exact. Queries of
+    more than FLOOR_TERMS different terms need nearly all of their blocks, so these are read at once. Postings meet by chunk, once for all queries (QUERY_BLOCK of
+    them at a time), and a task keeps its k best of each query. Only folders of the queries' terms are read. `allowed` (chunk_id) restricts the chunks before anything is counted.
     """
+    parts = max(1, -(-queries.count() // QUERY_BLOCK))
+    if parts == 1:
+        return _searched(index, queries, k, allowed)
+    found = [staged(_searched(index, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == b), k, allowed), "search-block") for b in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _searched(index: InvertedIndex, queries: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
     spark = queries.sparkSession
     asked = staged(survey(index, queries), "search-terms")
+    own = Asked(asked)
+    ship(spark)
+    sides = spark.sparkContext.broadcast(own)
     blocks = index.table(spark, "blocks", BLOCKS, _buckets(asked.withColumn("bucket", bucket_of()))).select("term", "bound", "posts")
+    places = spark.createDataFrame([(t, i) for i, t in enumerate(own.terms)], "term string, place int")
+
+    def score(batches):
+        def posts():
+            for batch in batches:
+                items = batch.column("items")
+                flat = items.flatten()
+                yield batch.column("chunk_id").to_numpy(), np.asarray(items.value_lengths()).astype(np.int64), flat.field("place").to_numpy(), flat.field("part").to_numpy()
+
+        yield from best_by_terms(sides.value, k, posts())
 
-    def scores(chosen: DataFrame) -> DataFrame:
-        posts = chosen.select("query_id", F.explode("posts").alias("p")).select("query_id", "p.*")
+    def best(chosen: DataFrame) -> DataFrame:
+        posts = chosen.join(F.broadcast(places), "term").select("place", F.explode("posts").alias("p")).select("place", "p.*")
         posts = posts if allowed is None else posts.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-        return posts.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+        rows = posts.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("place", "part"))).alias("items"))
+        return top_k(rows.mapInArrow(score, "query_id long, chunk_id long, score double"), k).withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
 
-    heads = blocks.join(asked, "term").where(F.col("bound") >= F.col("most") * 0.5)
-    least = top_k(scores(heads), k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select("query_id", "least")
-    limits = staged(asked.join(least, "query_id", "left").withColumn("need", F.coalesce(F.col("least") - SLACK, F.lit(-math.inf)) - F.col("total") + F.col("most")), "search-limits")
-    return top_k(scores(blocks.join(limits, "term").where(F.col("bound") >= F.col("need"))), k)
+    if len(own.terms) > FLOOR_TERMS:
+        return best(blocks)
+    terms = asked.groupBy("term").agg(F.first("most").alias("most"))
+    heads = blocks.join(terms, "term").where(F.col("bound") >= F.col("most") * 0.5).select("term", "posts")
+    least = best(heads).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select("query_id", "least")
+    need = F.coalesce(F.col("least") - SLACK, F.lit(-math.inf)) - F.col("total") + F.col("most")
+    limits = staged(asked.join(least, "query_id", "left").groupBy("term").agg(F.min(need).alias("need")), "search-limits")
+    return best(blocks.join(limits, "term").where(F.col("bound") >= F.col("need")).select("term", "posts"))
 
 
 def blocks_read(index: InvertedIndex, queries: DataFrame, k: int) -> DataFrame:
@@ -191,7 +245,7 @@ def code_search(index: InvertedIndex, queries: DataFrame, allowed: DataFrame | N
     held = held if allowed is None else held.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
     each = met.select("wanted", "code").join(held, "code").select("wanted", "chunk_id").distinct()
     hits = asked.join(each, "wanted").groupBy("wants", "chunk_id").agg(F.count(F.lit(1)).alias("hits"))
-    return hits.join(F.broadcast(sets) if sets.count() <= BROADCAST_QUERIES else sets, "wants").select("query_id", "chunk_id", "hits")
+    return hits.join(F.broadcast(sets) if sets.count() <= BROADCAST_ROWS else sets, "wants").select("query_id", "chunk_id", "hits")
 
 
 def sparse_branch(index: InvertedIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:

@@ -395,3 +395,30 @@ def test_passages_are_looked_for_by_a_word(spark):
     want = Counter((q, c) for q, i in enumerate(items) for c, t in enumerate(texts) if i and t and i in t)
     assert Counter(map(tuple, held.select("query_id", "chunk_id").collect())) == want
     assert "anchor" in held._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("floor, block", [(0, 10_000), (256, 10_000), (0, 2)])
+def test_postings_meet_by_chunk_once_for_all_queries(spark, words, monkeypatch, floor, block):
+    """Pairs of queries and chunks are not joined or shuffled; many terms, floors and blocks of queries give the scores of all postings."""
+    monkeypatch.setattr(N, "FLOOR_TERMS", floor)
+    monkeypatch.setattr(N, "QUERY_BLOCK", block)
+    index, _ = words
+    asked = {0: "fox", 3: "the red-brown dog", 4: "ab-12 xy99z", 6: "", 7: "the end"}
+    queries = spark.createDataFrame([(q, [w for w, _ in plain_terms(t)]) for q, t in asked.items()], "query_id int, terms array<string>")
+    out = N.search(index, queries, 3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [query_id" not in plan
+    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in out.collect()}
+    want = {}
+    for q, t in asked.items():
+        scores = plain_bm25(TEXTS, [w for w, _ in plain_terms(t)])
+        want |= {(q, c): scores[c] for c in sorted(scores, key=lambda c: (-round(scores[c], 9), c))[:3]}
+    assert got.keys() == want.keys() and all(abs(got[x] - s) < 1e-9 for x, s in want.items())
+
+
+def test_terms_are_counted_where_a_chunk_lies(spark):
+    """A chunk's postings are rows of its own batch; weights add up, a chunk without terms is one row without term."""
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 5, 6]), pa.array([["b", "a", "b", "a"], [], ["c"]]), pa.array([[2, 1, 1], [0, 0, 0], [0, 0, 1]], pa.list_(pa.int32()))], names=["chunk_id", "terms", "sizes"])
+    rows = [tuple(r.values()) for b in N._posts(np.array([1.0, 0.4, 2.5]), [batch, batch.slice(1)]) for r in b.to_pylist()]
+    first = {(4, 4, "a", 3.5), (4, 4, "b", 1.4), (6, 1, "c", 2.5), (4, 4, None, None), (5, 0, None, None), (6, 1, None, None)}
+    assert set(rows) == first and len(rows) == len(first) + 3

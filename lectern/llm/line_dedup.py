@@ -15,6 +15,8 @@ CHARS_PER_EDIT, MAX_EDITS = 20, 5
 WIDEST, BROADCAST_KEYS = 64, 2_000_000
 #: Lines of a segment beyond which they are compared as they are joined.
 CROWD = 50
+#: Characters of two lines that are compared before whole lines are.
+BEGINNING = 64
 #: Frequent letters, whose counts are compared before whole lines are; in other scripts they tell nothing and nothing is lost.
 LETTERS = " etaoinshrоаиент"
 
@@ -198,7 +200,9 @@ def _few_edits(long: DataFrame, max_edits: int) -> DataFrame:
         return (a["place"] > b["place"]) & (F.abs(a["n"] - b["n"]) <= least) & (sum(apart[1:], apart[0]) <= 2 * least)
 
     def close() -> Column:
-        return F.levenshtein("ml", "tl", max_edits).between(F.lit(0), allowed(F.length("ml"), F.length("tl")))
+        # lines k edits apart begin at most 2 k edits apart, so most that are not near are told by their beginnings
+        begins = F.levenshtein(F.substring("ml", 1, BEGINNING), F.substring("tl", 1, BEGINNING), 2 * max_edits) >= 0
+        return begins & F.levenshtein("ml", "tl", max_edits).between(F.lit(0), allowed(F.length("ml"), F.length("tl")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Places of the lines of pairs (own, other) that are near the other one."""
@@ -212,19 +216,23 @@ def _few_edits(long: DataFrame, max_edits: int) -> DataFrame:
 
     first = posts.join(firsts, "key").select("own", F.when(F.col("whole"), F.col("any")).otherwise(F.col("entire")).alias("other")).where(likely(F.col("own"), F.col("other")))
     found = verified(first)
-    open_ = posts.join(found, F.col("own.place") == F.col("hit"), "left_anti")
-    others = posts.select("key", F.col("own").alias("other"), F.col("whole").alias("entire"))
     crowded = staged(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key"), "line-crowds")
-    few = open_.join(bounded(crowded), "key", "left_anti").join(others, "key").where("whole or entire").where(likely(F.col("own"), F.col("other")))
+    among = bounded(crowded)
+    unmet = lambda rows: rows.join(found, F.col("own.place") == F.col("hit"), "left_anti")
+    others = lambda rows: rows.select("key", F.col("own").alias("other"), F.col("whole").alias("entire"))
+    sparse = posts.join(among, "key", "left_anti")
+    few = unmet(sparse).join(others(sparse), "key").where("whole or entire").where(likely(F.col("own"), F.col("other")))
     # In a crowd only lines with a likely partner go on, told by semi-joins, which emit a line once. Then the join itself
     # compares the texts, so that what it emits doesn't grow with the square of the crowd either.
-    among, meets = bounded(crowded), (F.col("key") == F.col("okey")) & (F.col("whole") | F.col("entire")) & likely(F.col("own"), F.col("other"))
-    held = others.join(among, "key").withColumnRenamed("key", "okey")
-    asking = staged(open_.join(among, "key").join(held, meets, "left_semi"), "line-asking")
+    # What lies in crowded segments is taken out once, for all steps.
+    crowd = staged(posts.join(among, "key", "left_semi"), "line-crowd")
+    meets = (F.col("key") == F.col("okey")) & (F.col("whole") | F.col("entire")) & likely(F.col("own"), F.col("other"))
+    held = others(crowd).withColumnRenamed("key", "okey")
+    asking = staged(unmet(crowd).join(held, meets, "left_semi"), "line-asking")
     asked = staged(held.join(asking, meets, "left_semi"), "line-asked")
     # a pair is compared at the least of the crowded segments under which it meets, not at each
     at = F.col("own.h").alias("th"), F.col("own.place").alias("tp")
-    keys = posts.join(among, "key").groupBy(*at).agg(F.collect_set("key").alias("any"), F.collect_set(F.when(F.col("whole"), F.col("key"))).alias("whole"))
+    keys = crowd.groupBy(*at).agg(F.collect_set("key").alias("any"), F.collect_set(F.when(F.col("whole"), F.col("key"))).alias("whole"))
     text = near.select(F.col("h").alias("th"), F.col("place").alias("tp"), F.col("line").alias("text")).join(keys, ["th", "tp"])
     text = staged(text.select("th", "tp", "text", F.struct("any", "whole").alias("keys")), "line-texts")
     mine = asking.join(text, (F.col("own.h") == F.col("th")) & (F.col("own.place") == F.col("tp"))).select("key", "own", "whole", F.col("text").alias("ml"), F.col("keys").alias("mk"))

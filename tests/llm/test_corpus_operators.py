@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import time
 import zlib
 
@@ -124,6 +125,26 @@ def test_line_dedup_of_several_edits_against_brute_force(spark, monkeypatch, bro
     assert got == want and edits >= {1, 2, 3, 4, 5}
 
 
+def test_line_dedup_takes_crowded_lines_out_once(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", 3)
+    rng, letters, write, plans = random.Random(6), "abcdefghijklmnopqrstuvwxyz", line_dedup.staged, {}
+
+    def seen(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "staged", seen)
+    shared = "".join(rng.choice(letters) for _ in range(60))
+    texts = [shared + "".join(rng.choice(letters) for _ in range(60)) for _ in range(12)]
+    texts += [texts[3][5:], "#####" + texts[4], texts[5][:-5], texts[6][6:]]  # five edits at one end, and six
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert {i for i, n in got.items() if n} == {12, 13, 14}
+    # lines of crowded segments are joined with their keys in one step, whatever later steps read
+    steps = ("line-crowd", "line-asking", "line-asked", "line-texts")
+    joined = [name for name in steps for plan in plans.get(name, []) if re.search(r"Join (Inner|LeftSemi), \(key#\d+L? = key#\d+L?\)", plan)]
+    assert joined == ["line-crowd"]
+
+
 def test_line_dedup_finds_lines_with_one_clean_segment(spark):
     rng, letters, texts = random.Random(4), "abcdefghijklmnopqrstuvwxyz", []
     for n in (100, 101, 120, 149, 151, 224, 300, 500):

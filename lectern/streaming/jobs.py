@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +17,8 @@ from lectern.session import ship
 STATE = "state string, refused long, attempts int, lease_until long"
 RESULT = f"job_id long, {STATE}"
 HELD = ("LEASED", "RUNNING")
+#: Jobs are held by the hash of their ids, in so many buckets: a call of Python for each job takes longer than its events do.
+BUCKETS = 1024
 
 
 def reclaimed(job: tuple, now: int, most: int) -> tuple:
@@ -39,26 +42,29 @@ def job_stream(events: DataFrame, seconds: int, most: int, late: str = "0 second
 
     A job's events of a batch are taken in the order of at and event_id. Event-time timers end leases: once the watermark (the latest event less
     `late`) has passed a lease, the job goes back to the queue or fails, whether or not it has another event. Events behind the watermark are dropped.
+    A bucket of jobs is one state with one timer, that of its earliest lease; only jobs that an event or a timer has touched are sent on.
     """
     ship(events.sparkSession)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        job = tuple(state.get) if state.exists else ("QUEUED", 0, 0, 0)
-        mark = state.getCurrentWatermarkMs()
-        if state.hasTimedOut:
-            job = reclaimed(job, mark, most)
-        else:
+        jobs = {job: tuple(rest) for job, *rest in json.loads(state.get[0])} if state.exists else {}
+        mark, changed = state.getCurrentWatermarkMs(), set()
+        if not state.hasTimedOut:
             rows = pd.concat(list(parts)).sort_values(["ms", "event_id"])
-            for at, target in zip(rows["ms"], rows["state"], strict=True):
-                job = moved(job, int(at), target, seconds, most)
-            job = reclaimed(job, mark, most)
-        state.update(job)
-        if job[3]:
-            state.setTimeoutTimestamp(max(job[3], mark + 1))
-        yield pd.DataFrame([(key[0], *job)], columns=["job_id", "state", "refused", "attempts", "lease_until"])
-
-    timed = events.where("job_id is not null").withWatermark("at", late).select("job_id", "event_id", "at", F.unix_millis("at").alias("ms"), "state")
-    return timed.groupBy("job_id").applyInPandasWithState(step, RESULT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+            for job, at, target in zip(rows["job_id"].tolist(), rows["ms"].tolist(), rows["state"].tolist(), strict=True):
+                jobs[job] = moved(jobs.get(job, ("QUEUED", 0, 0, 0)), at, target, seconds, most)
+                changed.add(job)
+        ended = {job: new for job, held in jobs.items() if (new := reclaimed(held, mark, most)) != held}
+        jobs |= ended
+        changed |= ended.keys()
+        state.update((json.dumps([(job, *rest) for job, rest in jobs.items()]),))
+        if leases := [lease for *_, lease in jobs.values() if lease]:
+            state.setTimeoutTimestamp(max(min(leases), mark + 1))
+        if changed:
+            yield pd.DataFrame([(job, *jobs[job]) for job in changed], columns=["job_id", "state", "refused", "attempts", "lease_until"])
+
+    timed = events.where("job_id is not null").withWatermark("at", late).select(F.col("job_id").cast("long").alias("job_id"), "event_id", "at", F.unix_millis("at").alias("ms"), "state")
+    return timed.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(BUCKETS))).groupBy("bucket").applyInPandasWithState(step, RESULT, "jobs string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def job_states(events: DataFrame, now: Column | int, seconds: int, most: int) -> DataFrame:

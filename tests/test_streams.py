@@ -74,6 +74,23 @@ def test_a_lease_ends_without_another_event_of_its_job(spark):
     assert rows(table.read(spark))[2][0] == "LEASED"
 
 
+def test_jobs_share_states_and_keep_their_own_timers(spark, monkeypatch):
+    root, kept = new_folder(spark, "shared"), []
+    monkeypatch.setattr(J, "BUCKETS", 2)
+    table = UpsertTable(f"{root}/table", ("job_id",), J.RESULT, 2)
+    first = [(j, j, DAY0 + timedelta(minutes=j), "LEASED") for j in range(40)]
+    for part in (first, [(50, 50, DAY0 + timedelta(minutes=30, seconds=30), "LEASED"), (3, 51, DAY0 + timedelta(minutes=39, seconds=30), "LEASED")]):
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(f"{root}/fed")
+        stream = J.job_stream(spark.readStream.schema(EVENTS).parquet(f"{root}/fed"), 60, 3).writeStream.foreachBatch(table.write)
+        query = stream.outputMode("update").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+        query.awaitTermination()
+        kept += [s.numRowsTotal for p in query.recentProgress for s in p.stateOperators]
+    assert max(kept) == 2  # a state for each bucket, not for each job
+    got = rows(table.read(spark))
+    # leases of a minute that ended before the last event of the first part, the other ones, and event 50, which came behind the watermark
+    assert got == {j: ("QUEUED", 0, 1, 0) for j in range(38)} | {j: got[j] for j in (38, 39)} | {3: got[3]} and {j: got[j][0] for j in (3, 39)} == {3: "LEASED", 39: "LEASED"}
+
+
 def test_a_batch_that_comes_twice_changes_nothing(spark):
     table = UpsertTable(new_folder(spark, "twice"), ("k",), "k long, v string", 3)
     frame = lambda x: spark.createDataFrame(x, "k long, v string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import bounded, discard, staged
@@ -11,7 +11,7 @@ from lectern.llm.common import bounded, discard, staged
 PARTS = 3
 #: Edits that two lines may be apart: one for each so many characters of the shorter line, one at least and this many at most.
 CHARS_PER_EDIT, MAX_EDITS = 20, 5
-#: Widest segment of a line that is looked up, and shared segments (one long each) that are broadcast at most.
+#: Widest segment of a line that is looked up, and lines with a shared segment (one long each) that are broadcast at most.
 WIDEST, BROADCAST_KEYS = 64, 2_000_000
 #: Lines of a segment beyond which they are compared as they are joined.
 CROWD = 50
@@ -160,7 +160,7 @@ def _segment_keys(lines: DataFrame, max_edits: int) -> DataFrame:
 
 def _counts(line: Column) -> list[Column]:
     """How often each of LETTERS occurs in a line, four to a long."""
-    n = [F.least(F.length(line) - F.length(F.replace(line, F.lit(x), F.lit(""))), F.lit(65535)).cast("long") for x in LETTERS]
+    n = [F.least((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit("")))) / len(x.encode()), F.lit(65535)).cast("long") for x in LETTERS]
     return [F.shiftleft(n[k], 48).bitwiseOR(F.shiftleft(n[k + 1], 32)).bitwiseOR(F.shiftleft(n[k + 2], 16)).bitwiseOR(n[k + 3]) for k in range(0, len(n), 4)]
 
 
@@ -173,18 +173,18 @@ def _few_edits(long: DataFrame, max_edits: int) -> DataFrame:
     hit are compared with all earlier lines of their segments.
     """
     keys = _segment_keys(long.select(F.xxhash64("line").alias("h"), "line"), max_edits)
-    shared = keys.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.max("whole").alias("whole"))
-    shared = staged(shared.where("whole and least <> most").select("key"), "line-segments")
-    shared = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    met = staged(keys.join(shared, "key", "left_semi").distinct(), "line-met")
+    # keys are made and shuffled once: those that meet are told where they arrive
+    of = Window.partitionBy("key")
+    keys = keys.withColumns({"least": F.min("h").over(of), "most": F.max("h").over(of), "entire": F.max("whole").over(of)})
+    met = staged(keys.where("entire and least <> most").select("h", "key", "whole").distinct(), "line-met")
     mine = met.select(F.col("h").alias("mh")).distinct()
     mine = F.broadcast(mine) if mine.count() <= BROADCAST_KEYS else mine
     place, n = F.struct("doc_id", "line_no"), F.length("line")
     near = long.withColumn("h", F.xxhash64("line")).join(mine, F.col("h") == F.col("mh"), "left_semi").groupBy("h", "line").agg(F.min(place).alias("place"))
-    near = staged(near, "line-near")
-    # lines are compared by their letters first; whole texts are joined only to what is left
+    # lines are compared by their letters first, which are counted once; whole texts are joined only to what is left
     letters = [c.alias(f"c{k}") for k, c in enumerate(_counts(F.col("line")))]
-    brief = near.select("h", "place", F.struct("place", n.alias("n"), *letters, "h").alias("own"))
+    near = staged(near.select("h", "line", "place", n.alias("n"), *letters), "line-near")
+    brief = near.select("h", F.struct("place", "n", *[f"c{k}" for k in range(len(letters))], "h").alias("own"))
     posts = staged(met.join(brief, "h").select("own", "key", "whole"), "line-posts")
     discard(met)
     firsts = posts.groupBy("key").agg(F.min("own").alias("any"), F.min(F.when(F.col("whole"), F.col("own"))).alias("entire"))
@@ -202,7 +202,7 @@ def _few_edits(long: DataFrame, max_edits: int) -> DataFrame:
     def close() -> Column:
         # lines k edits apart begin at most 2 k edits apart, so most that are not near are told by their beginnings
         begins = F.levenshtein(F.substring("ml", 1, BEGINNING), F.substring("tl", 1, BEGINNING), 2 * max_edits) >= 0
-        return begins & F.levenshtein("ml", "tl", max_edits).between(F.lit(0), allowed(F.length("ml"), F.length("tl")))
+        return begins & (F.call_function("levenshtein", F.col("ml"), F.col("tl"), allowed(F.length("ml"), F.length("tl"))) >= 0)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Places of the lines of pairs (own, other) that are near the other one."""

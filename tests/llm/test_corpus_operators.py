@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import chat, common, decontaminate, embedding_dedup, langid, line_dedup, ngram_join, packing, quality, substring_dedup, toxicity
 
@@ -145,6 +146,16 @@ def test_line_dedup_takes_crowded_lines_out_once(spark, monkeypatch):
     assert joined == ["line-crowd"]
 
 
+def test_line_dedup_makes_segment_keys_once(spark, monkeypatch):
+    made, keys, letters, rng = spark.sparkContext.accumulator(0), line_dedup._segment_keys, "abcdefghijklmnopqrstuvwxyz", random.Random(4)
+    counted = F.udf(lambda h: made.add(1) or h, "long")
+    monkeypatch.setattr(line_dedup, "_segment_keys", lambda *a: keys(*a).withColumn("h", counted("h")))
+    texts = ["".join(rng.choice(letters) for _ in range(90)) for _ in range(10)]
+    texts += [texts[2][:40] + "##" + texts[2][40:]]
+    assert [r["n_removed"] for r in line_dedup.dedup_lines(docs(spark, texts)).orderBy("doc_id").collect()] == [0] * 10 + [1]
+    assert made.value == keys(docs(spark, texts).select(F.xxhash64("text").alias("h"), F.col("text").alias("line")), line_dedup.MAX_EDITS).count()
+
+
 def test_line_dedup_finds_lines_with_one_clean_segment(spark):
     rng, letters, texts = random.Random(4), "abcdefghijklmnopqrstuvwxyz", []
     for n in (100, 101, 120, 149, 151, 224, 300, 500):

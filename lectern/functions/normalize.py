@@ -21,8 +21,11 @@ LATIN, LOOKALIKE = "iIeEoOaAcCpPxXyYBHKMT", "іІеЕоОаАсСрРхХуУВ
 _TABLE = str.maketrans(APOSTROPHES + HYPHENS + SPACE, "'" * len(APOSTROPHES) + "-" * len(HYPHENS) + " ", GONE)
 _TO_CYRILLIC = str.maketrans(LATIN, LOOKALIKE)
 _BREAK = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
-_SEGMENT = re.compile(r"[^\W_]+")
-_SURELY_CYRILLIC = re.compile(f"(?![{LOOKALIKE}])[\u0400-\u052f\u2de0-\u2dff\ua640-\ua69f]")
+_MARKS = re.compile(f"[{APOSTROPHES}{HYPHENS}{GONE}{SPACE}]")
+_SURE = f"(?![{LOOKALIKE}])[\u0400-\u052f\u2de0-\u2dff\ua640-\ua69f]"
+_SURELY_CYRILLIC = re.compile(_SURE)
+#: Words that may hold letters of both kinds; each is looked through from its beginning only.
+_MIXED = re.compile(rf"(?<![^\W_])(?=[^\W_]*?[{LATIN}])(?=[^\W_]*?{_SURE})[^\W_]+")
 _OTHER_LATIN = re.compile(f"(?![{LATIN}])[A-Za-z]")
 
 
@@ -32,12 +35,16 @@ def repair_lookalikes(text: str) -> str:
         w = word[0]
         return w.translate(_TO_CYRILLIC) if _SURELY_CYRILLIC.search(w) and not _OTHER_LATIN.search(w) else w
 
-    return _SEGMENT.sub(fixed, text)
+    return text if text.isascii() else _MIXED.sub(fixed, text)
 
 
 def normalize_text(text: str | None) -> str:
     """The canonical spelling of a text; doing it twice changes nothing. Null is empty."""
-    joined = _BREAK.sub("", unicodedata.normalize("NFC", text or "").translate(_TABLE))
+    joined = unicodedata.normalize("NFC", text or "")
+    if _MARKS.search(joined):
+        joined = joined.translate(_TABLE)
+    if "-" in joined and "\n" in joined:
+        joined = _BREAK.sub("", joined)
     return repair_lookalikes(joined).casefold()
 
 

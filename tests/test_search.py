@@ -298,6 +298,17 @@ def test_given_branches_and_reranker_take_the_place_of_the_own(spark, retrieved)
     assert {r["confidence"] for r in got["decisions"].collect()} == {0.3}
 
 
+def test_a_candidate_is_spelled_and_hashed_once_for_all_queries(spark, retrieved, monkeypatch):
+    chunks, queries, _ = retrieved
+    spelled, hashed, plain = [], spark.sparkContext.accumulator(0), R.normalized
+    monkeypatch.setattr(R, "normalized", lambda df: spelled.append(df.count()) or plain(df))
+    monkeypatch.setattr(R, "text_simhash", lambda text: F.udf(lambda t: hashed.add(1) or len(t), "long")(text))
+    q = queries.limit(2)
+    hits = spark.createDataFrame([(r["query_id"], k, 1.0 - k / 10, k) for r in q.collect() for k in (1, 2, 3)], "query_id long, chunk_id long, score double, rank int")
+    assert R.retrieve(chunks, q, dense_hits=hits, sparse_hits=hits)["candidates"].count() == 6
+    assert (spelled, hashed.value) == ([2, 3], 3)
+
+
 def test_a_filter_that_allows_nothing_abstains(spark, retrieved):
     chunks, queries, _ = retrieved
     got = R.retrieve(chunks, queries.limit(3), predicate=F.col("document_id") == "no such")

@@ -13,6 +13,9 @@ from lectern.operators import vector_index as V
 from lectern.plans.documents import DENSE, WORDS, asked, chunks, read, short, vector_queries, vectors
 from lectern.staging import new_folder, staged
 
+#: Characters of a document that the self-test gives a model at a time.
+PIECE = 300
+
 
 def vector_index(spark: SparkSession, d: str) -> V.VectorIndex:
     return V.build(vectors(spark, d), new_folder(spark, "vectors"), ("label",))
@@ -84,13 +87,18 @@ def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
     return v.select("chunk_id", F.size(F.filter("embedding", lambda x: F.abs(x) > 1e-12)).cast("long").alias("filled"), F.round(places, 5).alias("placed"))
 
 
+def passages(docs: DataFrame, prefix: str) -> DataFrame:
+    """(chunk_id, text): all of each text in pieces of PIECE characters, each behind the prefix."""
+    pieces = docs.select("chunk_id", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("piece"))
+    return pieces.select("chunk_id", F.concat(F.lit(prefix), "piece").alias("text"))
+
+
 def embedding_self_test(spark: SparkSession, d: str) -> DataFrame:
-    """The checks on hashed vectors of documents: the vectors of the same texts with wider spaces have to be the same."""
+    """The checks on hashed vectors of documents: the vectors of the same texts with wider spaces have to be the same; prefix and budget hold for all passages."""
     docs = chunks(spark, d).where("length(text) > 0")
     again = B.hashed_embedding(docs.withColumn("text", F.regexp_replace("text", " ", "  ")))
-    texts = docs.select("chunk_id", F.concat(F.lit("passage: "), F.substring("text", 1, 300)).alias("text"))
     vectors = staged(B.hashed_embedding(docs), "self-test-vectors")  # read twice
-    return short(B.self_test(vectors, again, texts, "passage: "), "worst")
+    return short(B.self_test(vectors, again, passages(docs, "passage: "), "passage: "), "worst")
 
 
 HASHED_SQL = f"""with w as (select doc_id as chunk_id, unnest({WORDS}) as word from documents),

@@ -54,6 +54,16 @@ def test_the_self_test_of_documents_passes(spark):
     assert rows == {"reference": 0, "norm": 0, "prefix": 0, "budget": 0}
 
 
+def test_the_self_test_reads_whole_documents(spark, tmp_path):
+    """What stands behind a document's beginning is tested too: its tail has more words, so more tokens, than any other piece."""
+    texts = ["x" * 300 + "\n" + "b " * 149 + "c", "y" * 901, "short", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' as source", "'en' as lang").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["check"]: (r["tested"], r["failed"], r["worst"]) for r in Q.embedding_self_test(spark, str(tmp_path)).collect()}
+    assert rows["prefix"] == (7, 0, 1.0) and rows["budget"] == (7, 0, float(int(151 * 2.35) + 1))
+    pieces = Q.passages(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "chunk_id long, text string"), "").orderBy("chunk_id").collect()
+    assert all("".join(p["text"] for p in pieces if p["chunk_id"] == k) == (t or "") for k, t in enumerate(texts))
+
+
 def test_rows_of_one_key_are_one_chunk(spark):
     df = spark.createDataFrame([(1, "one two"), (1, "two"), (2, "aaaa aaa"), (None, "lost"), (3, None)], "chunk_id long, text string")
     got = [(r["chunk_id"], r["embedding"]) for r in B.hashed_embedding(df, 16).collect()]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators.retrieval import K1, QUERY_BLOCK, Asked, B, best_by_terms, top_k
+from lectern.operators.retrieval import K1, QUERY_BLOCK, Asked, B, best_by_terms, crossed, id_blocks, top_k
 from lectern.session import ship
 from lectern.staging import current, new_folder, publish, staged
 
@@ -227,7 +227,8 @@ def code_search(index: InvertedIndex, queries: DataFrame, allowed: DataFrame | N
 
     Of a code's trigrams the one that fewest codes have is looked up, and what it finds is compared whole; a trigram that most
     codes have is used only where no rarer one is. hits counts the query's codes that a chunk matches;
-    it is counted once for all queries with the same codes, so that rows of pairs are written as they are made and not shuffled.
+    it is counted once for all queries with the same codes and all chunks that match the same of them. Pairs of queries and chunks are made of blocks
+    of their ids after the last shuffle, and all of a block come one after the other, so a column repeats itself and takes little disk.
     """
     spark = queries.sparkSession
     each_asked = queries.select("query_id", F.explode(F.array_distinct("codes")).alias("wanted")).where(F.length("wanted") >= 3)
@@ -244,8 +245,11 @@ def code_search(index: InvertedIndex, queries: DataFrame, allowed: DataFrame | N
     held = index.table(spark, "code_chunks", CODE_CHUNKS, _buckets(met)).select("code", F.explode("chunk_ids").alias("chunk_id"))
     held = held if allowed is None else held.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
     each = met.select("wanted", "code").join(held, "code").select("wanted", "chunk_id").distinct()
-    hits = asked.join(each, "wanted").groupBy("wants", "chunk_id").agg(F.count(F.lit(1)).alias("hits"))
-    return hits.join(F.broadcast(sets) if sets.count() <= BROADCAST_ROWS else sets, "wants").select("query_id", "chunk_id", "hits")
+    pages = id_blocks(each.groupBy("chunk_id").agg(F.sort_array(F.collect_list("wanted")).alias("found")), "found", "chunk_id")
+    known = pages.select("found").distinct().select("found", F.explode("found").alias("wanted"))
+    hits = asked.join(known, "wanted").groupBy("wants", "found").agg(F.count(F.lit(1)).alias("hits"))
+    met = crossed(hits, id_blocks(sets, "wants", "query_id"), pages, "wants", "found")
+    return met.select("hits", F.explode("left_ids").alias("query_id"), "right_ids").select("query_id", F.explode("right_ids").alias("chunk_id"), "hits")
 
 
 def sparse_branch(index: InvertedIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:

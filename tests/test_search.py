@@ -334,6 +334,20 @@ def test_queries_of_the_same_codes_are_counted_once(spark):
     assert got == {(q, c): 2 if q == 0 else 1 for q in range(40) for c in range(90)}
 
 
+def test_pairs_of_codes_are_made_of_blocks(spark, monkeypatch):
+    """What meets are classes of queries and of chunks that match the same codes: far fewer rows than queries' classes times chunks."""
+    monkeypatch.setattr(R, "ID_BLOCK", 8)
+    monkeypatch.setattr(R, "TASK_PAIRS", 50)
+    chunks = spark.createDataFrame([(k, f"utf-8 x{k % 30}-1") for k in range(300)], "chunk_id long, text string")
+    queries = spark.createDataFrame([(q, ["utf-8", f"x{q % 20}-1"]) for q in range(60)] + [(99, ["none-1"])], "query_id long, codes array<string>")
+    met = []
+    monkeypatch.setattr(N, "crossed", lambda links, *rest: met.append(links) or R.crossed(links, *rest))
+    out = N.code_search(N.build(N.search_fields(chunks), new_folder(spark, "blocks"), {}), queries)
+    got = [tuple(r) for r in out.select("query_id", "chunk_id", "hits").collect()]
+    assert sorted(got) == [(q, c, 1 + (q % 20 == c % 30)) for q in range(60) for c in range(300)]
+    assert met[0].count() == 20 * 21
+
+
 def test_scores_are_held_tile_by_tile(spark):
     """A task's memory does not grow with its vectors times the queries; ties are broken by ids over all tiles and batches."""
     import tracemalloc

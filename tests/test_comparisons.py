@@ -115,6 +115,19 @@ def test_near_hashes_and_pairs_equal_all_comparisons(spark):
     assert R.near_hashes(df).where("x = y").count() == len(hashes)
 
 
+def test_near_pairs_are_made_of_blocks(spark, monkeypatch):
+    """Hashes that many chunks share: after the last shuffle come blocks of ids, and every pair is told once, however blocks interleave."""
+    monkeypatch.setattr(R, "ID_BLOCK", 8)
+    monkeypatch.setattr(R, "TASK_PAIRS", 100)
+    hashes, moved = [0, 1, 3, 7, -1, 1 << 40], []
+    rows = [(k, hashes[k * k % 6]) for k in range(180)] + [(500 + k, 7) for k in range(40)]
+    monkeypatch.setattr(R, "crossed", lambda *a, known=R.crossed: moved.append(known(*a)) or moved[-1])
+    got = [tuple(r) for r in R.near_pairs(spark.createDataFrame(rows, "chunk_id long, simhash long")).collect()]
+    apart = lambda x, y: bin((x ^ y) & ((1 << 64) - 1)).count("1")
+    assert sorted(got) == sorted((a, b, apart(x, y)) for (a, x), (b, y) in itertools.combinations(rows, 2) if apart(x, y) <= 3)
+    assert moved[0].count() < len(got) / 10
+
+
 def test_the_best_threshold_does_not_depend_on_ranges(spark):
     rnd = random.Random(3)
     rows = [(float(rnd.randint(0, 40)), rnd.choice([0, 1, 1, None])) for _ in range(500)]
